@@ -17,6 +17,8 @@ FENCED_BLOCK = r"(?s)```(?:python)?[ \t]*\n(.*?)```"
 DANGLING_BLOCK = r"(?s)```(?:python)?[ \t]*\n(.*)"
 ANY_DEFINITION = r"(?mdU)^\s*(?:async\s+def|def|class)\s+\w+"
 NON_SPACE = r"(?U)\S"
+# Python str.splitlines() boundaries
+SPLITLINES = r"\r\n|[\n\r\u000B\u000C\u001C\u001D\u001E\u0085\u2028\u2029]"
 
 
 def col_(c) -> Column:
@@ -89,7 +91,7 @@ def first_leaf(resps, filtered=None) -> Column:
 
 def quote_lines(c) -> Column:
     """Markdown quote: every line of the stripped text prefixed ``> `` (``>`` if empty)."""
-    lines = F.split(strip(c), r"\r\n|\r|\n")
+    lines = F.split(strip(c), SPLITLINES)
     return F.array_join(
         F.transform(lines, lambda ln: F.when(ln == "", F.lit(">")).otherwise(F.concat(F.lit("> "), ln))),
         "\n",
