@@ -207,15 +207,15 @@ def q_rescore(spark, sf):
 
 
 # --- pass_at_k: AG10, AG11, BS4 ------------------------------------------------------
+PASS_AT_K_KS = [1, 2]
+_EST = "\n  UNION ALL\n".join(
+    f"""  SELECT {k} AS k, any_pass,
+    CASE WHEN n - c < {k} THEN CAST(1 AS DOUBLE) WHEN c = 0 THEN CAST(0 AS DOUBLE)
+         ELSE 1 - list_product(list_transform(range(n - c + 1, n + 1), lambda i: 1 - {k}.0 / i)) END AS p
+  FROM items WHERE n >= {k}""" for k in PASS_AT_K_KS)
 PASS_AT_K_SQL = _w(A.OUTCOMES_SQL, """items AS (
   SELECT doc_id % 164 AS item, count(*) AS n, count(*) FILTER (WHERE passed) AS c, bool_or(passed) AS any_pass
-  FROM outcomes GROUP BY item),
-ks(k) AS (VALUES (1), (2)),
-est AS (
-  SELECT ks.k, items.any_pass,
-    CASE WHEN n - c < ks.k THEN CAST(1 AS DOUBLE)
-         ELSE 1 - list_product(list_transform(range(n - c + 1, n + 1), lambda i: 1 - CAST(ks.k AS DOUBLE) / i)) END AS p
-  FROM items JOIN ks ON items.n >= ks.k)""") + """
+  FROM outcomes GROUP BY item)""", f"est AS (\n{_EST})") + """
 SELECT CAST(k AS INTEGER) AS k, count(*) AS n_items, count(*) FILTER (WHERE any_pass) AS items_any_pass,
   round(avg(p), 4) AS pass_at_k
 FROM est GROUP BY k"""
@@ -223,7 +223,7 @@ FROM est GROUP BY k"""
 
 def _pass_at_k(spark, sf):
     o = A.outcomes(spark, sf).withColumn("item", F.col("doc_id") % A.N_TASKS)
-    r = CMP.pass_at_k(o, "item", [1, 2])
+    r = CMP.pass_at_k(o, "item", PASS_AT_K_KS)
     return r.select(F.col("k").cast("int").alias("k"), "n_items", "items_any_pass",
                     F.round("pass_at_k", 4).alias("pass_at_k"))
 
