@@ -258,12 +258,14 @@ pairs AS (
 
 
 def _grams_sql(src: str, key: str, n: int) -> str:
+    """n-gram counts per text; tokens are computed once per row in a subquery."""
+    toks = f"(SELECT {key}, {TOK_SQL} AS toks FROM {src})"
     if n == 1:
-        g = f"unnest({TOK_SQL})"
+        g = "unnest(toks)"
     else:
-        g = (f"unnest(list_transform(range(1, len({TOK_SQL}) - {n} + 2), "
-             f"lambda i: array_to_string(({TOK_SQL})[i:i + {n - 1}], ' ')))")
-    return f"SELECT {key}, gram, count(*) AS cnt FROM (SELECT {key}, {g} AS gram FROM {src}) GROUP BY {key}, gram"
+        g = (f"unnest(list_transform(range(1, len(toks) - {n} + 2), "
+             f"lambda i: array_to_string(toks[i:i + {n - 1}], ' ')))")
+    return f"SELECT {key}, gram, count(*) AS cnt FROM (SELECT {key}, {g} AS gram FROM {toks}) GROUP BY {key}, gram"
 
 
 @register("rouge1_acc", _w(PAIRS_SQL, f"p AS ({_grams_sql('documents', 'doc_id', 1)})",
