@@ -16,15 +16,28 @@ from runlens import schemas
 from runlens.operators.runs import first_runs
 
 
+EXACT = "decimal(38,9)"
+
+
+def exact_mean(v: Column) -> Column:
+    """Mean from an exact decimal sum, so the result does not depend on the order in
+    which partial sums are combined (partition count, stream batches).  Values that
+    do not fit the decimal (NaN, infinities, > 1e29) fall back to ``avg`` (NaN
+    propagates)."""
+    d = v.try_cast(EXACT)
+    exact = (F.sum(d) / F.count(d)).cast("double")
+    return F.when(F.count(v) == F.count(d), exact).otherwise(F.avg(v))
+
+
 def cell_stats(runs: DataFrame, keys: Sequence[str], value: str = "value",
                places: int | None = 4) -> DataFrame:
     """Mean, *sample* variance and *sample* stdev per cell; one run -> 0 for both.
 
-    NaN propagates (``avg`` of a NaN is NaN)."""
+    The mean is exact (decimal sum); NaN propagates."""
     v = F.col(value)
     out = runs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg(v).alias("mean"),
+        exact_mean(v).alias("mean"),
         F.coalesce(F.var_samp(v), F.lit(0.0)).alias("variance"),
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stdev"),
     )

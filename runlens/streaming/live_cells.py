@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlens.operators.cells import last_wins
+from runlens.operators.cells import exact_mean, last_wins
 from runlens.operators.runs import metric_rows
 
 RUN_SCHEMA = T.StructType([
@@ -43,7 +43,7 @@ def live_cells(stream: DataFrame, watermark: str = "1 hour", id_col: str = "run_
     rows = metric_rows(dedup, ["model", "prompt_id", id_col, ts_col])
     v = F.col("value")
     return rows.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"),
+        F.count(F.lit(1)).alias("n"), exact_mean(v).alias("mean"),
         F.coalesce(F.var_samp(v), F.lit(0.0)).alias("variance"),
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stdev"))
 
