@@ -37,25 +37,31 @@ def numeric_match(pred, gold) -> Column:
 
 def tokens(text) -> Column:
     c = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(c), TOKEN_SPLIT), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(c), TOKEN_SPLIT), "")
+
+
+def _grams(t, n: int):
+    """n-grams of a token array as an array of structs of n aligned shifted slices
+    (native ``slice`` + ``arrays_zip``; no per-element lambda)."""
+    m = F.greatest(F.size(t) - n + 1, F.lit(0))
+    return F.arrays_zip(*[F.slice(t, k, m).alias(f"t{k}") for k in range(1, n + 1)])
+
+
+def _gram_text(n: int):
+    return F.concat_ws(" ", *[F.col(f"z.t{k}") for k in range(1, n + 1)])
 
 
 def token_counts(df: DataFrame, key: Sequence[str], text: str, n: int = 1) -> DataFrame:
     """(key, gram, cnt) for the n-grams of each text.
 
-    Tokens are projected once as a column first; the n-gram lambda then slices that
-    column (referencing the tokenising expression inside the lambda would re-run it
-    for every position)."""
+    Tokens are projected once as a column; n-grams come from exploding aligned
+    shifted slices, so every step stays in native expressions."""
     toks = df.select(*key, tokens(text).alias("_toks"))
-    t = F.col("_toks")
     if n == 1:
-        grams = t
+        grams = toks.select(*key, F.explode("_toks").alias("gram"))
     else:
-        # sequence() counts down when start > stop, so short texts get no n-grams explicitly
-        grams = F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1),
-                                                   lambda i: F.array_join(F.slice(t, i, n), " ")))
-    return (toks.select(*key, F.explode(grams).alias("gram"))
-            .groupBy(*key, "gram").agg(F.count(F.lit(1)).alias("cnt")))
+        grams = toks.select(*key, F.explode(_grams(F.col("_toks"), n)).alias("z")).select(*key, _gram_text(n).alias("gram"))
+    return grams.groupBy(*key, "gram").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def rouge1(pairs: DataFrame, pred_key: Sequence[str], ref_key: Sequence[str],
@@ -80,25 +86,42 @@ def rouge1(pairs: DataFrame, pred_key: Sequence[str], ref_key: Sequence[str],
     return s.withColumn("rouge1", f1)
 
 
+def ngram_counts(df: DataFrame, key: Sequence[str], text: str, max_n: int) -> DataFrame:
+    """(key, n, gram, cnt) for every n-gram order 1..max_n (tokens projected once)."""
+    toks = df.select(*key, tokens(text).alias("_toks"))
+    parts = [toks.select(*key, F.lit(1).alias("n"), F.explode("_toks").alias("gram"))]
+    for n in range(2, max_n + 1):
+        parts.append(toks.select(*key, F.lit(n).alias("n"), F.explode(_grams(F.col("_toks"), n)).alias("z"))
+                     .select(*key, "n", _gram_text(n).alias("gram")))
+    allg = parts[0]
+    for p in parts[1:]:
+        allg = allg.unionByName(p)
+    return allg.groupBy(*key, "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def bleu(pairs: DataFrame, pred_key: Sequence[str], ref_key: Sequence[str],
          preds: DataFrame, pred_text: str, refs: DataFrame, ref_text: str, max_n: int = 4) -> DataFrame:
     """Sentence BLEU per pair with one reference: clipped n-gram precisions for
     n = 1..max_n, add-one smoothing for n > 1 (Lin & Och 2004), geometric mean,
-    brevity penalty exp(1 - r/c) when c < r."""
-    out = pairs
-    for n in range(1, max_n + 1):
-        pc = token_counts(preds, pred_key, pred_text, n)
-        rc = token_counts(refs, ref_key, ref_text, n)
-        tot = pc.groupBy(*pred_key).agg(F.sum("cnt").alias(f"tot{n}"))
-        clip = (pairs.join(pc.withColumnRenamed("cnt", "pcnt"), list(pred_key))
-                .join(rc.withColumnRenamed("cnt", "rcnt"), [*ref_key, "gram"])
-                .groupBy(*pred_key, *ref_key).agg(F.sum(F.least("pcnt", "rcnt")).alias(f"m{n}")))
-        out = out.join(tot, list(pred_key), "left").join(clip, [*pred_key, *ref_key], "left")
-    plen = preds.select(*pred_key, F.size(tokens(pred_text)).alias("c_len"))
-    rlen = refs.select(*ref_key, F.size(tokens(ref_text)).alias("r_len"))
-    out = out.join(plen, list(pred_key), "left").join(rlen, list(ref_key), "left")
+    brevity penalty exp(1 - r/c) when c < r.
+
+    All orders travel together: one n-gram explode per side, one clipped-count join
+    on (ref, n, gram) and one conditional aggregation per pair."""
+    ks = range(1, max_n + 1)
+    pc = ngram_counts(preds, pred_key, pred_text, max_n)
+    rc = ngram_counts(refs, ref_key, ref_text, max_n)
+    tot = pc.groupBy(*pred_key).agg(*[F.sum(F.when(F.col("n") == k, F.col("cnt"))).alias(f"tot{k}") for k in ks])
+    rlen = rc.filter(F.col("n") == 1).groupBy(*ref_key).agg(F.sum("cnt").alias("r_len"))
+    clip = (pairs.join(pc.withColumnRenamed("cnt", "pcnt"), list(pred_key))
+            .join(rc.withColumnRenamed("cnt", "rcnt"), [*ref_key, "n", "gram"])
+            .groupBy(*pred_key, *ref_key)
+            .agg(*[F.sum(F.when(F.col("n") == k, F.least("pcnt", "rcnt"))).alias(f"m{k}") for k in ks]))
+    out = (pairs.join(tot, list(pred_key), "left").join(rlen, list(ref_key), "left")
+           .join(clip, [*pred_key, *ref_key], "left")
+           .withColumn("c_len", F.coalesce(F.col("tot1"), F.lit(0)))
+           .withColumn("r_len", F.coalesce(F.col("r_len"), F.lit(0))))
     logs = []
-    for n in range(1, max_n + 1):
+    for n in ks:
         m = F.coalesce(F.col(f"m{n}"), F.lit(0)).cast("double")
         t = F.coalesce(F.col(f"tot{n}"), F.lit(0)).cast("double")
         prec = (m / t) if n == 1 else ((m + 1) / (t + 1))

@@ -12,6 +12,7 @@ from runlens.operators import extract as X
 from runlens.operators import triage as TR
 from runlens.plans import adapters as A
 from runlens.plans.registry import register
+from runlens.session import materialize
 
 SEED = 42
 SAMPLE_N = 12
@@ -242,7 +243,8 @@ r AS (SELECT f.*, row_number() OVER (PARTITION BY model, verdict
 SELECT r.model, r.verdict, r.doc_id FROM r JOIN sh ON r.model = sh.model AND r.verdict = sh.verdict
 WHERE rk <= share""")
 def q_review_sample(spark, sf):
-    t = triaged_failures(spark, sf).select("model", "verdict", "doc_id")
+    # the triage pass feeds both the verdict counts and the ranking: run it once
+    t = materialize(triaged_failures(spark, sf).select("model", "verdict", "doc_id"))
     return TR.review_sample(t, SAMPLE_N, SEED).select("model", "verdict", "doc_id")
 
 

@@ -64,3 +64,12 @@ def is_local_path(path: str) -> bool:
 def make_local_dirs(path: str) -> None:
     if is_local_path(path):
         os.makedirs(path.replace("file:", ""), exist_ok=True)
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage: a reliable ``checkpoint()`` into the
+    shared checkpoint folder (survives executor loss; never a local checkpoint).
+    Used where an expensive result (e.g. the Python extraction pass) feeds more than
+    one branch of a plan."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
