@@ -16,6 +16,7 @@ from runlens.plans import adapters as A
 from runlens.plans import q_runs as QR
 from runlens.plans import q_text as QT
 from runlens.plans.registry import register
+from runlens.sinks import reports as SK
 
 
 def _w(*ctes: str) -> str:
@@ -195,16 +196,9 @@ SELECT model, row_metric,
   || row_metric || ' & ' || """ + _tex_cells_sql() + r""" || ' \\' AS row_text
 FROM c GROUP BY model, row_metric""")
 def q_tex_rows(spark, sf):
-    c = QR.cells(spark, sf).select(
-        "model", F.when(F.col("metric") == schemas.TPS, F.lit("tps")).otherwise(F.lit("elap")).alias("row_metric"),
-        "prompt_id", tx.mean_pm_sd("mean", "stdev").alias("cell"))
-    # one entry per prompt of the (model, metric) row: bounded by the prompt count
-    g = c.groupBy("model", "row_metric").agg(F.map_from_entries(F.collect_list(F.struct("prompt_id", "cell"))).alias("m"))
-    cells = F.array_join(F.transform(F.array(*[F.lit(p) for p in TABLE_PROMPTS]),
-                                     lambda p: F.coalesce(F.element_at("m", p), F.lit(schemas.MISSING_CELL))), " & ")
-    label = F.concat(F.lit("\\textbf{\\texttt{"), tx.tex_escape("model"), F.lit("}}"))
-    return g.select("model", "row_metric",
-                    F.concat(label, F.lit(" & "), F.col("row_metric"), F.lit(" & "), cells, F.lit(" \\\\")).alias("row_text"))
+    c = QR.cells(spark, sf).withColumn(
+        "row_metric", F.when(F.col("metric") == schemas.TPS, F.lit("tps")).otherwise(F.lit("elap")))
+    return SK.table_rows(c, TABLE_PROMPTS, fmt_fn=tx.mean_pm_sd)
 
 
 # --- numeric_match: BS1 ----------------------------------------------------------------

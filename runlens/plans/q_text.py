@@ -12,7 +12,8 @@ from runlens.operators import extract as X
 from runlens.operators import triage as TR
 from runlens.plans import adapters as A
 from runlens.plans.registry import register
-from runlens.session import materialize
+from runlens.session import materialize, scratch_path
+from runlens.sinks import reports as SK
 
 SEED = 42
 SAMPLE_N = 12
@@ -276,5 +277,10 @@ FROM q""")
 def q_review_text(spark, sf):
     f = TR.failures(samples(spark, sf))
     quoted = F.when(tx.is_blank("raw"), F.lit("> *(empty)*")).otherwise(tx.quote_lines("raw"))
-    return f.select(F.replace(F.col("model"), F.lit(":"), F.lit("_")).alias("file_key"), "doc_id",
-                    F.md5(quoted).alias("quoted_md5"))
+    rows = f.select(F.replace(F.col("model"), F.lit(":"), F.lit("_")).alias("file_key"), "doc_id",
+                    quoted.alias("quoted"))
+    path = scratch_path(spark, "reviews")
+    SK.write_reviews(rows, path)
+    back = spark.read.schema("doc_id long, quoted string").json(path).withColumn(
+        "file_key", F.regexp_extract(F.col("_metadata.file_path"), r"file_key=([^/]*)/", 1))
+    return back.select("file_key", "doc_id", F.md5("quoted").alias("quoted_md5"))

@@ -61,3 +61,24 @@ def write_keyed_json(cells: DataFrame, path: str, key_cols=("model", "prompt_id"
 def write_score_files(scores: DataFrame, path: str) -> None:
     """Score files, one JSON object per model: results map + config."""
     scores.write.mode("overwrite").json(path)
+
+
+def table_rows(cells: DataFrame, prompts, row_keys=("model", "row_metric"), prompt_col: str = "prompt_id",
+               fmt_fn=tx.mean_pm_sd, missing: str = schemas.MISSING_CELL) -> DataFrame:
+    """Publication rows: one string per (model, metric row), cells in the given prompt
+    order joined by `` & ``, ``missing`` where a prompt has no cell, the escaped
+    model label first.  ``fmt_fn(mean, sd) -> Column`` formats a cell.
+
+    The per-row map holds one entry per prompt, so it is bounded by the prompt list."""
+    c = cells.select(*row_keys, prompt_col, fmt_fn(F.col("mean"), F.col("stdev")).alias("_cell"))
+    g = c.groupBy(*row_keys).agg(F.map_from_entries(F.collect_list(F.struct(prompt_col, "_cell"))).alias("_m"))
+    joined = F.array_join(F.transform(F.array(*[F.lit(p) for p in prompts]),
+                                      lambda p: F.coalesce(F.element_at("_m", p), F.lit(missing))), " & ")
+    label = F.concat(F.lit("\\textbf{\\texttt{"), tx.tex_escape(row_keys[0]), F.lit("}}"))
+    return g.select(*row_keys, F.concat(label, F.lit(" & "), F.col(row_keys[1]), F.lit(" & "), joined,
+                                        F.lit(" \\\\")).alias("row_text"))
+
+
+def write_reviews(reviews: DataFrame, path: str, key_col: str = "file_key") -> None:
+    """Review rows as JSON lines, one output directory per model key (``:`` -> ``_``)."""
+    reviews.write.mode("overwrite").partitionBy(key_col).json(path)
