@@ -83,9 +83,11 @@ def original_extract(text) -> Column:
 
 def first_leaf(resps, filtered=None) -> Column:
     """First string of the nested response arrays, else of the filtered ones, else ''."""
-    parts = [F.try_element_at(F.try_element_at(col_(resps), F.lit(1)), F.lit(1))]
+    # get() is 0-based and NULL when out of range (try_element_at nested in coalesce
+    # falls out of generated code in this Spark version)
+    parts = [F.get(F.get(col_(resps), 0), 0)]
     if filtered is not None:
-        parts.append(F.try_element_at(col_(filtered), F.lit(1)))
+        parts.append(F.get(col_(filtered), 0))
     return F.coalesce(*parts, F.lit(""))
 
 
