@@ -153,7 +153,7 @@ def accelerator_text(c) -> Column:
     fields = F.transform(lines, lambda ln: F.split(ln, ","))
     kept = F.filter(fields, lambda f: F.size(f) >= 2)
     return F.array_join(
-        F.transform(kept, lambda f: F.concat(F.trim(f[0]), F.lit(" ("), F.trim(f[1]), F.lit(" MB VRAM)"))),
+        F.transform(kept, lambda f: F.concat(strip(f[0]), F.lit(" ("), strip(f[1]), F.lit(" MB VRAM)"))),
         ", ",
     )
 

@@ -107,11 +107,13 @@ def metric_pair(cells: DataFrame, keys: Sequence[str], metric_col: str = "metric
     )
 
 
-def first_seen(df: DataFrame, key: str, order_col: str) -> DataFrame:
-    """First-appearance order of keys plus a distinct profile (rows, first position).
+def first_seen(df: DataFrame, key: str, order_col: str, distinct_of: Sequence[str] = ()) -> DataFrame:
+    """First-appearance order of keys plus a distinct profile (rows, first position,
+    distinct count of each ``distinct_of`` column), in one aggregation.
 
     The rank is taken over the aggregated keys only (one row per key)."""
-    agg = df.groupBy(key).agg(F.min(order_col).alias("first_ord"), F.count(F.lit(1)).alias("n_rows"))
+    agg = df.groupBy(key).agg(F.min(order_col).alias("first_ord"), F.count(F.lit(1)).alias("n_rows"),
+                              *[F.count_distinct(c).alias(f"n_{c}s") for c in distinct_of])
     return agg.withColumn("seen_rank", F.row_number().over(Window.orderBy("first_ord", key)))
 
 

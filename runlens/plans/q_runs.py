@@ -148,11 +148,9 @@ SELECT model, min(event_id) AS first_ord, count(*) AS n_rows, count(DISTINCT pro
   CAST(row_number() OVER (ORDER BY min(event_id), model) AS INTEGER) AS seen_rank
 FROM runs GROUP BY model""")
 def q_first_seen(spark, sf):
-    r = A.runs(spark, sf)
-    fs = C.first_seen(r, "model", "event_id")
-    prompts = r.groupBy("model").agg(F.count_distinct("prompt_id").alias("n_prompts"))
-    return fs.join(prompts, "model").select("model", "first_ord", "n_rows", "n_prompts",
-                                            F.col("seen_rank").cast("int").alias("seen_rank"))
+    fs = C.first_seen(A.runs(spark, sf), "model", "event_id", distinct_of=["prompt_id"])
+    return fs.select("model", "first_ord", "n_rows", F.col("n_prompt_ids").alias("n_prompts"),
+                     F.col("seen_rank").cast("int").alias("seen_rank"))
 
 
 # --- robust_limits: AG17 ---------------------------------------------------------
