@@ -116,13 +116,35 @@ def not_started_by(cells: DataFrame, started_col: str, cutoff: str) -> DataFrame
     return cells.withColumn("skipped", F.col(started_col) >= F.lit(cutoff).cast(cells.schema[started_col].dataType))
 
 
+def running_total(df: DataFrame, key: str, order_col: str, value: Column, name: str,
+                  include_current: bool = False, bucket_width: int = 1024) -> DataFrame:
+    """Per ``key``, the sum of ``value`` over rows ordered by the numeric ``order_col``
+    strictly before the current row (or up to and including it).
+
+    A distributed prefix sum, so one key holding a large share of all rows is never
+    one task: rows fall into buckets of ``bucket_width`` consecutive order values;
+    bucket totals (partial aggregation) get a prefix sum over the small bucket table;
+    each row adds the running sum inside its own bucket (a window over at most
+    ``bucket_width`` order values)."""
+    b = F.floor(F.col(order_col) / F.lit(bucket_width))
+    rows = df.withColumn("_b", b).withColumn("_v", value)
+    totals = rows.groupBy(key, "_b").agg(F.sum("_v").alias("_bt"))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(key, "_b", F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_off"))
+    end = 0 if include_current else -1
+    inside = Window.partitionBy(key, "_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
+    return (rows.join(offsets, [key, "_b"])
+            .withColumn(name, F.col("_off") + F.coalesce(F.sum("_v").over(inside), F.lit(0)))
+            .drop("_b", "_v", "_off"))
+
+
 def dialogue_context(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
-                     text_col: str = "text") -> DataFrame:
+                     text_col: str = "text", bucket_width: int = 1024) -> DataFrame:
     """Per turn: its word count and the words/messages of all earlier messages that a
-    request at this turn carries (running sum, never a collected list)."""
-    w = Window.partitionBy(conv_col).orderBy(turn_col).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        turns.withColumn("words", word_count(text_col))
-        .withColumn("context_words", F.coalesce(F.sum("words").over(w), F.lit(0)).cast("bigint"))
-        .withColumn("context_messages", F.count(F.lit(1)).over(w))
-    )
+    request at this turn carries (running sums, never a collected list; computed as
+    a bucketed prefix sum so a very long conversation is split across tasks)."""
+    t = turns.withColumn("words", word_count(text_col))
+    t = running_total(t, conv_col, turn_col, F.col("words").cast("bigint"), "context_words",
+                      bucket_width=bucket_width)
+    return running_total(t, conv_col, turn_col, F.lit(1).cast("bigint"), "context_messages",
+                         bucket_width=bucket_width)

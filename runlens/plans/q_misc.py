@@ -54,8 +54,8 @@ FROM u LEFT JOIN stops ON u.conv_id = stops.conv_id
 WHERE (stops.s IS NULL OR idx < stops.s) AND idx IN (1, 3, 5)""")
 def q_dialogue_turn_sample(spark, sf):
     users = A.turns(spark, sf).filter(F.col("role") == "user")
-    # user-turn index within one conversation (a dialogue is bounded)
-    users = users.withColumn("idx", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    # user-turn index within a conversation: a running count (bucketed prefix sum)
+    users = R.running_total(users, "conv_id", "turn", F.lit(1).cast("bigint"), "idx", include_current=True)
     ok = R.until_first_failure(users, ["conv_id"], ["turn"], F.length("text") % 13 == 0)
     s = R.sample_turns(ok, turn_col="idx")
     return s.select("conv_id", "prompt_id", tx.word_count("text").cast("int").alias("words"))

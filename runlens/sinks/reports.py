@@ -64,14 +64,19 @@ def write_score_files(scores: DataFrame, path: str) -> None:
 
 
 def table_rows(cells: DataFrame, prompts, row_keys=("model", "row_metric"), prompt_col: str = "prompt_id",
-               fmt_fn=tx.mean_pm_sd, missing: str = schemas.MISSING_CELL) -> DataFrame:
+               fmt_fn=tx.mean_pm_sd, missing: str = schemas.MISSING_CELL, order_col: str | None = None) -> DataFrame:
     """Publication rows: one string per (model, metric row), cells in the given prompt
     order joined by `` & ``, ``missing`` where a prompt has no cell, the escaped
     model label first.  ``fmt_fn(mean, sd) -> Column`` formats a cell.
 
-    The per-row map holds one entry per prompt, so it is bounded by the prompt list."""
-    c = cells.select(*row_keys, prompt_col, fmt_fn(F.col("mean"), F.col("stdev")).alias("_cell"))
-    g = c.groupBy(*row_keys).agg(F.map_from_entries(F.collect_list(F.struct(prompt_col, "_cell"))).alias("_m"))
+    Cells are first reduced to one per (row, prompt) -- the last by ``order_col`` when
+    given -- and only the listed prompts are kept, so the per-row map is bounded by
+    the prompt list."""
+    c = cells.filter(F.col(prompt_col).isin(*prompts)).select(
+        *row_keys, prompt_col, fmt_fn(F.col("mean"), F.col("stdev")).alias("_cell"),
+        (F.col(order_col) if order_col else F.lit(0)).alias("_ord"))
+    one = c.groupBy(*row_keys, prompt_col).agg(F.max_by("_cell", "_ord").alias("_cell"))
+    g = one.groupBy(*row_keys).agg(F.map_from_entries(F.collect_list(F.struct(prompt_col, "_cell"))).alias("_m"))
     joined = F.array_join(F.transform(F.array(*[F.lit(p) for p in prompts]),
                                       lambda p: F.coalesce(F.element_at("_m", p), F.lit(missing))), " & ")
     label = F.concat(F.lit("\\textbf{\\texttt{"), tx.tex_escape(row_keys[0]), F.lit("}}"))

@@ -19,10 +19,23 @@ from runlens.functions import text as tx
 _LINE_BREAK = r"\r?\n"
 
 
-def _lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(file, line_no, line) for every line of every file; one task per file."""
-    raw = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    return raw.select("file", F.posexplode(F.split("value", _LINE_BREAK)).alias("line_no", "line"))
+def _lines(spark: SparkSession, paths: str | Sequence[str], whole_file: bool = False) -> DataFrame:
+    """(file, line_no, line) for every line of every file.
+
+    Default: line mode, so a large file is split across tasks; ``line_no`` is the
+    orderable pair (block start of the split, position within the split).
+    ``whole_file``: one task per file, ``line_no`` = (0, position)."""
+    if whole_file:
+        raw = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+        return raw.select("file", F.posexplode(F.split("value", _LINE_BREAK)).alias("pos", "line")) \
+            .select("file", F.struct(F.lit(0).cast("bigint").alias("block"), F.col("pos").cast("bigint").alias("pos"))
+                    .alias("line_no"), "line")
+    raw = spark.read.text(paths)
+    return raw.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"),
+                 F.monotonically_increasing_id().alias("pos")).alias("line_no"),
+        F.regexp_replace("value", r"\r$", "").alias("line"))
 
 
 def _clean(line) -> Column:
@@ -42,7 +55,7 @@ def _cut(v: Column) -> Column:
 
 
 def read_cell_csv(spark: SparkSession, paths: str | Sequence[str], header: str = "first",
-                  meta_default: str = "") -> tuple[DataFrame, DataFrame]:
+                  meta_default: str = "", whole_file: bool = False) -> tuple[DataFrame, DataFrame]:
     """Commented cell CSV -> (cells, meta).
 
     The header row is the first (``header='first'``) or last (``'last'``) line whose
@@ -52,12 +65,14 @@ def read_cell_csv(spark: SparkSession, paths: str | Sequence[str], header: str =
 
     meta: per file the Timestamp / Host / GPU (/ Duration) values of ``#`` lines,
     the last matching line winning, ``meta_default`` when absent."""
-    lines = _lines(spark, paths).withColumn("clean", _clean("line"))
+    lines = _lines(spark, paths, whole_file).withColumn("clean", _clean("line"))
     is_header = F.col("clean").startswith("Model,")
     pick = F.min if header == "first" else F.max
-    hdr = lines.groupBy("file").agg(pick(F.when(is_header, F.col("line_no"))).alias("hdr"))
+    # header line per file (a small per-file aggregate); none -> the first line
+    hdr = lines.groupBy("file").agg(F.coalesce(pick(F.when(is_header, F.col("line_no"))),
+                                               F.min("line_no")).alias("hdr"))
     data = (lines.join(hdr, "file")
-            .filter((F.col("line_no") > F.coalesce("hdr", F.lit(0))) & (tx.strip("line") != "")))
+            .filter((F.col("line_no") > F.col("hdr")) & (tx.strip("line") != "")))
     parsed = data.select("file", "line_no", F.from_csv("line", schemas.CSV_LINE_DDL).alias("r"))
     names = schemas.CSV_COLUMNS
     cells = parsed.select(

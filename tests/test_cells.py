@@ -100,3 +100,20 @@ def test_hhmmss_unbounded_hours(spark, secs, text):
     from runlens.functions.text import hhmmss
 
     assert spark.range(1).select(hhmmss(F.lit(secs))).collect()[0][0] == text
+
+
+def test_running_total_across_buckets(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = [(c, t, rnd.randint(0, 9)) for c in (1, 2) for t in range(0, 50)]
+    df = spark.createDataFrame(rows, "conv long, turn long, v long")
+    got = R.running_total(df, "conv", "turn", F.col("v"), "before", bucket_width=3)
+    got = R.running_total(got, "conv", "turn", F.col("v"), "upto", include_current=True, bucket_width=3)
+    res = {(r.conv, r.turn): (r.before, r.upto) for r in got.collect()}
+    for c in (1, 2):
+        acc = 0
+        for t in range(50):
+            v = [x for (cc, tt, x) in rows if cc == c and tt == t][0]
+            assert res[(c, t)] == (acc, acc + v)
+            acc += v
