@@ -263,15 +263,16 @@ def requested_sql() -> str:
 # ---------------------------------------------------------------------------
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Re-execution outcome per sample: passed = not toxic; docs with doc_id % 11 = 0
-    have no outcome (exercises the missing-outcome rule)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    return (docs.join(lab, "doc_id").filter(F.col("doc_id") % 11 != 0)
-            .select(F.col("source").alias("model"), "doc_id", F.lit(1).alias("attempt"),
+    """Re-execution outcome per sample: passed = not toxic.  A sample that is both
+    low-quality and toxic was never re-executed, so it has no outcome (exercises the
+    missing-outcome rule)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    lab = table(spark, sf_dir, "labels").select("doc_id", "toxic", "quality")
+    return (docs.join(lab, "doc_id").filter(~((F.col("quality") == 0) & (F.col("toxic") == 1)))
+            .select(F.col("source").alias("model"), "doc_id", "lang", F.lit(1).alias("attempt"),
                     (F.col("toxic") == 0).alias("passed")))
 
 
 OUTCOMES_SQL = """outcomes AS (
-  SELECT d.source AS model, d.doc_id, 1 AS attempt, (l.toxic = 0) AS passed
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id % 11 <> 0)"""
+  SELECT d.source AS model, d.doc_id, d.lang, 1 AS attempt, (l.toxic = 0) AS passed
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE NOT (l.quality = 0 AND l.toxic = 1))"""

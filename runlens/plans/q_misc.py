@@ -366,10 +366,10 @@ BASE_TASK = {"metric": "passed", "args": ["passed"], "name": "score"}
 
 @register("scorer_registry", _w(A.OUTCOMES_SQL) + """
 SELECT model, round(avg(CAST(passed AS DOUBLE)), 4) AS pass_at_1, count(*) AS n FROM outcomes
-WHERE doc_id % 2 = 0 GROUP BY model""")
+WHERE lang = 'en' GROUP BY model""")
 def q_scorer_registry(spark, sf):
     task = {"include": BASE_TASK, "name": "pass_at_1",
-            "filters": [lambda df: df.filter(F.col("doc_id") % 2 == 0)]}
+            "filters": [lambda df: df.filter(F.col("lang") == "en")]}
     r = SC.score(A.outcomes(spark, sf), task, ["model"])
     return r.select("model", F.round("pass_at_1", 4).alias("pass_at_1"), "n")
 

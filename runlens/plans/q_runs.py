@@ -109,8 +109,10 @@ def q_pivot_strict(spark, sf):
 
 
 # --- pivot_mean_last: PV2, AG15, WN2 ---------------------------------------------
-# two cell sets: all runs (set 1) and the odd-numbered runs without P3 (set 2, later).
-_ODD_SQL = A.metrics_sql("_odd", "event_id % 2 = 1")
+# two cell sets: all runs (set 1) and a later re-run -- the runs of the second half
+# of the month, without P3 -- (set 2, later, so it wins where present).
+RERUN_FROM = "2024-01-16 00:00:00"
+_ODD_SQL = A.metrics_sql("_odd", f"ts >= TIMESTAMP '{RERUN_FROM}'")
 
 
 @register("pivot_mean_last", _w(A.METRICS_SQL, _ODD_SQL, """bothsets AS (
@@ -121,7 +123,8 @@ lastwins AS (SELECT model, prompt_id, arg_max(mean, set_ord) AS mean FROM bothse
     + _pivot_sql("lastwins"))
 def q_pivot_last(spark, sf):
     all_cells = tps_cells(spark, sf).select("model", "prompt_id", "mean", F.lit(1).alias("set_ord"))
-    odd = R.metric_rows(R.response_metrics(A.runs(spark, sf).filter(F.col("event_id") % 2 == 1)),
+    rerun = A.runs(spark, sf).filter(F.col("started_at") >= F.lit(RERUN_FROM).cast("timestamp_ntz"))
+    odd = R.metric_rows(R.response_metrics(rerun),
                         ["model", "prompt_id", "event_id", "started_at"])
     odd_cells = (C.cell_stats(odd, KEYS)
                  .filter((F.col("metric") == schemas.TPS) & (F.col("prompt_id") != "P3"))
@@ -335,8 +338,9 @@ def q_castable(spark, sf):
 @register("append_runs", _w(A.METRICS_SQL) + "SELECT * FROM cells")
 def q_append_runs(spark, sf):
     r = measured(spark, sf)
-    parts = [r.filter(F.col("event_id") % 2 == i) for i in (0, 1)]
-    unioned = parts[0].unionByName(parts[1])
+    # two run files (first and second half of the month) appended into one table
+    late = F.col("started_at") >= F.lit(RERUN_FROM).cast("timestamp_ntz")
+    unioned = r.filter(~late).unionByName(r.filter(late))
     return C.cell_stats(R.metric_rows(unioned, ["model", "prompt_id", "event_id", "started_at"]), KEYS)
 
 
