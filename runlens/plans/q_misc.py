@@ -428,8 +428,26 @@ def q_budget_audit(spark, sf):
         F.count_if(tx.is_blank("content_b") & (F.col("thinking_chars") > 0)).alias("exhausted"))
 
 
-# --- summary_json: SNK6 (rows-only check) ----------------------------------------------
-@register("summary_json")
+# --- summary_json: SNK6 -----------------------------------------------------------------
+_V = schemas.VERDICTS
+SUMMARY_JSON_SQL = _w(*QT.TEXT_SQL, QT.EXPECTED_SQL, A.OUTCOMES_SQL, """lo AS (
+  SELECT model, doc_id, arg_max(passed, attempt) AS passed FROM outcomes GROUP BY model, doc_id),
+j AS (SELECT s.model, s.doc_id, s.pass_at_1, coalesce(lo.passed, false) AS now
+      FROM samples s LEFT JOIN lo ON s.model = lo.model AND s.doc_id = lo.doc_id),
+r AS (SELECT model, count(*) AS n, round(100.0 * sum(pass_at_1) / count(*), 4) AS published,
+  round(CAST(100 AS DOUBLE) * count(DISTINCT CASE WHEN now THEN doc_id END) / count(*), 4) AS corrected,
+  count(*) FILTER (WHERE pass_at_1 = 0.0 AND now) AS recovered,
+  count(*) FILTER (WHERE pass_at_1 = 1.0 AND NOT now) AS regressed FROM j GROUP BY model),""" + f"""
+v AS (SELECT model, {", ".join(f"count(*) FILTER (WHERE pass_at_1 = 0.0 AND verdict = '{x}') AS c{i}" for i, x in enumerate(_V))}
+  FROM x GROUP BY model)""") + f"""
+SELECT r.model, CAST(to_json({{'model': r.model, 'n': r.n, 'published_pass@1': r.published,
+  'corrected_pass@1': r.corrected, 'recovered': r.recovered, 'regressed': r.regressed,
+  'triage': MAP([{", ".join(f"'{x}'" for x in _V)}], [{", ".join(f"coalesce(v.c{i}, 0)" for i in range(len(_V)))}])}}) AS VARCHAR)
+  AS json
+FROM r LEFT JOIN v ON r.model = v.model"""
+
+
+@register("summary_json", SUMMARY_JSON_SQL)
 def q_summary_json(spark, sf):
     s = QT.samples(spark, sf)
     r = CMP.rescore_summary(s, A.outcomes(spark, sf))
