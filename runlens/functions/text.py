@@ -39,9 +39,9 @@ def is_blank(c) -> Column:
 
 
 def word_count(c) -> Column:
-    """Number of whitespace-separated words (``len(x.split())``), 0 when blank."""
-    s = strip(c)
-    return F.when(F.length(s) == 0, F.lit(0)).otherwise(F.size(F.split(s, r"(?U)\s+")))
+    """Number of whitespace-separated words (``len(x.split())``), 0 when blank:
+    the count of maximal non-space runs, without materialising the words."""
+    return F.coalesce(F.regexp_count(col_(c), F.lit(r"(?U)\S+")), F.lit(0))
 
 
 def strip_reasoning(c) -> Column:
@@ -81,13 +81,14 @@ def original_extract(text) -> Column:
     )
 
 
-def first_leaf(resps, filtered=None) -> Column:
-    """First string of the nested response arrays, else of the filtered ones, else ''."""
+def first_leaf(resps, filtered=None, filtered_is_leaf: bool = False) -> Column:
+    """First string of the nested response arrays, else of the filtered ones, else ''.
+    ``filtered_is_leaf``: ``filtered`` already holds the first filtered string."""
     # get() is 0-based and NULL when out of range (try_element_at nested in coalesce
     # falls out of generated code in this Spark version)
     parts = [F.get(F.get(col_(resps), 0), 0)]
     if filtered is not None:
-        parts.append(F.get(col_(filtered), 0))
+        parts.append(col_(filtered) if filtered_is_leaf else F.get(col_(filtered), 0))
     return F.coalesce(*parts, F.lit(""))
 
 
@@ -163,9 +164,10 @@ def size_text(size_bytes) -> Column:
     return F.concat(fmt(col_(size_bytes) / F.lit(1e9), 1), F.lit(" GB"))
 
 
-def repeat_to_words(text, min_words: int) -> Column:
-    """Repeat the paragraph (blank-line separated) until it holds at least ``min_words`` words."""
+def repeat_to_words(text, min_words: int, words=None) -> Column:
+    """Repeat the paragraph (blank-line separated) until it holds at least ``min_words``
+    words (``words``: an already computed word count of ``text``)."""
     t = col_(text)
-    n = word_count(t)
+    n = word_count(t) if words is None else col_(words)
     copies = F.when(n == 0, F.lit(1)).otherwise(F.ceil(F.lit(min_words) / n).cast("int"))
     return F.array_join(F.array_repeat(t, copies), "\n\n")

@@ -72,7 +72,7 @@ def q_jsonl_roundtrip(spark, sf):
     SK.write_samples(out, path)
     r = SR.read_samples(spark, f"{path}/*/*.json", hive_dirs=True)
     return r.select("model", "doc_id", F.col("doc.task_id").alias("task_id"), F.col("`pass@1`").alias("pass_at_1"),
-                    F.md5(tx.first_leaf("resps", "filtered_resps")).alias("leaf_md5"))
+                    F.md5(tx.first_leaf("resps", "filtered_first", filtered_is_leaf=True)).alias("leaf_md5"))
 
 
 # --- token_json_explode: SRC7 ----------------------------------------------------------

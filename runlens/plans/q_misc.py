@@ -357,7 +357,7 @@ def q_prompt_build(spark, sf):
     return j.select("doc_id", "item_id", F.md5(prompt).alias("prompt_md5"), F.md5(check).alias("check_md5"),
                     F.md5(prediction).alias("prediction_md5"),
                     (copies * F.col("words")).cast("int").alias("payload_words"),
-                    F.md5(tx.repeat_to_words("text", PAYLOAD_WORDS)).alias("payload_md5"))
+                    F.md5(tx.repeat_to_words("text", PAYLOAD_WORDS, "words")).alias("payload_md5"))
 
 
 # --- scorer_registry: UD1-UD4, BS4 -----------------------------------------------------

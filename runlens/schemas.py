@@ -86,7 +86,8 @@ SAMPLES = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("doc", DOC),
     T.StructField("resps", T.ArrayType(T.ArrayType(T.StringType()))),
-    T.StructField("filtered_resps", T.ArrayType(T.StringType())),
+    # two layouts exist (array<string> or array<array<string>>): kept as raw JSON text
+    T.StructField("filtered_resps", T.StringType()),
     T.StructField("pass@1", T.DoubleType()),
 ])
 

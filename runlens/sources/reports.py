@@ -117,7 +117,9 @@ def read_samples(spark: SparkSession, paths: str | Sequence[str], fail_fast: boo
     parent = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     if hive_dirs:
         parent = F.url_decode(F.regexp_replace(parent, r"^[^=]*=", ""))
-    return r.select("*", F.replace(parent, F.lit("__"), F.lit(":")).alias("model"),
+    # first leaf of either filtered layout: [["x"]] -> x, ["x"] -> x
+    leaf = F.coalesce(F.get_json_object("filtered_resps", "$[0][0]"), F.get_json_object("filtered_resps", "$[0]"))
+    return r.select("*", leaf.alias("filtered_first"), F.replace(parent, F.lit("__"), F.lit(":")).alias("model"),
                     F.col("_metadata.file_path").alias("file"))
 
 

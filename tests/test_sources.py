@@ -96,3 +96,16 @@ def test_stream_equals_batch_with_duplicates(spark):
     assert got == {"Tokens_Per_Sec": (6, 3.5), "Elapsed_Sec": (6, 1.0)}
     versions = spark.read.parquet(out).select("version").distinct().count()
     assert versions >= 3
+
+
+def test_samples_both_filtered_layouts(spark, tmp_path):
+    from runlens.functions import text as tx
+
+    d = os.path.join(tmp_path, "m")
+    os.makedirs(d)
+    _write(d, "s.jsonl", '{"doc_id": 1, "resps": [], "filtered_resps": [["a"]], "pass@1": 1.0}\n'
+                         '{"doc_id": 2, "resps": [], "filtered_resps": ["b"], "pass@1": 1.0}\n'
+                         '{"doc_id": 3, "resps": [["c"]], "pass@1": 0.0}\n')
+    r = SR.read_samples(spark, os.path.join(tmp_path, "*", "*.jsonl"))
+    got = {x.doc_id: x.leaf for x in r.select("doc_id", tx.first_leaf("resps", "filtered_first", True).alias("leaf")).collect()}
+    assert got == {1: "a", 2: "b", 3: "c"}
