@@ -87,16 +87,22 @@ def rouge1(pairs: DataFrame, pred_key: Sequence[str], ref_key: Sequence[str],
 
 
 def ngram_counts(df: DataFrame, key: Sequence[str], text: str, max_n: int) -> DataFrame:
-    """(key, n, gram, cnt) for every n-gram order 1..max_n (tokens projected once)."""
+    """(key, n, gram, cnt) for every n-gram order 1..max_n: tokens projected once,
+    all orders flattened into one array and exploded once (no union of per-order
+    branches over the same input).  The per-element lambda only joins the aligned
+    fields of one zipped struct, O(1) per n-gram."""
     toks = df.select(*key, tokens(text).alias("_toks"))
-    parts = [toks.select(*key, F.lit(1).alias("n"), F.explode("_toks").alias("gram"))]
-    for n in range(2, max_n + 1):
-        parts.append(toks.select(*key, F.lit(n).alias("n"), F.explode(_grams(F.col("_toks"), n)).alias("z"))
-                     .select(*key, "n", _gram_text(n).alias("gram")))
-    allg = parts[0]
-    for p in parts[1:]:
-        allg = allg.unionByName(p)
-    return allg.groupBy(*key, "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
+    t = F.col("_toks")
+
+    def order(n: int):
+        z = _grams(t, n)
+        return F.transform(z, lambda s: F.struct(F.lit(n).alias("n"),
+                                                 F.concat_ws(" ", *[s[f"t{k}"] for k in range(1, n + 1)]).alias("gram")))
+
+    grams = F.flatten(F.array(*[order(n) for n in range(1, max_n + 1)]))
+    return (toks.select(*key, F.explode(grams).alias("g"))
+            .groupBy(*key, F.col("g.n").alias("n"), F.col("g.gram").alias("gram"))
+            .agg(F.count(F.lit(1)).alias("cnt")))
 
 
 def bleu(pairs: DataFrame, pred_key: Sequence[str], ref_key: Sequence[str],

@@ -36,6 +36,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+# text tables whose rows carry CPU-heavy per-row work, and their id column
+TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text table spread over all cores/executors before per-row text work."""
+    from runlens.session import spread
+
+    key = ("spread", id(spark._jsparkSession), f"{sf_dir.rstrip('/')}/{name}")
+    df = _TABLES.get(key)
+    if df is None:
+        df = _TABLES[key] = spread(table(spark, sf_dir, name), TEXT_KEYS[name])
+    return df
+
+
 def sql_lit(s: str) -> str:
     """A Python string as a DuckDB string literal (raw newlines are allowed)."""
     return "'" + s.replace("'", "''") + "'"
@@ -174,7 +189,7 @@ def reply_sql() -> str:
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """model, doc_id, form, task_id (NULL for doc_id % 5 = 0), entry_point, reply, pass_at_1, resps,
     filtered_resps, stub, hidden_test."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text", "source")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
     j = docs.join(lab, "doc_id")
     ep = F.concat(F.lit("f"), (F.col("doc_id") % N_TASKS).cast("string"))
@@ -213,7 +228,7 @@ def samples_sql() -> str:
 # ---------------------------------------------------------------------------
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return texts(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
 
 
 # ---------------------------------------------------------------------------

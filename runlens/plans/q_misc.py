@@ -216,7 +216,7 @@ SELECT doc_id, pred_number,
   coalesce(TRY_CAST(pred_number AS DECIMAL(38, 10)) = TRY_CAST(gold AS DECIMAL(38, 10)), false) AS correct
 FROM p""")
 def q_numeric_match(spark, sf):
-    d = A.table(spark, sf, "documents").select(
+    d = A.texts(spark, sf, "documents").select(
         "doc_id",
         F.concat("text", F.lit(" So the answer is $"), ((F.col("doc_id") * 37) % 5000).cast("string"), F.lit(".")).alias("pred"),
         ((F.col("doc_id") * 37) % 5000 + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)).cast("string").alias("gold"))
@@ -226,7 +226,7 @@ def q_numeric_match(spark, sf):
 # --- rouge1_acc / bleu_acc: BS2, BS3 ---------------------------------------------------
 def _pairs(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Each document is scored against one true and one false reference item."""
-    docs = A.table(spark, sf, "documents").select("doc_id", "text")
+    docs = A.texts(spark, sf, "documents").select("doc_id", "text")
     bench = A.table(spark, sf, "benchmark").select("item_id", "text")
     n_items = bench.select(F.count(F.lit(1))).scalar()  # scalar subquery, evaluated once
     pairs = docs.select("doc_id", F.explode(F.array(
@@ -342,7 +342,7 @@ SELECT doc_id, item_id,
   md5(repeat(text || chr(10) || chr(10), copies - 1) || text) AS payload_md5
 FROM k""")
 def q_prompt_build(spark, sf):
-    docs = A.table(spark, sf, "documents").select("doc_id", "text")
+    docs = A.texts(spark, sf, "documents").select("doc_id", "text")
     bench = A.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item_text"))
     n_items = bench.select(F.count(F.lit(1))).scalar()
     d = docs.withColumn("item_id", F.col("doc_id") % n_items).withColumn("words", tx.word_count("text"))

@@ -73,3 +73,14 @@ def materialize(df):
     one branch of a plan."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df, key: str, min_partitions: int | None = None):
+    """Make sure CPU-heavy per-row work (regex, tokenising, parsing) is spread over
+    the cluster: when the input has fewer splits than the default parallelism, hash
+    it by ``key`` into that many partitions (deterministic on retry).  Large inputs
+    already arrive in many splits, so this is a no-op there."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
