@@ -109,3 +109,22 @@ def test_samples_both_filtered_layouts(spark, tmp_path):
     r = SR.read_samples(spark, os.path.join(tmp_path, "*", "*.jsonl"))
     got = {x.doc_id: x.leaf for x in r.select("doc_id", tx.first_leaf("resps", "filtered_first", True).alias("leaf")).collect()}
     assert got == {1: "a", 2: "b", 3: "c"}
+
+
+def test_csv_reader_splits_large_files(spark, tmp_path):
+    rows = "\n".join(f"m{i % 3},1 GB,P{i % 12 + 1},x,Tokens_Per_Sec,1,1,1,1,1,{i}.0000,0,0" for i in range(3000))
+    text = CSV.split("Model,")[0] + "Model," + CSV.split("Model,")[1].split("\n", 1)[0] + "\n" + rows + "\n"
+    p = _write(tmp_path, "big.csv", text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        cells, meta = SR.read_cell_csv(spark, p)
+        assert spark.read.text(p).rdd.getNumPartitions() > 10
+        got = [float(r.Mean) for r in cells.orderBy("row_ord").collect()]
+        m = meta.collect()[0]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [float(i) for i in range(3000)]
+    assert m.host == "box"
+    whole, _ = SR.read_cell_csv(spark, p, whole_file=True)
+    assert [float(r.Mean) for r in whole.orderBy("row_ord").collect()] == got
