@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import ast
 import re
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -160,12 +161,15 @@ ANALYSIS_FIELDS = [
     T.StructField("orig_defines", T.BooleanType()),
     T.StructField("corr_defines", T.BooleanType()),
     T.StructField("orig_self_test", T.BooleanType()),
+    # what parses depends on the worker's Python grammar: recorded with every result
+    T.StructField("parser", T.StringType()),
 ]
+PARSER = f"python {sys.version_info.major}.{sys.version_info.minor}"
 
 
 def _batches(it: Iterator[pd.DataFrame], ep_col: str) -> Iterator[pd.DataFrame]:
     for pdf in it:
-        out = [analyse(b, f, e, o) for b, f, e, o in
+        out = [(*analyse(b, f, e, o), PARSER) for b, f, e, o in
                zip(pdf["blocks"], pdf["fallback"], pdf[ep_col], pdf["original"])]
         res = pd.DataFrame(out, columns=[f.name for f in ANALYSIS_FIELDS], index=pdf.index)
         yield pd.concat([pdf.drop(columns=["blocks", "fallback"]), res], axis=1)

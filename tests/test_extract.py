@@ -132,3 +132,7 @@ def test_self_test_kinds():
 def test_blank_predicate(spark):
     df = spark.createDataFrame([("  \n",), ("x",), (None,)], "t string")
     assert [r[0] for r in df.select(tx.is_blank("t")).collect()] == [True, False, True]
+
+
+def test_parser_version_recorded(triaged):
+    assert all(r.parser.startswith("python 3.") for r in triaged.values())
