@@ -37,6 +37,34 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "run
     return spark
 
 
+def cluster_conf(shuffle_bytes: int | None = None, cores: int | None = None) -> dict[str, str]:
+    """Settings for large clusters (apply with ``SparkSession.builder.config(map=...)``).
+
+    - AQE on, with skew-join splitting and partition coalescing; the initial shuffle
+      partition count from the expected shuffle volume (~128 MB per partition) so
+      that partitions fit executor memory, at least 2x the cores;
+    - scan splits of 256 MB;
+    - Arrow batches for the Python pass bounded by rows *and* bytes (whole texts:
+      a batch never exceeds 64 MB per worker);
+    - the checkpoint folder is *not* set here: it is the cluster's shared folder
+      (``spark.checkpoint.dir``), read by :func:`ensure_checkpoint_dir`."""
+    parts = max(2 * (cores or 1), (shuffle_bytes or 0) // (128 << 20), 200)
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
+        "spark.python.worker.reuse": "true",
+        "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, creating a local one only if unset."""
     current = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
