@@ -156,6 +156,26 @@ def q_first_seen(spark, sf):
                      F.col("seen_rank").cast("int").alias("seen_rank"))
 
 
+# --- data_profile: AG14 (distinct profile of a run table) ------------------------------
+@register("data_profile", _w(A.RUNS_SQL, """m AS (SELECT model, min(event_id) AS first_ord FROM runs GROUP BY model),
+p AS (SELECT DISTINCT prompt_id FROM runs)""") + """
+SELECT (SELECT count(*) FROM m) AS n_models,
+  (SELECT string_agg(model, ',' ORDER BY first_ord, model) FROM m) AS models_in_order,
+  (SELECT string_agg(prompt_id, ',' ORDER BY prompt_id) FROM p) AS prompt_ids,
+  (SELECT count(*) FROM runs) AS n_rows""")
+def q_data_profile(spark, sf):
+    # one global aggregate over the (model, prompt) groups -- a bounded table -- so
+    # no join is needed; array_distinct keeps the first occurrence, i.e. the
+    # first-seen model order of the list sorted by first position
+    g = A.runs(spark, sf).groupBy("model", "prompt_id").agg(
+        F.min("event_id").alias("first_ord"), F.count(F.lit(1)).alias("n"))
+    in_order = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("first_ord", "model"))),
+                                            lambda x: x["model"]))
+    prof = g.agg(in_order.alias("_m"), F.array_sort(F.collect_set("prompt_id")).alias("_p"), F.sum("n").alias("n_rows"))
+    return prof.select(F.size("_m").cast("bigint").alias("n_models"), F.array_join("_m", ",").alias("models_in_order"),
+                       F.array_join("_p", ",").alias("prompt_ids"), "n_rows")
+
+
 # --- robust_limits: AG17 ---------------------------------------------------------
 @register("robust_limits", _w(A.METRICS_SQL) + """
 SELECT metric, round(quantile_cont(mean, 0.02), 4) AS vmin, round(quantile_cont(mean, 0.98), 4) AS vmax
