@@ -174,14 +174,15 @@ SELECT model, printf('%.1f', 100.0 * sum(pass_at_1) / count(*)) || '%' AS publis
   {_VTEXT} AS counts_text
 FROM x GROUP BY model""")
 def q_verdict_table(spark, sf):
-    t = triaged_all(spark, sf).withColumn(
-        "verdict", F.when(F.col("pass_at_1") == 0.0, F.col("verdict")))
-    g = t.groupBy("model").agg(
-        (F.lit(100.0) * F.sum("pass_at_1") / F.count(F.lit(1))).alias("published"),
-        *[F.count_if(F.col("verdict") == v).alias(v) for v in schemas.VERDICTS])
-    counts = F.concat(*[F.lpad(F.col(v).cast("string"), 13, " ") for v in schemas.VERDICTS])
+    # the published rate needs every sample but no parsing; only failures go through
+    # the Python pass; the two per-model aggregates are joined
+    pub = samples(spark, sf).groupBy("model").agg(
+        (F.lit(100.0) * F.sum("pass_at_1") / F.count(F.lit(1))).alias("published"))
+    counts = TR.verdict_counts(triaged_failures(spark, sf), ["model"])
+    g = pub.join(counts, "model", "left").fillna({v: 0 for v in schemas.VERDICTS})
+    text = F.concat(*[F.lpad(F.col(v).cast("string"), 13, " ") for v in schemas.VERDICTS])
     return g.select("model", F.concat(tx.fmt("published", 1), F.lit("%")).alias("published_text"),
-                    counts.alias("counts_text"))
+                    text.alias("counts_text"))
 
 
 # --- empty_answers: PF11, PF12, AG12 -------------------------------------------------
