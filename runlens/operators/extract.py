@@ -167,11 +167,18 @@ ANALYSIS_FIELDS = [
 PARSER = f"python {sys.version_info.major}.{sys.version_info.minor}"
 
 
+def _original(blocks, fallback) -> str:
+    """Frozen extractor from the natively found pieces: last block, else fallback."""
+    return blocks[-1] if blocks is not None and len(blocks) > 0 else (fallback or "")
+
+
 def _batches(it: Iterator[pd.DataFrame], ep_col: str) -> Iterator[pd.DataFrame]:
     for pdf in it:
-        out = [(*analyse(b, f, e, o), PARSER) for b, f, e, o in
-               zip(pdf["blocks"], pdf["fallback"], pdf[ep_col], pdf["original"])]
-        res = pd.DataFrame(out, columns=[f.name for f in ANALYSIS_FIELDS], index=pdf.index)
+        rows = []
+        for b, f, e in zip(pdf["blocks"], pdf["fallback"], pdf[ep_col]):
+            o = _original(b, f)
+            rows.append((o, *analyse(b, f, e, o), PARSER))
+        res = pd.DataFrame(rows, columns=["original", *[f.name for f in ANALYSIS_FIELDS]], index=pdf.index)
         yield pd.concat([pdf.drop(columns=["blocks", "fallback"]), res], axis=1)
 
 
@@ -189,9 +196,11 @@ def analyse_replies(df: DataFrame, raw: str = "raw", entry_point: str = "entry_p
     keep = [c for c in keep if c not in ("n_blocks", "original")]
     if entry_point not in keep:
         keep = [*keep, entry_point]
-    sel = b.select(*keep, "n_blocks", "original", "blocks", "fallback")
+    # the whole reply travels once (as blocks, or as the fallback when there is no
+    # block); ``original`` is derived inside the pass instead of shipped twice
+    sel = b.select(*keep, "n_blocks", "blocks", "fallback")
     out_schema = T.StructType([f for f in sel.schema.fields if f.name not in ("blocks", "fallback")]
-                              + ANALYSIS_FIELDS)
+                              + [T.StructField("original", T.StringType())] + ANALYSIS_FIELDS)
     return sel.mapInPandas(lambda it: _batches(it, entry_point), out_schema)
 
 

@@ -12,22 +12,22 @@ from runlens.functions import text as tx
 from runlens.operators.extract import analyse_replies
 
 
-def verdict(raw: str = "raw") -> Column:
+def verdict(blank: str = "blank") -> Column:
     """First match wins: blank reply -> EMPTY_GENERATION; original lacks and corrected
     has the entry point -> WRONG_BLOCK; original has it and self-tests ->
     MODEL_SELF_TEST; original lacks it -> EMPTY_GENERATION; else GENUINE_FAILURE."""
     od, cd, st = F.col("orig_defines"), F.col("corr_defines"), F.col("orig_self_test")
-    return (F.when(tx.is_blank(raw), F.lit("EMPTY_GENERATION"))
+    return (F.when(F.col(blank), F.lit("EMPTY_GENERATION"))
             .when(~od & cd, F.lit("WRONG_BLOCK"))
             .when(od & st, F.lit("MODEL_SELF_TEST"))
             .when(~od, F.lit("EMPTY_GENERATION"))
             .otherwise(F.lit("GENUINE_FAILURE")))
 
 
-def verdict_reason(raw: str = "raw") -> Column:
+def verdict_reason(blank: str = "blank") -> Column:
     """Which branch produced the verdict (EMPTY_GENERATION has two causes)."""
     od, cd, st = F.col("orig_defines"), F.col("corr_defines"), F.col("orig_self_test")
-    return (F.when(tx.is_blank(raw), F.lit("blank reply"))
+    return (F.when(F.col(blank), F.lit("blank reply"))
             .when(~od & cd, F.lit("solution in another block"))
             .when(od & st, F.lit("self-tests before hidden test"))
             .when(~od, F.lit("no entry point in extract"))
@@ -45,10 +45,13 @@ def task_id_or_default(task_col: str = "task_id", doc_col: str = "doc_id") -> Co
 
 def triage(samples: DataFrame, raw: str = "raw", keep: Sequence[str] | None = None) -> DataFrame:
     """Analyse replies (one Python pass) and attach verdict, reason and
-    extraction_changed."""
-    a = analyse_replies(samples, raw=raw, keep=keep)
-    return (a.withColumn("verdict", verdict(raw))
-            .withColumn("reason", verdict_reason(raw))
+    extraction_changed.  Blankness of the reply is decided natively, so the reply
+    itself only needs to ride along when ``keep`` asks for it."""
+    s = samples.withColumn("blank", tx.is_blank(raw))
+    keep = [*(keep if keep is not None else samples.columns), "blank"]
+    a = analyse_replies(s, raw=raw, keep=keep)
+    return (a.withColumn("verdict", verdict("blank"))
+            .withColumn("reason", verdict_reason("blank"))
             .withColumn("extraction_changed", tx.strip("original") != tx.strip("corrected")))
 
 

@@ -56,12 +56,12 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
 def triaged_all(spark: SparkSession, sf: str) -> DataFrame:
     """Every sample through the extraction pass (narrow ride-along columns)."""
     s = samples(spark, sf)
-    return TR.triage(s, keep=["model", "doc_id", "form", "task_id", "entry_point", "raw", "pass_at_1"])
+    return TR.triage(s, keep=["model", "doc_id", "form", "task_id", "entry_point", "pass_at_1"])
 
 
 def triaged_failures(spark: SparkSession, sf: str) -> DataFrame:
     s = TR.failures(samples(spark, sf))
-    return TR.triage(s, keep=["model", "doc_id", "form", "task_id", "entry_point", "raw", "pass_at_1"])
+    return TR.triage(s, keep=["model", "doc_id", "form", "task_id", "entry_point", "pass_at_1"])
 
 
 # --- strip_reasoning: TX1 ------------------------------------------------------------
