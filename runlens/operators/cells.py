@@ -118,13 +118,60 @@ def first_seen(df: DataFrame, key: str, order_col: str, distinct_of: Sequence[st
 
 
 def robust_limits(df: DataFrame, keys: Sequence[str], value: str,
-                  lo: float = 0.02, hi: float = 0.98) -> DataFrame:
-    """Exact 2nd / 98th percentiles (linear interpolation) of the shown cell values."""
+                  lo: float = 0.02, hi: float = 0.98, bounded: bool = True) -> DataFrame:
+    """Exact 2nd / 98th percentiles (linear interpolation) of the shown cell values.
+
+    ``bounded``: the input is a cell matrix (one value per model x prompt), so the
+    built-in ``percentile`` aggregate, whose buffer holds a group's values, is fine.
+    Otherwise :func:`exact_percentiles` computes the same values without holding
+    any group in one task."""
+    if not bounded:
+        e = exact_percentiles(df, keys, value, [lo, hi])
+        return e.groupBy(*keys).agg(F.max(F.when(F.col("p") == lo, F.col("value"))).alias("vmin"),
+                                    F.max(F.when(F.col("p") == hi, F.col("value"))).alias("vmax"))
     p = F.percentile(F.col(value), F.array(F.lit(lo), F.lit(hi)))
     return df.groupBy(*keys).agg(p.alias("_p")).select(
         *keys, F.col("_p")[0].alias("vmin"), F.col("_p")[1].alias("vmax"))
 
 
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[float],
+                      partitions: int | None = None) -> DataFrame:
+    """Exact percentiles with linear interpolation (the ``percentile`` definition:
+    position p*(n-1) between the two neighbouring ranks) for groups of any size.
+
+    1. range-partition by (keys, value) and sort within partitions, so a large group
+       spans many partitions in order; the tagged rows are checkpointed once;
+    2. a row's rank = rows of its group in earlier partitions (prefix sum over the
+       small per-partition count table) + its position inside the partition
+       (``monotonically_increasing_id`` minus the partition's first id of the group);
+    3. only the ranks needed by each percentile are kept and interpolated."""
+    from runlens.session import materialize
+
+    spark = df.sparkSession
+    n_parts = partitions or max(2, spark.sparkContext.defaultParallelism)
+    v = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    ordered = v.repartitionByRange(n_parts, *keys, "_v").sortWithinPartitions(*keys, "_v")
+    tagged = materialize(ordered.select(*keys, "_v", F.spark_partition_id().alias("_pid"),
+                                        F.monotonically_increasing_id().alias("_mid")))
+    per = tagged.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_first"))
+    earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_off", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
+    totals = per.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    pos = F.col("_p") * (F.col("_n") - 1)
+    targets = (totals.select(*keys, "_n", F.explode(F.array(*[F.lit(float(p)) for p in ps])).alias("_p"))
+               .select(*keys, "_p", pos.alias("_pos"), F.floor(pos).cast("bigint").alias("_lo"),
+                       F.ceil(pos).cast("bigint").alias("_hi")))
+    wanted = targets.select(*keys, F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_rank")).distinct()
+    ranked = (tagged.join(per.select(*keys, "_pid", "_off", "_first"), [*keys, "_pid"])
+              .select(*keys, "_v", (F.col("_off") + F.col("_mid") - F.col("_first")).alias("_rank")))
+    picked = ranked.join(wanted, [*keys, "_rank"])
+    lo_v = picked.select(*keys, F.col("_rank").alias("_lo"), F.col("_v").alias("_vlo"))
+    hi_v = picked.select(*keys, F.col("_rank").alias("_hi"), F.col("_v").alias("_vhi"))
+    res = targets.join(lo_v, [*keys, "_lo"]).join(hi_v, [*keys, "_hi"])
+    interp = F.col("_vlo") + (F.col("_pos") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo"))
+    return res.select(*keys, F.col("_p").alias("p"), interp.alias("value"))
+
+
 def recomputed_mean(runs_col: str = "runs") -> Column:
     arr = F.col(runs_col)
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x) / F.size(arr)

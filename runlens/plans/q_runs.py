@@ -186,6 +186,15 @@ def q_robust_limits(spark, sf):
     return lim.select("metric", F.round("vmin", 4).alias("vmin"), F.round("vmax", 4).alias("vmax"))
 
 
+# --- run_value_limits: AG17 over raw runs (each metric group holds half the rows) -------
+@register("run_value_limits", _w(A.METRICS_SQL) + """
+SELECT metric, round(quantile_cont(value, 0.02), 4) AS vmin, round(quantile_cont(value, 0.98), 4) AS vmax
+FROM metric_rows GROUP BY metric""")
+def q_run_value_limits(spark, sf):
+    lim = C.robust_limits(metric_runs(spark, sf), ["metric"], "value", bounded=False)
+    return lim.select("metric", F.round("vmin", 4).alias("vmin"), F.round("vmax", 4).alias("vmax"))
+
+
 # --- stat_audit: AG18 ------------------------------------------------------------
 @register("stat_audit", _w(A.METRICS_SQL, RANKED_SQL, """firsts AS (
   SELECT model, prompt_id, metric, list(value ORDER BY run_no) AS vals FROM ranked WHERE run_no <= 5

@@ -117,3 +117,20 @@ def test_running_total_across_buckets(spark):
             v = [x for (cc, tt, x) in rows if cc == c and tt == t][0]
             assert res[(c, t)] == (acc, acc + v)
             acc += v
+
+
+def test_exact_percentiles_distributed_match_builtin(spark):
+    import random
+
+    rnd = random.Random(11)
+    # one hot group holding most rows, plus small groups; ties included
+    rows = [("hot", float(rnd.randint(0, 500))) for _ in range(5000)]
+    rows += [(f"g{i}", rnd.random() * 100) for i in range(20) for _ in range(rnd.randint(1, 30))]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    got = {(r.k, r.p): r.value for r in C.exact_percentiles(df, ["k"], "v", [0.02, 0.5, 0.98], partitions=9).collect()}
+    want = df.groupBy("k").agg(F.percentile("v", F.array(F.lit(0.02), F.lit(0.5), F.lit(0.98))).alias("q")).collect()
+    for r in want:
+        for i, p in enumerate([0.02, 0.5, 0.98]):
+            assert math.isclose(got[(r.k, p)], r.q[i], rel_tol=1e-12, abs_tol=1e-9), (r.k, p)
+    lim = {r.k: (r.vmin, r.vmax) for r in C.robust_limits(df, ["k"], "v", bounded=False).collect()}
+    assert math.isclose(lim["hot"][0], [x.q[0] for x in want if x.k == "hot"][0])
