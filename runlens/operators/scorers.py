@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # A number: optional sign and $, digits with thousands commas, optional decimals.
@@ -68,24 +68,25 @@ def rouge1(pairs: DataFrame, pred_key: Sequence[str], ref_key: Sequence[str],
            preds: DataFrame, pred_text: str, refs: DataFrame, ref_text: str) -> DataFrame:
     """ROUGE-1 F1 for every (prediction, reference) pair listed in ``pairs``.
 
-    Unigram counts are built per text once, joined on (pair, token), clipped with
-    ``least``, summed: overlap / |pred| and overlap / |ref|."""
-    pc = token_counts(preds, pred_key, pred_text)
-    rc = token_counts(refs, ref_key, ref_text)
-    plen = pc.groupBy(*pred_key).agg(F.sum("cnt").alias("plen"))
-    rlen = rc.groupBy(*ref_key).agg(F.sum("cnt").alias("rlen"))
-    pr = pairs.join(pc.withColumnRenamed("cnt", "pcnt"), list(pred_key))
-    ov = (pr.join(rc.withColumnRenamed("cnt", "rcnt"), [*ref_key, "gram"])
-          .groupBy(*pred_key, *ref_key).agg(F.sum(F.least("pcnt", "rcnt")).alias("overlap")))
-    s = (pairs.join(plen, list(pred_key), "left").join(rlen, list(ref_key), "left")
-         .join(ov, [*pred_key, *ref_key], "left")
-         .fillna({"overlap": 0, "plen": 0, "rlen": 0}))
+    Unigram counts are built per text once.  Each text's length rides on its count
+    rows (a window over that text's own rows, which are already co-located), so the
+    counts are computed once; joined on (pair, token), clipped with ``least`` and
+    summed.  A pair without any shared token scores 0 without needing lengths."""
+    pc = token_counts(preds, pred_key, pred_text).withColumn(
+        "plen", F.sum("cnt").over(Window.partitionBy(*pred_key)))
+    rc = token_counts(refs, ref_key, ref_text).withColumn(
+        "rlen", F.sum("cnt").over(Window.partitionBy(*ref_key)))
+    ov = (pairs.join(pc.withColumnRenamed("cnt", "pcnt"), list(pred_key))
+          .join(rc.withColumnRenamed("cnt", "rcnt"), [*ref_key, "gram"])
+          .groupBy(*pred_key, *ref_key)
+          .agg(F.sum(F.least("pcnt", "rcnt")).alias("overlap"), F.max("plen").alias("plen"),
+               F.max("rlen").alias("rlen")))
+    s = pairs.join(ov, [*pred_key, *ref_key], "left").fillna({"overlap": 0, "plen": 0, "rlen": 0})
     p = F.when(F.col("plen") > 0, F.col("overlap") / F.col("plen")).otherwise(F.lit(0.0))
     r = F.when(F.col("rlen") > 0, F.col("overlap") / F.col("rlen")).otherwise(F.lit(0.0))
     f1 = F.when(p + r > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
     return s.withColumn("rouge1", f1)
 
-
 def ngram_counts(df: DataFrame, key: Sequence[str], text: str, max_n: int) -> DataFrame:
     """(key, n, gram, cnt) for every n-gram order 1..max_n: tokens projected once,
     all orders flattened into one array and exploded once (no union of per-order
@@ -112,18 +113,21 @@ def bleu(pairs: DataFrame, pred_key: Sequence[str], ref_key: Sequence[str],
     brevity penalty exp(1 - r/c) when c < r.
 
     All orders travel together: one n-gram explode per side, one clipped-count join
-    on (ref, n, gram) and one conditional aggregation per pair."""
+    on (ref, n, gram) and one conditional aggregation per pair.  Per-text totals of
+    every order ride on that text's count rows (a window over its own, co-located
+    rows); a pair with no shared unigram scores 0 without needing them."""
     ks = range(1, max_n + 1)
+    by_pred = Window.partitionBy(*pred_key)
     pc = ngram_counts(preds, pred_key, pred_text, max_n)
+    pc = pc.select("*", *[F.sum(F.when(F.col("n") == k, F.col("cnt"))).over(by_pred).alias(f"tot{k}") for k in ks])
     rc = ngram_counts(refs, ref_key, ref_text, max_n)
-    tot = pc.groupBy(*pred_key).agg(*[F.sum(F.when(F.col("n") == k, F.col("cnt"))).alias(f"tot{k}") for k in ks])
-    rlen = rc.filter(F.col("n") == 1).groupBy(*ref_key).agg(F.sum("cnt").alias("r_len"))
+    rc = rc.withColumn("r_len", F.sum(F.when(F.col("n") == 1, F.col("cnt"))).over(Window.partitionBy(*ref_key)))
     clip = (pairs.join(pc.withColumnRenamed("cnt", "pcnt"), list(pred_key))
             .join(rc.withColumnRenamed("cnt", "rcnt"), [*ref_key, "n", "gram"])
             .groupBy(*pred_key, *ref_key)
-            .agg(*[F.sum(F.when(F.col("n") == k, F.least("pcnt", "rcnt"))).alias(f"m{k}") for k in ks]))
-    out = (pairs.join(tot, list(pred_key), "left").join(rlen, list(ref_key), "left")
-           .join(clip, [*pred_key, *ref_key], "left")
+            .agg(*[F.sum(F.when(F.col("n") == k, F.least("pcnt", "rcnt"))).alias(f"m{k}") for k in ks],
+                 *[F.max(f"tot{k}").alias(f"tot{k}") for k in ks], F.max("r_len").alias("r_len")))
+    out = (pairs.join(clip, [*pred_key, *ref_key], "left")
            .withColumn("c_len", F.coalesce(F.col("tot1"), F.lit(0)))
            .withColumn("r_len", F.coalesce(F.col("r_len"), F.lit(0))))
     logs = []
@@ -138,7 +142,6 @@ def bleu(pairs: DataFrame, pred_key: Sequence[str], ref_key: Sequence[str],
     score = F.when(F.coalesce(F.col("m1"), F.lit(0)) == 0, F.lit(0.0)).otherwise(bp * F.exp(mean_log))
     return out.withColumn("bleu", score)
 
-
 # ---------------------------------------------------------------------------
 # Metric registry (user metric functions referenced by name, aggregated by mean)
 # ---------------------------------------------------------------------------
