@@ -36,13 +36,14 @@ GPU = "GPU0 (12288 MB VRAM), GPU1 (8192 MB VRAM)"
 SELECT c.model, c.prompt_id, c.metric, c.mean, c.stdev,
   array_to_string(list_transform(list_concat(f.vals, [CAST(0 AS DOUBLE), 0, 0, 0, 0])[1:5],
                                  lambda x: printf('%.4f', x)), ',') AS runs_text,
-  '{HOST}' AS host, '{GPU.split(",")[0]}' AS gpu
+  '{HOST}' AS host, '{GPU.split(",")[0]}' AS gpu,
+  (SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') FROM events) AS timestamp
 FROM cells c JOIN firsts f ON c.model = f.model AND c.prompt_id = f.prompt_id AND c.metric = f.metric""")
 def q_csv_roundtrip(spark, sf):
     mr = QR.metric_runs(spark, sf)
     stats = C.cell_stats(mr, QR.KEYS)
     padded = C.padded_runs(mr, QR.KEYS, QR.ORDER)
-    first_ts = A.runs(spark, sf).agg(F.min("started_at").cast("string").alias("timestamp"))
+    first_ts = A.runs(spark, sf).agg(F.date_format(F.min("started_at"), "yyyy-MM-dd HH:mm:ss").alias("timestamp"))
     w = Window.partitionBy("run_set").orderBy("model", "prompt_id", "metric")
     cells = (stats.join(padded, QR.KEYS)
              .withColumn("run_set", F.lit("events"))
@@ -57,7 +58,7 @@ def q_csv_roundtrip(spark, sf):
     t = SR.typed_cells(raw).join(meta, "file")
     return t.select("model", "prompt_id", "metric", "mean", "stdev",
                     F.array_join(F.transform("runs", lambda x: tx.fmt(x, 4)), ",").alias("runs_text"),
-                    "host", "gpu")
+                    "host", "gpu", "timestamp")
 
 
 # --- jsonl_roundtrip: SRC3, SRC4, SRC5 -------------------------------------------------

@@ -12,6 +12,20 @@ from runlens import schemas
 from runlens.functions import text as tx
 
 
+def csv_field(c) -> F.Column:
+    """Minimal CSV quoting as Python's csv writer does it: quote a field only when it
+    holds the delimiter, a quote or a line break (quotes doubled).  Spark's CSV
+    writer also quotes a leading field that starts with ``#``, which would change
+    the comment rows."""
+    c = F.coalesce(c, F.lit(""))
+    return F.when(c.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))) \
+        .otherwise(c)
+
+
+def csv_line(*cols) -> F.Column:
+    return F.concat_ws(",", *[csv_field(c) for c in cols])
+
+
 def cell_csv_lines(cells: DataFrame, run_set: str = "run_set", title: str = "# INFERENCE BENCHMARK REPORT",
                    timestamp: str = "timestamp", host: str = "host", gpu: str = "gpu") -> DataFrame:
     """(run_set, ord, line) for the cell CSV: two comment rows, the header, then one
@@ -23,12 +37,11 @@ def cell_csv_lines(cells: DataFrame, run_set: str = "run_set", title: str = "# I
     runs = [F.col("runs")[i].cast("string") for i in range(schemas.RUNS_EXPORTED)]
     fields = [F.col("model"), F.col("size"), F.col("prompt_id"), F.col("prompt_name"), F.col("metric"), *runs,
               tx.fmt("mean", 4), tx.fmt("variance", 4), tx.fmt("stdev", 4)]
-    row = F.to_csv(F.struct(*[f.alias(f"c{i}") for i, f in enumerate(fields)]))
+    row = csv_line(*fields)
     data = cells.select(run_set, F.col("row_ord").cast("bigint").alias("ord"), row.alias("line"))
     meta = cells.groupBy(run_set).agg(F.first(timestamp).alias("ts"), F.first(host).alias("h"), F.first(gpu).alias("g"))
-    second = F.to_csv(F.struct(F.concat(F.lit("# Timestamp: "), F.col("ts")).alias("a"),
-                               F.concat(F.lit("# Host: "), F.col("h")).alias("b"),
-                               F.concat(F.lit("# GPU: "), F.col("g")).alias("c")))
+    second = csv_line(F.concat(F.lit("# Timestamp: "), F.col("ts")), F.concat(F.lit("# Host: "), F.col("h")),
+                      F.concat(F.lit("# GPU: "), F.col("g")))
     pre = meta.select(run_set, F.explode(F.array(
         F.struct(F.lit(-3).cast("bigint").alias("ord"), F.lit(title).alias("line")),
         F.struct(F.lit(-2).cast("bigint").alias("ord"), second.alias("line")),

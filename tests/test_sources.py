@@ -128,3 +128,40 @@ def test_csv_reader_splits_large_files(spark, tmp_path):
     assert m.host == "box"
     whole, _ = SR.read_cell_csv(spark, p, whole_file=True)
     assert [float(r.Mean) for r in whole.orderBy("row_ord").collect()] == got
+
+
+def test_cell_csv_lines_layout(spark):
+    from runlens.sinks import reports as SK
+
+    cells = spark.createDataFrame(
+        [("r", 1, "m:7b", "4.1 GB", "P1", "Fact", "Tokens_Per_Sec", [1.0, 2.0, 0.0, 0.0, 0.0], 1.5, 0.5, 0.70710678,
+          "2026-01-01 00:00:00", "h", "X, Y")],
+        "run_set string, row_ord int, model string, size string, prompt_id string, prompt_name string, metric string, "
+        "runs array<double>, mean double, variance double, stdev double, timestamp string, host string, gpu string")
+    lines = [r.line for r in SK.cell_csv_lines(cells).orderBy("ord").collect()]
+    assert lines[0].startswith("#")
+    assert lines[1] == '# Timestamp: 2026-01-01 00:00:00,# Host: h,"# GPU: X, Y"'
+    assert lines[2].startswith("Model,Size,Prompt_ID")
+    assert lines[3] == "m:7b,4.1 GB,P1,Fact,Tokens_Per_Sec,1.0,2.0,0.0,0.0,0.0,1.5000,0.5000,0.7071"
+
+
+def test_table_rows_missing_marker_and_formatter(spark):
+    from runlens.functions import text as tx
+    from runlens.sinks import reports as SK
+
+    cells = spark.createDataFrame([("a_b", "tps", "P1", 1.25, 0.05), ("a_b", "tps", "P1", 9.0, 9.0)],
+                                  "model string, row_metric string, prompt_id string, mean double, stdev double")
+    cells = cells.withColumn("ord", F.monotonically_increasing_id())
+    row = SK.table_rows(cells, ["P1", "P2"], fmt_fn=tx.mean_pm_sd, order_col="ord").collect()[0].row_text
+    assert row == "\\textbf{\\texttt{a\\_b}} & tps & 9.0 ± 9.0 & --- \\\\"
+
+
+def test_routing_and_texts(spark):
+    from runlens.functions import text as tx
+
+    m = spark.createDataFrame([("b1:x",), ("b3:y",), ("b9:z",)], "name string")
+    got = {r.name: r.variant for r in FL.route(m, "name", ["b3"], ["b1"]).collect()}
+    assert got == {"b1:x": "chat", "b9:z": "default"}
+    r = spark.range(1).select(tx.accelerator_text(F.lit(" GPU A , 12288\nbad\nGPU B,8192\n")).alias("a"),
+                              tx.size_text(F.lit(4_150_000_000)).alias("s")).collect()[0]
+    assert (r.a, r.s) == ("GPU A (12288 MB VRAM), GPU B (8192 MB VRAM)", "4.2 GB")
