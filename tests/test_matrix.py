@@ -98,3 +98,24 @@ def test_split_first_colon(spark):
 def test_quote_lines(spark):
     got = spark.range(1).select(tx.quote_lines(F.lit("  a\n\nb  "))).collect()[0][0]
     assert got == "> a\n>\n> b"
+
+
+def test_pivot_unpivot_identity(spark):
+    cells = spark.createDataFrame([(m, p, float(i)) for i, (m, p) in enumerate(
+        [(m, p) for m in ("a", "b", "c") for p in ("P1", "P2", "P9_T1", "P10")])],
+        "model string, prompt_id string, mean double")
+    cols = ["P1", "P2", "P9_T1", "P10"]
+    wide = M.pivot_cells(cells, "model", "prompt_id", "mean", cols)
+    back = wide.unpivot("model", cols, "prompt_id", "mean").filter(F.col("mean").isNotNull())
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, cells.collect()))
+
+
+def test_cell_stats_partition_invariant(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = [("hot" if i % 10 else f"c{i % 7}", rnd.random() * 1000) for i in range(20000)]
+    df = spark.createDataFrame(rows, "cell string, value double")
+    one = sorted(map(tuple, C.cell_stats(df.repartition(1), ["cell"]).collect()))
+    many = sorted(map(tuple, C.cell_stats(df.repartition(9), ["cell"]).collect()))
+    assert one == many
