@@ -27,7 +27,10 @@ _TABLES: dict[tuple, DataFrame] = {}
 
 def _session_key(spark: SparkSession) -> tuple:
     """Identity of a live session (object id within the running application)."""
-    return (spark.sparkContext.applicationId, id(spark._jsparkSession))
+    try:
+        return (spark.sparkContext.applicationId, id(spark._jsparkSession))
+    except Exception:  # noqa: BLE001 - sessions without a local context (remote clients)
+        return (spark.conf.get("spark.app.id", ""), id(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -67,14 +67,19 @@ def cluster_conf(shuffle_bytes: int | None = None, cores: int | None = None) ->
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, creating a local one only if unset."""
-    current = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote clients: the server owns the context
+        sc = None
+    current = spark.conf.get(_CHECKPOINT_KEY, None) or (sc.getCheckpointDir() if sc else None)
     if current:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(current)
+        if sc is not None and sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(current)
         return current.rstrip("/")
     local = tempfile.mkdtemp(prefix="runlens-ckpt-")
     spark.conf.set(_CHECKPOINT_KEY, local)
-    spark.sparkContext.setCheckpointDir(local)
+    if sc is not None:
+        sc.setCheckpointDir(local)
     return local
 
 
@@ -108,7 +113,11 @@ def spread(df, key: str, min_partitions: int | None = None):
     the cluster: when the input has fewer splits than the default parallelism, hash
     it by ``key`` into that many partitions (deterministic on retry).  Large inputs
     already arrive in many splits, so this is a no-op there."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (remote clients): leave the plan as is
+        return df
+    if current >= target:
         return df
     return df.repartition(target, key)
