@@ -136,3 +136,14 @@ def test_blank_predicate(spark):
 
 def test_parser_version_recorded(triaged):
     assert all(r.parser.startswith("python 3.") for r in triaged.values())
+
+
+def test_job_survives_unparsable_replies(spark):
+    bad = [block("x = 1\x00\n"), block("(" * 3000 + ")" * 3000 + "\n"), block("def f7(:\n"), None]
+    df = spark.createDataFrame([(i, r, "f7") for i, r in enumerate(bad)], "id int, raw string, entry_point string")
+    got = {r.id: r for r in TR.triage(df).collect()}
+    assert len(got) == 4
+    # unparsable but with a `def f7(` line: defined by the line rule
+    assert got[2].corr_defines is True and got[2].verdict == "GENUINE_FAILURE"
+    assert got[0].parser and got[1].orig_defines is False
+    assert got[3].original == "" and got[3].verdict == "EMPTY_GENERATION"
