@@ -67,20 +67,6 @@ def has_any_definition(c) -> Column:
     return F.coalesce(col_(c).rlike(ANY_DEFINITION), F.lit(False))
 
 
-def original_extract(text) -> Column:
-    """Frozen extractor: last complete block, else dangling body, else whole text.
-
-    ``text`` must already have reasoning spans removed."""
-    t = col_(text)
-    blocks = fenced_blocks(t)
-    return (
-        F.when(t.isNull(), F.lit(""))
-        .when(F.size(blocks) > 0, F.element_at(blocks, -1))
-        .when(has_dangling(t), dangling_block(t))
-        .otherwise(t)
-    )
-
-
 def first_leaf(resps, filtered=None, filtered_is_leaf: bool = False) -> Column:
     """First string of the nested response arrays, else of the filtered ones, else ''.
     ``filtered_is_leaf``: ``filtered`` already holds the first filtered string."""

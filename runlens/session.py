@@ -7,7 +7,6 @@ session has none, which is the local-test case.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -90,15 +89,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/runlens-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def is_local_path(path: str) -> bool:
-    return path.startswith("/") or path.startswith("file:")
-
-
-def make_local_dirs(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(path.replace("file:", ""), exist_ok=True)
-
-
 def materialize(df):
     """Compute ``df`` once and cut its lineage: a reliable ``checkpoint()`` into the
     shared checkpoint folder (survives executor loss; never a local checkpoint).

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -164,8 +164,3 @@ def parse_responses(df: DataFrame, json_col: str) -> DataFrame:
         F.coalesce(F.col(f"_r.{f}"), F.col(f"_r.response.{f}"), F.col(f"_r.model_dump.{f}")).alias(f)
         for f in fields])
 
-
-def first_rows(df: DataFrame, key: str, order: str, k: int) -> DataFrame:
-    """First ``k`` rows per key (partial group limit before the shuffle)."""
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")

@@ -134,3 +134,11 @@ def test_exact_percentiles_distributed_match_builtin(spark):
             assert math.isclose(got[(r.k, p)], r.q[i], rel_tol=1e-12, abs_tol=1e-9), (r.k, p)
     lim = {r.k: (r.vmin, r.vmax) for r in C.robust_limits(df, ["k"], "v", bounded=False).collect()}
     assert math.isclose(lim["hot"][0], [x.q[0] for x in want if x.k == "hot"][0])
+
+
+def test_cluster_conf_sizes_partitions():
+    from runlens.session import cluster_conf
+
+    c = cluster_conf(shuffle_bytes=100 << 40, cores=8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == (100 << 40) // (128 << 20)
+    assert c["spark.sql.adaptive.skewJoin.enabled"] == "true" and "spark.checkpoint.dir" not in c
