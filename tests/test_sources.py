@@ -165,3 +165,16 @@ def test_routing_and_texts(spark):
     r = spark.range(1).select(tx.accelerator_text(F.lit(" GPU A , 12288\nbad\nGPU B,8192\n")).alias("a"),
                               tx.size_text(F.lit(4_150_000_000)).alias("s")).collect()[0]
     assert (r.a, r.s) == ("GPU A (12288 MB VRAM), GPU B (8192 MB VRAM)", "4.2 GB")
+
+
+def test_overlapping_globs_read_twice_and_no_match_fails(spark, tmp_path):
+    d = os.path.join(tmp_path, "m")
+    os.makedirs(d)
+    _write(d, "s.jsonl", '{"doc_id": 1, "resps": [["x"]], "pass@1": 0.0}\n')
+    both = [os.path.join(tmp_path, "*", "*.jsonl"), os.path.join(d, "*.jsonl")]
+    assert SR.read_samples(spark, both).count() == 2
+    try:
+        SR.read_samples(spark, os.path.join(tmp_path, "nothing*", "*.jsonl")).count()
+        raise AssertionError("no match must fail")
+    except Exception as e:  # noqa: BLE001
+        assert "AssertionError" not in type(e).__name__
