@@ -7,15 +7,11 @@ import __spark_entry__ as E
 
 from .conftest import SF_SMALL
 
-WRITES = {"csv_roundtrip", "jsonl_roundtrip", "token_json_explode", "score_file_explode", "stream_cells",
-          "review_text", "review_sample"}
-
-
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - WRITES))
+@pytest.mark.parametrize("name", sorted(E.queries()))
 def test_no_cartesian_or_nested_loop(spark, name):
     plan = _plan(E.queries()[name](spark, SF_SMALL))
     assert "CartesianProduct" not in plan
