@@ -136,37 +136,46 @@ def robust_limits(df: DataFrame, keys: Sequence[str], value: str,
         *keys, F.col("_p")[0].alias("vmin"), F.col("_p")[1].alias("vmax"))
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[float],
-                      partitions: int | None = None) -> DataFrame:
-    """Exact percentiles with linear interpolation (the ``percentile`` definition:
-    position p*(n-1) between the two neighbouring ranks) for groups of any size.
-
-    1. range-partition by (keys, value) and sort within partitions, so a large group
-       spans many partitions in order; the tagged rows are checkpointed once;
-    2. a row's rank = rows of its group in earlier partitions (prefix sum over the
-       small per-partition count table) + its position inside the partition
-       (``monotonically_increasing_id`` minus the partition's first id of the group);
-    3. only the ranks needed by each percentile are kept and interpolated."""
+def ranked(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], name: str = "rank",
+           partitions: int | None = None) -> DataFrame:
+    """0-based position of every row inside its group in ``order_cols`` order
+    (``row_number() - 1``), for groups of any size.
+
+    Range-partitioning by (keys, order) spreads a large group, in order, over many
+    partitions; the tagged rows are checkpointed once so partition ids and
+    ``monotonically_increasing_id`` stay fixed; a row's position is the count of its
+    group in earlier partitions (prefix sum over the small per-partition count
+    table) plus its offset from the group's first row in its own partition."""
     from runlens.session import materialize
 
     spark = df.sparkSession
     n_parts = partitions or max(2, spark.sparkContext.defaultParallelism)
-    v = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    ordered = v.repartitionByRange(n_parts, *keys, "_v").sortWithinPartitions(*keys, "_v")
-    tagged = materialize(ordered.select(*keys, "_v", F.spark_partition_id().alias("_pid"),
-                                        F.monotonically_increasing_id().alias("_mid")))
+    ordered = df.repartitionByRange(n_parts, *keys, *order_cols).sortWithinPartitions(*keys, *order_cols)
+    tagged = materialize(ordered.withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()))
     per = tagged.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_first"))
     earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_off", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
-    totals = per.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    per = per.select(*keys, "_pid", "_first", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_off"))
+    return (tagged.join(per, [*keys, "_pid"])
+            .withColumn(name, F.col("_off") + F.col("_mid") - F.col("_first"))
+            .drop("_pid", "_mid", "_first", "_off"))
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[float],
+                      partitions: int | None = None) -> DataFrame:
+    """Exact percentiles with linear interpolation (the ``percentile`` definition:
+    position p*(n-1) between the two neighbouring ranks) for groups of any size:
+    rows are ranked with :func:`ranked` (no group in one task), group sizes are a
+    grouped count, and only the ranks each percentile needs are kept."""
+    v = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    r = ranked(v, keys, ["_v"], "_rank", partitions)
+    totals = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     pos = F.col("_p") * (F.col("_n") - 1)
     targets = (totals.select(*keys, "_n", F.explode(F.array(*[F.lit(float(p)) for p in ps])).alias("_p"))
                .select(*keys, "_p", pos.alias("_pos"), F.floor(pos).cast("bigint").alias("_lo"),
                        F.ceil(pos).cast("bigint").alias("_hi")))
     wanted = targets.select(*keys, F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_rank")).distinct()
-    ranked = (tagged.join(per.select(*keys, "_pid", "_off", "_first"), [*keys, "_pid"])
-              .select(*keys, "_v", (F.col("_off") + F.col("_mid") - F.col("_first")).alias("_rank")))
-    picked = ranked.join(wanted, [*keys, "_rank"])
+    picked = r.join(wanted, [*keys, "_rank"])
     lo_v = picked.select(*keys, F.col("_rank").alias("_lo"), F.col("_v").alias("_vlo"))
     hi_v = picked.select(*keys, F.col("_rank").alias("_hi"), F.col("_v").alias("_vhi"))
     res = targets.join(lo_v, [*keys, "_lo"]).join(hi_v, [*keys, "_hi"])

@@ -69,6 +69,17 @@ def q_cell_runs_padded(spark, sf):
             .select(*KEYS, "n", "mean", text.alias("runs_text")))
 
 
+# --- run_ordinals: WN5 for every run (ordinals of cells of any size) --------------------
+@register("run_ordinals", _w(A.RUNS_SQL) + """
+SELECT event_id, model, prompt_id,
+  row_number() OVER (PARTITION BY model, prompt_id ORDER BY started_at, event_id) AS run_no
+FROM runs""")
+def q_run_ordinals(spark, sf):
+    r = A.runs(spark, sf).select("event_id", "model", "prompt_id", "started_at")
+    o = C.ranked(r, ["model", "prompt_id"], ORDER, "rank")
+    return o.select("event_id", "model", "prompt_id", (F.col("rank") + 1).alias("run_no"))
+
+
 # --- grand_mean_by_model: AG3 ----------------------------------------------------
 @register("grand_mean_by_model", _w(A.METRICS_SQL, TPS_CELLS_SQL) + """
 SELECT model, count(mean) AS n_prompts, round(avg(mean), 4) AS grand_mean,

@@ -142,3 +142,13 @@ def test_cluster_conf_sizes_partitions():
     c = cluster_conf(shuffle_bytes=100 << 40, cores=8000)
     assert int(c["spark.sql.shuffle.partitions"]) == (100 << 40) // (128 << 20)
     assert c["spark.sql.adaptive.skewJoin.enabled"] == "true" and "spark.checkpoint.dir" not in c
+
+
+def test_ranked_matches_row_number_with_hot_group(spark):
+    from pyspark.sql import Window
+
+    rows = [("hot" if i % 5 else f"g{i % 3}", i * 7 % 1009, i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k string, t long, id long").repartition(5)
+    got = {r.id: r.rank for r in C.ranked(df, ["k"], ["t", "id"], partitions=11).collect()}
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("t", "id")) - 1)
+    assert got == {r.id: r.rn for r in want.collect()}
