@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A number: optional sign and $, digits with thousands commas, optional decimals.
@@ -52,30 +52,30 @@ def _gram_text(n: int):
 
 
 def token_counts(df: DataFrame, key: Sequence[str], text: str, n: int = 1) -> DataFrame:
-    """(key, gram, cnt) for the n-grams of each text.
+    """(key, len, gram, cnt) for the n-grams of each text (``len`` = its tokens).
 
     Tokens are projected once as a column; n-grams come from exploding aligned
     shifted slices, so every step stays in native expressions."""
-    toks = df.select(*key, tokens(text).alias("_toks"))
+    toks = df.select(*key, tokens(text).alias("_toks")).withColumn("len", F.size("_toks"))
     if n == 1:
-        grams = toks.select(*key, F.explode("_toks").alias("gram"))
+        grams = toks.select(*key, "len", F.explode("_toks").alias("gram"))
     else:
-        grams = toks.select(*key, F.explode(_grams(F.col("_toks"), n)).alias("z")).select(*key, _gram_text(n).alias("gram"))
-    return grams.groupBy(*key, "gram").agg(F.count(F.lit(1)).alias("cnt"))
+        grams = toks.select(*key, "len", F.explode(_grams(F.col("_toks"), n)).alias("z")) \
+            .select(*key, "len", _gram_text(n).alias("gram"))
+    # ``len`` (the text's token count) depends on the key only: carried as a group key
+    return grams.groupBy(*key, "len", "gram").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def rouge1(pairs: DataFrame, pred_key: Sequence[str], ref_key: Sequence[str],
            preds: DataFrame, pred_text: str, refs: DataFrame, ref_text: str) -> DataFrame:
     """ROUGE-1 F1 for every (prediction, reference) pair listed in ``pairs``.
 
-    Unigram counts are built per text once.  Each text's length rides on its count
-    rows (a window over that text's own rows, which are already co-located), so the
-    counts are computed once; joined on (pair, token), clipped with ``least`` and
-    summed.  A pair without any shared token scores 0 without needing lengths."""
-    pc = token_counts(preds, pred_key, pred_text).withColumn(
-        "plen", F.sum("cnt").over(Window.partitionBy(*pred_key)))
-    rc = token_counts(refs, ref_key, ref_text).withColumn(
-        "rlen", F.sum("cnt").over(Window.partitionBy(*ref_key)))
+    Unigram counts are built per text once, each row carrying its text's length
+    (the token-array size, projected before the explode); joined on (pair, token),
+    clipped with ``least`` and summed.  A pair without any shared token scores 0
+    without needing lengths."""
+    pc = token_counts(preds, pred_key, pred_text).withColumnRenamed("len", "plen")
+    rc = token_counts(refs, ref_key, ref_text).withColumnRenamed("len", "rlen")
     ov = (pairs.join(pc.withColumnRenamed("cnt", "pcnt"), list(pred_key))
           .join(rc.withColumnRenamed("cnt", "rcnt"), [*ref_key, "gram"])
           .groupBy(*pred_key, *ref_key)
@@ -88,11 +88,11 @@ def rouge1(pairs: DataFrame, pred_key: Sequence[str], ref_key: Sequence[str],
     return s.withColumn("rouge1", f1)
 
 def ngram_counts(df: DataFrame, key: Sequence[str], text: str, max_n: int) -> DataFrame:
-    """(key, n, gram, cnt) for every n-gram order 1..max_n: tokens projected once,
+    """(key, len, n, gram, cnt) for every n-gram order 1..max_n: tokens projected once,
     all orders flattened into one array and exploded once (no union of per-order
     branches over the same input).  The per-element lambda only joins the aligned
     fields of one zipped struct, O(1) per n-gram."""
-    toks = df.select(*key, tokens(text).alias("_toks"))
+    toks = df.select(*key, tokens(text).alias("_toks")).withColumn("len", F.size("_toks"))
     t = F.col("_toks")
 
     def order(n: int):
@@ -101,8 +101,8 @@ def ngram_counts(df: DataFrame, key: Sequence[str], text: str, max_n: int) -> Da
                                                  F.concat_ws(" ", *[s[f"t{k}"] for k in range(1, n + 1)]).alias("gram")))
 
     grams = F.flatten(F.array(*[order(n) for n in range(1, max_n + 1)]))
-    return (toks.select(*key, F.explode(grams).alias("g"))
-            .groupBy(*key, F.col("g.n").alias("n"), F.col("g.gram").alias("gram"))
+    return (toks.select(*key, "len", F.explode(grams).alias("g"))
+            .groupBy(*key, "len", F.col("g.n").alias("n"), F.col("g.gram").alias("gram"))
             .agg(F.count(F.lit(1)).alias("cnt")))
 
 
@@ -114,15 +114,14 @@ def bleu(pairs: DataFrame, pred_key: Sequence[str], ref_key: Sequence[str],
 
     All orders travel together: one n-gram explode per side, one clipped-count join
     on (ref, n, gram) and one conditional aggregation per pair.  Per-text totals of
-    every order ride on that text's count rows (a window over its own, co-located
-    rows); a pair with no shared unigram scores 0 without needing them."""
+    every order follow from the text's token count (carried on its rows); a pair
+    with no shared unigram scores 0 without needing them."""
     ks = range(1, max_n + 1)
-    by_pred = Window.partitionBy(*pred_key)
     pc = ngram_counts(preds, pred_key, pred_text, max_n)
-    pc = pc.select("*", *[F.sum(F.when(F.col("n") == k, F.col("cnt"))).over(by_pred).alias(f"tot{k}") for k in ks])
-    rc = ngram_counts(refs, ref_key, ref_text, max_n)
-    rc = rc.withColumn("r_len", F.sum(F.when(F.col("n") == 1, F.col("cnt"))).over(Window.partitionBy(*ref_key)))
-    clip = (pairs.join(pc.withColumnRenamed("cnt", "pcnt"), list(pred_key))
+    # a text of L tokens has max(L - k + 1, 0) k-grams
+    pc = pc.select("*", *[F.greatest(F.col("len") - k + 1, F.lit(0)).alias(f"tot{k}") for k in ks])
+    rc = ngram_counts(refs, ref_key, ref_text, max_n).withColumnRenamed("len", "r_len")
+    clip = (pairs.join(pc.withColumnRenamed("cnt", "pcnt").drop("len"), list(pred_key))
             .join(rc.withColumnRenamed("cnt", "rcnt"), [*ref_key, "n", "gram"])
             .groupBy(*pred_key, *ref_key)
             .agg(*[F.sum(F.when(F.col("n") == k, F.least("pcnt", "rcnt"))).alias(f"m{k}") for k in ks],
