@@ -31,7 +31,7 @@ def exact_mean(v: Column) -> Column:
 
 def cell_stats(runs: DataFrame, keys: Sequence[str], value: str = "value",
                places: int | None = 4, exact: bool = True) -> DataFrame:
-    """Mean, *sample* variance and *sample* stdev per cell; one run -> 0 for both.
+    """[AG1] Mean, *sample* variance and *sample* stdev per cell; one run -> 0 for both.
 
     ``exact``: the mean comes from an exact decimal sum, identical under any
     partitioning (about 2x the aggregation CPU of a double ``avg``, measured on
@@ -50,7 +50,7 @@ def cell_stats(runs: DataFrame, keys: Sequence[str], value: str = "value",
 
 def padded_runs(runs: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
                 value: str = "value", width: int = schemas.RUNS_EXPORTED) -> DataFrame:
-    """The exported run array: runs in order, padded with 0.0 and cut to ``width``.
+    """[AG2] The exported run array: runs in order, padded with 0.0 and cut to ``width``.
 
     Only the first ``width`` runs per cell are ever shuffled (``first_runs``); the
     array is assembled from at most ``width`` elements."""
@@ -63,7 +63,7 @@ def padded_runs(runs: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
 
 
 def grand_mean(cells: DataFrame, keys: Sequence[str], mean_col: str = "mean") -> DataFrame:
-    """Mean and sample SD of the per-prompt means; NaN is skipped (NULLed first)."""
+    """[AG3] Mean and sample SD of the per-prompt means; NaN is skipped (NULLed first)."""
     m = F.when(F.isnan(F.col(mean_col)), F.lit(None)).otherwise(F.col(mean_col))
     return cells.groupBy(*keys).agg(
         F.count(m).alias("n_prompts"),
@@ -74,7 +74,7 @@ def grand_mean(cells: DataFrame, keys: Sequence[str], mean_col: str = "mean") ->
 
 def first_value(df: DataFrame, keys: Sequence[str], value: str, order_cols: Sequence[str],
                 name: str | None = None) -> DataFrame:
-    """Value of the first row per group in row order (``min_by`` over the order, the
+    """[AG4] Value of the first row per group in row order (``min_by`` over the order, the
     value itself breaking ties so the result is deterministic)."""
     order = F.struct(*[F.col(c) for c in order_cols], F.col(value))
     return df.groupBy(*keys).agg(F.min_by(F.col(value), order).alias(name or value))
@@ -82,20 +82,20 @@ def first_value(df: DataFrame, keys: Sequence[str], value: str, order_cols: Sequ
 
 def last_value(df: DataFrame, keys: Sequence[str], value: str, order_cols: Sequence[str],
                name: str | None = None) -> DataFrame:
-    """Value of the last row per group (later rows win)."""
+    """[AG5] Value of the last row per group (later rows win)."""
     order = F.struct(*[F.col(c) for c in order_cols], F.col(value))
     return df.groupBy(*keys).agg(F.max_by(F.col(value), order).alias(name or value))
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], values: Sequence[str], order_col: str) -> DataFrame:
-    """Dedupe: keep the values of the last row per key (aggregate, not a window)."""
+    """[WN2, AG15] Dedupe: keep the values of the last row per key (aggregate, not a window)."""
     packed = F.max_by(F.struct(*[F.col(v) for v in values]), F.col(order_col)).alias("_v")
     return df.groupBy(*keys).agg(packed).select(*keys, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
 def metric_pair(cells: DataFrame, keys: Sequence[str], metric_col: str = "metric",
                 mean_col: str = "mean", sd_col: str = "stdev") -> DataFrame:
-    """tps and elapsed of one (model, prompt) on one row; any metric other than
+    """[JN4, PF9] tps and elapsed of one (model, prompt) on one row; any metric other than
     tokens/s is bucketed as elapsed.  Conditional aggregation, no self-join."""
     bucket = F.when(F.col(metric_col) == schemas.TPS, F.lit("tps")).otherwise(F.lit("elap"))
     c = cells.withColumn("_b", bucket)
@@ -110,7 +110,7 @@ def metric_pair(cells: DataFrame, keys: Sequence[str], metric_col: str = "metric
 
 
 def first_seen(df: DataFrame, key: str, order_col: str, distinct_of: Sequence[str] = ()) -> DataFrame:
-    """First-appearance order of keys plus a distinct profile (rows, first position,
+    """[WN1, AG14] First-appearance order of keys plus a distinct profile (rows, first position,
     distinct count of each ``distinct_of`` column), in one aggregation.
 
     The rank is taken over the aggregated keys only (one row per key)."""
@@ -121,7 +121,7 @@ def first_seen(df: DataFrame, key: str, order_col: str, distinct_of: Sequence[st
 
 def robust_limits(df: DataFrame, keys: Sequence[str], value: str,
                   lo: float = 0.02, hi: float = 0.98, bounded: bool = True) -> DataFrame:
-    """Exact 2nd / 98th percentiles (linear interpolation) of the shown cell values.
+    """[AG17] Exact 2nd / 98th percentiles (linear interpolation) of the shown cell values.
 
     ``bounded``: the input is a cell matrix (one value per model x prompt), so the
     built-in ``percentile`` aggregate, whose buffer holds a group's values, is fine.
@@ -138,7 +138,7 @@ def robust_limits(df: DataFrame, keys: Sequence[str], value: str,
 
 def ranked(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], name: str = "rank",
            partitions: int | None = None) -> DataFrame:
-    """0-based position of every row inside its group in ``order_cols`` order
+    """[WN5] 0-based position of every row inside its group in ``order_cols`` order
     (``row_number() - 1``), for groups of any size.
 
     Range-partitioning by (keys, order) spreads a large group, in order, over many
@@ -163,7 +163,7 @@ def ranked(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], name:
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[float],
                       partitions: int | None = None) -> DataFrame:
-    """Exact percentiles with linear interpolation (the ``percentile`` definition:
+    """[AG17] Exact percentiles with linear interpolation (the ``percentile`` definition:
     position p*(n-1) between the two neighbouring ranks) for groups of any size:
     rows are ranked with :func:`ranked` (no group in one task), group sizes are a
     grouped count, and only the ranks each percentile needs are kept."""
@@ -189,7 +189,7 @@ def recomputed_mean(runs_col: str = "runs") -> Column:
 
 
 def stat_audit(padded: DataFrame, stats: DataFrame, keys: Sequence[str], tol: float = 5e-5) -> DataFrame:
-    """Recompute the mean from the exported runs and flag cells where it disagrees
+    """[AG18] Recompute the mean from the exported runs and flag cells where it disagrees
     with the stored mean (catches 0.0 padding and cut runs)."""
     j = stats.join(padded, list(keys))
     rec = recomputed_mean("runs")
@@ -200,7 +200,7 @@ def stat_audit(padded: DataFrame, stats: DataFrame, keys: Sequence[str], tol: fl
 
 def coverage_gaps(observed: DataFrame, models: DataFrame, model_col: str, prompts: Sequence[str],
                   reps: int, prompt_col: str = "prompt_id", run_col: str = "run_no") -> DataFrame:
-    """Planned (model x prompt x repetition) points that were not observed.
+    """[JN8] Planned (model x prompt x repetition) points that were not observed.
 
     The plan is generated per model by exploding a literal array (no join of
     dimensions), then anti-joined against the observations."""
@@ -215,7 +215,7 @@ def coverage_gaps(observed: DataFrame, models: DataFrame, model_col: str, prompt
 
 
 def workload_seconds(df: DataFrame, ts_col: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Elapsed workload time ``max(ts) - min(ts)`` in whole seconds."""
+    """[AG19] Elapsed workload time ``max(ts) - min(ts)`` in whole seconds."""
     g = df.groupBy(*keys) if keys else df.groupBy()
     agg = g.agg(F.min(ts_col).alias("_s"), F.max(ts_col).alias("_e"))
     secs = F.floor(F.timestamp_diff("MICROSECOND", F.col("_s"), F.col("_e")) / F.lit(1000000)).cast("bigint")
@@ -224,7 +224,7 @@ def workload_seconds(df: DataFrame, ts_col: str, keys: Sequence[str] = ()) -> Da
 
 def token_cells(runs: DataFrame, keys: Sequence[str], order_cols: Sequence[str], failed: Column,
                 k: int = 5) -> DataFrame:
-    """Token-count cell: mean generated tokens, the first ``k`` token counts in order,
+    """[AG13] Token-count cell: mean generated tokens, the first ``k`` token counts in order,
     the first run's prompt tokens, mean thinking chars and mean wall seconds.
     The cell stops at its first failed run (that run and later ones excluded)."""
     from runlens.operators.runs import until_first_failure

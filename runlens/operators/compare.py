@@ -13,13 +13,13 @@ from runlens.operators.cells import last_wins
 
 def latest_outcomes(outcomes: DataFrame, keys: Sequence[str], order_col: str = "attempt",
                     passed: str = "passed") -> DataFrame:
-    """One outcome per key, the last attempt winning (aggregate, not a window)."""
+    """[WN2] One outcome per key, the last attempt winning (aggregate, not a window)."""
     return last_wins(outcomes, keys, [passed], order_col)
 
 
 def rescore_summary(samples: DataFrame, outcomes: DataFrame, model_col: str = "model",
                     id_col: str = "doc_id", pass_col: str = "pass_at_1") -> DataFrame:
-    """Per model: n rows, published rate, corrected rate (distinct ids now passing over
+    """[JN6, AG7-AG9] Per model: n rows, published rate, corrected rate (distinct ids now passing over
     n rows), recovered (0.0 -> pass) and regressed (1.0 -> not pass).  A sample with
     no outcome counts as not passed."""
     o = latest_outcomes(outcomes, [model_col, id_col])
@@ -36,7 +36,7 @@ def rescore_summary(samples: DataFrame, outcomes: DataFrame, model_col: str = "m
 
 
 def pass_at_k_item(n: Column, c: Column, k: int) -> Column:
-    """Unbiased pass@k for one item with n attempts, c passing (Chen et al. 2021):
+    """[AG11] Unbiased pass@k for one item with n attempts, c passing (Chen et al. 2021):
     1 when n - c < k, 0 when c = 0, else 1 - prod_{i=n-c+1..n} (1 - k / i).
     (``sequence`` counts down when start > stop, so c = 0 is handled explicitly.)"""
     prod = F.aggregate(F.sequence(n - c + 1, n), F.lit(1.0), lambda acc, i: acc * (F.lit(1.0) - F.lit(k) / i))
@@ -45,7 +45,7 @@ def pass_at_k_item(n: Column, c: Column, k: int) -> Column:
 
 def pass_at_k(outcomes: DataFrame, item_col: str, ks: Sequence[int], passed: str = "passed",
               keys: Sequence[str] = ()) -> DataFrame:
-    """Mean pass@k over items (items with fewer than k attempts excluded), plus the
+    """[AG10, AG11, BS4] Mean pass@k over items (items with fewer than k attempts excluded), plus the
     number of items where any attempt passed."""
     items = outcomes.groupBy(*keys, item_col).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(passed)).alias("c"),
@@ -62,7 +62,7 @@ def pass_at_k(outcomes: DataFrame, item_col: str, ks: Sequence[int], passed: str
 
 def empty_answers(samples: DataFrame, keys: Sequence[str], resps: str = "resps",
                   filtered: str = "filtered_resps") -> DataFrame:
-    """Per group: replies whose first leaf is blank, and the total."""
+    """[PF11, PF12, AG12] Per group: replies whose first leaf is blank, and the total."""
     leaf = tx.first_leaf(resps, filtered)
     return samples.groupBy(*keys).agg(F.count_if(tx.is_blank(leaf)).alias("n_empty"),
                                       F.count(F.lit(1)).alias("n_total"))
@@ -70,7 +70,7 @@ def empty_answers(samples: DataFrame, keys: Sequence[str], resps: str = "resps",
 
 def run_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], text_col: str, pass_col: str,
              group: Sequence[str]) -> DataFrame:
-    """Compare two runs item by item: identical text (sha-256), fail->pass, pass->fail."""
+    """[JN9] Compare two runs item by item: identical text (sha-256), fail->pass, pass->fail."""
     ja = a.select(*keys, F.sha2(F.col(text_col), 256).alias("h_a"), F.col(pass_col).alias("p_a"))
     jb = b.select(*keys, F.sha2(F.col(text_col), 256).alias("h_b"), F.col(pass_col).alias("p_b"))
     j = ja.join(jb, list(keys))

@@ -30,7 +30,7 @@ from runlens.functions import text as tx
 
 
 def with_blocks(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Add ``text`` (reasoning removed), ``blocks``, ``n_blocks``, ``fallback`` (the
+    """[TX1-TX5] Add ``text`` (reasoning removed), ``blocks``, ``n_blocks``, ``fallback`` (the
     candidate used when there is no complete block) and ``original`` (frozen
     extractor: last block, else dangling body, else whole text; NULL raw -> '')."""
     text = tx.strip_reasoning(F.coalesce(F.col(raw), F.lit("")))
@@ -132,7 +132,7 @@ class Block:
 
 
 def choose_block(blocks: Sequence[str] | None, fallback: str | None, entry_point: str | None) -> Block:
-    """Corrected block choice: last block defining the entry point, else last block
+    """[TX10] Corrected block choice: last block defining the entry point, else last block
     with any definition, else last block; with no block the fallback text."""
     if blocks is not None and len(blocks) > 0:
         cands = [Block(b) for b in blocks]
@@ -184,7 +184,7 @@ def _batches(it: Iterator[pd.DataFrame], ep_col: str) -> Iterator[pd.DataFrame]:
 
 def analyse_replies(df: DataFrame, raw: str = "raw", entry_point: str = "entry_point",
                     keep: Sequence[str] | None = None) -> DataFrame:
-    """Native block discovery, then one Arrow-batched Python pass.
+    """[TX6, TX8-TX10] Native block discovery, then one Arrow-batched Python pass.
 
     Output: ``keep`` columns (default: all input columns except the intermediate
     ``text``) + n_blocks, original, corrected, orig_defines, corr_defines,

@@ -24,7 +24,7 @@ def _match_keys(manifest: DataFrame, name: str = "name") -> DataFrame:
 
 
 def available(requested: DataFrame, manifest: DataFrame, model: str = "model", name: str = "name") -> DataFrame:
-    """Requested models that are served: some manifest name equals it or starts
+    """[JN1, SO1] Requested models that are served: some manifest name equals it or starts
     with ``model + ':'``.  The prefix condition becomes an equi semi-join on the
     exploded colon prefixes, so neither side needs a nested-loop join."""
     keys = _match_keys(manifest, name)
@@ -32,14 +32,14 @@ def available(requested: DataFrame, manifest: DataFrame, model: str = "model", n
 
 
 def missing(requested: DataFrame, manifest: DataFrame, model: str = "model", name: str = "name") -> DataFrame:
-    """Requested models with no matching manifest name."""
+    """[JN2, SO1] Requested models with no matching manifest name."""
     keys = _match_keys(manifest, name)
     return requested.join(keys, requested[model] == keys["_key"], "left_anti")
 
 
 def size_lookup(requested: DataFrame, manifest: DataFrame, model: str = "model", name: str = "name",
                 size_bytes: str = "size_bytes", default: str = schemas.UNKNOWN_SIZE) -> DataFrame:
-    """Exact-name size look-up, ``'%.1f GB'``; no exact name (even if a prefix
+    """[JN3, SRC9] Exact-name size look-up, ``'%.1f GB'``; no exact name (even if a prefix
     matches) -> ``default``."""
     sizes = manifest.select(F.col(name).alias("_n"), size_text(size_bytes).alias("size"))
     j = requested.join(sizes, requested[model] == sizes["_n"], "left").drop("_n")
@@ -48,7 +48,7 @@ def size_lookup(requested: DataFrame, manifest: DataFrame, model: str = "model",
 
 def route(models: DataFrame, model: str, excluded: Sequence[str], reasoning: Sequence[str],
           prefix_match: bool = True) -> DataFrame:
-    """Sweep routing: drop an excluded model set and send reasoning models to the
+    """[SO4] Sweep routing: drop an excluded model set and send reasoning models to the
     chat variant of a task (base name before ``:`` is compared when
     ``prefix_match``)."""
     base = F.split(F.col(model), ":", 2)[0] if prefix_match else F.col(model)

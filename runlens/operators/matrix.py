@@ -22,7 +22,7 @@ def prompt_turn(pid) -> Column:
 
 
 def natural_order(pid="prompt_id") -> list[Column]:
-    """Sort keys for the natural prompt order: (number, turn or 0)."""
+    """[SR1, PV3] Sort keys for the natural prompt order: (number, turn or 0)."""
     return [prompt_number(pid), prompt_turn(pid)]
 
 
@@ -32,7 +32,7 @@ def is_prompt_id(pid="prompt_id") -> Column:
 
 
 def ordered_prompts(cells: DataFrame, pid: str = "prompt_id") -> list[str]:
-    """Distinct prompt ids in natural order.  Collects only the distinct ids (a tiny,
+    """[PV3] Distinct prompt ids in natural order.  Collects only the distinct ids (a tiny,
     bounded list); used to fix pivot columns when no explicit list is given."""
     rows = (cells.select(pid).distinct().filter(is_prompt_id(pid))
             .orderBy(*natural_order(pid), pid).collect())
@@ -41,7 +41,7 @@ def ordered_prompts(cells: DataFrame, pid: str = "prompt_id") -> list[str]:
 
 def pivot_cells(cells: DataFrame, row: str, col: str, value: str, columns: Sequence[str],
                 on_duplicate: str = "error", order_col: str | None = None) -> DataFrame:
-    """Row x column matrix of ``value``.
+    """[PV1, PV2] Row x column matrix of ``value``.
 
     ``on_duplicate='error'``: a repeated (row, col) pair fails the job (strict pivot).
     ``on_duplicate='last'``: the last row by ``order_col`` wins (lenient pivot).
@@ -61,7 +61,7 @@ def pivot_cells(cells: DataFrame, row: str, col: str, value: str, columns: Seque
 
 
 def coefficient_of_variation(sd, mean) -> Column:
-    """sigma / mu elementwise: 0/0 -> NaN, x/0 -> +inf (no ANSI divide error)."""
+    """[PV4] sigma / mu elementwise: 0/0 -> NaN, x/0 -> +inf (no ANSI divide error)."""
     sd = F.col(sd) if isinstance(sd, str) else sd
     mean = F.col(mean) if isinstance(mean, str) else mean
     return (F.when(mean != 0, sd / mean)
@@ -70,12 +70,12 @@ def coefficient_of_variation(sd, mean) -> Column:
 
 
 def row_label(model, size) -> Column:
-    """``model (size)``; a missing size prints as ``---``."""
+    """[PV5] ``model (size)``; a missing size prints as ``---``."""
     return F.concat(F.col(model), F.lit(" ("), F.coalesce(F.col(size), F.lit(schemas.MISSING_CELL)), F.lit(")"))
 
 
 def select_prompts(present: DataFrame, requested: Sequence[str], pid: str = "prompt_id") -> tuple[DataFrame, DataFrame]:
-    """Requested prompt list intersected with the present prompts, in request order
+    """[PF15, SO2, SR4] Requested prompt list intersected with the present prompts, in request order
     (duplicates kept); and the requested ids that are absent."""
     spark = present.sparkSession
     req = spark.createDataFrame([(i, p) for i, p in enumerate(requested, 1)], f"req_ord int, {pid} string")

@@ -15,13 +15,13 @@ from runlens.functions.text import word_count
 
 
 def tokens_per_sec(eval_count, eval_duration_ns) -> Column:
-    """``eval_count / (duration_ns / 1e9)`` when the duration is positive, else 0.0."""
+    """[PF1] ``eval_count / (duration_ns / 1e9)`` when the duration is positive, else 0.0."""
     n, d = F.col(eval_count), F.col(eval_duration_ns)
     return F.when(d > 0, F.coalesce(n, F.lit(0)) / (d / F.lit(1e9))).otherwise(F.lit(0.0))
 
 
 def elapsed_sec(total_duration_ns, signed: bool = True) -> Column:
-    """``total_ns / 1e9`` when positive, else 0.0 (``signed=False``: the dialogue form,
+    """[PF2, SC11] ``total_ns / 1e9`` when positive, else 0.0 (``signed=False``: the dialogue form,
     ``(x or 0) / 1e9`` without a sign test)."""
     t = F.col(total_duration_ns)
     if not signed:
@@ -32,7 +32,7 @@ def elapsed_sec(total_duration_ns, signed: bool = True) -> Column:
 def response_metrics(df: DataFrame, error_col: str | None = "error",
                      count_col: str = "eval_count", eval_col: str = "eval_duration",
                      total_col: str = "total_duration") -> DataFrame:
-    """Add ``tps`` and ``elapsed``; a failed attempt contributes 0.0 to both (it still
+    """[PF1-PF3] Add ``tps`` and ``elapsed``; a failed attempt contributes 0.0 to both (it still
     counts as a run)."""
     tps = tokens_per_sec(count_col, eval_col)
     elap = elapsed_sec(total_col)
@@ -44,7 +44,7 @@ def response_metrics(df: DataFrame, error_col: str | None = "error",
 
 
 def metric_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One measured response -> two metric rows (``metric``, ``value``), single pass."""
+    """[PV6] One measured response -> two metric rows (``metric``, ``value``), single pass."""
     return df.select(
         *keys,
         F.explode(F.array(
@@ -56,7 +56,7 @@ def metric_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def drop_warmup(df: DataFrame, model_col: str, order_cols: Sequence[str],
                 error_col: str = "error") -> DataFrame:
-    """Remove each model's first call (the warm-up); a model whose warm-up failed is
+    """[PF4] Remove each model's first call (the warm-up); a model whose warm-up failed is
     removed altogether.
 
     The warm-up is found with a ``min`` over a struct of the ordering columns: a
@@ -74,7 +74,7 @@ def drop_warmup(df: DataFrame, model_col: str, order_cols: Sequence[str],
 
 
 def sample_turns(df: DataFrame, turn_col: str = "turn", base: str = "P9") -> DataFrame:
-    """Keep only dialogue turns 1, 3, 5 and name them ``P9_T<n>``."""
+    """[PF5] Keep only dialogue turns 1, 3, 5 and name them ``P9_T<n>``."""
     return (
         df.filter(F.col(turn_col).isin(*schemas.SAMPLED_TURNS))
         .withColumn("prompt_id", F.concat(F.lit(base + "_T"), F.col(turn_col).cast("string")))
@@ -83,7 +83,7 @@ def sample_turns(df: DataFrame, turn_col: str = "turn", base: str = "P9") -> Dat
 
 def until_first_failure(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
                         failed: Column) -> DataFrame:
-    """Keep the rows strictly before the first failure of each group (the failed row
+    """[WN4] Keep the rows strictly before the first failure of each group (the failed row
     and every later one are dropped).
 
     The first failure position is a grouped ``min`` (partial aggregation) joined
@@ -103,7 +103,7 @@ def until_first_failure(df: DataFrame, keys: Sequence[str], order_cols: Sequence
 
 def first_runs(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], k: int,
                name: str = "run_no") -> DataFrame:
-    """The first ``k`` runs of every group with their ordinal 1..k.
+    """[WN5, SR5] The first ``k`` runs of every group with their ordinal 1..k.
 
     ``row_number() <= k`` is planned with a partial ``WindowGroupLimit`` before the
     shuffle, so at most ``k`` rows per group and input partition are exchanged."""
@@ -112,13 +112,13 @@ def first_runs(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], k:
 
 
 def not_started_by(cells: DataFrame, started_col: str, cutoff: str) -> DataFrame:
-    """Deadline cut-off: flag cells whose first run started at or after ``cutoff``."""
+    """[PF16] Deadline cut-off: flag cells whose first run started at or after ``cutoff``."""
     return cells.withColumn("skipped", F.col(started_col) >= F.lit(cutoff).cast(cells.schema[started_col].dataType))
 
 
 def running_total(df: DataFrame, key: str, order_col: str, value: Column, name: str,
                   include_current: bool = False, bucket_width: int = 1024) -> DataFrame:
-    """Per ``key``, the sum of ``value`` over rows ordered by the numeric ``order_col``
+    """[WN3] Per ``key``, the sum of ``value`` over rows ordered by the numeric ``order_col``
     strictly before the current row (or up to and including it).
 
     A distributed prefix sum, so one key holding a large share of all rows is never
@@ -140,7 +140,7 @@ def running_total(df: DataFrame, key: str, order_col: str, value: Column, name:
 
 def dialogue_context(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
                      text_col: str = "text", bucket_width: int = 1024) -> DataFrame:
-    """Per turn: its word count and the words/messages of all earlier messages that a
+    """[WN3, SC6] Per turn: its word count and the words/messages of all earlier messages that a
     request at this turn carries (running sums, never a collected list; computed as
     a bucketed prefix sum so a very long conversation is split across tasks)."""
     t = turns.withColumn("words", word_count(text_col))

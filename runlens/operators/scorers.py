@@ -29,7 +29,7 @@ def last_number(text) -> Column:
 
 
 def numeric_match(pred, gold) -> Column:
-    """Exact match of the parsed last number against the gold number."""
+    """[BS1] Exact match of the parsed last number against the gold number."""
     p = last_number(pred).try_cast("decimal(38,10)")
     g = (F.col(gold) if isinstance(gold, str) else gold).try_cast("decimal(38,10)")
     return F.coalesce(p == g, F.lit(False))
@@ -68,7 +68,7 @@ def token_counts(df: DataFrame, key: Sequence[str], text: str, n: int = 1) -> Da
 
 def rouge1(pairs: DataFrame, pred_key: Sequence[str], ref_key: Sequence[str],
            preds: DataFrame, pred_text: str, refs: DataFrame, ref_text: str) -> DataFrame:
-    """ROUGE-1 F1 for every (prediction, reference) pair listed in ``pairs``.
+    """[BS2] ROUGE-1 F1 for every (prediction, reference) pair listed in ``pairs``.
 
     Unigram counts are built per text once, each row carrying its text's length
     (the token-array size, projected before the explode); joined on (pair, token),
@@ -108,7 +108,7 @@ def ngram_counts(df: DataFrame, key: Sequence[str], text: str, max_n: int) -> Da
 
 def bleu(pairs: DataFrame, pred_key: Sequence[str], ref_key: Sequence[str],
          preds: DataFrame, pred_text: str, refs: DataFrame, ref_text: str, max_n: int = 4) -> DataFrame:
-    """Sentence BLEU per pair with one reference: clipped n-gram precisions for
+    """[BS3] Sentence BLEU per pair with one reference: clipped n-gram precisions for
     n = 1..max_n, add-one smoothing for n > 1 (Lin & Och 2004), geometric mean,
     brevity penalty exp(1 - r/c) when c < r.
 
@@ -171,7 +171,7 @@ def _passed(passed: str) -> Column:
 
 
 def score(df: DataFrame, task: dict, keys: Sequence[str] = ()) -> DataFrame:
-    """Apply a task definition: optional response filter chain, then the named metric
+    """[UD1, UD2] Apply a task definition: optional response filter chain, then the named metric
     aggregated by mean.  ``task`` may ``include`` a base task whose keys it overrides."""
     t = resolve(task)
     for flt in t.get("filters", []):
@@ -182,7 +182,7 @@ def score(df: DataFrame, task: dict, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def resolve(task: dict) -> dict:
-    """Config inheritance: ``include`` a base dict, overriding keys win."""
+    """[UD3] Config inheritance: ``include`` a base dict, overriding keys win."""
     base = task.get("include")
     if base is None:
         return dict(task)

@@ -13,7 +13,7 @@ from runlens.operators.extract import analyse_replies
 
 
 def verdict(blank: str = "blank") -> Column:
-    """First match wins: blank reply -> EMPTY_GENERATION; original lacks and corrected
+    """[TX11] First match wins: blank reply -> EMPTY_GENERATION; original lacks and corrected
     has the entry point -> WRONG_BLOCK; original has it and self-tests ->
     MODEL_SELF_TEST; original lacks it -> EMPTY_GENERATION; else GENUINE_FAILURE."""
     od, cd, st = F.col("orig_defines"), F.col("corr_defines"), F.col("orig_self_test")
@@ -35,7 +35,7 @@ def verdict_reason(blank: str = "blank") -> Column:
 
 
 def failures(samples: DataFrame, pass_col: str = "pass_at_1") -> DataFrame:
-    """Rows whose published score is exactly 0.0 (a missing score is not a failure)."""
+    """[PF10] Rows whose published score is exactly 0.0 (a missing score is not a failure)."""
     return samples.filter(F.col(pass_col) == 0.0)
 
 
@@ -44,7 +44,7 @@ def task_id_or_default(task_col: str = "task_id", doc_col: str = "doc_id") -> Co
 
 
 def triage(samples: DataFrame, raw: str = "raw", keep: Sequence[str] | None = None) -> DataFrame:
-    """Analyse replies (one Python pass) and attach verdict, reason and
+    """[PF14] Analyse replies (one Python pass) and attach verdict, reason and
     extraction_changed.  Blankness of the reply is decided natively, so the reply
     itself only needs to ride along when ``keep`` asks for it."""
     s = samples.withColumn("blank", tx.is_blank(raw))
@@ -56,7 +56,7 @@ def triage(samples: DataFrame, raw: str = "raw", keep: Sequence[str] | None = No
 
 
 def verdict_counts(triaged: DataFrame, keys: Sequence[str], verdict_col: str = "verdict") -> DataFrame:
-    """Count per verdict, all four always present (0 when absent): a fixed-value
+    """[AG6, PV7] Count per verdict, all four always present (0 when absent): a fixed-value
     pivot done as conditional aggregation in one pass."""
     return triaged.groupBy(*keys).agg(
         F.count(verdict_col).alias("n_failures"),
@@ -65,7 +65,7 @@ def verdict_counts(triaged: DataFrame, keys: Sequence[str], verdict_col: str = "
 
 def review_sample(triaged: DataFrame, n: int, seed: int, model_col: str = "model",
                   verdict_col: str = "verdict", id_col: str = "doc_id") -> DataFrame:
-    """Seeded stratified sample of failures per model.
+    """[WN6] Seeded stratified sample of failures per model.
 
     Per verdict the share is ``max(1, round_half_even(n * n_v / max(N, 1)))``, at most
     ``n_v``.  Rows are ranked by ``md5(seed:id)`` (then id), which makes the choice

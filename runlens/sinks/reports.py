@@ -28,7 +28,7 @@ def csv_line(*cols) -> F.Column:
 
 def cell_csv_lines(cells: DataFrame, run_set: str = "run_set", title: str = "# INFERENCE BENCHMARK REPORT",
                    timestamp: str = "timestamp", host: str = "host", gpu: str = "gpu") -> DataFrame:
-    """(run_set, ord, line) for the cell CSV: two comment rows, the header, then one
+    """[SNK1] (run_set, ord, line) for the cell CSV: two comment rows, the header, then one
     row per cell ordered by ``row_ord``; runs padded/cut to 5 (the ``runs`` array is
     already padded), stats as 4-decimal text.
 
@@ -51,7 +51,7 @@ def cell_csv_lines(cells: DataFrame, run_set: str = "run_set", title: str = "# I
 
 
 def write_cell_csv(cells: DataFrame, path: str, run_set: str = "run_set") -> None:
-    """One CSV file per run set under ``path/run_set=<value>/``."""
+    """[SNK1] One CSV file per run set under ``path/run_set=<value>/``."""
     lines = cell_csv_lines(cells, run_set)
     (lines.repartition(run_set).sortWithinPartitions(run_set, "ord")
      .select(run_set, "line").write.mode("overwrite").partitionBy(run_set).text(path))
@@ -78,7 +78,7 @@ def write_score_files(scores: DataFrame, path: str) -> None:
 
 def table_rows(cells: DataFrame, prompts, row_keys=("model", "row_metric"), prompt_col: str = "prompt_id",
                fmt_fn=tx.mean_pm_sd, missing: str = schemas.MISSING_CELL, order_col: str | None = None) -> DataFrame:
-    """Publication rows: one string per (model, metric row), cells in the given prompt
+    """[SNK3, UD4] Publication rows: one string per (model, metric row), cells in the given prompt
     order joined by `` & ``, ``missing`` where a prompt has no cell, the escaped
     model label first.  ``fmt_fn(mean, sd) -> Column`` formats a cell.
 
@@ -98,5 +98,5 @@ def table_rows(cells: DataFrame, prompts, row_keys=("model", "row_metric"), prom
 
 
 def write_reviews(reviews: DataFrame, path: str, key_col: str = "file_key") -> None:
-    """Review rows as JSON lines, one output directory per model key (``:`` -> ``_``)."""
+    """[SNK7] Review rows as JSON lines, one output directory per model key (``:`` -> ``_``)."""
     reviews.write.mode("overwrite").partitionBy(key_col).json(path)

@@ -56,7 +56,7 @@ def _cut(v: Column) -> Column:
 
 def read_cell_csv(spark: SparkSession, paths: str | Sequence[str], header: str = "first",
                   meta_default: str = "", whole_file: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Commented cell CSV -> (cells, meta).
+    """[SRC1, SRC2] Commented cell CSV -> (cells, meta).
 
     The header row is the first (``header='first'``) or last (``'last'``) line whose
     stripped text begins ``Model,``; none -> line 0.  Every line after it is a data
@@ -109,7 +109,7 @@ def typed_cells(cells: DataFrame) -> DataFrame:
 
 def read_samples(spark: SparkSession, paths: str | Sequence[str], fail_fast: bool = True,
                  hive_dirs: bool = False) -> DataFrame:
-    """Sample JSON lines with a fixed schema; malformed line -> job error (FAILFAST).
+    """[SRC3-SRC5] Sample JSON lines with a fixed schema; malformed line -> job error (FAILFAST).
     ``model`` comes from the parent directory name with ``__`` -> ``:``
     (``hive_dirs``: a ``key=`` prefix of the directory name is dropped)."""
     r = (spark.read.schema(schemas.SAMPLES).option("mode", "FAILFAST" if fail_fast else "PERMISSIVE")
@@ -125,7 +125,7 @@ def read_samples(spark: SparkSession, paths: str | Sequence[str], fail_fast: boo
 
 def read_keyed_json(spark: SparkSession, paths: str | Sequence[str], value_type: T.DataType = schemas.TOKEN_CELLS,
                     whole_file: bool = False) -> DataFrame:
-    """JSON object(s) keyed ``"model|prompt"`` -> one row per key with the key split.
+    """[SRC7] JSON object(s) keyed ``"model|prompt"`` -> one row per key with the key split.
     Accepts one object per file (``whole_file``) or one object per line."""
     raw = spark.read.text(paths, wholetext=whole_file)
     m = F.from_json("value", value_type)
@@ -135,7 +135,7 @@ def read_keyed_json(spark: SparkSession, paths: str | Sequence[str], value_type:
 
 
 def read_score_files(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False) -> DataFrame:
-    """Score files ``{results: {task: {metric: value}}, config: {model, model_args}}``
+    """[SRC8] Score files ``{results: {task: {metric: value}}, config: {model, model_args}}``
     -> (model, task, metric, value)."""
     r = spark.read.schema(schemas.SCORE_FILE).option("multiLine", multi_line).json(paths)
     t = r.select(F.col("config.model").alias("model"), F.explode("results").alias("task", "metrics"))
@@ -156,7 +156,7 @@ RESPONSE_JSON = T.StructType(list(_FIELDS.fields) + [
 
 
 def parse_responses(df: DataFrame, json_col: str) -> DataFrame:
-    """Extract the response fields from any of the three layouts (absent -> NULL)."""
+    """[SRC6] Extract the response fields from any of the three layouts (absent -> NULL)."""
     j = F.from_json(F.col(json_col), RESPONSE_JSON)
     out = df.withColumn("_r", j)
     fields = [f.name for f in _FIELDS.fields]

@@ -38,7 +38,7 @@ KEYS = ["model", "prompt_id", "metric"]
 
 def live_cells(stream: DataFrame, watermark: str = "1 hour", id_col: str = "run_id",
                ts_col: str = "started_at") -> DataFrame:
-    """The streaming aggregation (no sink)."""
+    """[ST1] The streaming aggregation (no sink)."""
     dedup = stream.withWatermark(ts_col, watermark).dropDuplicatesWithinWatermark([id_col])
     rows = metric_rows(dedup, ["model", "prompt_id", id_col, ts_col])
     v = F.col("value")
@@ -50,7 +50,7 @@ def live_cells(stream: DataFrame, watermark: str = "1 hour", id_col: str = "run_
 
 def run_live_cells(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
                    files_per_trigger: int = 1, watermark: str = "1 hour") -> None:
-    """Process every file present in ``source_dir`` (``availableNow``) and publish."""
+    """[ST1, SNK9] Process every file present in ``source_dir`` (``availableNow``) and publish."""
     stream = (spark.readStream.schema(RUN_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
               .parquet(source_dir))
     agg = live_cells(stream, watermark)
