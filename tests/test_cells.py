@@ -152,3 +152,13 @@ def test_ranked_matches_row_number_with_hot_group(spark):
     got = {r.id: r.rank for r in C.ranked(df, ["k"], ["t", "id"], partitions=11).collect()}
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("t", "id")) - 1)
     assert got == {r.id: r.rn for r in want.collect()}
+
+
+def test_spread_only_when_too_few_splits(spark):
+    from runlens.session import spread
+
+    one = spark.range(1000).repartition(1)
+    many = spark.range(1000).repartition(32)
+    target = spark.sparkContext.defaultParallelism
+    assert spread(one, "id").rdd.getNumPartitions() == target
+    assert spread(many, "id") is many
