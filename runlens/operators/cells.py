@@ -149,7 +149,10 @@ def ranked(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], name:
     from runlens.session import materialize
 
     spark = df.sparkSession
-    n_parts = partitions or max(2, spark.sparkContext.defaultParallelism)
+    # as many range partitions as the (data-sized) shuffle partition count, at least
+    # one per core, so each holds a bounded slice of even the largest group
+    n_parts = partitions or max(2, spark.sparkContext.defaultParallelism,
+                                int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = df.repartitionByRange(n_parts, *keys, *order_cols).sortWithinPartitions(*keys, *order_cols)
     tagged = materialize(ordered.withColumn("_pid", F.spark_partition_id())
                          .withColumn("_mid", F.monotonically_increasing_id()))
