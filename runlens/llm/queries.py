@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm import crf_language, simhash_pigeonhole, toxicity_rnn, viterbi_pieces, water_filling
+from runlens.llm import crf_language, license_join, robust_outliers, simhash_pigeonhole, toxicity_rnn, viterbi_pieces, water_filling
 from runlens.llm.common import table
 
 
@@ -12,10 +12,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_rnn.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust_outliers.quality(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_language.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_join.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi_pieces.encoded(table(spark, sf_dir, "documents"))
 
@@ -28,5 +36,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pigeonhole.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op5_language, op7_pieces, op8_mixture, op10_simhash)}
-ORACLES = {"op8_mixture": water_filling.ORACLE}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality, op5_language, op6_licenses, op7_pieces, op8_mixture, op10_simhash)}
+ORACLES = {"op6_licenses": license_join.oracle(), "op8_mixture": water_filling.ORACLE}
