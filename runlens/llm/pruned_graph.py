@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from runlens.llm.common import materialise
 
 SHARD_ROWS, QUERY_BLOCK = 4096, 4096
-DEGREE, BUILD_BEAM, ALPHA, SEARCH_BEAM, WIDTH, BATCH = 24, 40, 1.2, 64, 4, 256
+DEGREE, BUILD_BEAM, ALPHA, SEARCH_BEAM, WIDTH, BATCH = 24, 48, 1.2, 192, 4, 256
 
 
 # ---------------------------------------------------------------- graph (numpy)
