@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from runlens.llm.common import SPACE, materialise
 
 REPEAT_WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
-SUBSET, STEPS, MIN_ROWS, ACCURACY = 0.75, 4, 50, 10_000
+SUBSET, STEPS, MIN_ROWS, ACCURACY, SALTS = 0.75, 4, 50, 10_000, 64
 #: Chi-square with five degrees of freedom: its median, and the cut-off (upper 1e-6).
 CHI2_MEDIAN, CHI2_CUT = 4.351460, 35.888186
 #: Smallest standard deviation of each statistic: texts are not told apart below it.
@@ -122,6 +122,13 @@ def _distance() -> Column:
     return sum((v * v for v in y), F.lit(0.0))
 
 
+def _beside(rows: DataFrame, est: DataFrame) -> DataFrame:
+    """Rows with their group's numbers.  A group's rows are dealt over ``SALTS`` keys, so a
+    large one is spread out also where the numbers are too many to be broadcast."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*X), F.lit(SALTS)).cast("int"))
+    return salted.join(est.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["pool", "salt"]).drop("salt")
+
+
 def _moments() -> list[Column]:
     out = [F.count(F.lit(1)).alias("n")] + [F.avg(x).alias(f"m{i}") for i, x in enumerate(X)]
     for i, a in enumerate(X):
@@ -133,10 +140,10 @@ def _moments() -> list[Column]:
 
 def _nearest(rows: DataFrame, est: DataFrame, name: str) -> DataFrame:
     """Moments of the SUBSET share of each group's rows nearest under each estimate."""
-    near = rows.join(est, "pool").withColumn("d2", _distance())
+    near = _beside(rows, est).withColumn("d2", _distance())
     cut = near.groupBy("pool", "start").agg(F.percentile_approx("d2", F.lit(SUBSET), F.lit(ACCURACY)).alias("cut"))
     est = materialise(est.join(cut, ["pool", "start"]), f"mcd-cut-{name}")
-    near = rows.join(est, "pool").withColumn("d2", _distance()).filter(F.col("d2") <= F.col("cut"))
+    near = _beside(rows, est).withColumn("d2", _distance()).filter(F.col("d2") <= F.col("cut"))
     return materialise(_factor(near.groupBy("pool", "start").agg(*_moments())), f"mcd-{name}")
 
 
@@ -144,7 +151,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     """pool, centre m_i, factor l_ij and cut-off of every pool; ``rows`` has pool and X."""
     med = rows.groupBy("pool").agg(*[F.percentile_approx(x, F.lit(0.5), F.lit(ACCURACY)).alias(f"m{i}") for i, x in enumerate(X)])
     med = materialise(med, "mcd-median")
-    dev = rows.join(med, "pool")
+    dev = _beside(rows, med)
     mad = dev.groupBy("pool").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), F.lit(0.5), F.lit(ACCURACY)).alias(f"s{i}") for i, x in enumerate(X)])
     scale = [F.pow(F.col(f"s{i}") * 1.4826, 2) + FLOOR[x] ** 2 for i, x in enumerate(X)]
     start = med.join(mad, "pool").select(
@@ -152,10 +159,10 @@ def estimates(rows: DataFrame) -> DataFrame:
     )
     start = materialise(_factor(start), "mcd-start")
     # second start: moments of the half whose largest standardised coordinate is smallest
-    far = rows.join(start, "pool")
+    far = _beside(rows, start)
     far = far.withColumn("far", F.greatest(*[F.abs(F.col(x) - F.col(f"m{i}")) / F.col(f"l{i}{i}") for i, x in enumerate(X)]))
     half = materialise(far.groupBy("pool").agg(F.percentile_approx("far", F.lit(0.5), F.lit(ACCURACY)).alias("half")), "mcd-half")
-    other = far.join(half, "pool").filter(F.col("far") <= F.col("half")).groupBy("pool").agg(*_moments())
+    other = _beside(far, half).filter(F.col("far") <= F.col("half")).groupBy("pool").agg(*_moments())
     keep = ["pool", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)]]
     est = start.select(F.lit(0).alias("start"), *keep).unionByName(_factor(other).select(F.lit(1).alias("start"), *keep))
     est = materialise(est, "mcd-starts")
@@ -164,7 +171,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     best = est.groupBy("pool").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
     est = materialise(est.join(best, ["pool", "start"]).select(*keep), "mcd-best")
     # consistency: the median distance of all rows of the group is that of the chi-square
-    d2 = rows.join(est, "pool").withColumn("d2", _distance()).groupBy("pool")
+    d2 = _beside(rows, est).withColumn("d2", _distance()).groupBy("pool")
     scale = d2.agg(F.count(F.lit(1)).alias("rows"), F.percentile_approx("d2", F.lit(0.5), F.lit(ACCURACY)).alias("median"))
     cut = F.greatest(F.col("median") / CHI2_MEDIAN, F.lit(1.0)) * CHI2_CUT
     return materialise(est.join(scale, "pool").withColumn("cutoff", cut), "mcd-estimates")
