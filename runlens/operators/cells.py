@@ -13,33 +13,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens import schemas
-from runlens.operators.runs import first_runs
-
-
-EXACT = "decimal(38,9)"
-
-
-def exact_mean(v: Column) -> Column:
-    """Mean from an exact decimal sum, so the result does not depend on the order in
-    which partial sums are combined (partition count, stream batches).  Values that
-    do not fit the decimal (NaN, infinities, > 1e29) fall back to ``avg`` (NaN
-    propagates)."""
-    d = v.try_cast(EXACT)
-    exact = (F.sum(d) / F.count(d)).cast("double")
-    return F.when(F.count(v) == F.count(d), exact).otherwise(F.avg(v))
+from runlens.operators.runs import first_runs, null_safe_join
 
 
 def cell_stats(runs: DataFrame, keys: Sequence[str], value: str = "value",
-               places: int | None = 4, exact: bool = True) -> DataFrame:
+               places: int | None = 4) -> DataFrame:
     """[AG1] Mean, *sample* variance and *sample* stdev per cell; one run -> 0 for both.
-
-    ``exact``: the mean comes from an exact decimal sum, identical under any
-    partitioning (about 2x the aggregation CPU of a double ``avg``, measured on
-    12M rows); ``exact=False`` uses ``avg``.  NaN propagates."""
+    NaN propagates."""
     v = F.col(value)
     out = runs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        (exact_mean(v) if exact else F.avg(v)).alias("mean"),
+        F.avg(v).alias("mean"),
         F.coalesce(F.var_samp(v), F.lit(0.0)).alias("variance"),
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stdev"),
     )
@@ -123,15 +107,15 @@ def robust_limits(df: DataFrame, keys: Sequence[str], value: str,
                   lo: float = 0.02, hi: float = 0.98, bounded: bool = True) -> DataFrame:
     """[AG17] Exact 2nd / 98th percentiles (linear interpolation) of the shown cell values.
 
-    ``bounded``: the input is a cell matrix (one value per model x prompt), so the
-    built-in ``percentile`` aggregate, whose buffer holds a group's values, is fine.
-    Otherwise :func:`exact_percentiles` computes the same values without holding
-    any group in one task."""
+    NaN and NULL values take no part.  ``bounded``: the input is a cell matrix (one value
+    per model x prompt), so the built-in ``percentile`` aggregate, whose buffer counts a
+    group's distinct values, is fine.  Otherwise :func:`exact_percentiles` computes the
+    same values without holding any group in one task."""
     if not bounded:
         e = exact_percentiles(df, keys, value, [lo, hi])
         return e.groupBy(*keys).agg(F.max(F.when(F.col("p") == lo, F.col("value"))).alias("vmin"),
                                     F.max(F.when(F.col("p") == hi, F.col("value"))).alias("vmax"))
-    p = F.percentile(F.col(value), F.array(F.lit(lo), F.lit(hi)))
+    p = F.percentile(F.when(~F.isnan(F.col(value).cast("double")), F.col(value)), F.array(F.lit(lo), F.lit(hi)))
     return df.groupBy(*keys).agg(p.alias("_p")).select(
         *keys, F.col("_p")[0].alias("vmin"), F.col("_p")[1].alias("vmax"))
 
@@ -159,7 +143,7 @@ def ranked(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], name:
     per = tagged.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_first"))
     earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(*keys, "_pid", "_first", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_off"))
-    return (tagged.join(per, [*keys, "_pid"])
+    return (null_safe_join(tagged, per, [*keys, "_pid"])
             .withColumn(name, F.col("_off") + F.col("_mid") - F.col("_first"))
             .drop("_pid", "_mid", "_first", "_off"))
 
@@ -167,21 +151,33 @@ def ranked(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], name:
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[float],
                       partitions: int | None = None) -> DataFrame:
     """[AG17] Exact percentiles with linear interpolation (the ``percentile`` definition:
-    position p*(n-1) between the two neighbouring ranks) for groups of any size:
-    rows are ranked with :func:`ranked` (no group in one task), group sizes are a
-    grouped count, and only the ranks each percentile needs are kept."""
+    position p*(n-1) between the two neighbouring ranks) for groups of any size.
+
+    Equal values are counted first, with map-side combine, so a value that holds much
+    of a group is one row; the distinct values are spread in order by range partitions,
+    and running counts give each the ranks it covers."""
+    from runlens.session import materialize
+
+    spark = df.sparkSession
+    n_parts = partitions or max(2, spark.sparkContext.defaultParallelism,
+                                int(spark.conf.get("spark.sql.shuffle.partitions")))
     v = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    r = ranked(v, keys, ["_v"], "_rank", partitions)
-    totals = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = v.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    tagged = materialize(counts.repartitionByRange(n_parts, *keys, "_v").withColumn("_pid", F.spark_partition_id()))
+    per = tagged.groupBy(*keys, "_pid").agg(F.sum("_c").alias("_pc"))
+    earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*keys, "_pid", F.coalesce(F.sum("_pc").over(earlier), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*keys, "_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = null_safe_join(tagged, per, [*keys, "_pid"]).withColumn("_to", F.col("_off") + F.sum("_c").over(inside))
+    covers = upto.select(*keys, "_v", (F.col("_to") - F.col("_c")).alias("_from"), "_to")
+    totals = tagged.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     pos = F.col("_p") * (F.col("_n") - 1)
     targets = (totals.select(*keys, "_n", F.explode(F.array(*[F.lit(float(p)) for p in ps])).alias("_p"))
-               .select(*keys, "_p", pos.alias("_pos"), F.floor(pos).cast("bigint").alias("_lo"),
-                       F.ceil(pos).cast("bigint").alias("_hi")))
-    wanted = targets.select(*keys, F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_rank")).distinct()
-    picked = r.join(wanted, [*keys, "_rank"])
-    lo_v = picked.select(*keys, F.col("_rank").alias("_lo"), F.col("_v").alias("_vlo"))
-    hi_v = picked.select(*keys, F.col("_rank").alias("_hi"), F.col("_v").alias("_vhi"))
-    res = targets.join(lo_v, [*keys, "_lo"]).join(hi_v, [*keys, "_hi"])
+               .select(*keys, "_p", pos.alias("_pos"), F.floor(pos).alias("_lo"), F.ceil(pos).alias("_hi")))
+    hit = null_safe_join(covers, targets, keys).filter((F.col("_from") <= F.col("_hi")) & (F.col("_lo") < F.col("_to")))
+    lo = F.max(F.when(F.col("_from") <= F.col("_lo"), F.when(F.col("_lo") < F.col("_to"), F.col("_v"))))
+    hi = F.max(F.when(F.col("_from") <= F.col("_hi"), F.when(F.col("_hi") < F.col("_to"), F.col("_v"))))
+    res = hit.groupBy(*keys, "_p", "_pos", "_lo").agg(lo.alias("_vlo"), hi.alias("_vhi"))
     interp = F.col("_vlo") + (F.col("_pos") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo"))
     return res.select(*keys, F.col("_p").alias("p"), interp.alias("value"))
 
@@ -194,7 +190,7 @@ def recomputed_mean(runs_col: str = "runs") -> Column:
 def stat_audit(padded: DataFrame, stats: DataFrame, keys: Sequence[str], tol: float = 5e-5) -> DataFrame:
     """[AG18] Recompute the mean from the exported runs and flag cells where it disagrees
     with the stored mean (catches 0.0 padding and cut runs)."""
-    j = stats.join(padded, list(keys))
+    j = null_safe_join(stats, padded, keys)
     rec = recomputed_mean("runs")
     return j.select(*keys, "n", F.col("mean").alias("stored_mean"),
                     F.round(rec, 4).alias("recomputed_mean"),
@@ -225,23 +221,21 @@ def workload_seconds(df: DataFrame, ts_col: str, keys: Sequence[str] = ()) -> Da
     return agg.select(*keys, secs.alias("seconds"))
 
 
-def token_cells(runs: DataFrame, keys: Sequence[str], order_cols: Sequence[str], failed: Column,
-                k: int = 5) -> DataFrame:
-    """[AG13] Token-count cell: mean generated tokens, the first ``k`` token counts in order,
-    the first run's prompt tokens, mean thinking chars and mean wall seconds.
-    The cell stops at its first failed run (that run and later ones excluded)."""
+def token_cells(runs: DataFrame, keys: Sequence[str], order_cols: Sequence[str], failed: Column) -> DataFrame:
+    """[AG13] Token-count cell: mean generated tokens, every run's token count in order,
+    the first run's prompt tokens, mean thinking chars and mean wall seconds, in one
+    aggregate.  The cell stops at its first failed run (that run and later ones excluded).
+    The list is the result itself: it holds a cell's runs, one number each."""
     from runlens.operators.runs import until_first_failure
 
     ok = until_first_failure(runs, keys, order_cols, failed)
     order = F.struct(*[F.col(c) for c in order_cols])
-    stats = ok.groupBy(*keys).agg(
+    listed = F.array_sort(F.collect_list(F.struct(*order_cols, F.col("gen_tokens").alias("_g"))))
+    return ok.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_runs"),
         F.avg("gen_tokens").alias("gen_tokens_mean"),
         F.min_by("prompt_tokens", order).alias("prompt_tokens"),
         F.avg("thinking_chars").alias("thinking_chars_mean"),
         F.avg("wall_s").alias("wall_s_mean"),
+        F.transform(listed, lambda s: s["_g"]).alias("gen_tokens_runs"),
     )
-    listed = first_runs(ok, keys, order_cols, k).groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("run_no", "gen_tokens"))),
-                    lambda s: s["gen_tokens"]).alias("gen_tokens_runs"))
-    return stats.join(listed, list(keys))

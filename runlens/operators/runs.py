@@ -81,6 +81,13 @@ def sample_turns(df: DataFrame, turn_col: str = "turn", base: str = "P9") -> Dat
     )
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a NULL key meets a NULL key, so no row is lost to it."""
+    r = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys]
+    return left.join(r, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def until_first_failure(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
                         failed: Column) -> DataFrame:
     """[WN4] Keep the rows strictly before the first failure of each group (the failed row
@@ -95,7 +102,7 @@ def until_first_failure(df: DataFrame, keys: Sequence[str], order_cols: Sequence
         .groupBy(*keys).agg(F.min("_ord").alias("_stop"))
     )
     return (
-        marked.join(stops, list(keys), "left")
+        null_safe_join(marked, stops, keys, "left")
         .filter(F.col("_stop").isNull() | (F.col("_ord") < F.col("_stop")))
         .drop("_ord", "_failed", "_stop")
     )
@@ -116,26 +123,32 @@ def not_started_by(cells: DataFrame, started_col: str, cutoff: str) -> DataFrame
     return cells.withColumn("skipped", F.col(started_col) >= F.lit(cutoff).cast(cells.schema[started_col].dataType))
 
 
-def running_total(df: DataFrame, key: str, order_col: str, value: Column, name: str,
-                  include_current: bool = False, bucket_width: int = 1024) -> DataFrame:
-    """[WN3] Per ``key``, the sum of ``value`` over rows ordered by the numeric ``order_col``
-    strictly before the current row (or up to and including it).
+def running_totals(df: DataFrame, key: str, order_col: str, values: dict[str, Column],
+                   include_current: bool = False, bucket_width: int = 1024) -> DataFrame:
+    """[WN3] Per ``key``, the sums of ``values`` (name -> column) over rows ordered by the
+    numeric ``order_col`` strictly before the current row (or up to and including it).
 
     A distributed prefix sum, so one key holding a large share of all rows is never
     one task: rows fall into buckets of ``bucket_width`` consecutive order values;
     bucket totals (partial aggregation) get a prefix sum over the small bucket table;
     each row adds the running sum inside its own bucket (a window over at most
-    ``bucket_width`` order values)."""
-    b = F.floor(F.col(order_col) / F.lit(bucket_width))
-    rows = df.withColumn("_b", b).withColumn("_v", value)
-    totals = rows.groupBy(key, "_b").agg(F.sum("_v").alias("_bt"))
+    ``bucket_width`` order values).  All sums share one pass; NULL keys are a group."""
+    rows = df.withColumn("_b", F.floor(F.col(order_col) / F.lit(bucket_width)))
+    rows = rows.withColumns({f"_v_{n}": c for n, c in values.items()})
+    totals = rows.groupBy(key, "_b").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(key, "_b", F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_off"))
+    offsets = totals.select(key, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values])
     end = 0 if include_current else -1
     inside = Window.partitionBy(key, "_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
-    return (rows.join(offsets, [key, "_b"])
-            .withColumn(name, F.col("_off") + F.coalesce(F.sum("_v").over(inside), F.lit(0)))
-            .drop("_b", "_v", "_off"))
+    out = null_safe_join(rows, offsets, [key, "_b"])
+    out = out.withColumns({n: F.col(f"_o_{n}") + F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in values})
+    return out.drop("_b", *[f"_{x}_{n}" for n in values for x in "vo"])
+
+
+def running_total(df: DataFrame, key: str, order_col: str, value: Column, name: str,
+                  include_current: bool = False, bucket_width: int = 1024) -> DataFrame:
+    """One running sum; see :func:`running_totals`."""
+    return running_totals(df, key, order_col, {name: value}, include_current, bucket_width)
 
 
 def dialogue_context(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
@@ -144,7 +157,5 @@ def dialogue_context(turns: DataFrame, conv_col: str = "conv_id", turn_col: str
     request at this turn carries (running sums, never a collected list; computed as
     a bucketed prefix sum so a very long conversation is split across tasks)."""
     t = turns.withColumn("words", word_count(text_col))
-    t = running_total(t, conv_col, turn_col, F.col("words").cast("bigint"), "context_words",
-                      bucket_width=bucket_width)
-    return running_total(t, conv_col, turn_col, F.lit(1).cast("bigint"), "context_messages",
-                         bucket_width=bucket_width)
+    sums = {"context_words": F.col("words").cast("bigint"), "context_messages": F.lit(1).cast("bigint")}
+    return running_totals(t, conv_col, turn_col, sums, bucket_width=bucket_width)

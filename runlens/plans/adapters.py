@@ -44,19 +44,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-# text tables whose rows carry CPU-heavy per-row work, and their id column
-TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
-
-
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A text table spread over all cores/executors before per-row text work."""
-    from runlens.session import spread
-
-    key = ("spread", *_session_key(spark), f"{sf_dir.rstrip('/')}/{name}")
-    df = _TABLES.get(key)
-    if df is None:
-        df = _TABLES[key] = spread(table(spark, sf_dir, name), TEXT_KEYS[name])
-    return df
+    """A text table; its splits are sized by ``spark.sql.files.maxPartitionBytes``."""
+    return table(spark, sf_dir, name)
 
 
 def memo(fn):
@@ -136,7 +126,7 @@ metric_rows{s} AS (
   UNION ALL
   SELECT model, prompt_id, event_id, started_at, 'Elapsed_Sec' AS metric, elapsed AS value FROM measured{s}),
 cells{s} AS (
-  SELECT model, prompt_id, metric, count(*) AS n, round(sum(CAST(value AS DECIMAL(38, 9))) / count(value), 4) AS mean,
+  SELECT model, prompt_id, metric, count(*) AS n, round(avg(value), 4) AS mean,
     round(coalesce(var_samp(value), 0), 4) AS variance, round(coalesce(stddev_samp(value), 0), 4) AS stdev
   FROM metric_rows{s} GROUP BY model, prompt_id, metric)"""
 
@@ -146,7 +136,7 @@ METRICS_SQL = metrics_sql()
 
 
 # ---------------------------------------------------------------------------
-# A2 samples <- documents JOIN labels
+# A2 samples <- documents LEFT JOIN labels (no label: no pass_at_1, neither passed nor failed)
 # ---------------------------------------------------------------------------
 
 # Reply forms, by doc_id % 7.  Each form is a list of pieces: plain strings are
@@ -216,7 +206,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     filtered_resps, stub, hidden_test."""
     docs = texts(spark, sf_dir, "documents").select("doc_id", "text", "source")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    j = docs.join(lab, "doc_id")
+    j = docs.join(lab, "doc_id", "left")
     ep = F.concat(F.lit("f"), (F.col("doc_id") % N_TASKS).cast("string"))
     return (
         j.withColumn("entry_point", ep)
@@ -245,7 +235,7 @@ def samples_sql() -> str:
     'f' || CAST(d.doc_id % 164 AS VARCHAR) AS entry_point,
     {reply_sql()} AS reply,
     CAST(l.quality AS DOUBLE) AS pass_at_1
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
 # ---------------------------------------------------------------------------

@@ -83,7 +83,7 @@ stops AS (SELECT model, prompt_id, min(rn) AS stop FROM r WHERE error GROUP BY m
 ok AS (SELECT r.* FROM r LEFT JOIN stops s ON r.model = s.model AND r.prompt_id = s.prompt_id
        WHERE s.stop IS NULL OR r.rn < s.stop)""") + """
 SELECT model, prompt_id, round(avg(eval_count), 4) AS gen_tokens_mean,
-  array_to_string(list_transform(list(eval_count ORDER BY rn)[1:5], lambda x: CAST(x AS VARCHAR)), ',') AS gen_tokens_runs,
+  array_to_string(list_transform(list(eval_count ORDER BY rn), lambda x: CAST(x AS VARCHAR)), ',') AS gen_tokens_runs,
   arg_min(user_id, rn) AS prompt_tokens,
   round(avg(event_id % 300), 4) AS thinking_chars_mean,
   round(avg(total_duration / 1e9), 4) AS wall_s_mean
@@ -96,7 +96,7 @@ def q_token_json(spark, sf):
     t = C.token_cells(r, ["model", "prompt_id"], QR.ORDER, F.col("error"))
     path = scratch_path(spark, "token-json")
     SK.write_keyed_json(t, path, value_cols=[f.name for f in schemas.TOKEN_CELL.fields])
-    back = SR.read_keyed_json(spark, path)
+    back = SR.read_keyed_json(spark, path, whole_file=False)
     return back.select(
         "model", "prompt_id", F.round("gen_tokens_mean", 4).alias("gen_tokens_mean"),
         F.array_join(F.transform("gen_tokens_runs", lambda x: x.cast("string")), ",").alias("gen_tokens_runs"),
@@ -120,7 +120,7 @@ def q_score_files(spark, sf):
     config = F.struct(F.col("model"), F.lit("quant=q4").alias("model_args"))
     path = scratch_path(spark, "score-files")
     SK.write_score_files(g.select(results.alias("results"), config.alias("config")), path)
-    back = SR.read_score_files(spark, path)
+    back = SR.read_score_files(spark, path, multi_line=False)
     return back.select("model", "task", "metric", F.round("value", 4).alias("value"))
 
 

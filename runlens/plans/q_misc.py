@@ -385,7 +385,7 @@ def _stop_pos_sql(col: str) -> str:
 
 @register("stop_cut", _w(A.samples_sql(), f"""c AS (SELECT doc_id, reply,
   {_stop_pos_sql('reply')} AS pos,
-  regexp_extract(reply, '{QT.THINK_RE2}', 0) AS think FROM samples)""") + f"""
+  array_to_string(regexp_extract_all(reply, '{QT.THINK_RE2}', 0), chr(10)) AS think FROM samples)""") + f"""
 SELECT doc_id, CAST(CASE WHEN pos IS NULL THEN length(reply) ELSE pos - 1 END AS BIGINT) AS cut_len,
   coalesce({_stop_pos_sql('think')} IS NOT NULL AND think <> '', false) AS stop_in_reasoning
 FROM c""")
@@ -393,7 +393,7 @@ def q_stop_cut(spark, sf):
     s = QT.samples(spark, sf)
     pos = [F.when(F.locate(st, F.col("raw")) > 0, F.locate(st, F.col("raw"))) for st in STOPS]
     first = F.least(*pos)
-    think = F.regexp_extract("raw", tx.THINK_SPAN, 0)
+    think = F.array_join(F.regexp_extract_all("raw", F.lit(tx.THINK_SPAN), F.lit(0)), "\n")
     in_think = F.least(*[F.when(F.locate(st, think) > 0, F.lit(1)) for st in STOPS]).isNotNull()
     cut = F.when(first.isNull(), F.col("raw")).otherwise(F.substring(F.col("raw"), F.lit(1), first - 1))
     return s.select("doc_id", F.length(cut).cast("bigint").alias("cut_len"),

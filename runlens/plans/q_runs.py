@@ -115,8 +115,8 @@ def _pivot_sql(source: str, value: str = "mean") -> str:
 # --- pivot_mean_strict: PV1, PV3 -------------------------------------------------
 @register("pivot_mean_strict", _w(A.METRICS_SQL, TPS_CELLS_SQL) + _pivot_sql("tps_cells"))
 def q_pivot_strict(spark, sf):
-    return M.pivot_cells(tps_cells(spark, sf), "model", "prompt_id", "mean",
-                         schemas.CANONICAL_PROMPTS, on_duplicate="error")
+    c = tps_cells(spark, sf)
+    return M.pivot_cells(c, "model", "prompt_id", "mean", M.ordered_prompts(c), on_duplicate="error")
 
 
 # --- pivot_mean_last: PV2, AG15, WN2 ---------------------------------------------
@@ -269,7 +269,7 @@ stops AS (SELECT model, prompt_id, min(rn) AS stop FROM r WHERE error GROUP BY m
 ok AS (SELECT r.* FROM r LEFT JOIN stops s ON r.model = s.model AND r.prompt_id = s.prompt_id
        WHERE s.stop IS NULL OR r.rn < s.stop)""") + """
 SELECT model, prompt_id, count(*) AS n_runs, round(avg(eval_count), 4) AS gen_tokens_mean,
-  array_to_string(list_transform(list(eval_count ORDER BY rn)[1:5], lambda x: CAST(x AS VARCHAR)), ',') AS gen_tokens_runs,
+  array_to_string(list_transform(list(eval_count ORDER BY rn), lambda x: CAST(x AS VARCHAR)), ',') AS gen_tokens_runs,
   arg_min(user_id, rn) AS prompt_tokens,
   round(avg(event_id % 300), 4) AS thinking_chars_mean,
   round(avg(total_duration / 1e9), 4) AS wall_s_mean
@@ -386,7 +386,7 @@ def q_append_runs(spark, sf):
 
 # --- big_cell_stats: AG1 over a large run table (A4) -----------------------------
 @register("big_cell_stats", _w(A.BIG_SQL) + """
-SELECT model, prompt_id, count(*) AS n, round(sum(CAST(value AS DECIMAL(38, 9))) / count(value), 4) AS mean,
+SELECT model, prompt_id, count(*) AS n, round(avg(value), 4) AS mean,
   round(coalesce(var_samp(value), 0), 4) AS variance, round(coalesce(stddev_samp(value), 0), 4) AS stdev
 FROM big GROUP BY model, prompt_id""")
 def q_big_cell_stats(spark, sf):
@@ -408,7 +408,7 @@ def q_size_first_last(spark, sf):
 # --- labelled_matrix: PV5, JN7, AG4 ----------------------------------------------
 @register("labelled_matrix", _w(A.BIG_SQL, """sz AS (SELECT model, first(size ORDER BY l_orderkey, l_linenumber, size) AS size
   FROM big GROUP BY model),
-c AS (SELECT model, prompt_id, round(sum(CAST(value AS DECIMAL(38, 9))) / count(value), 4) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS stdev
+c AS (SELECT model, prompt_id, round(avg(value), 4) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS stdev
   FROM big GROUP BY model, prompt_id)""") + """
 SELECT c.model || ' (' || coalesce(sz.size, '---') || ')' AS label, c.prompt_id, c.mean, c.stdev,
   round(CASE WHEN c.mean <> 0 THEN c.stdev / c.mean WHEN c.stdev = 0 THEN CAST('nan' AS DOUBLE)

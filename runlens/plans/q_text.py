@@ -251,15 +251,11 @@ def q_review_sample(spark, sf):
 
 
 # --- failure_table: PF10, PF14, SR3, SR5 ---------------------------------------------
-@register("failure_table", _w(A.samples_sql(), """f AS (
-  SELECT model, doc_id, coalesce(task_id, 'doc_' || CAST(doc_id AS VARCHAR)) AS task_id,
-    row_number() OVER (PARTITION BY model ORDER BY doc_id) AS rk
-  FROM samples WHERE pass_at_1 = 0.0)""") + """
-SELECT model, doc_id, task_id, CAST(rk AS INTEGER) AS rk FROM f WHERE rk <= 5""")
+@register("failure_table", _w(A.samples_sql()) + """
+SELECT model, doc_id, coalesce(task_id, 'doc_' || CAST(doc_id AS VARCHAR)) AS task_id
+FROM samples WHERE pass_at_1 = 0.0""")
 def q_failure_table(spark, sf):
-    f = TR.failures(samples(spark, sf)).select("model", "doc_id", TR.task_id_or_default().alias("task_id"))
-    w = Window.partitionBy("model").orderBy("doc_id")
-    return f.withColumn("rk", F.row_number().over(w).cast("int")).filter(F.col("rk") <= 5)
+    return TR.failures(samples(spark, sf)).select("model", "doc_id", TR.task_id_or_default().alias("task_id"))
 
 
 # --- review_text: SNK7, SC7, SC5 -----------------------------------------------------

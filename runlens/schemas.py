@@ -103,7 +103,7 @@ TOKEN_CELLS = T.MapType(T.StringType(), TOKEN_CELL)
 
 # Score file: per task a map of metric -> value, plus config.
 SCORE_FILE = T.StructType([
-    T.StructField("results", T.MapType(T.StringType(), T.MapType(T.StringType(), T.DoubleType()))),
+    T.StructField("results", T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType()))),
     T.StructField("config", T.StructType([
         T.StructField("model", T.StringType()),
         T.StructField("model_args", T.StringType()),

@@ -75,6 +75,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc is not None and sc.getCheckpointDir() is None:
             sc.setCheckpointDir(current)
         return current.rstrip("/")
+    master = sc.master if sc is not None else ""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"{_CHECKPOINT_KEY} must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="runlens-ckpt-")
     spark.conf.set(_CHECKPOINT_KEY, local)
     if sc is not None:
@@ -96,18 +99,3 @@ def materialize(df):
     one branch of a plan."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df, key: str, min_partitions: int | None = None):
-    """Make sure CPU-heavy per-row work (regex, tokenising, parsing) is spread over
-    the cluster: when the input has fewer splits than the default parallelism, hash
-    it by ``key`` into that many partitions (deterministic on retry).  Large inputs
-    already arrive in many splits, so this is a no-op there."""
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (remote clients): leave the plan as is
-        return df
-    if current >= target:
-        return df
-    return df.repartition(target, key)

@@ -112,8 +112,10 @@ def read_samples(spark: SparkSession, paths: str | Sequence[str], fail_fast: boo
     """[SRC3-SRC5] Sample JSON lines with a fixed schema; malformed line -> job error (FAILFAST).
     ``model`` comes from the parent directory name with ``__`` -> ``:``
     (``hive_dirs``: a ``key=`` prefix of the directory name is dropped)."""
-    r = (spark.read.schema(schemas.SAMPLES).option("mode", "FAILFAST" if fail_fast else "PERMISSIVE")
-         .json(paths))
+    reader = spark.read.schema(schemas.SAMPLES).option("mode", "FAILFAST" if fail_fast else "PERMISSIVE")
+    r = reader.json(paths)
+    if not isinstance(paths, str) and len(paths) > 1:  # a file matched by two patterns is read once
+        r = reader.json(sorted(set(r.inputFiles())) or list(paths))
     parent = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     if hive_dirs:
         parent = F.url_decode(F.regexp_replace(parent, r"^[^=]*=", ""))
@@ -124,22 +126,25 @@ def read_samples(spark: SparkSession, paths: str | Sequence[str], fail_fast: boo
 
 
 def read_keyed_json(spark: SparkSession, paths: str | Sequence[str], value_type: T.DataType = schemas.TOKEN_CELLS,
-                    whole_file: bool = False) -> DataFrame:
+                    whole_file: bool = True) -> DataFrame:
     """[SRC7] JSON object(s) keyed ``"model|prompt"`` -> one row per key with the key split.
-    Accepts one object per file (``whole_file``) or one object per line."""
-    raw = spark.read.text(paths, wholetext=whole_file)
+    One object per file, indented or not (the default), or one object per line
+    (``whole_file=False``).  Text that is not such an object fails the job."""
+    raw = spark.read.text(paths, wholetext=whole_file).filter(F.trim(F.replace("value", F.lit("\n"), F.lit(" "))) != "")
     m = F.from_json("value", value_type)
+    m = F.when(m.isNull(), F.raise_error(F.lit("not a JSON object keyed by model and prompt"))).otherwise(m)
     e = raw.select(F.explode(m).alias("key", "v"))
     parts = F.split("key", r"\|", 2)
     return e.select(F.element_at(parts, 1).alias("model"), F.try_element_at(parts, F.lit(2)).alias("prompt_id"), "v.*")
 
 
-def read_score_files(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False) -> DataFrame:
+def read_score_files(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True) -> DataFrame:
     """[SRC8] Score files ``{results: {task: {metric: value}}, config: {model, model_args}}``
-    -> (model, task, metric, value)."""
-    r = spark.read.schema(schemas.SCORE_FILE).option("multiLine", multi_line).json(paths)
+    -> (model, task, metric, value); a metric whose value is text has a NULL value."""
+    r = spark.read.schema(schemas.SCORE_FILE).option("multiLine", multi_line).option("mode", "FAILFAST").json(paths)
     t = r.select(F.col("config.model").alias("model"), F.explode("results").alias("task", "metrics"))
-    return t.select("model", "task", F.explode("metrics").alias("metric", "value"))
+    return t.select("model", "task", F.explode("metrics").alias("metric", "_v")) \
+        .select("model", "task", "metric", F.col("_v").try_cast("double").alias("value"))
 
 
 # Response records arrive in three layouts: fields at top level, nested under

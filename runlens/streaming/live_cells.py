@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlens.operators.cells import exact_mean, last_wins
+from runlens.operators.cells import last_wins
 from runlens.operators.runs import metric_rows
 
 RUN_SCHEMA = T.StructType([
@@ -36,28 +36,34 @@ RUN_SCHEMA = T.StructType([
 KEYS = ["model", "prompt_id", "metric"]
 
 
-def live_cells(stream: DataFrame, watermark: str = "1 hour", id_col: str = "run_id",
+def live_cells(stream: DataFrame, watermark: str | None = None, id_col: str = "run_id",
                ts_col: str = "started_at") -> DataFrame:
-    """[ST1] The streaming aggregation (no sink)."""
-    dedup = stream.withWatermark(ts_col, watermark).dropDuplicatesWithinWatermark([id_col])
+    """[ST1] The streaming aggregation (no sink).
+
+    Without a watermark every run counts once, however late it arrives; the state keeps
+    one key per run id.  A watermark bounds that state, and runs later than it are lost."""
+    if watermark is None:
+        dedup = stream.dropDuplicates([id_col])
+    else:
+        dedup = stream.withWatermark(ts_col, watermark).dropDuplicatesWithinWatermark([id_col])
     rows = metric_rows(dedup, ["model", "prompt_id", id_col, ts_col])
     v = F.col("value")
     return rows.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("n"), exact_mean(v).alias("mean"),
+        F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"),
         F.coalesce(F.var_samp(v), F.lit(0.0)).alias("variance"),
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stdev"))
 
 
 def run_live_cells(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
-                   files_per_trigger: int = 1, watermark: str = "1 hour") -> None:
+                   files_per_trigger: int = 1, watermark: str | None = None) -> None:
     """[ST1, SNK9] Process every file present in ``source_dir`` (``availableNow``) and publish."""
     stream = (spark.readStream.schema(RUN_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
               .parquet(source_dir))
     agg = live_cells(stream, watermark)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("version", F.lit(batch_id).cast("bigint")) \
-            .write.mode("append").parquet(out_dir)
+        # a batch that is run again replaces its own version
+        batch.write.mode("overwrite").parquet(f"{out_dir}/version={batch_id}")
 
     q = (agg.writeStream.outputMode("update").foreachBatch(publish)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -154,11 +154,30 @@ def test_ranked_matches_row_number_with_hot_group(spark):
     assert got == {r.id: r.rn for r in want.collect()}
 
 
-def test_spread_only_when_too_few_splits(spark):
-    from runlens.session import spread
-
-    one = spark.range(1000).repartition(1)
-    many = spark.range(1000).repartition(32)
-    target = spark.sparkContext.defaultParallelism
-    assert spread(one, "id").rdd.getNumPartitions() == target
-    assert spread(many, "id") is many
+def test_means_keep_small_and_large_values(spark):
+    rows = [("tiny", 4e-10)] * 2 + [("third", 1 / 3e6)] + [("huge", 9e28)] * 20
+    got = {r.k: r.mean for r in C.cell_stats(spark.createDataFrame(rows, "k string, value double"), ["k"], places=None).collect()}
+    assert got["tiny"] == pytest.approx(4e-10) and got["third"] == pytest.approx(1 / 3e6) and got["huge"] == pytest.approx(9e28)
+
+
+def test_null_keys_are_groups(spark):
+    from runlens.operators import runs as R
+
+    df = spark.createDataFrame([(None, 1, 5), (None, 2, 7), ("a", 1, 1), ("a", 2, 2)], "k string, t long, v long")
+    assert C.ranked(df, ["k"], ["t"]).count() == 4
+    got = {(r.k, r.t): r.s for r in R.running_total(df, "k", "t", F.col("v"), "s").collect()}
+    assert got == {(None, 1): 0, (None, 2): 5, ("a", 1): 0, ("a", 2): 1}
+    assert R.until_first_failure(df, ["k"], ["t"], F.col("v") == 7).count() == 3
+
+
+def test_nan_takes_no_part_in_limits(spark):
+    df = spark.createDataFrame([("k", 1.0), ("k", 2.0), ("k", float("nan"))], "k string, v double")
+    for bounded in (True, False):
+        r = C.robust_limits(df, ["k"], "v", bounded=bounded).collect()[0]
+        assert (r.vmin, r.vmax) == (pytest.approx(1.02), pytest.approx(1.98))
+
+
+def test_token_cells_list_every_run(spark):
+    df = spark.createDataFrame([("m", i, 10 + i, 3, 0, 1.0) for i in range(8)], "model string, at long, gen_tokens long, prompt_tokens long, thinking_chars long, wall_s double")
+    r = C.token_cells(df, ["model"], ["at"], F.lit(False)).collect()[0]
+    assert r.gen_tokens_runs == [10 + i for i in range(8)] and r.n_runs == 8

@@ -76,57 +76,77 @@ def test_think_any_case_and_two_spans(spark):
 # --- pure-Python parts of the extraction pass -------------------------------------------
 
 def test_nested_function_and_method_define():
-    assert X.Block("def outer():\n    def f7():\n        pass\n").defines("f7")
-    assert X.Block("class A:\n    def f7(self):\n        pass\n").defines("f7")
+    assert ("f7" in X.code_facts("def outer():\n    def f7():\n        pass\n").names)
+    assert ("f7" in X.code_facts("class A:\n    def f7(self):\n        pass\n").names)
 
 
 def test_class_defines_only_when_parsable():
-    assert X.Block("class f7:\n    pass\n").defines("f7")
-    assert not X.Block("class f7:\n    pass\n  bad indent\n)").defines("f7")
+    assert ("f7" in X.code_facts("class f7:\n    pass\n").names)
+    assert not ("f7" in X.code_facts("class f7:\n    pass\n  bad indent\n)").names)
 
 
 def test_entry_point_with_regex_characters():
-    assert not X.Block("def f(x):\n  return (\n").defines("f.*")
-    assert not X.Block("def f.(").defines("")
+    assert not ("f.*" in X.code_facts("def f(x):\n  return (\n").names)
+    assert not ("" in X.code_facts("def f.(").names)
 
 
 def test_truncated_def_found_by_regex():
-    assert X.Block("def f7(x):").defines("f7")
+    assert ("f7" in X.code_facts("def f7(x):").names)
 
 
 def test_docstring_only_and_asserts_only_unchanged():
-    assert X.Block('"""doc"""\n').without_self_tests() == '"""doc"""\n'
-    assert X.Block("assert 1\nassert 2\n").without_self_tests() == "assert 1\nassert 2\n"
+    assert X.code_facts('"""doc"""\n').solution == '"""doc"""\n'
+    assert X.code_facts("assert 1\nassert 2\n").solution == "assert 1\nassert 2\n"
 
 
 def test_decorator_kept_and_tests_dropped():
     src = "import os\n@dec\ndef f7():\n    return 1\n\nprint(f7())\nif __name__ == '__main__':\n    f7()\ntry:\n    x = 1\nexcept Exception:\n    pass\n"
-    assert X.Block(src).without_self_tests() == "import os\n@dec\ndef f7():\n    return 1\n"
+    assert X.code_facts(src).solution == "import os\n@dec\ndef f7():\n    return 1\n"
 
 
 def test_shared_line_emitted_once_and_inline_assert_survives():
-    assert X.Block("import os; x=1\n").without_self_tests() == "import os; x=1\n"
-    assert X.Block("x=1; assert False\n").without_self_tests() == "x=1; assert False\n"
+    assert X.code_facts("import os; x=1\n").solution == "import os; x=1\n"
+    assert X.code_facts("x=1; assert False\n").solution == "x=1; assert False\n"
 
 
 def test_unparsable_inputs_survive():
     for src in ["x = 1\x00\n", "(" * 3000 + ")" * 3000, "def f(:\n"]:
-        b = X.Block(src)
-        assert b.tree is None
-        assert b.without_self_tests() == src
-        assert not b.has_self_tests()
+        facts = X.code_facts(src)
+        assert facts.solution == src
+        assert not facts.self_test
 
 
 def test_last_defining_block_wins():
-    chosen = X.choose_block(["def f7():\n    return 1\n", "def f7():\n    return 2\n", "print(1)\n"], None, "f7")
-    assert chosen.src == "def f7():\n    return 2\n"
+    texts = ["def f7():\n    return 1\n", "def f7():\n    return 2\n", "print(1)\n"]
+    assert X.best_candidate([X.code_facts(t) for t in texts], "f7").solution == texts[1]
+
+
+@pytest.mark.parametrize(
+    "texts, entry, best",
+    [
+        (["def g():\n    pass\n", "x = 1\n"], "f7", 0),  # any definition before none
+        (["def g():\n    pass\n", "class H:\n    pass\n", "x = 1\n"], None, 1),
+        (["x = 1\n", "y = 2\n"], "f7", 1),
+        (["def f7(x:\n", "def g():\n    pass\n"], "f7", 0),  # unparsable def line counts
+    ],
+)
+def test_candidate_ranks(texts, entry, best):
+    facts = [X.code_facts(t) for t in texts]
+    assert X.best_candidate(facts, entry) is facts[best]
+
+
+def test_solution_drops_control_flow_and_keeps_annotated_assignments():
+    src = "import os\nx: int = 1\ntry:\n    y = 1\nexcept Exception:\n    pass\nfor i in []:\n    pass\nx += 1\nclass A:\n    def f7(self):\n        return 1\n"
+    facts = X.code_facts(src)
+    assert facts.solution == "import os\nx: int = 1\nclass A:\n    def f7(self):\n        return 1\n"
+    assert "f7" in facts.names and not facts.self_test
 
 
 def test_self_test_kinds():
-    assert X.Block("assert f(1)\n").has_self_tests()
-    assert X.Block("print(1)\n").has_self_tests()
-    assert X.Block("if True:\n    pass\n").has_self_tests()
-    assert not X.Block("x = f(1)\n").has_self_tests()
+    assert X.code_facts("assert f(1)\n").self_test
+    assert X.code_facts("print(1)\n").self_test
+    assert X.code_facts("if True:\n    pass\n").self_test
+    assert not X.code_facts("x = f(1)\n").self_test
 
 
 def test_blank_predicate(spark):

@@ -4,6 +4,7 @@ scans, partial aggregation before the shuffle for the cell statistics."""
 import pytest
 
 import __spark_entry__ as E
+from runlens.plans.catalogue import QUERIES
 
 from .conftest import SF_SMALL
 
@@ -11,7 +12,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cartesian_or_nested_loop(spark, name):
     plan = _plan(E.queries()[name](spark, SF_SMALL))
     assert "CartesianProduct" not in plan

@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from runlens.operators import fleet as FL
@@ -167,14 +169,25 @@ def test_routing_and_texts(spark):
     assert (r.a, r.s) == ("GPU A (12288 MB VRAM), GPU B (8192 MB VRAM)", "4.2 GB")
 
 
-def test_overlapping_globs_read_twice_and_no_match_fails(spark, tmp_path):
+def test_overlapping_globs_read_once_and_no_match_fails(spark, tmp_path):
     d = os.path.join(tmp_path, "m")
     os.makedirs(d)
     _write(d, "s.jsonl", '{"doc_id": 1, "resps": [["x"]], "pass@1": 0.0}\n')
     both = [os.path.join(tmp_path, "*", "*.jsonl"), os.path.join(d, "*.jsonl")]
-    assert SR.read_samples(spark, both).count() == 2
+    assert SR.read_samples(spark, both).count() == 1
     try:
         SR.read_samples(spark, os.path.join(tmp_path, "nothing*", "*.jsonl")).count()
         raise AssertionError("no match must fail")
     except Exception as e:  # noqa: BLE001
         assert "AssertionError" not in type(e).__name__
+
+
+def test_indented_files_and_text_values(spark, tmp_path):
+    _write(str(tmp_path), "tokens.json", '{\n  "m|P1": {\n    "gen_tokens_mean": 2.0\n  }\n}\n')
+    assert [(r.model, r.prompt_id) for r in SR.read_keyed_json(spark, os.path.join(tmp_path, "tokens.json")).collect()] == [("m", "P1")]
+    _write(str(tmp_path), "scores.json", '{\n "results": {"t": {"alias": "t", "acc": 0.5, "err": "N/A"}},\n "config": {"model": "m"}\n}\n')
+    got = {r.metric: r.value for r in SR.read_score_files(spark, os.path.join(tmp_path, "scores.json")).collect()}
+    assert got == {"alias": None, "acc": 0.5, "err": None}
+    _write(str(tmp_path), "bad.json", "[1, 2]\n")
+    with pytest.raises(Exception):
+        SR.read_keyed_json(spark, os.path.join(tmp_path, "bad.json")).collect()
