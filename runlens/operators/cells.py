@@ -19,7 +19,8 @@ from runlens.operators.runs import first_runs, null_safe_join
 def cell_stats(runs: DataFrame, keys: Sequence[str], value: str = "value",
                places: int | None = 4) -> DataFrame:
     """[AG1] Mean, *sample* variance and *sample* stdev per cell; one run -> 0 for both.
-    NaN propagates."""
+    NaN propagates.  Shown values are rounded to 9 places first, so that a mean that lies
+    on a rounding edge does not depend on the order in which partial sums are combined."""
     v = F.col(value)
     out = runs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
@@ -28,7 +29,7 @@ def cell_stats(runs: DataFrame, keys: Sequence[str], value: str = "value",
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stdev"),
     )
     if places is not None:
-        out = out.select(*keys, "n", *[F.round(c, places).alias(c) for c in ("mean", "variance", "stdev")])
+        out = out.select(*keys, "n", *[F.round(F.round(c, 9), places).alias(c) for c in ("mean", "variance", "stdev")])
     return out
 
 

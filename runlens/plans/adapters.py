@@ -126,7 +126,7 @@ metric_rows{s} AS (
   UNION ALL
   SELECT model, prompt_id, event_id, started_at, 'Elapsed_Sec' AS metric, elapsed AS value FROM measured{s}),
 cells{s} AS (
-  SELECT model, prompt_id, metric, count(*) AS n, round(avg(value), 4) AS mean,
+  SELECT model, prompt_id, metric, count(*) AS n, round(round(avg(value), 9), 4) AS mean,
     round(coalesce(var_samp(value), 0), 4) AS variance, round(coalesce(stddev_samp(value), 0), 4) AS stdev
   FROM metric_rows{s} GROUP BY model, prompt_id, metric)"""
 

@@ -161,13 +161,14 @@ WEEKS = 5
 
 def _stream_source(spark: SparkSession, sf: str, src: str) -> None:
     """Runs as time-ordered files (one write per week, so file order follows event
-    time), then a file of duplicate copies of last-week runs."""
+    time; some runs arrive weeks late), then a file of duplicate copies of last-week runs."""
     m = QR.measured(spark, sf).select(
         F.col("event_id").alias("run_id"), "model", "prompt_id",
         F.col("started_at").cast("timestamp").alias("started_at"), "tps", "elapsed")
     week = F.floor((F.unix_seconds("started_at") - F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp")))
                    / F.lit(7 * 86400))
-    m = m.withColumn("_week", F.least(week, F.lit(WEEKS - 1)))
+    late = F.col("run_id") % 13 == 0  # first seen weeks after their time
+    m = m.withColumn("_week", F.when(late, F.lit(WEEKS - 1)).otherwise(F.least(week, F.lit(WEEKS - 1))))
     for k in range(WEEKS):  # a fixed number of writes, not a loop over data
         m.filter(F.col("_week") == k).drop("_week").write.mode("append").parquet(src)
     m.filter((F.col("_week") == WEEKS - 1) & (F.col("run_id") % 10 == 0)).drop("_week") \
@@ -178,6 +179,6 @@ def _stream_source(spark: SparkSession, sf: str, src: str) -> None:
 def q_stream_cells(spark, sf):
     src, out, ckpt = (scratch_path(spark, n) for n in ("stream-src", "stream-out", "stream-ckpt"))
     _stream_source(spark, sf, src)
-    LC.run_live_cells(spark, src, out, ckpt, files_per_trigger=8, watermark="8 days")
+    LC.run_live_cells(spark, src, out, ckpt, files_per_trigger=8)
     c = LC.published_cells(spark, out)
-    return c.select(*LC.KEYS, "n", *[F.round(x, 4).alias(x) for x in ("mean", "variance", "stdev")])
+    return c.select(*LC.KEYS, "n", *[F.round(F.round(x, 9), 4).alias(x) for x in ("mean", "variance", "stdev")])

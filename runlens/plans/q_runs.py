@@ -386,7 +386,7 @@ def q_append_runs(spark, sf):
 
 # --- big_cell_stats: AG1 over a large run table (A4) -----------------------------
 @register("big_cell_stats", _w(A.BIG_SQL) + """
-SELECT model, prompt_id, count(*) AS n, round(avg(value), 4) AS mean,
+SELECT model, prompt_id, count(*) AS n, round(round(avg(value), 9), 4) AS mean,
   round(coalesce(var_samp(value), 0), 4) AS variance, round(coalesce(stddev_samp(value), 0), 4) AS stdev
 FROM big GROUP BY model, prompt_id""")
 def q_big_cell_stats(spark, sf):
@@ -408,7 +408,7 @@ def q_size_first_last(spark, sf):
 # --- labelled_matrix: PV5, JN7, AG4 ----------------------------------------------
 @register("labelled_matrix", _w(A.BIG_SQL, """sz AS (SELECT model, first(size ORDER BY l_orderkey, l_linenumber, size) AS size
   FROM big GROUP BY model),
-c AS (SELECT model, prompt_id, round(avg(value), 4) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS stdev
+c AS (SELECT model, prompt_id, round(round(avg(value), 9), 4) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS stdev
   FROM big GROUP BY model, prompt_id)""") + """
 SELECT c.model || ' (' || coalesce(sz.size, '---') || ')' AS label, c.prompt_id, c.mean, c.stdev,
   round(CASE WHEN c.mean <> 0 THEN c.stdev / c.mean WHEN c.stdev = 0 THEN CAST('nan' AS DOUBLE)
