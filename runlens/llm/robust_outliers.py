@@ -73,8 +73,8 @@ def base_failed() -> Column:
 
 
 def statistics() -> dict[str, Column]:
-    """The transformed statistic vector of a text with words."""
-    n = F.col("n_words").cast("double")
+    """The transformed statistic vector of a text with words (without: null)."""
+    n = F.when(F.col("n_words") > 0, F.col("n_words").cast("double"))
     return {
         "x1": F.log(n),
         "x2": F.log(F.col("word_chars") / n),

@@ -33,7 +33,7 @@ WORD_BITS, GRAM_BITS, WORD_DIM, GRAM_DIM, HIDDEN, ATT = 15, 12, 12, 8, 12, 8
 #: Bound of the training sample: rows of each label, windows used of one row.
 TOXIC_ROWS, OTHER_ROWS, WINDOWS_PER_ROW = 2500, 2500, 64
 THRESHOLD = 0.7
-DECAY = 1e-4
+DECAY, MIN_UPDATES = 1e-4, 250
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -223,7 +223,7 @@ class _Adam:
             params[k][rows] -= self.rate * fix * self.m[k][rows] / (np.sqrt(self.s[k][rows]) + 1e-8)
 
 
-def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = 7, batch: int = 256) -> GRU | None:
+def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = 7, batch: int = 128) -> GRU | None:
     y = np.asarray(labels, np.float32)
     if not len(texts):
         return None
@@ -231,6 +231,7 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = 7, b
     if (y == 1).sum() == 0 or (y == 0).sum() == 0:
         return model if (y == 1).any() else None
     opt = _Adam(model.p)
+    epochs = max(epochs, -(-MIN_UPDATES * batch // (2 * len(texts))))  # a small sample is seen more often
     for epoch in range(epochs):
         doc, score, w, (lo, size) = model.window_scores(texts)
         if not len(doc):
