@@ -18,6 +18,7 @@ row to learn from -> ``und`` for every text.  Equal shares -> the smaller langua
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ UNKNOWN = "und"
 
 def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
     h = (h ^ np.uint64(salt * 0x9E3779B1)) * np.uint64(0xFF51AFD7ED558CCD)
-    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
 
 
 def _byte_grams(w: Words, pos: np.ndarray) -> list[np.ndarray]:
@@ -291,10 +292,20 @@ def training_rows(docs: DataFrame, may_train: Column, rows_per_lang: int = ROWS_
     return bounded_rows(ids, rows, max_rows, ["doc_id", "text", "lang"])
 
 
+def _run_of_words(text: str) -> str:
+    """A sampled text for training; of a long one, a run of words at a place that its
+    hash decides."""
+    words = text.split()
+    spare = len(words) - WORDS_PER_ROW
+    at = zlib.crc32(text.encode("utf-8", "replace")) % (spare + 1) if spare > 0 else 0
+    return text if spare <= 0 else " ".join(words[at : at + WORDS_PER_ROW])
+
+
 def fit(docs: DataFrame, may_train: Column, **bounds: int) -> CRF:
     """Learn from text and lang of the rows for which ``may_train`` holds (a bounded
     sample: :data:`ROWS_PER_LANG`, :data:`MAX_ROWS`)."""
-    got = training_rows(docs, may_train, **bounds).collect()
+    thin = F.pandas_udf(lambda s: s.map(_run_of_words), "string")
+    got = training_rows(docs, may_train, **bounds).withColumn("text", thin("text")).collect()
     got.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
     return train([r["text"] for r in got], [r["lang"] for r in got])
 

@@ -31,7 +31,7 @@ from runlens.llm.common import Words, bounded_rows, fold, text_blocks
 WINDOW, STEP = 24, 16
 WORD_BITS, GRAM_BITS, WORD_DIM, GRAM_DIM, HIDDEN, ATT = 15, 12, 12, 8, 12, 8
 #: Bound of the training sample: rows of each label, windows used of one row.
-TOXIC_ROWS, OTHER_ROWS, WINDOWS_PER_ROW = 2500, 2500, 64
+TOXIC_ROWS, OTHER_ROWS, WINDOWS_PER_ROW = 1500, 2000, 32
 THRESHOLD = 0.7
 DECAY, MIN_UPDATES = 1e-4, 250
 
@@ -61,6 +61,42 @@ def windows(n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, base[doc] + lo, np.minimum(WINDOW, n_words[doc] - lo)
 
 
+def _gather(first: np.ndarray, size: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the trigrams of the picked words, and which pick each belongs to."""
+    reps = size[pick]
+    at = np.repeat(first[pick] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+    return at, np.repeat(np.arange(len(pick)), reps)
+
+
+class Corpus:
+    """Texts as numbers of distinct words: ``token`` the words in order; ``word``, ``gram``,
+    ``first``, ``size`` the inputs of each distinct word; ``doc``, ``lo``, ``n`` the windows.
+    Texts are read in blocks, so only these compact arrays grow with them."""
+
+    def __init__(self, texts: list[str], block_chars: int = 1 << 20):
+        keys, words, grams, sizes, tokens, counts = [], [], [], [], [], []
+        for a, b in text_blocks(texts, block_chars):
+            w = Words(texts[a:b])
+            word, gram, first = _inputs(w) if len(w.start) else (np.zeros(0, int),) * 3
+            key, at, inv = np.unique(w.hashes(), return_index=True, return_inverse=True)
+            size = (w.end - w.start)[at]
+            tokens.append(inv.astype(np.int32) + sum(map(len, keys)))
+            keys.append(key)
+            words.append(word[at].astype(np.int32))
+            sizes.append(size)
+            grams.append(gram[_gather(first, w.end - w.start, at)[0]].astype(np.int16))
+            counts.append(np.bincount(w.doc, minlength=w.n_docs))
+        join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
+        size = join(sizes, np.int64)
+        first = np.cumsum(size) - size
+        _, at, inv = np.unique(join(keys, np.uint64), return_index=True, return_inverse=True)
+        self.token = inv.astype(np.int32)[join(tokens, np.int32)]
+        self.word, self.size = join(words, np.int32)[at], size[at]
+        self.gram = join(grams, np.int16)[_gather(first, size, at)[0]]
+        self.first = np.cumsum(self.size) - self.size
+        self.doc, self.lo, self.n = windows(join(counts, np.int64))
+
+
 class GRU:
     def __init__(self, params: dict[str, np.ndarray]):
         self.p = params
@@ -115,36 +151,30 @@ class GRU:
         pooled = np.einsum("tb,tbh->bh", w, hs)
         return u, w, pooled, pooled @ p["v"] + p["o"][0]
 
-    def window_scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, Words, tuple]:
-        """Document number and score of every window of the texts."""
-        w = Words(texts)
-        doc, lo, size = windows(np.bincount(w.doc, minlength=w.n_docs))
-        if not len(doc):
-            return doc, np.zeros(0), w, (lo, size)
-        # gate inputs are computed once for each distinct word
-        key, at, inv = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        u = Words.__new__(Words)
-        u.start, u.end, u.norm, u._sum, u._inv = w.start[at], w.end[at], w.norm, w._sum, w._inv
-        word, gram, first = _inputs(u)
-        x = self.word_inputs(word, gram, first, u.end - u.start)
+    def window_scores(self, c: Corpus) -> np.ndarray:
+        """Score of every window of the corpus; gate inputs are computed once for each
+        distinct word."""
+        out = np.empty(len(c.doc))
+        if not len(out):
+            return out
+        x = self.word_inputs(c.word, c.gram, c.first, c.size)
         gates = {s: x @ self.p[f"W{s}"] + self.p[f"c{s}"] for s in "fb"}
-        out = np.empty(len(doc))
-        for b in range(0, len(doc), 2048):
-            n = size[b : b + 2048]
+        for b in range(0, len(out), 2048):
+            lo, n = c.lo[b : b + 2048], c.n[b : b + 2048]
             t = np.arange(int(n.max()))[:, None]
             live = t < n
-            idx = inv[np.minimum(lo[b : b + 2048] + t, lo[b : b + 2048] + n - 1)]
+            idx = c.token[np.minimum(lo + t, lo + n - 1)]
             hs = np.concatenate([self.states(gates[s][idx], live, s) for s in "fb"], 2)
             out[b : b + 2048] = _sigmoid(self.pool(hs, live)[3])
-        return doc, out, w, (lo, size)
+        return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Largest window score of each whole text."""
         out = np.zeros(len(texts))
         full = [t or "" for t in texts]
         for lo, hi in text_blocks(full, 1 << 20):
-            doc, s, _, _ = self.window_scores(full[lo:hi])
-            np.maximum.at(out, doc + lo, s)
+            c = Corpus(full[lo:hi])
+            np.maximum.at(out, c.doc + lo, self.window_scores(c))
         return out
 
     def loss_grads(self, word, gram_rows, n, y, keep=None):
@@ -232,36 +262,28 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = 7, b
         return model if (y == 1).any() else None
     opt = _Adam(model.p)
     epochs = max(epochs, -(-MIN_UPDATES * batch // (2 * len(texts))))  # a small sample is seen more often
+    c = Corpus(texts)
+    if not len(c.doc):
+        return None
     for epoch in range(epochs):
-        doc, score, w, (lo, size) = model.window_scores(texts)
-        if not len(doc):
-            return None
-        if epoch == 0:
-            score = rng.random(len(doc))
-        else:  # the highest window of each text, now and then another one
-            score = np.where(rng.random(len(doc)) < 0.1, rng.random(len(doc)), score)
-        order = np.lexsort((-score, doc))
-        pick = order[np.unique(doc[order], return_index=True)[1]]
-        if epoch > 0:  # and one random window of every clean text
-            clean = np.flatnonzero(y[doc] == 0)
-            extra = clean[rng.permutation(len(clean))][: len(pick)]
-            pick = np.concatenate([pick, extra])
-        word, gram, first = _inputs(w)
-        n_gram = w.end - w.start
+        score = model.window_scores(c) if epoch else rng.random(len(c.doc))
+        if epoch:  # the highest window of each text, now and then another one
+            score = np.where(rng.random(len(score)) < 0.1, rng.random(len(score)), score)
+        order = np.lexsort((-score, c.doc))
+        pick = order[np.unique(c.doc[order], return_index=True)[1]]
+        if epoch:  # and as many random windows of clean texts
+            clean = np.flatnonzero(y[c.doc] == 0)
+            pick = np.concatenate([pick, clean[rng.permutation(len(clean))][: len(pick)]])
         pick = pick[rng.permutation(len(pick))]
         opt.rate = 0.01 * (1 - epoch / epochs) + 0.001
         for b in range(0, len(pick), batch):
             sel = pick[b : b + batch]
-            n = size[sel]
-            n_t = int(n.max())
-            t = np.arange(n_t)
-            idx = np.minimum(lo[sel][:, None] + t, (lo[sel] + n - 1)[:, None])
-            flat = idx.ravel()
-            reps = n_gram[flat]
-            at = np.repeat(first[flat] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
-            owner = np.repeat(np.arange(len(flat)), reps)
+            n = c.n[sel]
+            idx = c.token[np.minimum(c.lo[sel][:, None] + np.arange(int(n.max())), (c.lo[sel] + n - 1)[:, None])]
+            at, owner = _gather(c.first, c.size, idx.ravel())
             keep = (rng.random(idx.shape) < 0.5).astype(np.float32)
-            _, g = model.loss_grads(word[idx], (gram[at], owner, reps.astype(np.float32)), n, y[doc[sel]], keep)
+            grams = (c.gram[at].astype(np.int64), owner, c.size[idx.ravel()].astype(np.float32))
+            _, g = model.loss_grads(c.word[idx], grams, n, y[c.doc[sel]], keep)
             g["word"] = (g["word"][0], g["word"][1] + DECAY * model.p["word"][g["word"][0]])
             opt.step(model.p, g)
     return model
