@@ -33,7 +33,7 @@ from runlens.llm.common import text_blocks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-REMEMBERED, SHORT = 300_000, 32
+REMEMBERED, SHORT, BLOCK_CHARS = 100_000, 32, 1 << 20
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -259,22 +259,6 @@ class Pieces:
 # ------------------------------------------------------------------ Spark side
 
 
-def encoder(pieces: Pieces):
-    """Pandas UDF: text -> struct(ids, restored); the vocabulary has a fixed size."""
-
-    @F.pandas_udf("ids array<int>, restored boolean")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            texts, ids, same = [t if isinstance(t, str) else "" for t in s], [], []
-            for lo, hi in text_blocks(texts, 1 << 22):
-                got = pieces.encode_all(texts[lo:hi])
-                same += [pieces.decode(i) == t for i, t in zip(got, texts[lo:hi], strict=True)]
-                ids += [np.array(i, np.int32) for i in got]
-            yield pd.DataFrame({"ids": ids, "restored": same})
-
-    return encode
-
-
 def decoder(pieces: Pieces):
     """Pandas UDF: ids -> text (null ids: null)."""
 
@@ -286,6 +270,19 @@ def decoder(pieces: Pieces):
 
 
 def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_ids, ids, restored (decoding gives the text back) of every row of ``docs``."""
-    got = docs.select("doc_id", encoder(Pieces.load(model))("text").alias("e"))
-    return got.select("doc_id", F.size("e.ids").cast("long").alias("n_ids"), "e.ids", "e.restored")
+    """doc_id, n_ids, ids, restored (decoding gives the text back) of every row of ``docs``.
+
+    The vocabulary has a fixed size and travels with the function; ids leave the worker in
+    blocks of about ``BLOCK_CHARS`` characters, so its memory does not follow the batch."""
+    pieces = Pieces.load(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = [t if isinstance(t, str) else "" for t in b["text"]]
+            for lo, hi in text_blocks(texts, BLOCK_CHARS):
+                ids = [np.array(i, np.int32) for i in pieces.encode_all(texts[lo:hi])]
+                same = [pieces.decode(i.tolist()) == t for i, t in zip(ids, texts[lo:hi], strict=True)]
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].array, "n_ids": [len(i) for i in ids], "ids": ids, "restored": same})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_ids long, ids array<int>, restored boolean")
