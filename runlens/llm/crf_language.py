@@ -283,9 +283,20 @@ def _posteriors(em: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[n
 
 def training_rows(docs: DataFrame, may_train: Column, rows_per_lang: int = ROWS_PER_LANG, max_rows: int = MAX_ROWS) -> DataFrame:
     """At most ``rows_per_lang`` rows of each language and ``max_rows`` in all, by hash of
-    the id.  Ids are chosen without reading a text; the few texts are fetched after."""
-    ids = docs.filter(may_train & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    the id.  Ids are chosen without reading a text; the few texts are fetched after.
+
+    A language's row count gives a hash cut-off that about ``enough`` of its ids stay
+    under, so the task that ranks a language reads as few rows of a large table as of a
+    small one.  The first ``max_rows`` languages by name take part, one row of each at
+    least; a repeated id stands for one document."""
+    h = F.xxhash64("doc_id").alias("h")
+    ids = docs.filter(may_train & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", h)
+    enough = rows_per_lang + 10 * rows_per_lang**0.5 + 50
+    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).orderBy("lang").limit(max_rows)
+    under = F.when(F.col("n") > enough, (enough / F.col("n") * 2.0**64 - 2.0**63).cast("long")).otherwise(2**63 - 1)
+    cuts = counts.select("lang", F.greatest("least", under).alias("cut"))
+    ids = ids.join(F.broadcast(cuts), "lang").filter(F.col("h") <= F.col("cut")).select("doc_id", "lang", "h").distinct()
+    by = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = ids.withColumn("rk", F.row_number().over(by)).filter(F.col("rk") <= rows_per_lang)
     ids = ids.orderBy("rk", "lang").limit(max_rows).select("doc_id").distinct()
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")

@@ -228,6 +228,15 @@ def test_language_marginals_equal_the_uncut_chain():
         np.testing.assert_allclose(p[doc == d], want[0], atol=1e-12)
 
 
+def test_language_sample_is_the_smallest_hashes_of_each_language(spark):
+    rows = [(i, "a word", "en" if i % 40 else "de") for i in range(4000)] + [(9000, "a word", "es")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    hashed = {(r.lang, r.h, r.doc_id) for r in df.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).collect()}
+    want = {x[2] for lang in ("en", "de", "es") for x in sorted(x for x in hashed if x[0] == lang)[:20]}
+    got = {r.doc_id for r in crf_language.training_rows(df, F.lit(True), rows_per_lang=20).collect()}
+    assert got == want and len(got) == 41
+
+
 def test_language_odd_inputs(spark):
     got = crf_language.identify(docs(spark)).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
