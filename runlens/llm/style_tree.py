@@ -10,10 +10,11 @@ presentation and, the deeper the more, the content beneath it; branches below
 ``LOW`` that were seen on ``MIN_PAGES`` pages are removed from each page.
 
 Roles come first: menus, headers, footers, asides, notices, adverts, forms, comments and
-the like, by element or class name, have no importance; the article element (or main) is
-never removed for being alike on many pages, since copied articles are articles.  So the
-tree decides on pages that mark no article; if all of such a page is of low importance,
-nothing more is removed from it.
+the like, by element or class name, have no importance.  The article element (or main) is
+never removed for being alike on many pages, since copied articles are articles: on a page
+that marks one, the tree judges the branches strictly below the innermost mark, and none
+if the marked element as a whole is of low importance.  If all of a page is of low
+importance, nothing more is removed from it.
 
 Pages are parsed by the task that reads them; only counts by host and path are shuffled,
 combined before, so a host with a third of all pages is no task's burden.
@@ -71,16 +72,17 @@ def _kind(tag: str, attrs: str) -> tuple[str, bool, bool]:
 class _Node:
     __slots__ = ("tag", "path", "noise", "main", "children")
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool):
-        self.tag, self.path, self.noise, self.main, self.children = tag, path, noise, main, []
+    def __init__(self, tag: str, path: str, noise: bool, main: str):
+        self.tag, self.path, self.noise, self.main, self.children = tag, path, noise, main, []  # main: path of the innermost mark, else ""
 
 
-def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str, str]]]:
-    """Text blocks (path, text, noise, in the article) in page order, and the presentation
-    (path, sequence of child elements) of every element outside noise."""
-    out: list[tuple[str, str, bool, bool]] = []
+def blocks(page: str) -> tuple[list[tuple[str, str, bool, str]], list[tuple[str, str]]]:
+    """Text blocks (path, text, noise, path of the innermost article around it or "") in page
+    order, and the presentation (path, sequence of child elements) of every element outside
+    noise."""
+    out: list[tuple[str, str, bool, str]] = []
     shown: list[tuple[str, str]] = []
-    root = _Node("", "", False, False)
+    root = _Node("", "", False, "")
     stack, text = [root], []
 
     def flush() -> None:
@@ -164,22 +166,33 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str
         inline = tag in INLINE and not noise
         path = top.path if inline or len(stack) > MAX_DEPTH else f"{top.path}/{step}"
         if not m[3].endswith("/") or tag not in VOID:
-            stack.append(_Node(tag, path, top.noise or noise, (top.main or main) and not noise))
+            stack.append(_Node(tag, path, top.noise or noise, "" if noise else (path or "/") if main else top.main))
     flush()
     close(1)
     return out, shown
 
 
-def main_text(page: str | None, low: set[str] = frozenset()) -> str:
+def prunable(block: tuple[str, str, bool, str]) -> list[str]:
+    """The branches a block goes with if they are of low importance: all it stands in, or
+    those strictly below the article around it."""
+    steps = block[0].split("/")
+    ups = ["/".join(steps[:k]) for k in range(2, len(steps) + 1)]
+    return [p for p in ups if p.startswith(block[3] + "/")] if block[3] else ups
+
+
+def kept_blocks(page: str | None, low: set[str] = frozenset()) -> list[tuple[str, str, bool, str]]:
     """The page's blocks that are left: of its article if it marks one, else all that is no
-    noise and in no branch of low importance."""
+    noise; without those in a branch of low importance."""
     got = [b for b in blocks(page or "")[0] if not b[2]]
     if any(b[3] for b in got):
         got = [b for b in got if b[3]]
-    elif low:
-        kept = [b for b in got if not any(b[0] == p or b[0].startswith(p + "/") for p in low)]
-        got = kept or got
-    return "\n".join(b[1] for b in got)
+    kept = [b for b in got if b[3] in low or not any(p in low for p in prunable(b))] if low else got
+    return kept or got
+
+
+def main_text(page: str | None, low: set[str] = frozenset()) -> str:
+    """Text of the blocks that are left."""
+    return "\n".join(b[1] for b in kept_blocks(page, low))
 
 
 def host_of(url: str | None) -> str:
@@ -232,16 +245,16 @@ def low_branches(nodes: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES)
 
 
 def open_paths(pages: DataFrame) -> DataFrame:
-    """page (hash), host, path of the branches of pages that mark no article."""
+    """page (hash), host, path of the branches the tree may judge on each page, and of the
+    articles around them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for key, url, page in zip(b["page"], b["url"], b["html"], strict=True):
-                got = [x for x in blocks(page or "")[0] if not x[2]]
-                if not any(x[3] for x in got):
-                    ups = {"/".join(x[0].split("/")[:k]) for x in got for k in range(2, x[0].count("/") + 2)}
-                    rows += [(key, host_of(url), p) for p in ups]
+                got = {(x[0], "", False, x[3]) for x in kept_blocks(page)}
+                ups = {p for x in got for p in (*prunable(x), x[3]) if p}
+                rows += [(key, host_of(url), p) for p in ups]
             yield pd.DataFrame(rows, columns=["page", "host", "path"])
 
     return pages.mapInPandas(run, "page long, host string, path string")

@@ -22,6 +22,7 @@ from runlens.llm import (
     viterbi_pieces,
     water_filling,
 )
+from tests.conftest import SF_CHECK
 
 DOCS = "doc_id long, text string, lang string, source string, score string, size string"
 ODD = [
@@ -399,6 +400,29 @@ def test_style_tree_removes_what_all_pages_of_a_host_share(spark):
     assert style_tree.extracted(df.limit(0)).count() == 0
 
 
+def removed_blocks(spark, pages):
+    """Blocks that the style tree alone removes, over all pages."""
+    df = pages.select(F.xxhash64("page_id", "url", "html").alias("page"), "url", "html")
+    low = style_tree.low_branches(style_tree.importance(style_tree.style_counts(df)))
+    cut = {}
+    for r in style_tree.open_paths(df).join(low, ["host", "path"]).collect():
+        cut.setdefault(r.page, set()).add(r.path)
+    return sum(len(style_tree.kept_blocks(r.html)) - len(style_tree.kept_blocks(r.html, cut.get(r.page, set()))) for r in df.collect())
+
+
+def test_style_tree_acts_inside_marked_articles(spark):
+    page = "<body><main><article><h1>T{0}</h1><p>one {0}</p><div class=x><p>Tell your friends</p></div><p>two {0}</p></article></main></body>"
+    copy = "<body><article><h1>Same</h1><p>text</p><div class=x><p>more</p></div></article></body>"
+    rows = [(i, "http://h/%d" % i, page.format(i)) for i in range(20)] + [(100 + i, "http://copies/%d" % i, copy) for i in range(20)]
+    rows += [(200 + i, "http://few/%d" % i, page.format(i)) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in style_tree.extracted(df).collect()}
+    assert got[3] == "T3\none 3\ntwo 3"
+    assert got[105] == "Same\ntext\nmore" and got[201] == "T1\none 1\nTell your friends\ntwo 1"
+    assert removed_blocks(spark, df) == 20
+    assert removed_blocks(spark, spark.read.parquet(f"{SF_CHECK}/pages.parquet")) == 0
+
+
 # ------------------------------------------------------------------ 10 SimHash
 
 
