@@ -1,9 +1,11 @@
 """License scans by an exact set-similarity join (DataFrame functions only).
 
-Text blocks are the lines of a text; a line of more than ``BLOCK`` words is cut into
-windows of that many words, half overlapping, so that every run of ``BLOCK / 2`` words
-lies in one block.  A block matches a template if it holds at least ``CONTAINMENT`` of the
-template's distinct words.  All matches are found:
+Text blocks are the lines of a text and, so that a notice wrapped over lines lies in one
+too, windows over the whole text's words; a line of more words than a window is cut the
+same way.  Windows have ``BLOCK`` words, or twice the longest template's if that is more,
+and overlap by half, so that every run of a template's length lies in one block.  A block
+matches a template if it holds at least ``CONTAINMENT`` of the template's distinct words.
+All matches are found:
 
 1. the template words are counted over all texts, and ordered from rare to common;
 2. prefix filter: a match must hold one of the rarest ``|T| - need + 1`` words of T, so
@@ -51,12 +53,15 @@ def _lower(text: Column) -> Column:
     return F.lower(F.coalesce(text, F.lit("")))
 
 
+def _template_run(text: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+
+
 def template_words(templates=TEMPLATES) -> list[tuple[int, str, list[str]]]:
     """Number, label and distinct words of each template."""
     out = []
     for i, (label, text) in enumerate(templates):
-        clean = "".join(c if c.isalnum() else " " for c in text.lower())
-        out.append((i, label, sorted(set(clean.split()))))
+        out.append((i, label, sorted(set(_template_run(text)))))
     return out
 
 
@@ -65,10 +70,21 @@ def need(size: int, containment: float) -> int:
     return max(1, -(-round(size * containment * 1e6) // 1_000_000))
 
 
+def window_words(templates=TEMPLATES, block: int | None = None) -> int:
+    """Words of a window: the given number, or as many as the longest template asks for."""
+    least = 2 * max((len(_template_run(text)) for _, text in templates), default=0)
+    if block is not None and block < least:
+        raise ValueError(f"windows of {block} words do not hold every template: at least {least}")
+    return block or max(BLOCK, least)
+
+
 def blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """key (hash of id and text) and distinct words of every text block."""
-    lines = F.split(F.regexp_replace(_lower(F.col("text")), _GAP_IN_LINE, " "), "\n")
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.explode(lines).alias("line"))
+    clean = F.regexp_replace(_lower(F.col("text")), _GAP_IN_LINE, " ")
+    lines = F.filter(F.split(clean, "\n"), lambda x: x.rlike("[^ ]"))
+    # a text of one line has no other windows than that line's
+    whole = F.when(F.size(lines) > 1, F.array(F.array_join(lines, " "))).otherwise(F.array().cast("array<string>"))
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.explode(F.concat(lines, whole)).alias("line"))
     rows = rows.select("key", F.array_remove(F.split("line", " "), "").alias("words"))
     step = block // 2
     last = F.ceil(F.greatest(F.size("words") - block, F.lit(0)) / step).cast("int")
@@ -86,10 +102,11 @@ def word_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
 
 
-def matches(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, block: int = BLOCK) -> DataFrame:
+def matches(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, block: int | None = None) -> DataFrame:
     """key, label, containment of every matching pair of text block and template."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates, got {len(templates)}")
+    block = window_words(templates, block)
     spark = docs.sparkSession
     sets = template_words(templates)
     order = word_order(docs, sorted({w for _, _, ws in sets for w in ws}))

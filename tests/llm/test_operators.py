@@ -263,6 +263,23 @@ def test_license_places_labels_and_windows(spark):
     assert license_join.scan(docs(spark)).count() == len(ODD) and license_join.scan(docs(spark, [])).count() == 0
 
 
+def test_license_notice_wrapped_over_lines(spark):
+    notice = "Permission is hereby granted, free of charge, to any\n# person obtaining a copy of this\n#\n# software and associated documentation files (the"
+    filler = "lorem ipsum dolor\n" * 40
+    rows = [(1, notice, "", "", "", ""), (2, filler + notice + "\n" + filler, "", "", "", ""), (3, filler, "", "", "", "")]
+    got = {r.doc_id: (r.labels, r.score) for r in license_join.scan(docs(spark, rows)).collect()}
+    assert got == {1: ("mit", 1.0), 2: ("mit", 1.0), 3: ("", 0.0)}
+
+
+def test_license_windows_hold_the_longest_template(spark):
+    copy = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(80))
+    rows = [(at, "x " * at + copy + " x" * 300, "", "", "", "") for at in (0, 16, 31, 79, 200)]
+    assert {r.labels for r in license_join.scan(docs(spark, rows), [("long", copy)], 1.0).collect()} == {"long"}
+    assert license_join.window_words() == license_join.BLOCK and license_join.window_words([("long", copy)]) == 160
+    with pytest.raises(ValueError):
+        license_join.matches(docs(spark, rows), [("long", copy)], 1.0, 64)
+
+
 def test_license_join_equals_brute_force(spark):
     rng = random.Random(4)
     vocab = sorted({w for _, _, ws in license_join.template_words() for w in ws}) + ["foo", "bar"]
