@@ -55,17 +55,34 @@ NOISE = re.compile(
     r"newsletter|subscribe|signup|share|sharing|social|related|recommended|comment|comments|respond|replies|disqus|widget|pagination|pager|login|search|toolbar|skip"
 )
 
+# Inside an article only whole names count, and words with other senses are left to the tree.
+SENSES = re.compile(r"menu\w*|notice|share|sharing|social|related|search|skip")
+FURNITURE = re.compile(
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|newsletter|subscribe|signup|comments?|breadcrumbs?|sidebar|cookies?|widget)"
+    r"[_-](?:box|bar|buttons?|links?|list|form|section|container|wrapper|block|area|slot|unit|banner|body|item)|"
+    r"(?:share|sharing|social)[_-](?:bar|buttons?|links?|icons?|share)|related[_-](?:posts?|articles?|stories|links)|search[_-](?:box|form|bar)|skip[_-](?:links?|nav)"
+)
+ROLES = {"navigation", "banner", "menu", "menubar", "toolbar", "search", "complementary", "contentinfo", "dialog", "alert"}
+
+
+def _furniture(name: str) -> bool:
+    """Whether a whole class or id name is noise inside an article."""
+    return bool(NOISE.fullmatch(name) and not SENSES.fullmatch(name) or FURNITURE.fullmatch(name))
+
 
-def _kind(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """Class names, whether the element is noise, whether it marks the article."""
+def _kind(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool]:
+    """Class names, whether the element is noise (``inside`` an article or not), whether it
+    marks the article."""
     if not attrs.strip(" /"):
         return "", tag in DROPPED, tag in ("article", "main")
     got = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTR.findall(attrs)}
-    names = re.split(r"[\s_-]+", f"{got.get('class', '')} {got.get('id', '')}".strip()) + [got.get("role", "")]
-    noise = tag in DROPPED or any(NOISE.fullmatch(n) for n in names) or "hidden" in got or got.get("aria-hidden") == "true"
+    whole = f"{got.get('class', '')} {got.get('id', '')}".split()
+    names = [x for n in whole for x in re.split(r"[_-]+", n)] + [got.get("role", "")]
+    named = got.get("role") in ROLES or any(map(_furniture, whole)) if inside else any(NOISE.fullmatch(n) for n in names)
+    noise = tag in DROPPED or named or "hidden" in got or got.get("aria-hidden") == "true"
     noise = noise or "display:none" in got.get("style", "").replace(" ", "") or got.get("role") in ("complementary", "contentinfo", "dialog", "alert")
     if tag in ("html", "body", "article", "main"):
-        noise = False if not {"comment", "comments", "related", "promo"} & set(names) else tag in ("article",)
+        noise = tag == "article" and any(n in ("comment", "comments", "related", "promo") or FURNITURE.fullmatch(n) for n in whole)
     return ".".join(sorted(got.get("class", "").split())), noise, tag in ("article", "main") or got.get("role") == "main"
 
 
@@ -128,7 +145,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, str]], list[tuple[str,
         if tag == "br":
             text.append(" ")
             continue
-        names, noise, main = _kind(tag, m[3])
+        names, noise, main = _kind(tag, m[3], bool(stack[-1].main))
         if tag in VOID:
             if tag not in INLINE:
                 flush()

@@ -417,6 +417,16 @@ def test_style_tree_removes_what_all_pages_of_a_host_share(spark):
     assert style_tree.extracted(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("mark", ["article", "main"])
+def test_article_sections_with_ambiguous_names_stay(mark):
+    names = ["id='related-work'", "class='social-policy'", "id='search-methods'", "class='menu-item'", "class='skip-list'", "id='comment-on-results'", "class='notice'"]
+    page = "".join(f"<section {n}><p>s{i}</p></section>" for i, n in enumerate(names))
+    noise = ["class='ad'", "class='x share-buttons'", "id=comments", "class=related-posts", "role=navigation", "class='ad-slot'"]
+    page += "".join(f"<div {n}><p>no</p></div>" for n in noise)
+    assert style_tree.main_text(f"<{mark}>{page}</{mark}>") == "\n".join(f"s{i}" for i in range(len(names)))
+    assert style_tree.main_text("<article class='related-work'><p>a</p></article>") == "a"
+
+
 def removed_blocks(spark, pages):
     """Blocks that the style tree alone removes, over all pages."""
     df = pages.select(F.xxhash64("page_id", "url", "html").alias("page"), "url", "html")
