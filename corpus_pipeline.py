@@ -13,16 +13,15 @@ from pyspark.sql import functions as F
 from runlens.llm import crf_language, simhash_pigeonhole, toxicity_rnn, viterbi_pieces, water_filling
 from runlens.llm.common import materialise, table
 
-#: A text is rejected if no language reaches this share of its words.
-MIN_LANGUAGE_SHARE = 0.4
-
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, and texts in which no language prevails, go."""
+    """Texts without a letter go.  A text in several languages stays however its words are
+    shared among them, and so does every text with a letter if no language was learned."""
     model = crf_language.fit(docs, ~crf_language.held_out(F.col("doc_id")))
+    if not model.langs:
+        return docs.filter(crf_language.has_letter("text"))
     p = crf_language.predictor(model)("text")
-    kept = docs.withColumn("__lang", p).filter((F.col("__lang.lang_pred") != crf_language.UNKNOWN) & (F.col("__lang.score") >= MIN_LANGUAGE_SHARE))
-    return kept.drop("__lang")
+    return docs.withColumn("__lang", p).filter(F.col("__lang.lang_pred") != crf_language.UNKNOWN).drop("__lang")
 
 
 def inoffensive(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -333,6 +333,16 @@ def predictor(model: CRF):
     return predict
 
 
+def has_letter(text: str) -> Column:
+    """Whether a text has a letter, as :meth:`CRF.predict` asks."""
+
+    @F.pandas_udf("boolean")
+    def letter(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: isinstance(t, str) and any(map(str.isalpha, t))).astype(bool)
+
+    return letter(text)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id, 4) == 2, F.lit(False))
 

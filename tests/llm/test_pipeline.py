@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 import corpus_pipeline as P
@@ -44,6 +45,17 @@ def test_stages_take_effect(spark, tmp_path):
     assert sorted(r.doc_id for r in out) == sorted(ids) and all(r.restored for r in out)
 
 
+def test_language_stage_keeps_mixed_and_unlabelled_texts(spark, tmp_path):
+    pools = {c: [c + v + c + w for v in "aeiou" for w in "aeiou"] for c in "bkz"}
+    rows = [(i, " ".join(pools["bkz"[i % 3]][(i * 7 + j * j) % 25] for j in range(40)), "bkz"[i % 3]) for i in range(60)]
+    rows += [(100, " ".join(" ".join(pools[c]) for c in "bkz"), None), (101, "12 34 !", None), (102, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = P.identified(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(60)) | {100}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in P.identified(spark, unlabelled, str(tmp_path)).collect()} == set(range(60)) | {100}
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
