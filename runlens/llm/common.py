@@ -109,3 +109,20 @@ def text_blocks(texts: list[str], max_chars: int):
         size += len(t)
     if lo < len(texts):
         yield lo, len(texts)
+
+
+# ------------------------------------------------------- CRC-32 in DuckDB SQL
+
+#: CTE ``crc_table``: the 256 remainders of the reflected polynomial.
+CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce([n] || list_transform(range(8), lambda k: 0::BIGINT),
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t
+  FROM (SELECT unnest(range(256)) AS n))"""
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB expression: unsigned crc32 of the UTF-8 bytes of a string expression (null for
+    null); ``crc_table``, which has one row, stands beside the queried table."""
+    code = f"CAST('0x' || substr(hex(encode({text})), 2 * k + 1, 2) AS BIGINT)"
+    codes = f"list_transform(range(strlen({text})), lambda k: {code})"
+    return f"xor(list_reduce([4294967295::BIGINT] || {codes}, lambda c, b: xor(c >> 8, crc_table.t[1 + (xor(c, b) & 255)])), 4294967295)"

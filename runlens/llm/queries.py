@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from runlens.llm import (
     crf_language,
     license_join,
+    merkle_manifest,
+    overlap_resampling,
     perspective_chat,
     pruned_graph,
     robust_outliers,
@@ -60,8 +62,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pigeonhole.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat, op2_toxicity, op3_quality, op4_neighbours, op5_language, op6_licenses, op7_pieces, op8_mixture, op9_pages, op10_simhash)
+    for f in (
+        op1_chat, op2_toxicity, op3_quality, op4_neighbours, op5_language, op6_licenses, op7_pieces, op8_mixture, op9_pages, op10_simhash,
+        op12_manifest, op13_resampling,
+    )
+}
+ORACLES = {
+    "op1_chat": perspective_chat.ORACLE,
+    "op6_licenses": license_join.oracle(),
+    "op8_mixture": water_filling.ORACLE,
+    "op9_pages": style_tree.ORACLE,
+    "op12_manifest": merkle_manifest.ORACLE,
+    "op13_resampling": overlap_resampling.ORACLE,
 }
-ORACLES = {"op1_chat": perspective_chat.ORACLE, "op6_licenses": license_join.oracle(), "op8_mixture": water_filling.ORACLE, "op9_pages": style_tree.ORACLE}
