@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm import (
+    additive_quality,
     crf_language,
     license_join,
     merkle_manifest,
@@ -62,6 +63,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pigeonhole.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
 
@@ -74,7 +79,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_chat, op2_toxicity, op3_quality, op4_neighbours, op5_language, op6_licenses, op7_pieces, op8_mixture, op9_pages, op10_simhash,
-        op12_manifest, op13_resampling,
+        op11_additive, op12_manifest, op13_resampling,
     )
 }
 ORACLES = {
