@@ -135,6 +135,23 @@ RUNS_SQL = runs_sql()
 METRICS_SQL = metrics_sql()
 
 
+# ---------------------------------------------------------------------------
+# A7 fleet runs <- events: the same attempts under served names such as ``SRC7:q8_0``
+# (two quantisations of 22 families; four of them have no samples, two sampled models no runs)
+# ---------------------------------------------------------------------------
+
+@memo
+def fleet_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = F.when(F.col("event_id") % 2 == 0, F.lit(":q4_K_M")).otherwise(F.lit(":q8_0"))
+    served = F.concat(F.lit("SRC"), (F.col("user_id") % 22 + 2).cast("string"), tag)
+    return runs(spark, sf_dir).select(served.alias("served"), "event_id", "eval_count", "eval_duration", "total_duration")
+
+
+FLEET_SQL = RUNS_SQL + """,
+fleet AS (SELECT 'SRC' || CAST(user_id % 22 + 2 AS VARCHAR) || CASE WHEN event_id % 2 = 0 THEN ':q4_K_M' ELSE ':q8_0' END AS served,
+    event_id, eval_count, eval_duration, total_duration FROM runs)"""
+
+
 # ---------------------------------------------------------------------------
 # A2 samples <- documents LEFT JOIN labels (no label: no pass_at_1, neither passed nor failed)
 # ---------------------------------------------------------------------------

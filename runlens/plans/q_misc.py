@@ -9,6 +9,8 @@ from runlens import schemas
 from runlens.functions import text as tx
 from runlens.operators import compare as CMP
 from runlens.operators import fleet as FL
+from runlens.operators import model_keys as MK
+from runlens.operators import outcomes as OC
 from runlens.operators import runs as R
 from runlens.operators import scorers as SC
 from runlens.operators import triage as TR
@@ -125,44 +127,40 @@ def q_labels_text(spark, sf):
 
 
 # --- run_diff: JN9 ---------------------------------------------------------------------
-@register("run_diff", _w(A.samples_sql(), A.OUTCOMES_SQL, """ab AS (
-  SELECT s.model, s.doc_id, sha256(s.reply) AS h_a, s.pass_at_1 = 1.0 AS p_a,
-    sha256(CASE WHEN s.doc_id % 5 = 0 THEN s.reply || ' ' ELSE s.reply END) AS h_b,
-    coalesce(o.passed, false) AS p_b
-  FROM samples s LEFT JOIN outcomes o ON s.model = o.model AND s.doc_id = o.doc_id)""") + """
-SELECT model, count(*) AS n_items, count(*) FILTER (WHERE h_a = h_b) AS identical,
-  count(*) FILTER (WHERE NOT p_a AND p_b) AS flipped_up, count(*) FILTER (WHERE p_a AND NOT p_b) AS flipped_down
-FROM ab GROUP BY model""")
+@register("run_diff", _w(A.samples_sql(), A.OUTCOMES_SQL, """a AS (SELECT model, doc_id, sha256(reply) AS h, pass_at_1 = 1.0 AS p FROM samples),
+b AS (SELECT s.model, s.doc_id, sha256(CASE WHEN s.doc_id % 5 = 0 THEN reply || ' ' ELSE reply END) AS h, o.passed AS p
+      FROM samples s JOIN outcomes o USING (model, doc_id))""") + """
+SELECT model, count(*) FILTER (WHERE b.h IS NOT NULL) AS n_items, count(*) FILTER (WHERE b.h IS NULL) AS only_a,
+  0::BIGINT AS only_b, count(*) FILTER (WHERE a.h = b.h) AS identical,
+  count(*) FILTER (WHERE NOT a.p AND b.p) AS flipped_up, count(*) FILTER (WHERE a.p AND NOT b.p) AS flipped_down,
+  count(*) FILTER (WHERE b.h IS NOT NULL AND (a.p IS NULL OR b.p IS NULL)) AS unknown
+FROM a LEFT JOIN b USING (model, doc_id) GROUP BY model""")
 def q_run_diff(spark, sf):
+    # first run: every sample; second run: the re-executed ones, some replies with a changed end
     s = QT.samples(spark, sf)
-    a = s.select("model", "doc_id", "raw", (F.col("pass_at_1") == 1.0).alias("passed"))
+    flagged = s.select("model", "doc_id", "raw", OC.from_score("pass_at_1").alias("passed"))
+    a = CMP.fingerprinted(flagged, ["model", "doc_id"], "raw", "passed")
+    changed = F.when(F.col("doc_id") % 5 == 0, F.concat("raw", F.lit(" "))).otherwise(F.col("raw"))
+    b = s.select("model", "doc_id", F.sha2(changed, 256).alias("digest"))
     o = CMP.latest_outcomes(A.outcomes(spark, sf), ["model", "doc_id"])
-    b = (s.select("model", "doc_id",
-                  F.when(F.col("doc_id") % 5 == 0, F.concat("raw", F.lit(" "))).otherwise(F.col("raw")).alias("raw"))
-         .join(o, ["model", "doc_id"], "left")
-         .withColumn("passed", F.coalesce("passed", F.lit(False))))
-    return CMP.run_diff(a, b, ["model", "doc_id"], "raw", "passed", ["model"])
+    return CMP.digest_diff(a, R.null_safe_join(b, o, ["model", "doc_id"]), ["model", "doc_id"], ["model"])
 
 
 # --- speed_vs_accuracy: JN10 -----------------------------------------------------------
-@register("speed_vs_accuracy", _w(A.METRICS_SQL, A.samples_sql(), """sp AS (
-  SELECT model, avg(mean) AS mean_tps, row_number() OVER (ORDER BY model) AS ord
-  FROM cells WHERE metric = 'Tokens_Per_Sec' GROUP BY model),
-ac AS (SELECT model, avg(pass_at_1) AS accuracy, row_number() OVER (ORDER BY model) AS ord
-  FROM samples GROUP BY model)""") + """
-SELECT CAST(coalesce(sp.ord, ac.ord) AS INTEGER) AS ord, sp.model AS speed_model, round(sp.mean_tps, 4) AS mean_tps,
-  ac.model AS acc_model, round(ac.accuracy, 4) AS accuracy
-FROM sp FULL OUTER JOIN ac ON sp.ord = ac.ord""")
+@register("speed_vs_accuracy", _w(A.FLEET_SQL, """sp AS (
+  SELECT served, avg(CASE WHEN eval_duration > 0 THEN eval_count / (eval_duration / 1e9) ELSE 0 END) AS mean_tps
+  FROM fleet GROUP BY served),
+ac AS (SELECT d.source AS model, avg(l.quality) AS accuracy FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.source)""") + """
+SELECT sp.served AS speed_model, ac.model AS acc_model, lower(coalesce(ac.model, split_part(served, ':', 1))) AS model_key,
+  round(mean_tps, 4) AS mean_tps, round(100 * accuracy, 4) AS accuracy
+FROM sp FULL OUTER JOIN ac ON lower(split_part(served, ':', 1)) = lower(ac.model)""")
 def q_speed_vs_accuracy(spark, sf):
-    c = QR.cells(spark, sf).filter(F.col("metric") == schemas.TPS)
-    # ranks are taken over one row per model (aggregated, bounded inputs)
-    sp = (c.groupBy("model").agg(F.avg("mean").alias("mean_tps"))
-          .withColumn("ord", F.row_number().over(Window.orderBy("model"))))
-    ac = (QT.samples(spark, sf).groupBy("model").agg(F.avg("pass_at_1").alias("accuracy"))
-          .withColumn("ord", F.row_number().over(Window.orderBy("model"))))
-    j = sp.withColumnRenamed("model", "speed_model").join(ac.withColumnRenamed("model", "acc_model"), "ord", "full")
-    return j.select(F.col("ord").cast("int").alias("ord"), "speed_model", F.round("mean_tps", 4).alias("mean_tps"),
-                    "acc_model", F.round("accuracy", 4).alias("accuracy"))
+    runs = R.response_metrics(A.fleet_runs(spark, sf), error_col=None)
+    speed = runs.groupBy("served").agg(F.avg("tps").alias("mean_tps"))
+    acc = CMP.accuracy(QT.samples(spark, sf)).select("model", "accuracy")
+    j = MK.join_on_model(speed, "served", acc, "model")
+    return j.select(F.col("served").alias("speed_model"), F.col("model").alias("acc_model"), "model_key",
+                    F.round("mean_tps", 4).alias("mean_tps"), F.round("accuracy", 4).alias("accuracy"))
 
 
 # --- agreement_rollup: AG16 ------------------------------------------------------------
@@ -430,21 +428,14 @@ def q_budget_audit(spark, sf):
 
 # --- summary_json: SNK6 -----------------------------------------------------------------
 _V = schemas.VERDICTS
-SUMMARY_JSON_SQL = _w(*QT.TEXT_SQL, QT.EXPECTED_SQL, A.OUTCOMES_SQL, """lo AS (
-  SELECT model, doc_id, arg_max(passed, attempt) AS passed FROM outcomes GROUP BY model, doc_id),
-j AS (SELECT s.model, s.doc_id, s.pass_at_1, coalesce(lo.passed, false) AS now
-      FROM samples s LEFT JOIN lo ON s.model = lo.model AND s.doc_id = lo.doc_id),
-r AS (SELECT model, count(*) AS n, round(100.0 * sum(pass_at_1) / count(*), 4) AS published,
-  round(CAST(100 AS DOUBLE) * count(DISTINCT CASE WHEN now THEN doc_id END) / count(*), 4) AS corrected,
-  count(*) FILTER (WHERE pass_at_1 = 0.0 AND now) AS recovered,
-  count(*) FILTER (WHERE pass_at_1 = 1.0 AND NOT now) AS regressed FROM j GROUP BY model),""" + f"""
+SUMMARY_JSON_SQL = _w(*QT.TEXT_SQL, QT.EXPECTED_SQL, *QT.RESCORE_SQL, f"""
 v AS (SELECT model, {", ".join(f"count(*) FILTER (WHERE pass_at_1 = 0.0 AND verdict = '{x}') AS c{i}" for i, x in enumerate(_V))}
   FROM x GROUP BY model)""") + f"""
-SELECT r.model, CAST(to_json({{'model': r.model, 'n': r.n, 'published_pass@1': r.published,
-  'corrected_pass@1': r.corrected, 'recovered': r.recovered, 'regressed': r.regressed,
+SELECT r.model, CAST(to_json({{'model': r.model, 'n': r.n, 'n_known': r.n_known, 'published_pass@1': round(r.published, 4),
+  'corrected_pass@1': round(r.corrected, 4), 'recovered': r.recovered, 'regressed': r.regressed,
   'triage': MAP([{", ".join(f"'{x}'" for x in _V)}], [{", ".join(f"coalesce(v.c{i}, 0)" for i in range(len(_V)))}])}}) AS VARCHAR)
   AS json
-FROM r LEFT JOIN v ON r.model = v.model"""
+FROM rescore r LEFT JOIN v ON r.model IS NOT DISTINCT FROM v.model"""
 
 
 @register("summary_json", SUMMARY_JSON_SQL)
@@ -454,8 +445,8 @@ def q_summary_json(spark, sf):
     counts = TR.verdict_counts(QT.triaged_failures(spark, sf), ["model"])
     triage_map = F.map_from_arrays(F.array(*[F.lit(v) for v in schemas.VERDICTS]),
                                    F.array(*[F.coalesce(F.col(v), F.lit(0)) for v in schemas.VERDICTS]))
-    j = r.join(counts, "model", "left")
-    doc = F.struct("model", "n", F.round("published", 4).alias("published_pass@1"),
+    j = R.null_safe_join(r, counts, ["model"], "left")
+    doc = F.struct("model", "n", "n_known", F.round("published", 4).alias("published_pass@1"),
                    F.round("corrected", 4).alias("corrected_pass@1"), "recovered", "regressed",
                    triage_map.alias("triage"))
-    return j.select("model", F.to_json(doc).alias("json"))
+    return j.select("model", F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))

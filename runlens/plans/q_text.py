@@ -9,6 +9,7 @@ from runlens import schemas
 from runlens.functions import text as tx
 from runlens.operators import compare as CMP
 from runlens.operators import extract as X
+from runlens.operators import outcomes as OC
 from runlens.operators import triage as TR
 from runlens.plans import adapters as A
 from runlens.plans.registry import register
@@ -164,25 +165,41 @@ def q_verdict_summary(spark, sf):
     return models.join(counts, "model", "left").fillna(zeros)
 
 
+# --- rescoring CTEs: JN6, AG7, AG8, AG9 (labelled rows are counted from the labels) -----
+RESCORE_SQL = [A.OUTCOMES_SQL, """scored AS (
+  SELECT d.source AS model, d.doc_id, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE l.quality IS NOT NULL)""", """
+rates AS (
+  SELECT s.model, count(*) AS n_known, 100.0::DOUBLE * avg(quality) AS published,
+    100.0::DOUBLE * count(DISTINCT s.doc_id) FILTER (WHERE o.passed) / count(*) AS corrected, count(o.passed) AS n_rerun,
+    count(*) FILTER (WHERE quality = 0 AND o.passed) AS recovered,
+    count(*) FILTER (WHERE quality = 1 AND o.passed IS DISTINCT FROM true) AS regressed
+  FROM scored s LEFT JOIN outcomes o USING (model, doc_id) GROUP BY s.model)""", """
+rescore AS (
+  SELECT m.model, m.n, coalesce(n_known, 0) AS n_known, coalesce(n_known, 0)::DOUBLE / m.n AS coverage, published, corrected,
+    coalesce(n_rerun, 0) AS n_rerun, coalesce(recovered, 0) AS recovered, coalesce(regressed, 0) AS regressed
+  FROM (SELECT source AS model, count(*) AS n FROM documents GROUP BY source) m LEFT JOIN rates r ON m.model IS NOT DISTINCT FROM r.model)"""]
+
+
 # --- verdict_table: SNK8 -------------------------------------------------------------
+def _pct_sql(c: str) -> str:
+    return f"lpad(coalesce(printf('%.1f', {c}) || '%', '---'), 11, ' ')"
+
+
 _VTEXT = " || ".join(f"lpad(CAST(count(*) FILTER (WHERE pass_at_1 = 0.0 AND verdict = '{v}') AS VARCHAR), 13, ' ')"
                      for v in schemas.VERDICTS)
 
 
-@register("verdict_table", _w(*TEXT_SQL, EXPECTED_SQL) + f"""
-SELECT model, printf('%.1f', 100.0 * sum(pass_at_1) / count(*)) || '%' AS published_text,
-  {_VTEXT} AS counts_text
-FROM x GROUP BY model""")
+@register("verdict_table", _w(*TEXT_SQL, EXPECTED_SQL, *RESCORE_SQL, f"""counted AS (
+  SELECT model, {_VTEXT} AS counts FROM x GROUP BY model)""") + f"""
+SELECT r.model, rpad(r.model, 22, ' ') || {_pct_sql("published")} || {_pct_sql("corrected")}
+  || lpad(CAST(recovered AS VARCHAR), 11, ' ') || lpad(CAST(regressed AS VARCHAR), 11, ' ') || counts AS line,
+  lpad(printf('%.1f', 100 * coverage) || '%', 11, ' ') AS coverage_text
+FROM rescore r JOIN counted c ON r.model IS NOT DISTINCT FROM c.model""")
 def q_verdict_table(spark, sf):
-    # the published rate needs every sample but no parsing; only failures go through
-    # the Python pass; the two per-model aggregates are joined
-    pub = samples(spark, sf).groupBy("model").agg(
-        (F.lit(100.0) * F.sum("pass_at_1") / F.count(F.lit(1))).alias("published"))
+    # rates need every sample but no parsing; only failures go through the Python pass
+    rates = CMP.rescore_summary(samples(spark, sf), A.outcomes(spark, sf))
     counts = TR.verdict_counts(triaged_failures(spark, sf), ["model"])
-    g = pub.join(counts, "model", "left").fillna({v: 0 for v in schemas.VERDICTS})
-    text = F.concat(*[F.lpad(F.col(v).cast("string"), 13, " ") for v in schemas.VERDICTS])
-    return g.select("model", F.concat(tx.fmt("published", 1), F.lit("%")).alias("published_text"),
-                    text.alias("counts_text"))
+    return SK.verdict_lines(rates, counts)
 
 
 # --- empty_answers: PF11, PF12, AG12 -------------------------------------------------
@@ -194,19 +211,24 @@ def q_empty_answers(spark, sf):
 
 
 # --- rescore_summary: JN6, AG7, AG8, AG9 ---------------------------------------------
-@register("rescore_summary", _w(A.samples_sql(), A.OUTCOMES_SQL, """lo AS (
-  SELECT model, doc_id, arg_max(passed, attempt) AS passed FROM outcomes GROUP BY model, doc_id),
-j AS (SELECT s.model, s.doc_id, s.pass_at_1, coalesce(lo.passed, false) AS now
-      FROM samples s LEFT JOIN lo ON s.model = lo.model AND s.doc_id = lo.doc_id)""") + """
-SELECT model, count(*) AS n, round(100.0 * sum(pass_at_1) / count(*), 4) AS published,
-  round(CAST(100 AS DOUBLE) * count(DISTINCT CASE WHEN now THEN doc_id END) / count(*), 4) AS corrected,
-  count(*) FILTER (WHERE pass_at_1 = 0.0 AND now) AS recovered,
-  count(*) FILTER (WHERE pass_at_1 = 1.0 AND NOT now) AS regressed
-FROM j GROUP BY model""")
+@register("rescore_summary", _w(*RESCORE_SQL) + """
+SELECT model, n, n_known, round(coverage, 4) AS coverage, round(published, 4) AS published, round(corrected, 4) AS corrected,
+  n_rerun, recovered, regressed FROM rescore""")
 def q_rescore(spark, sf):
     r = CMP.rescore_summary(samples(spark, sf), A.outcomes(spark, sf))
-    return r.select("model", "n", F.round("published", 4).alias("published"),
-                    F.round("corrected", 4).alias("corrected"), "recovered", "regressed")
+    shown = [F.round(c, 4).alias(c) for c in ("coverage", "published", "corrected")]
+    return r.select("model", "n", "n_known", *shown, "n_rerun", "recovered", "regressed")
+
+
+# --- outcome_transitions: JN6, AG9 (all nine moves of a sample between two scorings) ----
+@register("outcome_transitions", _w(A.OUTCOMES_SQL, """j AS (
+  SELECT d.source AS model, coalesce(CASE l.quality WHEN 1 THEN 'pass' WHEN 0 THEN 'fail' END, 'unknown') AS was,
+    CASE WHEN o.passed THEN 'pass' WHEN NOT o.passed THEN 'fail' ELSE 'unknown' END AS now
+  FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN outcomes o USING (doc_id))""") + "SELECT model, " + ", ".join(
+    f"count(*) FILTER (WHERE was = '{a}' AND now = '{b}') AS {a}_to_{b}" for a in OC.STATES for b in OC.STATES) + " FROM j GROUP BY model")
+def q_outcome_transitions(spark, sf):
+    j = CMP.rescored(samples(spark, sf), A.outcomes(spark, sf))
+    return j.groupBy("model").agg(*OC.transition_counts(F.col("published"), F.col("rerun")))
 
 
 # --- pass_at_k: AG10, AG11, BS4 ------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from runlens import schemas
 from runlens.functions import text as tx
+from runlens.operators.runs import null_safe_join
 
 
 def csv_field(c) -> F.Column:
@@ -97,6 +98,21 @@ def table_rows(cells: DataFrame, prompts, row_keys=("model", "row_metric"), prom
                                         F.lit(" \\\\")).alias("row_text"))
 
 
+def verdict_lines(rates: DataFrame, counts: DataFrame, model_col: str = "model") -> DataFrame:
+    """[SNK8] One fixed-width line a model: published and corrected percent (``---`` where no
+    outcome is known), recovered, regressed, one column per verdict; coverage beside it."""
+    j = null_safe_join(rates, counts, [model_col], "left").fillna({v: 0 for v in schemas.VERDICTS})
+
+    def percent(c: str) -> F.Column:
+        return F.lpad(F.coalesce(F.concat(tx.fmt(c, 1), F.lit("%")), F.lit(schemas.MISSING_CELL)), 11, " ")
+
+    number = [F.lpad(F.col(c).cast("string"), w, " ") for c, w in
+              [("recovered", 11), ("regressed", 11), *[(v, 13) for v in schemas.VERDICTS]]]
+    line = F.concat(F.rpad(model_col, 22, " "), percent("published"), percent("corrected"), *number)
+    share = F.lpad(F.concat(tx.fmt(F.col("coverage") * 100, 1), F.lit("%")), 11, " ")
+    return j.select(model_col, line.alias("line"), share.alias("coverage_text"))
+
+
 def write_reviews(reviews: DataFrame, path: str, key_col: str = "file_key") -> None:
     """[SNK7] Review rows as JSON lines, one output directory per model key (``:`` -> ``_``)."""
     reviews.write.mode("overwrite").partitionBy(key_col).json(path)
