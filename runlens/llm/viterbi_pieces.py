@@ -26,6 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -276,13 +277,17 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     blocks of about ``BLOCK_CHARS`` characters, so its memory does not follow the batch."""
     pieces = Pieces.load(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b["text"]]
+            doc_id, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
             for lo, hi in text_blocks(texts, BLOCK_CHARS):
                 ids = [np.array(i, np.int32) for i in pieces.encode_all(texts[lo:hi])]
                 same = [pieces.decode(i.tolist()) == t for i, t in zip(ids, texts[lo:hi], strict=True)]
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].array, "n_ids": [len(i) for i in ids], "ids": ids, "restored": same})
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int64).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                columns = [doc_id.slice(lo, hi - lo), pa.array(np.diff(ends).astype(np.int64)), lists, pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_ids", "ids", "restored"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_ids long, ids array<int>, restored boolean")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, n_ids long, ids array<int>, restored boolean")
