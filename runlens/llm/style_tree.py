@@ -10,17 +10,26 @@ presentation and, the deeper the more, the content beneath it; branches below
 ``LOW`` that were seen on ``MIN_PAGES`` pages are removed from each page.
 
 Roles come first: menus, headers, footers, asides, notices, adverts, forms, comments and
-the like, by element or class name, have no importance.  The article element (or main) is
-never removed for being alike on many pages, since copied articles are articles: on a page
-that marks one, the tree judges the branches strictly below the innermost mark, and none
-if the marked element as a whole is of low importance.  If all of a page is of low
-importance, nothing more is removed from it.
+the like, by element or by whole class or id name, have no importance.  A name counts as a
+whole, on either side of an article: qualifiers aside it must be a word for furniture, a
+pair of such words or a known compound (``cookie-notice``, ``post-share-bar``); names that
+only hold such a word (``login-guide``, ``social-policy``) are left to the tree.
+
+The article element (or main) is never removed for being alike on many pages, since copied
+articles are articles: on a page that marks one, the tree judges the branches strictly below
+the innermost mark, and none if the marked element as a whole is of low importance.  A mark
+is trusted if the marked elements hold at least half of the page's running text (blocks of
+``PROSE`` characters or more); else they are cards beside the main text, which is then what
+stands outside them.  If all of a page is of low importance, nothing more is removed from it.
 
 Pages are parsed by the task that reads them; only counts by host and path are shuffled,
 combined before, so a host with a third of all pages is no task's burden.
 
 Defined results: null html -> empty text; null or odd url -> host of its own name; broken
-markup is read as browsers do in the main (implied ends of p, li, td and the like).
+markup is read as browsers do in the main (implied ends of p, li, td and the like; ``/>``
+closes svg, math and what stands in them, and an HTML block ends an svg left open).  Of
+elements whose content is no markup, one without an end tag hides nothing but script and
+style code, so a cut or self-closed one cannot swallow the rest of a page.
 """
 
 from __future__ import annotations
@@ -38,36 +47,53 @@ from pyspark.sql import functions as F
 
 from runlens.llm.common import materialise
 
-LOW, MIN_PAGES, DAMPING, MAX_DEPTH = 0.2, 5, 0.9, 32
+LOW, MIN_PAGES, DAMPING, DEPTH, PROSE = 0.2, 5, 0.9, 32, 60
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.DOTALL)
 _ATTR = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 # Element and class names of the HTML standard and common usage.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-RAW = set("script style noscript template textarea title iframe svg".split())
+RAW = set("script style textarea title iframe noembed noframes xmp".split())
+CODE, FOREIGN = set("script style".split()), set("svg math".split())
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br".split())
-DROPPED = set("head script style noscript template iframe svg nav aside form footer menu dialog button select textarea input object".split())
+DROPPED = set("head script style noscript template iframe svg math nav aside form footer menu dialog button select textarea input object".split())
 ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = set("ul ol dl table article section div main nav aside footer header form blockquote body html".split())
+ENDS_FOREIGN = ENDS_P | set("body br code dd dt em embed head i img li b big s small span strike strong sub sup tt u var".split())
 NOISE = re.compile(
     r"ad|ads|advert\w*|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar|footer|masthead|banner|cookies?|consent|gdpr|notice|notification|popup|modal|"
-    r"newsletter|subscribe|signup|share|sharing|social|related|recommended|comment|comments|respond|replies|disqus|widget|pagination|pager|login|search|toolbar|skip"
+    r"newsletter|subscribe|signup|share|sharing|social|related|recommended|comment|comments|commentlist|respond|replies|disqus|widget|pagination|pager|login|search|toolbar|skip"
 )
-
-# Inside an article only whole names count, and words with other senses are left to the tree.
-SENSES = re.compile(r"menu\w*|notice|share|sharing|social|related|search|skip")
+#: Words with other senses: alone they are furniture outside an article only, in a pair with
+#: another word for furniture everywhere.
+SENSES = re.compile(r"menu\w*|notice|share|sharing|social|related|search|skip|recommended|login|banner|notification|replies|respond")
+#: Words that say where or of what kind a piece of furniture is.
+QUALIFIERS = set(
+    "post page site article entry blog user reader readers main global top bottom left right middle center primary secondary upper lower sticky fixed mobile desktop js wp "
+    "box bar section container wrapper wrap block area slot unit body list inner outer row col holder group header head title".split()
+)
+#: Compounds of an ambiguous word that are furniture.
 FURNITURE = re.compile(
-    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|newsletter|subscribe|signup|comments?|breadcrumbs?|sidebar|cookies?|widget)"
-    r"[_-](?:box|bar|buttons?|links?|list|form|section|container|wrapper|block|area|slot|unit|banner|body|item)|"
-    r"(?:share|sharing|social)[_-](?:bar|buttons?|links?|icons?|share)|related[_-](?:posts?|articles?|stories|links)|search[_-](?:box|form|bar)|skip[_-](?:links?|nav)"
+    r"(?:share|sharing|social|comment|ad|nav|menu|cookie|widget|sponsor|promo|newsletter)-(?:buttons?|links?|icons?|form|count|meta)|"
+    r"(?:share|sharing|social)-(?:bar|box|block|section|share)|related-(?:posts?|articles?|stories|links|box|section)|"
+    r"(?:search|login|signup)-(?:box|form|bar)|skip-(?:links?|nav)|leave-(?:a-)?(?:comment|reply)|you-may-(?:also-)?like"
 )
 ROLES = {"navigation", "banner", "menu", "menubar", "toolbar", "search", "complementary", "contentinfo", "dialog", "alert"}
 
 
-def _furniture(name: str) -> bool:
-    """Whether a whole class or id name is noise inside an article."""
-    return bool(NOISE.fullmatch(name) and not SENSES.fullmatch(name) or FURNITURE.fullmatch(name))
+def furniture(name: str, inside: bool) -> bool:
+    """Whether a whole class or id name means furniture; ``inside`` an article an ambiguous
+    word alone does not."""
+    words = [w for w in re.split(r"[_-]+", name) if w]
+    core = [w for w in words if w not in QUALIFIERS]
+    if not core:
+        return False
+    if FURNITURE.fullmatch("-".join(words)) or any(FURNITURE.fullmatch("-".join(words[k:])) for k in range(1, len(words)) if words[k - 1] in QUALIFIERS):
+        return True
+    if not all(NOISE.fullmatch(w) for w in core):
+        return False
+    return len(core) > 1 or not SENSES.fullmatch(core[0]) or not inside and len(words) == 1
 
 
 def _kind(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool]:
@@ -77,15 +103,16 @@ def _kind(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool]:
         return "", tag in DROPPED, tag in ("article", "main")
     got = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTR.findall(attrs)}
     whole = f"{got.get('class', '')} {got.get('id', '')}".split()
-    names = [x for n in whole for x in re.split(r"[_-]+", n)] + [got.get("role", "")]
-    named = got.get("role") in ROLES or any(map(_furniture, whole)) if inside else any(NOISE.fullmatch(n) for n in names)
-    noise = tag in DROPPED or named or "hidden" in got or got.get("aria-hidden") == "true"
-    noise = noise or "display:none" in got.get("style", "").replace(" ", "") or got.get("role") in ("complementary", "contentinfo", "dialog", "alert")
-    if tag in ("html", "body", "article", "main"):
-        noise = tag == "article" and any(n in ("comment", "comments", "related", "promo") or FURNITURE.fullmatch(n) for n in whole)
+    noise = tag in DROPPED or got.get("role") in ROLES or "hidden" in got or got.get("aria-hidden") == "true"
+    noise = noise or "display:none" in got.get("style", "").replace(" ", "") or any(furniture(n, inside) for n in whole)
+    if tag in ("html", "body", "article", "main"):  # an article may be a reader's comment or a teaser
+        noise = tag == "article" and any(n in ("comment", "comments", "related", "promo") or furniture(n, True) for n in whole)
     return ".".join(sorted(got.get("class", "").split())), noise, tag in ("article", "main") or got.get("role") == "main"
 
 
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW}
+
+
 class _Node:
     __slots__ = ("tag", "path", "noise", "main", "children")
 
@@ -93,6 +120,15 @@ class _Node:
         self.tag, self.path, self.noise, self.main, self.children = tag, path, noise, main, []  # main: path of the innermost mark, else ""
 
 
+def _below(path: str, step: str) -> str:
+    """Path of a child; beyond ``DEPTH`` levels the rest is named by its hash, so that paths
+    stay short and different branches stay apart."""
+    if path.count("/") <= DEPTH:
+        return f"{path}/{step}"
+    base = path.rsplit("/", 1)[0]
+    return f"{base}/{xxhash.xxh64_hexdigest(f'{path}/{step}')}"
+
+
 def blocks(page: str) -> tuple[list[tuple[str, str, bool, str]], list[tuple[str, str]]]:
     """Text blocks (path, text, noise, path of the innermost article around it or "") in page
     order, and the presentation (path, sequence of child elements) of every element outside
@@ -150,13 +186,22 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, str]], list[tuple[str,
             if tag not in INLINE:
                 flush()
             continue
-        top = stack[-1]
-        if tag in RAW:  # its content is not markup
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
-            at = stop.start() if stop else end
-            tail = page.find(">", at)
+        closed = m[3].rstrip().endswith("/")
+        foreign = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in FOREIGN), 0)
+        if foreign and tag in ENDS_FOREIGN and not any(n.tag == "foreignobject" for n in stack[foreign:]):
+            flush()
+            close(foreign)
+            foreign = 0
+        if tag in RAW and not (foreign and closed):  # its content is not markup
+            stop = _END[tag].search(page, at)
+            if stop is None:  # cut off: code hides the rest, unless the element was closed at once
+                at = end if tag in CODE and not closed else at
+                continue
+            tail = page.find(">", stop.start())
             at = end if tail < 0 else tail + 1
             continue
+        if closed and (foreign or tag in FOREIGN):
+            continue
         if tag not in INLINE or noise:
             flush()
         if tag in ENDS_P:
@@ -181,9 +226,8 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, str]], list[tuple[str,
         if len(top.children) < 1 or top.children[-1] != step:  # a run of equal children counts once
             top.children.append(step)
         inline = tag in INLINE and not noise
-        path = top.path if inline or len(stack) > MAX_DEPTH else f"{top.path}/{step}"
-        if not m[3].endswith("/") or tag not in VOID:
-            stack.append(_Node(tag, path, top.noise or noise, "" if noise else (path or "/") if main else top.main))
+        path = top.path if inline else _below(top.path, step)
+        stack.append(_Node(tag, path, top.noise or noise, "" if noise else (path or "/") if main else top.main))
     flush()
     close(1)
     return out, shown
@@ -198,11 +242,14 @@ def prunable(block: tuple[str, str, bool, str]) -> list[str]:
 
 
 def kept_blocks(page: str | None, low: set[str] = frozenset()) -> list[tuple[str, str, bool, str]]:
-    """The page's blocks that are left: of its article if it marks one, else all that is no
-    noise; without those in a branch of low importance."""
+    """The page's blocks that are left: of its article if it marks one that holds most of the
+    running text, else what is no noise and no card; without those in a branch of low
+    importance."""
     got = [b for b in blocks(page or "")[0] if not b[2]]
-    if any(b[3] for b in got):
-        got = [b for b in got if b[3]]
+    marked = [b for b in got if b[3]]
+    if marked:
+        prose, inside = (sum(len(b[1]) for b in part if len(b[1]) >= PROSE) for part in (got, marked))
+        got = marked if 2 * inside >= prose else [b for b in got if not b[3]]
     kept = [b for b in got if b[3] in low or not any(p in low for p in prunable(b))] if low else got
     return kept or got
 
@@ -274,13 +321,15 @@ def open_paths(pages: DataFrame) -> DataFrame:
                 rows += [(key, host_of(url), p) for p in ups]
             yield pd.DataFrame(rows, columns=["page", "host", "path"])
 
-    return pages.mapInPandas(run, "page long, host string, path string")
+    return pages.mapInPandas(run, "page string, host string, path string")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html)."""
     own = pages.select("page_id", "url", "html")
-    keyed = own.select(F.xxhash64("page_id", "url", "html").alias("page"), "page_id", "url", "html")
+    # two 64-bit hashes name a row; rows equal in all three columns share it and its cuts
+    name = F.concat_ws("-", F.hex(F.xxhash64("page_id", "url", "html")), F.hex(F.xxhash64(F.lit(1), "html", "url", "page_id")))
+    keyed = own.select(name.alias("page"), "page_id", "url", "html")
     low = materialise(low_branches(materialise(importance(style_counts(own)), "style-nodes")), "style-low")
     cut = open_paths(keyed.select("page", "url", "html")).join(low, ["host", "path"]).groupBy("page").agg(F.collect_set("path").alias("low"))
     cut = materialise(cut.withColumnRenamed("page", "__page"), "style-cut")
@@ -301,7 +350,7 @@ WITH a AS (
   FROM pages),
 b AS (SELECT page_id, url, unnest(string_split(regexp_replace(regexp_replace(replace(h, '<br>', ' '), '</?(h1|p)>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10))) AS l,
              generate_subscripts(string_split(regexp_replace(regexp_replace(replace(h, '<br>', ' '), '</?(h1|p)>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)), 1) AS i FROM a),
-c AS (SELECT page_id, url, i, trim(regexp_replace(replace(replace(replace(replace(replace(l, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#39;', ''''), '&amp;', '&'), ' +', ' ', 'g')) AS l FROM b),
+c AS (SELECT page_id, url, i, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(l, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&#39;?', '''', 'g'), '&amp;?', '&', 'g'), ' +', ' ', 'g')) AS l FROM b),
 t AS (SELECT page_id, url, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE l <> ''), '') AS text FROM c GROUP BY page_id, url)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
 """
