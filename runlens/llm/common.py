@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.session import ensure_checkpoint_dir, scratch_path
+from runlens.session import scratch_path
 
 #: ASCII white space of the word definition ``[^\x20\x09-\x0D]+``.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -24,25 +24,47 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fold(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod`` (null for a null id)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % mod
 
 
-def bounded_rows(ids: DataFrame, docs: DataFrame, bound: int, keep: list[str]) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` stands in the bounded table ``ids``.
+#: Characters of one sampled text that training reads at most.
+SAMPLE_CHARS = 16_384
+
+
+def shortened(text: str, most: int = SAMPLE_CHARS) -> str:
+    """A sampled text of at most ``most`` characters: of a longer one, evenly spaced pieces
+    (a text without white space is one long word and is cut the same way)."""
+    if len(text) <= most:
+        return text
+    pieces = 16
+    size = most // pieces - 1
+    return " ".join(text[at : at + size] for at in np.linspace(0, len(text) - size, pieces).astype(int).tolist())
+
+
+def bounded_rows(ids: DataFrame, docs: DataFrame, bound: int, keep: list[str], thin) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` stands in the bounded table ``ids``, each text
+    thinned to a bounded size (``thin``, then :func:`shortened`) where it lies.
 
     ``ids`` holds at most ``bound`` rows, so it is broadcast; repeated ids cannot make
-    the sample larger than ``bound`` rows (a top-k by hash, no unbounded sort)."""
-    got = docs.join(F.broadcast(ids), "doc_id").select(*keep)
+    the sample larger than ``bound`` rows (a top-k by hash of thinned rows)."""
+    cut = F.pandas_udf(lambda s: s.map(lambda t: shortened(thin(t))), "string")
+    got = docs.join(F.broadcast(ids), "doc_id").withColumn("text", cut("text")).select(*keep)
     return got.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(bound)
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``docs`` does not have (case aside)."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 # ---------------------------------------------------------------- words as bytes
 
 _LETTER = np.zeros(256, bool)

@@ -300,7 +300,7 @@ def training_rows(docs: DataFrame, may_train: Column, rows_per_lang: int = ROWS_
     ids = ids.withColumn("rk", F.row_number().over(by)).filter(F.col("rk") <= rows_per_lang)
     ids = ids.orderBy("rk", "lang").limit(max_rows).select("doc_id").distinct()
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    return bounded_rows(ids, rows, max_rows, ["doc_id", "text", "lang"])
+    return bounded_rows(ids, rows, max_rows, ["doc_id", "text", "lang"], _run_of_words)
 
 
 def _run_of_words(text: str) -> str:
@@ -315,8 +315,7 @@ def _run_of_words(text: str) -> str:
 def fit(docs: DataFrame, may_train: Column, **bounds: int) -> CRF:
     """Learn from text and lang of the rows for which ``may_train`` holds (a bounded
     sample: :data:`ROWS_PER_LANG`, :data:`MAX_ROWS`)."""
-    thin = F.pandas_udf(lambda s: s.map(_run_of_words), "string")
-    got = training_rows(docs, may_train, **bounds).withColumn("text", thin("text")).collect()
+    got = training_rows(docs, may_train, **bounds).collect()
     got.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
     return train([r["text"] for r in got], [r["lang"] for r in got])
 

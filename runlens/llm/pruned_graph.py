@@ -144,6 +144,11 @@ def _unit(vecs: np.ndarray) -> np.ndarray:
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _scaled(vecs: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each (exact), so that no square overflows or vanishes."""
+    return np.ldexp(vecs, -np.frexp(np.abs(vecs).max(1))[1][:, None])
+
+
 def index(classes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """dim, shard, node, cls, vec, edges, entry of every class: one graph per shard."""
     sizes = classes.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
@@ -177,6 +182,7 @@ def search(index_rows: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH
         for i, e in enumerate(graph["edges"]):
             edges[i, : len(e)] = e
         x, q = _unit(vecs), _unit(qs)
+        vecs, qs = _scaled(vecs), _scaled(qs)
         norm = np.sqrt((vecs * vecs).sum(1))
         out = []
         for lo in range(0, len(q), BATCH):

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import checkpointed, materialise
+from runlens.llm.common import materialise, unused
 
 SHINGLE, MAX_BITS, SEED, BLOCK = 3, 3, 42, 1024
 #: Relative cost of one routed row and one compared pair, for the choice of partitions.
@@ -338,9 +338,14 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one row of each group left: the smallest doc_id (ids
-    before null, then a hash of the text); all columns, whole texts."""
-    row = F.xxhash64("doc_id", "text")
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), row.alias("row"))
-    stay = near_duplicates(docs, key, F.col("text")).select(F.col("low.row").alias("__stay")).distinct()
-    kept = docs.withColumn("__row", row).join(materialise(stay, "simhash-stay"), F.col("__row") == F.col("__stay"), "left_semi")
-    return kept.dropDuplicates(["__row"]).drop("__row")
+    before null); among rows of one id the first in the order of two 64-bit hashes over all
+    columns, so the choice does not depend on partitions and rows that differ anywhere are
+    told apart.  Rows equal in all columns are one row.  All columns, whole texts."""
+    row, mark = unused(docs, "__row", "__stay")
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    both = F.struct(F.xxhash64(*every).alias("h1"), F.xxhash64(F.lit(1), *reversed(every)).alias("h2"))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), both.alias("row"))
+    stay = near_duplicates(docs, key, F.col("text")).select(F.col("low.row").alias(mark)).distinct()
+    stay = materialise(stay, "simhash-stay")
+    kept = docs.withColumn(row, both).join(stay, F.col(row) == F.col(mark), "left_semi")
+    return kept.dropDuplicates([row]).drop(row)

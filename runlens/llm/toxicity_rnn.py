@@ -11,8 +11,8 @@ epoch takes from every sampled text the window that scores highest at that time
 (multiple-instance learning; a random one in the first epoch), back-propagates through
 time and updates with Adam.  Labels, language, source and id are never inputs.
 
-Defined results: null text or text without a letter -> score 0.0.  No labelled rows ->
-score 0.0 for every text.  Labels other than 0 and 1 are ignored; a document labelled
+Defined results: null text or text without a letter -> score 0.0.  No labelled rows, or one
+label only -> score 0.0 for every text.  Labels other than 0 and 1 are ignored; a document labelled
 twice counts once, by its larger label.
 """
 
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from runlens.llm.common import Words, bounded_rows, fold, text_blocks
 
-#: Window and step in words; every word lies in at least one window.
-WINDOW, STEP = 24, 16
+#: Window and step in words; every run of up to ``WINDOW - STEP + 1`` words lies whole in a window.
+WINDOW, STEP = 24, 8
 WORD_BITS, GRAM_BITS, WORD_DIM, GRAM_DIM, HIDDEN, ATT = 15, 12, 12, 8, 12, 8
 #: Bound of the training sample: rows of each label, windows used of one row.
 TOXIC_ROWS, OTHER_ROWS, WINDOWS_PER_ROW = 1500, 2000, 32
@@ -259,7 +259,7 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = 7, b
         return None
     model, rng = GRU.fresh(seed), np.random.default_rng(seed)
     if (y == 1).sum() == 0 or (y == 0).sum() == 0:
-        return model if (y == 1).any() else None
+        return None  # one label alone tells nothing about texts
     opt = _Adam(model.p)
     epochs = max(epochs, -(-MIN_UPDATES * batch // (2 * len(texts))))  # a small sample is seen more often
     c = Corpus(texts)
@@ -314,12 +314,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, may_train: Column, toxic_r
     picked = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, toxic_rows), (0, other_rows))]
     ids = picked[0].unionByName(picked[1])
     rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
-    return bounded_rows(ids, rows, toxic_rows + other_rows, ["doc_id", "text", "toxic"])
+    return bounded_rows(ids, rows, toxic_rows + other_rows, ["doc_id", "text", "toxic"], _spread_windows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, may_train: Column, **bounds: int) -> GRU | None:
-    thin = F.pandas_udf(lambda s: s.map(_spread_windows), "string")
-    rows = training_rows(docs, labels, may_train, **bounds).withColumn("text", thin("text")).collect()
+    rows = training_rows(docs, labels, may_train, **bounds).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 

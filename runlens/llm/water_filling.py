@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import SPACE, materialise
+from runlens.llm.common import SPACE, materialise, unused
 
 SEED, BUCKET_DIGITS = 20240, 3
 WEIGHTS, BUDGET, MAX_EPOCHS = (3, 1, 2), 1.5, 2
@@ -35,10 +35,11 @@ def n_words(text: Column) -> Column:
 
 
 def _place(seed: int, size: str) -> Column:
-    """Seeded place of a row: hash of its id, then size and text for equal ids."""
-    salt = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    body = F.coalesce("text", F.lit("")).cast("binary")
-    return F.struct(F.md5(salt.cast("binary")).alias("key"), F.col(size).alias("size"), F.md5(body).alias("body"))
+    """Seeded place of a row: hash of its id and text, so rows without an id or with one id
+    are spread over the buckets too; then its size."""
+    body = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    salt = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), body)
+    return F.struct(F.md5(salt.cast("binary")).alias("key"), F.col(size).alias("size"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -85,31 +86,33 @@ def thresholds(docs: DataFrame, seed: int = SEED, **mixing) -> DataFrame:
     return materialise(got, "mix-thresholds")
 
 
-def mix(docs: DataFrame, seed: int = SEED, **mixing) -> DataFrame:
-    """``docs`` with a struct column ``__mix``: size, source_size, target, whole (whole
+def mix(docs: DataFrame, seed: int = SEED, name: str = "__mix", **mixing) -> DataFrame:
+    """``docs`` with a struct column ``name``: size, source_size, target, whole (whole
     repetitions) and part (words of the fractional repetition)."""
-    plan = thresholds(docs, seed, **mixing).withColumnRenamed("source", "__src")
-    plan = plan.select("__src", F.struct("source_size", "target", "whole", "edge", "edge_words").alias("__plan"))
-    got = docs.withColumn("__size", n_words(F.col("text")))
-    got = got.withColumn("__at", _place(seed, "__size")).join(plan, F.col("__src").eqNullSafe(F.col("source")), "left")
-    edge = F.col("__plan.edge")
-    part = F.when(F.col("__at") < edge, F.col("__size")).when(F.col("__at") == edge, F.col("__plan.edge_words")).otherwise(F.lit(0))
+    size, at, src, of = unused(docs.withColumn(name, F.lit(0)), "__size", "__at", "__src", "__plan")
+    plan = thresholds(docs, seed, **mixing).withColumnRenamed("source", src)
+    plan = plan.select(src, F.struct("source_size", "target", "whole", "edge", "edge_words").alias(of))
+    got = docs.withColumn(size, n_words(F.col("text")))
+    got = got.withColumn(at, _place(seed, size)).join(plan, F.col(src).eqNullSafe(F.col("source")), "left")
+    edge = F.col(of)["edge"]
+    part = F.when(F.col(at) < edge, F.col(size)).when(F.col(at) == edge, F.col(of)["edge_words"]).otherwise(F.lit(0))
     out = F.struct(
-        F.col("__size").alias("size"), F.col("__plan.source_size").alias("source_size"), F.col("__plan.target").alias("target"),
-        F.col("__plan.whole").alias("whole"), part.cast("long").alias("part"),
+        F.col(size).alias("size"), F.col(of)["source_size"].alias("source_size"), F.col(of)["target"].alias("target"),
+        F.col(of)["whole"].alias("whole"), part.cast("long").alias("part"),
     )
-    return got.withColumn("__mix", out).drop("__size", "__at", "__src", "__plan")
+    return got.withColumn(name, out).drop(size, at, src, of)
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED, **mixing) -> DataFrame:
     """The mix itself: every row as often as it is taken, with the columns of ``docs``.
     Texts stay whole: the edge document's last repetition is written if at least half of
     its words are taken."""
-    got = mix(docs, seed, **mixing)
-    m = F.col("__mix")
+    name, copy = unused(docs, "__mix", "__copy")
+    got = mix(docs, seed, name, **mixing)
+    m = F.col(name)
     copies = m["whole"] + ((m["part"] > 0) & (m["part"] * 2 >= m["size"])).cast("long")
-    got = got.withColumn("__copy", F.explode(F.array_repeat(F.lit(True), copies.cast("int"))))
-    return got.drop("__mix", "__copy")
+    got = got.withColumn(copy, F.explode(F.array_repeat(F.lit(True), copies.cast("int"))))
+    return got.drop(name, copy)
 
 
 def mixture(docs: DataFrame) -> DataFrame:
@@ -122,7 +125,7 @@ def mixture(docs: DataFrame) -> DataFrame:
 ORACLE = rf"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k, md5(coalesce(text, '')) AS body
+         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k
   FROM documents),
 src AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -143,7 +146,7 @@ cum AS (
   SELECT s.*, q.source_size, q.target, q.whole, CAST(round(q.target - q.whole * q.source_size) AS BIGINT) AS quota,
          count(*) OVER p AS n, CAST(sum(size) OVER o AS BIGINT) AS upto
   FROM sized s JOIN quota q ON s.source IS NOT DISTINCT FROM q.source
-  WINDOW p AS (PARTITION BY s.source, k, size, body), o AS (PARTITION BY s.source ORDER BY k, size, body))
+  WINDOW p AS (PARTITION BY s.source, k, size), o AS (PARTITION BY s.source ORDER BY k, size))
 SELECT doc_id, size, source_size, target,
        whole * size + CAST(floor(least(greatest(quota - (upto - n * size), 0), n * size) / n) AS BIGINT) AS taken
 FROM cum
