@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm import crf_language, simhash_pigeonhole, toxicity_rnn, viterbi_pieces, water_filling
-from runlens.llm.common import materialise, table
+from runlens.llm.common import materialise, table, unused
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,16 +20,18 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = crf_language.fit(docs, ~crf_language.held_out(F.col("doc_id")))
     if not model.langs:
         return docs.filter(crf_language.has_letter("text"))
-    p = crf_language.predictor(model)("text")
-    return docs.withColumn("__lang", p).filter(F.col("__lang.lang_pred") != crf_language.UNKNOWN).drop("__lang")
+    (name,) = unused(docs, "__lang")
+    got = docs.withColumn(name, crf_language.predictor(model)("text"))
+    return got.filter(F.col(name)["lang_pred"] != crf_language.UNKNOWN).drop(name)
 
 
 def inoffensive(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts whose toxicity score reaches the operator's threshold go."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity_rnn.fit(docs.select("doc_id", "text"), labels, ~toxicity_rnn.held_out(F.col("doc_id")))
-    score = toxicity_rnn.scorer(model)("text")
-    return docs.withColumn("__score", score).filter(F.col("__score") < toxicity_rnn.THRESHOLD).drop("__score")
+    (name,) = unused(docs, "__score")
+    got = docs.withColumn(name, toxicity_rnn.scorer(model)("text"))
+    return got.filter(F.col(name) < toxicity_rnn.THRESHOLD).drop(name)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
