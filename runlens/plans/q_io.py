@@ -16,6 +16,7 @@ from runlens.plans import adapters as A
 from runlens.plans import q_runs as QR
 from runlens.plans.registry import register
 from runlens.session import scratch_path
+from runlens.sinks import publish as PB
 from runlens.sinks import reports as SK
 from runlens.sources import reports as SR
 from runlens.streaming import live_cells as LC
@@ -160,25 +161,39 @@ WEEKS = 5
 
 
 def _stream_source(spark: SparkSession, sf: str, src: str) -> None:
-    """Runs as time-ordered files (one write per week, so file order follows event
-    time; some runs arrive weeks late), then a file of duplicate copies of last-week runs."""
+    """Runs as files by week (some runs weeks after their time), and once more a tenth of the
+    last week's: one scan and one partitioned write."""
     m = QR.measured(spark, sf).select(
         F.col("event_id").alias("run_id"), "model", "prompt_id",
         F.col("started_at").cast("timestamp").alias("started_at"), "tps", "elapsed")
     week = F.floor((F.unix_seconds("started_at") - F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp")))
                    / F.lit(7 * 86400))
-    late = F.col("run_id") % 13 == 0  # first seen weeks after their time
-    m = m.withColumn("_week", F.when(late, F.lit(WEEKS - 1)).otherwise(F.least(week, F.lit(WEEKS - 1))))
-    for k in range(WEEKS):  # a fixed number of writes, not a loop over data
-        m.filter(F.col("_week") == k).drop("_week").write.mode("append").parquet(src)
-    m.filter((F.col("_week") == WEEKS - 1) & (F.col("run_id") % 10 == 0)).drop("_week") \
-        .write.mode("append").parquet(src)
+    last = F.lit(WEEKS - 1).cast("bigint")
+    week = F.when(F.col("run_id") % 13 == 0, last).otherwise(F.least(week, last))
+    again = F.when((week == last) & (F.col("run_id") % 10 == 0), last + 1)
+    m.withColumn("week", F.explode(F.array_compact(F.array(week, again)))).write.partitionBy("week").parquet(src)
+
+
+def _streamed(spark: SparkSession, sf: str) -> str:
+    src, table, ckpt = (scratch_path(spark, n) for n in ("stream-src", "stream-table", "stream-ckpt"))
+    _stream_source(spark, sf, src)
+    LC.run_live_cells(spark, src, table, ckpt, files_per_trigger=8)
+    return table
 
 
 @register("stream_cells", _w(A.METRICS_SQL) + "SELECT * FROM cells")
 def q_stream_cells(spark, sf):
-    src, out, ckpt = (scratch_path(spark, n) for n in ("stream-src", "stream-out", "stream-ckpt"))
-    _stream_source(spark, sf, src)
-    LC.run_live_cells(spark, src, out, ckpt, files_per_trigger=8)
-    c = LC.published_cells(spark, out)
+    c = LC.merged_cells(spark, _streamed(spark, sf))
     return c.select(*LC.KEYS, "n", *[F.round(F.round(x, 9), 4).alias(x) for x in ("mean", "variance", "stdev")])
+
+
+# --- append_runs: SO3, SNK9 (two published run sets, one of them twice) -----------------
+@register("append_runs", _w(A.METRICS_SQL) + "SELECT * FROM cells")
+def q_append_runs(spark, sf):
+    rows = QR.metric_runs(spark, sf)
+    second = F.col("started_at") >= F.lit(QR.RERUN_FROM).cast("timestamp_ntz")
+    path = scratch_path(spark, "published-runs")
+    PB.publish(rows.filter(second).withColumn("value", F.lit(0.0)), path, "second half")  # a run that is run again
+    PB.publish(rows.filter(~second), path, "first half")
+    PB.publish(rows.filter(second), path, "second half")
+    return C.cell_stats(PB.read_runs(spark, path, ["first half", "second half"]), QR.KEYS)

@@ -374,16 +374,6 @@ def q_castable(spark, sf):
                     F.isnan("v").alias("is_nan"))
 
 
-# --- append_runs: SO3, SNK9 ------------------------------------------------------
-@register("append_runs", _w(A.METRICS_SQL) + "SELECT * FROM cells")
-def q_append_runs(spark, sf):
-    r = measured(spark, sf)
-    # two run files (first and second half of the month) appended into one table
-    late = F.col("started_at") >= F.lit(RERUN_FROM).cast("timestamp_ntz")
-    unioned = r.filter(~late).unionByName(r.filter(late))
-    return C.cell_stats(R.metric_rows(unioned, ["model", "prompt_id", "event_id", "started_at"]), KEYS)
-
-
 # --- big_cell_stats: AG1 over a large run table (A4) -----------------------------
 @register("big_cell_stats", _w(A.BIG_SQL) + """
 SELECT model, prompt_id, count(*) AS n, round(round(avg(value), 9), 4) AS mean,

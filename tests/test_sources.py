@@ -96,8 +96,7 @@ def test_stream_equals_batch_with_duplicates(spark):
     LC.run_live_cells(spark, src, out, ckpt, files_per_trigger=1)
     got = {r.metric: (r.n, round(r.mean, 4)) for r in LC.published_cells(spark, out).collect()}
     assert got == {"Tokens_Per_Sec": (6, 3.5), "Elapsed_Sec": (6, 1.0)}
-    versions = spark.read.parquet(out).select("version").distinct().count()
-    assert versions >= 3
+    assert len(LC.open_folders(spark, f"{out}/cells")) <= 2  # one batch of runs, one without
 
 
 def test_samples_both_filtered_layouts(spark, tmp_path):
