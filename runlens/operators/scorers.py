@@ -1,9 +1,8 @@
 """Benchmark scorers over generated text, as Spark jobs.
 
 Numeric exact match (grade-school arithmetic, Cobbe et al. 2021), ROUGE-1
-(Lin 2004) and BLEU (Papineni et al. 2002) are computed with explode / group /
-join so that long texts and many items are spread over tasks; no text is
-collected per group.  A small registry maps metric names to Column functions.
+(Lin 2004) and BLEU (Papineni et al. 2002) are counted inside the row of each pair
+against its reference's grams, so no n-gram of the corpus is shuffled.  A small registry maps metric names to Column functions.
 """
 
 from __future__ import annotations
@@ -40,106 +39,103 @@ def tokens(text) -> Column:
     return F.array_remove(F.split(F.lower(c), TOKEN_SPLIT), "")
 
 
-def _grams(t, n: int):
-    """n-grams of a token array as an array of structs of n aligned shifted slices
-    (native ``slice`` + ``arrays_zip``; no per-element lambda)."""
-    m = F.greatest(F.size(t) - n + 1, F.lit(0))
-    return F.arrays_zip(*[F.slice(t, k, m).alias(f"t{k}") for k in range(1, n + 1)])
-
+def _gram_arrays(t: Column, max_n: int) -> list[Column]:
+    """The n-grams (n = 1..max_n) of a token array, each order built from the one before by
+    one concatenation per gram."""
+    out = [t]
+    for n in range(2, max_n + 1):
+        m = F.greatest(F.size(t) - n + 1, F.lit(0))
+        out.append(F.zip_with(F.slice(out[-1], 1, m), F.slice(t, n, m), lambda a, b: F.concat_ws(" ", a, b)))
+    return out
+
+
+def _occurrences(array: str):
+    """Function of a value: how often ``array`` holds it."""
+    return lambda g: F.size(F.filter(array, lambda x: x == g))
+
+
+def gram_table(refs: DataFrame, key: Sequence[str], text: str, max_n: int) -> DataFrame:
+    """One row a reference: its key, ``r_len`` (tokens), and per order n the distinct grams
+    ``g<n>`` beside their counts ``c<n>``.  A reference is counted inside its own row."""
+    t = refs.select(*key, tokens(text).alias("_t")).withColumn("r_len", F.size("_t"))
+    for n, grams in enumerate(_gram_arrays(F.col("_t"), max_n), start=1):
+        t = t.withColumn(f"_a{n}", grams)
+    for n in range(1, max_n + 1):
+        t = t.withColumn(f"g{n}", F.array_distinct(f"_a{n}"))
+        t = t.withColumn(f"c{n}", F.transform(f"g{n}", _occurrences(f"_a{n}")))
+    return t.drop("_t", *[f"_a{n}" for n in range(1, max_n + 1)])
+
+
+def clipped_matches(pairs: DataFrame, toks: str, max_n: int) -> DataFrame:
+    """Adds ``m1..m<max_n>``: the clipped n-gram matches of the token array ``toks`` with the
+    reference grams of the same row (:func:`gram_table`).
+
+    Counting stays inside the row.  The grams both sides have are found by a hashed
+    intersection; only the text's occurrences of those are kept and counted, so a text that
+    shares nothing costs one pass.  Nothing is shuffled by gram."""
+    rows = pairs
+    for n, grams in enumerate(_gram_arrays(F.col(toks), max_n), start=1):
+        rows = rows.withColumn("_a", grams)
+        rows = rows.withColumn("_both", F.array_intersect(F.col(f"g{n}"), F.col("_a")))
+        rows = rows.withColumn("_hits", F.when(F.size("_both") > 0, F.filter("_a", lambda x: F.array_contains("_both", x))).otherwise(F.col("_both")))
+        counted = F.aggregate(F.arrays_zip(F.col(f"g{n}").alias("g"), F.col(f"c{n}").alias("c")), F.lit(0),
+                              lambda acc, e: acc + F.when(F.array_contains("_both", e["g"]),
+                                                          F.least(e["c"], F.size(F.filter("_hits", lambda x: x == e["g"])))).otherwise(F.lit(0)))
+        rows = rows.withColumn(f"m{n}", F.when(F.size("_both") > 0, counted).otherwise(F.lit(0))).drop("_a", "_both", "_hits")
+    return rows
+
+
+def _ratio(a: Column, b: Column) -> Column:
+    return F.when(b > 0, a / b).otherwise(F.lit(0.0))
+
+
+def rouge1_rows(pairs: DataFrame, toks: str = "toks") -> DataFrame:
+    """[BS2] Adds ``rouge1`` (F1 of unigram overlap) to rows that hold a token array and a
+    reference's grams."""
+    rows = clipped_matches(pairs, toks, 1)
+    p, r = _ratio(F.col("m1"), F.size(toks)), _ratio(F.col("m1"), F.col("r_len"))
+    return rows.withColumn("rouge1", F.when(p + r > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0)))
+
+
+def bleu_rows(pairs: DataFrame, toks: str = "toks", max_n: int = 4) -> DataFrame:
+    """[BS3] Adds ``bleu`` to rows that hold a token array and a reference's grams: clipped
+    precisions for n = 1..max_n, add-one smoothing for n > 1 (Lin & Och 2004), geometric mean,
+    brevity penalty exp(1 - r/c) when c < r; 0 without a shared unigram."""
+    rows = clipped_matches(pairs, toks, max_n).withColumn("c_len", F.size(toks))
+    logs = []
+    for n in range(1, max_n + 1):
+        m = F.col(f"m{n}").cast("double")
+        t = F.greatest(F.col("c_len") - n + 1, F.lit(0)).cast("double")
+        prec = (m / t) if n == 1 else ((m + 1) / (t + 1))
+        logs.append(F.when(prec > 0, F.log(prec)))
+    mean_log = sum(logs[1:], logs[0]) / F.lit(float(max_n))
+    bp = F.when(F.col("c_len") >= F.col("r_len"), F.lit(1.0)).when(
+        F.col("c_len") > 0, F.exp(F.lit(1.0) - F.col("r_len") / F.col("c_len"))).otherwise(F.lit(0.0))
+    return rows.withColumn("bleu", F.when(F.col("m1") == 0, F.lit(0.0)).otherwise(bp * F.exp(mean_log)))
 
-def _gram_text(n: int):
-    return F.concat_ws(" ", *[F.col(f"z.t{k}") for k in range(1, n + 1)])
 
+def _paired(pairs: DataFrame, pred_key: Sequence[str], ref_key: Sequence[str], preds: DataFrame, pred_text: str,
+            refs: DataFrame, ref_text: str, max_n: int) -> DataFrame:
+    toks = preds.select(*pred_key, tokens(pred_text).alias("toks"))
+    return pairs.join(gram_table(refs, ref_key, ref_text, max_n), list(ref_key)).join(toks, list(pred_key))
 
-def token_counts(df: DataFrame, key: Sequence[str], text: str, n: int = 1) -> DataFrame:
-    """(key, len, gram, cnt) for the n-grams of each text (``len`` = its tokens).
 
-    Tokens are projected once as a column; n-grams come from exploding aligned
-    shifted slices, so every step stays in native expressions."""
-    toks = df.select(*key, tokens(text).alias("_toks")).withColumn("len", F.size("_toks"))
-    if n == 1:
-        grams = toks.select(*key, "len", F.explode("_toks").alias("gram"))
-    else:
-        grams = toks.select(*key, "len", F.explode(_grams(F.col("_toks"), n)).alias("z")) \
-            .select(*key, "len", _gram_text(n).alias("gram"))
-    # ``len`` (the text's token count) depends on the key only: carried as a group key
-    return grams.groupBy(*key, "len", "gram").agg(F.count(F.lit(1)).alias("cnt"))
+def _only(rows: DataFrame, pairs: DataFrame, score: str) -> DataFrame:
+    return rows.select(*pairs.columns, score)
 
 
 def rouge1(pairs: DataFrame, pred_key: Sequence[str], ref_key: Sequence[str],
            preds: DataFrame, pred_text: str, refs: DataFrame, ref_text: str) -> DataFrame:
-    """[BS2] ROUGE-1 F1 for every (prediction, reference) pair listed in ``pairs``.
-
-    Unigram counts are built per text once, each row carrying its text's length
-    (the token-array size, projected before the explode); joined on (pair, token),
-    clipped with ``least`` and summed.  A pair without any shared token scores 0
-    without needing lengths."""
-    pc = token_counts(preds, pred_key, pred_text).withColumnRenamed("len", "plen")
-    rc = token_counts(refs, ref_key, ref_text).withColumnRenamed("len", "rlen")
-    ov = (pairs.join(pc.withColumnRenamed("cnt", "pcnt"), list(pred_key))
-          .join(rc.withColumnRenamed("cnt", "rcnt"), [*ref_key, "gram"])
-          .groupBy(*pred_key, *ref_key)
-          .agg(F.sum(F.least("pcnt", "rcnt")).alias("overlap"), F.max("plen").alias("plen"),
-               F.max("rlen").alias("rlen")))
-    s = pairs.join(ov, [*pred_key, *ref_key], "left").fillna({"overlap": 0, "plen": 0, "rlen": 0})
-    p = F.when(F.col("plen") > 0, F.col("overlap") / F.col("plen")).otherwise(F.lit(0.0))
-    r = F.when(F.col("rlen") > 0, F.col("overlap") / F.col("rlen")).otherwise(F.lit(0.0))
-    f1 = F.when(p + r > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
-    return s.withColumn("rouge1", f1)
-
-def ngram_counts(df: DataFrame, key: Sequence[str], text: str, max_n: int) -> DataFrame:
-    """(key, len, n, gram, cnt) for every n-gram order 1..max_n: tokens projected once,
-    all orders flattened into one array and exploded once (no union of per-order
-    branches over the same input).  The per-element lambda only joins the aligned
-    fields of one zipped struct, O(1) per n-gram."""
-    toks = df.select(*key, tokens(text).alias("_toks")).withColumn("len", F.size("_toks"))
-    t = F.col("_toks")
-
-    def order(n: int):
-        z = _grams(t, n)
-        return F.transform(z, lambda s: F.struct(F.lit(n).alias("n"),
-                                                 F.concat_ws(" ", *[s[f"t{k}"] for k in range(1, n + 1)]).alias("gram")))
-
-    grams = F.flatten(F.array(*[order(n) for n in range(1, max_n + 1)]))
-    return (toks.select(*key, "len", F.explode(grams).alias("g"))
-            .groupBy(*key, "len", F.col("g.n").alias("n"), F.col("g.gram").alias("gram"))
-            .agg(F.count(F.lit(1)).alias("cnt")))
+    """[BS2] ROUGE-1 F1 for every (prediction, reference) pair listed in ``pairs``.  Where the
+    prediction rows can carry their pairs themselves, :func:`rouge1_rows` saves the join."""
+    return _only(rouge1_rows(_paired(pairs, pred_key, ref_key, preds, pred_text, refs, ref_text, 1)), pairs, "rouge1")
 
 
 def bleu(pairs: DataFrame, pred_key: Sequence[str], ref_key: Sequence[str],
          preds: DataFrame, pred_text: str, refs: DataFrame, ref_text: str, max_n: int = 4) -> DataFrame:
-    """[BS3] Sentence BLEU per pair with one reference: clipped n-gram precisions for
-    n = 1..max_n, add-one smoothing for n > 1 (Lin & Och 2004), geometric mean,
-    brevity penalty exp(1 - r/c) when c < r.
-
-    All orders travel together: one n-gram explode per side, one clipped-count join
-    on (ref, n, gram) and one conditional aggregation per pair.  Per-text totals of
-    every order follow from the text's token count (carried on its rows); a pair
-    with no shared unigram scores 0 without needing them."""
-    ks = range(1, max_n + 1)
-    pc = ngram_counts(preds, pred_key, pred_text, max_n)
-    # a text of L tokens has max(L - k + 1, 0) k-grams
-    pc = pc.select("*", *[F.greatest(F.col("len") - k + 1, F.lit(0)).alias(f"tot{k}") for k in ks])
-    rc = ngram_counts(refs, ref_key, ref_text, max_n).withColumnRenamed("len", "r_len")
-    clip = (pairs.join(pc.withColumnRenamed("cnt", "pcnt").drop("len"), list(pred_key))
-            .join(rc.withColumnRenamed("cnt", "rcnt"), [*ref_key, "n", "gram"])
-            .groupBy(*pred_key, *ref_key)
-            .agg(*[F.sum(F.when(F.col("n") == k, F.least("pcnt", "rcnt"))).alias(f"m{k}") for k in ks],
-                 *[F.max(f"tot{k}").alias(f"tot{k}") for k in ks], F.max("r_len").alias("r_len")))
-    out = (pairs.join(clip, [*pred_key, *ref_key], "left")
-           .withColumn("c_len", F.coalesce(F.col("tot1"), F.lit(0)))
-           .withColumn("r_len", F.coalesce(F.col("r_len"), F.lit(0))))
-    logs = []
-    for n in ks:
-        m = F.coalesce(F.col(f"m{n}"), F.lit(0)).cast("double")
-        t = F.coalesce(F.col(f"tot{n}"), F.lit(0)).cast("double")
-        prec = (m / t) if n == 1 else ((m + 1) / (t + 1))
-        logs.append(F.when(prec > 0, F.log(prec)))
-    mean_log = sum(logs[1:], logs[0]) / F.lit(float(max_n))
-    bp = F.when(F.col("c_len") >= F.col("r_len"), F.lit(1.0)).when(
-        F.col("c_len") > 0, F.exp(F.lit(1.0) - F.col("r_len") / F.col("c_len"))).otherwise(F.lit(0.0))
-    score = F.when(F.coalesce(F.col("m1"), F.lit(0)) == 0, F.lit(0.0)).otherwise(bp * F.exp(mean_log))
-    return out.withColumn("bleu", score)
+    """[BS3] Sentence BLEU per pair with one reference (see :func:`bleu_rows`)."""
+    return _only(bleu_rows(_paired(pairs, pred_key, ref_key, preds, pred_text, refs, ref_text, max_n), max_n=max_n), pairs, "bleu")
+
 
 # ---------------------------------------------------------------------------
 # Metric registry (user metric functions referenced by name, aggregated by mean)

@@ -222,16 +222,17 @@ def q_numeric_match(spark, sf):
 
 
 # --- rouge1_acc / bleu_acc: BS2, BS3 ---------------------------------------------------
-def _pairs(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Each document is scored against one true and one false reference item."""
-    docs = A.texts(spark, sf, "documents").select("doc_id", "text")
+def _pairs(spark, sf, max_n: int) -> DataFrame:
+    """Each document beside one true and one false reference item: the document's tokens are
+    made once and meet the references' gram tables; nothing else is joined."""
     bench = A.table(spark, sf, "benchmark").select("item_id", "text")
     n_items = bench.select(F.count(F.lit(1))).scalar()  # scalar subquery, evaluated once
-    pairs = docs.select("doc_id", F.explode(F.array(
+    docs = A.texts(spark, sf, "documents").select("doc_id", SC.tokens("text").alias("toks"))
+    pairs = docs.select("doc_id", "toks", F.explode(F.array(
         F.struct((F.col("doc_id") % n_items).alias("item_id"), F.lit(True).alias("is_true")),
         F.struct(((F.col("doc_id") + 1) % n_items).alias("item_id"), F.lit(False).alias("is_true")),
-    )).alias("p")).select("doc_id", "p.item_id", "p.is_true")
-    return pairs, docs, bench
+    )).alias("p")).select("doc_id", "toks", "p.item_id", "p.is_true")
+    return pairs.join(SC.gram_table(bench, ["item_id"], "text", max_n), "item_id")
 
 
 def _acc(scored: DataFrame, col: str) -> DataFrame:
@@ -277,9 +278,7 @@ SELECT doc_id, round(max(rouge1) FILTER (WHERE is_true), 4) AS rouge1_true,
   max(rouge1) FILTER (WHERE is_true) > max(rouge1) FILTER (WHERE NOT is_true) AS acc
 FROM g GROUP BY doc_id""")
 def q_rouge1(spark, sf):
-    pairs, docs, bench = _pairs(spark, sf)
-    s = SC.rouge1(pairs, ["doc_id"], ["item_id"], docs, "text", bench, "text")
-    return _acc(s, "rouge1")
+    return _acc(SC.rouge1_rows(_pairs(spark, sf, 1)), "rouge1")
 
 
 def _bleu_sql() -> str:
@@ -315,9 +314,7 @@ FROM bl GROUP BY doc_id"""
 
 @register("bleu_acc", _bleu_sql())
 def q_bleu(spark, sf):
-    pairs, docs, bench = _pairs(spark, sf)
-    s = SC.bleu(pairs, ["doc_id"], ["item_id"], docs, "text", bench, "text")
-    return _acc(s, "bleu")
+    return _acc(SC.bleu_rows(_pairs(spark, sf, 4)), "bleu")
 
 
 # --- prompt_build: JN5, SC13, SC14, SC15, SC16 -----------------------------------------
