@@ -17,22 +17,38 @@ from runlens.operators.runs import first_runs, null_safe_join
 
 
 def cell_stats(runs: DataFrame, keys: Sequence[str], value: str = "value",
-               places: int | None = 4) -> DataFrame:
+               places: int | None = 4, extra: Sequence[Column] = ()) -> DataFrame:
     """[AG1] Mean, *sample* variance and *sample* stdev per cell; one run -> 0 for both.
     NaN propagates.  Shown values are rounded to 9 places first, so that a mean that lies
-    on a rounding edge does not depend on the order in which partial sums are combined."""
+    on a rounding edge does not depend on the order in which partial sums are combined.
+    ``extra``: further named aggregates of the same pass."""
     v = F.col(value)
     out = runs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(v).alias("mean"),
         F.coalesce(F.var_samp(v), F.lit(0.0)).alias("variance"),
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stdev"),
+        *extra,
     )
     if places is not None:
-        out = out.select(*keys, "n", *[F.round(F.round(c, 9), places).alias(c) for c in ("mean", "variance", "stdev")])
+        out = out.withColumns({c: F.round(F.round(c, 9), places) for c in ("mean", "variance", "stdev")})
     return out
 
 
+def planned_stats(runs: DataFrame, plan: DataFrame, keys: Sequence[str], value: str = "value",
+                  places: int | None = 4) -> DataFrame:
+    """[AG1] Cell statistics over a planned grid: a planned cell without a run has n = 0 and
+    zeros, as the dialogue cells of a model that never got to a turn.  ``plan``: one row a
+    planned cell (the keys); a cell that was run but not planned stays."""
+    stats = cell_stats(runs, keys, value, places)
+    marked = plan.select(*keys).distinct()
+    left = null_safe_join(marked, stats, keys, "left")
+    unplanned = null_safe_join(stats, marked, keys, "left_anti")
+    zeros = {"n": 0, "mean": 0.0, "variance": 0.0, "stdev": 0.0}
+    filled = left.select(*keys, *[F.coalesce(F.col(c), F.lit(z)).alias(c) for c, z in zeros.items()])
+    return filled.unionByName(unplanned.select(*keys, *zeros))
+
+
 def padded_runs(runs: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
                 value: str = "value", width: int = schemas.RUNS_EXPORTED) -> DataFrame:
     """[AG2] The exported run array: runs in order, padded with 0.0 and cut to ``width``.
@@ -240,3 +256,29 @@ def token_cells(runs: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
         F.avg("wall_s").alias("wall_s_mean"),
         F.transform(listed, lambda s: s["_g"]).alias("gen_tokens_runs"),
     )
+
+
+#: Runs of a cell that one row of a chunked list holds.
+CHUNK = 1000
+
+
+def token_chunks(runs: DataFrame, keys: Sequence[str], order_cols: Sequence[str], failed: Column,
+                 value: str = "gen_tokens", size: int = CHUNK) -> DataFrame:
+    """[AG13] The ordered token counts of every cell as rows (keys, chunk, n, ``value``_runs) of at
+    most ``size`` runs each; chunks 0, 1, ... put together are the cell's list, up to its first
+    failed run.  Places come from :func:`ranked`, so no buffer grows with a cell."""
+    from runlens.operators.runs import until_first_failure
+
+    ok = until_first_failure(runs, keys, order_cols, failed)
+    placed = ranked(ok.select(*keys, *[c for c in order_cols if c not in keys], value), keys, order_cols, "_place")
+    placed = placed.withColumn("chunk", F.floor(F.col("_place") / F.lit(size)))
+    listed = F.array_sort(F.collect_list(F.struct("_place", value)))
+    return placed.groupBy(*keys, "chunk").agg(F.count(F.lit(1)).alias("n"), F.transform(listed, lambda s: s[value]).alias(f"{value}_runs"))
+
+
+def castable(df: DataFrame, text: str, name: str = "value") -> DataFrame:
+    """[PF8] Rows whose ``text`` is a number, with the number as ``name`` (NaN as null) and
+    ``is_nan``; rows with other text go."""
+    v = F.col(text).try_cast("double")
+    rows = df.withColumn("_v", v).filter(F.col("_v").isNotNull())
+    return rows.withColumn(name, F.when(~F.isnan("_v"), F.col("_v"))).withColumn("is_nan", F.isnan("_v")).drop("_v")

@@ -6,7 +6,7 @@ are all built-in regex expressions.
 
 Python part: deciding whether a block *defines* a name, whether it carries
 top-level self-tests, and cutting those tests out need a Python parser (the
-stdlib ``ast``).  That runs once per row in a single ``mapInPandas`` pass over
+stdlib ``ast``).  That runs once per row in a single ``mapInArrow`` pass over
 Arrow batches; every other column rides along or is computed natively.
 """
 
@@ -18,7 +18,7 @@ import sys
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -153,14 +153,16 @@ def _original(blocks, fallback) -> str:
     return blocks[-1] if blocks is not None and len(blocks) > 0 else (fallback or "")
 
 
-def _batches(it: Iterator[pd.DataFrame], ep_col: str) -> Iterator[pd.DataFrame]:
-    for pdf in it:
+def _batches(it: Iterator[pa.RecordBatch], ep_col: str) -> Iterator[pa.RecordBatch]:
+    """Adds the extractor's findings to each batch; the other columns pass as they are."""
+    for batch in it:
         rows = []
-        for b, f, e in zip(pdf["blocks"], pdf["fallback"], pdf[ep_col]):
+        for b, f, e in zip(*(batch.column(c).to_pylist() for c in ("blocks", "fallback", ep_col)), strict=True):
             o = _original(b, f)
             rows.append((o, *analyse(b, f, e, o), PARSER))
-        res = pd.DataFrame(rows, columns=["original", *[f.name for f in ANALYSIS_FIELDS]], index=pdf.index)
-        yield pd.concat([pdf.drop(columns=["blocks", "fallback"]), res], axis=1)
+        ride = [c for c in batch.schema.names if c not in ("blocks", "fallback")]
+        found = [pa.array([r[i] for r in rows], pa.bool_() if i in (2, 3, 4) else pa.string()) for i in range(len(ANALYSIS_FIELDS) + 1)]
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ride] + found, names=[*ride, "original", *[f.name for f in ANALYSIS_FIELDS]])
 
 
 def analyse_replies(df: DataFrame, raw: str = "raw", entry_point: str = "entry_point",
@@ -182,7 +184,7 @@ def analyse_replies(df: DataFrame, raw: str = "raw", entry_point: str = "entry_p
     sel = b.select(*keep, "n_blocks", "blocks", "fallback")
     out_schema = T.StructType([f for f in sel.schema.fields if f.name not in ("blocks", "fallback")]
                               + [T.StructField("original", T.StringType())] + ANALYSIS_FIELDS)
-    return sel.mapInPandas(lambda it: _batches(it, entry_point), out_schema)
+    return sel.mapInArrow(lambda it: _batches(it, entry_point), out_schema)
 
 
 def extraction_changed() -> F.Column:

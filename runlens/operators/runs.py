@@ -59,18 +59,21 @@ def drop_warmup(df: DataFrame, model_col: str, order_cols: Sequence[str],
     """[PF4] Remove each model's first call (the warm-up); a model whose warm-up failed is
     removed altogether.
 
-    The warm-up is found with a ``min`` over a struct of the ordering columns: a
-    map-side combinable aggregate, so a model holding most rows is not a hot task."""
-    first = (
-        df.groupBy(model_col)
-        .agg(F.min(F.struct(*[F.col(c) for c in order_cols], F.col(error_col).alias("_err"))).alias("_w"))
-    )
-    failed = first.filter(F.col("_w._err")).select(model_col)
-    warm = first.select(model_col, *[F.col(f"_w.{c}").alias(c) for c in order_cols])
-    return (
-        df.join(failed, model_col, "left_anti")
-        .join(warm, [model_col, *order_cols], "left_anti")
-    )
+    The warm-up is found with a ``min`` over a struct of the ordering columns (map-side
+    combined) and comes back on one null-safe join of one row a model; a null model is a
+    model."""
+    order = F.struct(*[F.col(c) for c in order_cols])
+    failed = F.coalesce(F.col(error_col), F.lit(False))
+    first = df.groupBy(model_col).agg(F.min(F.struct(order.alias("at"), failed.alias("failed"))).alias("_warm"))
+    rows = null_safe_join(df, first, [model_col])
+    return rows.filter(~F.col("_warm.failed") & ~order.eqNullSafe(F.col("_warm.at"))).drop("_warm")
+
+
+def dialogue_metrics(df: DataFrame, count_col: str = "eval_count", eval_col: str = "eval_duration",
+                     total_col: str = "total_duration") -> DataFrame:
+    """[PF1, PF2] ``tps`` and ``elapsed`` of a measured dialogue turn.  Elapsed has the dialogue
+    form: no sign test, a missing duration is 0 (failed turns never get here)."""
+    return df.withColumn("tps", tokens_per_sec(count_col, eval_col)).withColumn("elapsed", elapsed_sec(total_col, signed=False))
 
 
 def sample_turns(df: DataFrame, turn_col: str = "turn", base: str = "P9") -> DataFrame:

@@ -85,3 +85,9 @@ def review_sample(triaged: DataFrame, n: int, seed: int, model_col: str = "model
     w = Window.partitionBy(*keys).orderBy(rank_key, F.col(id_col))
     top = triaged.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= kmax)
     return top.join(shares, keys).filter(F.col("_rk") <= F.col("share")).drop("_rk", "share")
+
+
+def agreement(reviewed: DataFrame, agreed: str = "agreed", keys: Sequence[str] = ("model", "verdict")) -> DataFrame:
+    """[AG16] Reviewer agreement: rows and share of agreed ones per key set, with subtotals
+    (rollup).  A review without an answer counts as a row but not in the share."""
+    return reviewed.rollup(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(agreed).cast("int")).alias("agree_rate"))

@@ -74,7 +74,8 @@ def sql_lit(s: str) -> str:
 # ---------------------------------------------------------------------------
 
 @memo
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def runs_with_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 with the event's own ``props`` text beside it."""
     ev = table(spark, sf_dir, "events")
     slot = F.get_json_object("props", "$.k").cast("int") % 12
     prompt = (F.when(slot == 8, "P9_T1").when(slot == 9, "P9_T3").when(slot == 10, "P9_T5")
@@ -90,9 +91,15 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         eval_ns.alias("eval_duration"),
         (eval_ns + F.col("user_id") * F.lit(1000000)).alias("total_duration"),
         (F.col("event_id") % 41 == 0).alias("error"),
+        "props",
     )
 
 
+@memo
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_with_props(spark, sf_dir).drop("props")
+
+
 def runs_sql(suffix: str = "", where: str = "") -> str:
     """A1 as a DuckDB CTE named ``runs{suffix}``."""
     cond = f" WHERE {where}" if where else ""
@@ -264,6 +271,47 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
 
 
+# ---------------------------------------------------------------------------
+# A8 dialogue runs <- conversations: user turns as measured turns of a model's dialogue
+# ---------------------------------------------------------------------------
+
+@memo
+def dialogue_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """model, conv_id, turn, eval_count, eval_duration, total_duration (of short texts not
+    positive), failed; a turn's text decides its numbers."""
+    size = F.length("text").cast("bigint")
+    t = turns(spark, sf_dir).filter(F.col("role") == "user")
+    return t.select(
+        F.concat(F.lit("dialogue-"), (F.col("conv_id") % 5).cast("string")).alias("model"), "conv_id", "turn",
+        size.alias("eval_count"), (size * F.lit(1000000)).alias("eval_duration"), ((size - 40) * F.lit(7000000)).alias("total_duration"),
+        (size % 13 == 0).alias("failed"))
+
+
+# ---------------------------------------------------------------------------
+# A9 responses under token budgets <- documents: the text's words are reasoning, then an
+# answer follows if the budget allows; doc_id % 7 = 2 says nothing at all
+# ---------------------------------------------------------------------------
+
+TOKEN_BUDGETS = (4096, 16384)
+
+
+@memo
+def budget_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """model, task, item, budget, run_no, thinking_tokens, gen_tokens, content."""
+    from runlens.functions.text import word_count
+
+    blank = F.col("doc_id") % 7 == 2
+    d = texts(spark, sf_dir, "documents").select(
+        F.col("source").alias("model"), F.coalesce("lang", F.lit("?")).alias("task"), F.col("doc_id").alias("item"),
+        F.when(blank, F.lit(0)).otherwise(word_count("text")).alias("reasoning"), blank.alias("blank"))
+    d = d.select("*", F.explode(F.array(*map(F.lit, TOKEN_BUDGETS))).alias("budget"))
+    answer = F.when(F.col("blank"), F.lit(0)).otherwise(1 + F.col("item") % 50)
+    return d.select(
+        "model", "task", "item", "budget", F.lit(1).alias("run_no"), F.least("reasoning", "budget").alias("thinking_tokens"),
+        F.least(F.col("budget"), F.col("reasoning") + answer).cast("bigint").alias("gen_tokens"),
+        F.when(F.col("blank") | (F.col("reasoning") >= F.col("budget")), F.lit(" \n")).otherwise(F.lit("answer")).alias("content"))
+
+
 # ---------------------------------------------------------------------------
 # A4 big cells <- lineitem
 # ---------------------------------------------------------------------------

@@ -30,36 +30,35 @@ HOST = "node-1"
 GPU = "GPU0 (12288 MB VRAM), GPU1 (8192 MB VRAM)"
 
 
-# --- csv_roundtrip: SNK1, SRC1, SRC2 ---------------------------------------------------
+# --- csv_roundtrip: SNK1, SRC1, SRC2 (a run set per model, cells in measurement order) ---
 @register("csv_roundtrip", _w(A.METRICS_SQL, QR.RANKED_SQL, """firsts AS (
-  SELECT model, prompt_id, metric, list(value ORDER BY run_no) AS vals FROM ranked WHERE run_no <= 5
-  GROUP BY model, prompt_id, metric)""") + f"""
+  SELECT model, prompt_id, metric, list(value ORDER BY run_no) AS vals, min(started_at) AS at, arg_min(event_id, run_no) AS ev
+  FROM ranked WHERE run_no <= 5 GROUP BY model, prompt_id, metric)""") + f"""
 SELECT c.model, c.prompt_id, c.metric, c.mean, c.stdev,
   array_to_string(list_transform(list_concat(f.vals, [CAST(0 AS DOUBLE), 0, 0, 0, 0])[1:5],
                                  lambda x: printf('%.4f', x)), ',') AS runs_text,
   '{HOST}' AS host, '{GPU.split(",")[0]}' AS gpu,
-  (SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') FROM events) AS timestamp
+  strftime(min(f.at) OVER (PARTITION BY c.model), '%Y-%m-%d %H:%M:%S') AS timestamp,
+  CAST(row_number() OVER (PARTITION BY c.model ORDER BY f.at, f.ev, c.metric DESC) AS INTEGER) AS row_no
 FROM cells c JOIN firsts f ON c.model = f.model AND c.prompt_id = f.prompt_id AND c.metric = f.metric""")
 def q_csv_roundtrip(spark, sf):
     mr = QR.metric_runs(spark, sf)
-    stats = C.cell_stats(mr, QR.KEYS)
-    padded = C.padded_runs(mr, QR.KEYS, QR.ORDER)
-    first_ts = A.runs(spark, sf).agg(F.date_format(F.min("started_at"), "yyyy-MM-dd HH:mm:ss").alias("timestamp"))
-    w = Window.partitionBy("run_set").orderBy("model", "prompt_id", "metric")
-    cells = (stats.join(padded, QR.KEYS)
-             .withColumn("run_set", F.lit("events"))
-             .withColumn("row_ord", F.row_number().over(w))
+    begun = F.min(F.struct("started_at", "event_id")).alias("begun")
+    cells = R.null_safe_join(C.cell_stats(mr, QR.KEYS, extra=[begun]), C.padded_runs(mr, QR.KEYS, QR.ORDER), QR.KEYS)
+    run_set = Window.partitionBy("run_set")  # the cells of one report
+    cells = (cells.withColumn("run_set", F.col("model"))
+             .withColumn("row_ord", F.row_number().over(run_set.orderBy("begun", F.desc("metric"))))
+             .withColumn("timestamp", F.date_format(F.min("begun.started_at").over(run_set), "yyyy-MM-dd HH:mm:ss"))
              .select("run_set", "row_ord", "model", F.lit(schemas.UNKNOWN_SIZE).alias("size"), "prompt_id",
                      F.col("prompt_id").alias("prompt_name"), "metric", "runs", "mean", "variance", "stdev",
-                     F.lit(HOST).alias("host"), F.lit(GPU).alias("gpu"))
-             .join(first_ts.withColumn("run_set", F.lit("events")), "run_set"))
+                     F.lit(HOST).alias("host"), F.lit(GPU).alias("gpu"), "timestamp"))
     path = scratch_path(spark, "cells-csv")
     SK.write_cell_csv(cells, path)
-    raw, meta = SR.read_cell_csv(spark, f"{path}/run_set=*/part-*")
-    t = SR.typed_cells(raw).join(meta, "file")
+    t = SR.typed_cells(SR.read_reports(spark, f"{path}/run_set=*/part-*"))
+    nth = F.row_number().over(Window.partitionBy("file").orderBy("row_ord"))
     return t.select("model", "prompt_id", "metric", "mean", "stdev",
                     F.array_join(F.transform("runs", lambda x: tx.fmt(x, 4)), ",").alias("runs_text"),
-                    "host", "gpu", "timestamp")
+                    "meta.host", "meta.gpu", "meta.timestamp", nth.alias("row_no"))
 
 
 # --- jsonl_roundtrip: SRC3, SRC4, SRC5 -------------------------------------------------
@@ -96,8 +95,8 @@ def q_token_json(spark, sf):
         (F.col("event_id") % 300).alias("thinking_chars"), (F.col("total_duration") / F.lit(1e9)).alias("wall_s"))
     t = C.token_cells(r, ["model", "prompt_id"], QR.ORDER, F.col("error"))
     path = scratch_path(spark, "token-json")
-    SK.write_keyed_json(t, path, value_cols=[f.name for f in schemas.TOKEN_CELL.fields])
-    back = SR.read_keyed_json(spark, path, whole_file=False)
+    SK.write_keyed_json(t, path, value_cols=[f.name for f in schemas.TOKEN_CELL.fields], per_file="model")
+    back = SR.read_keyed_json(spark, f"{path}/part_of=*/part-*")
     return back.select(
         "model", "prompt_id", F.round("gen_tokens_mean", 4).alias("gen_tokens_mean"),
         F.array_join(F.transform("gen_tokens_runs", lambda x: x.cast("string")), ",").alias("gen_tokens_runs"),
@@ -120,8 +119,8 @@ def q_score_files(spark, sf):
                            F.lit("safety"), F.create_map(F.lit("flag_rate"), F.col("f")))
     config = F.struct(F.col("model"), F.lit("quant=q4").alias("model_args"))
     path = scratch_path(spark, "score-files")
-    SK.write_score_files(g.select(results.alias("results"), config.alias("config")), path)
-    back = SR.read_score_files(spark, path, multi_line=False)
+    SK.write_score_files(g.select(results.alias("results"), config.alias("config")), path, per_file="config.model")
+    back = SR.read_score_files(spark, f"{path}/part_of=*/part-*")
     return back.select("model", "task", "metric", F.round("value", 4).alias("value"))
 
 
@@ -137,7 +136,7 @@ SELECT event_id, eval_count,
   0 AS thinking_chars
 FROM e""")
 def q_response_parse(spark, sf):
-    r = A.runs(spark, sf).join(A.table(spark, sf, "events").select("event_id", "props"), "event_id")
+    r = A.runs_with_props(spark, sf)
     msg = F.struct(F.lit("assistant").alias("role"),
                    F.when(F.col("event_id") % 4 == 0, F.lit(None).cast("string")).otherwise(F.col("props")).alias("content"),
                    F.lit(None).cast("string").alias("thinking"))

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens import schemas
+from runlens.functions import prompts as PR
 from runlens.functions import text as tx
+from runlens.operators import budgets as BU
+from runlens.operators import cells as C
 from runlens.operators import compare as CMP
 from runlens.operators import fleet as FL
 from runlens.operators import model_keys as MK
@@ -172,9 +175,7 @@ FROM rv GROUP BY ROLLUP (model, verdict)""")
 def q_agreement_rollup(spark, sf):
     t = QT.triaged_failures(spark, sf).select("model", "verdict", "doc_id")
     lab = A.table(spark, sf, "labels").select("doc_id", (F.col("toxic") == 0).alias("agreed"))
-    rv = t.join(lab, "doc_id")
-    return rv.rollup("model", "verdict").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("agreed").cast("int")), 4).alias("agree_rate"))
+    return TR.agreement(t.join(lab, "doc_id")).withColumn("agree_rate", F.round("agree_rate", 4))
 
 
 # --- tex_rows: SNK3, SC1, SC2, SC3 -----------------------------------------------------
@@ -340,19 +341,32 @@ def q_prompt_build(spark, sf):
     docs = A.texts(spark, sf, "documents").select("doc_id", "text")
     bench = A.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item_text"))
     n_items = bench.select(F.count(F.lit(1))).scalar()
-    d = docs.withColumn("item_id", F.col("doc_id") % n_items).withColumn("words", tx.word_count("text"))
-    j = d.join(bench, "item_id")  # response <-> task document, equi-join
-    stub = F.concat(F.lit("def f"), F.col("item_id").cast("string"), F.lit("(x):\n    \"\"\""), F.col("item_text"),
-                    F.lit("\"\"\"\n"))
-    prompt = F.concat(F.lit(INSTRUCTION + "\n```python\n"), stub, F.lit("```"))
-    check = F.concat(F.lit("def check(candidate):\n    assert candidate(1) == 1\n\ncheck(f"),
-                     F.col("item_id").cast("string"), F.lit(")"))
-    prediction = F.concat(stub, F.lit("    return x\n"))
+    # a document's own part is done before the join, so its text is not shuffled
     copies = F.when(F.col("words") == 0, F.lit(1)).otherwise(F.ceil(F.lit(PAYLOAD_WORDS) / F.col("words")).cast("int"))
-    return j.select("doc_id", "item_id", F.md5(prompt).alias("prompt_md5"), F.md5(check).alias("check_md5"),
-                    F.md5(prediction).alias("prediction_md5"),
-                    (copies * F.col("words")).cast("int").alias("payload_words"),
-                    F.md5(tx.repeat_to_words("text", PAYLOAD_WORDS, "words")).alias("payload_md5"))
+    d = docs.withColumn("words", tx.word_count("text")).select(
+        "doc_id", (F.col("doc_id") % n_items).alias("item_id"), (copies * F.col("words")).cast("int").alias("payload_words"),
+        F.md5(tx.repeat_to_words("text", PAYLOAD_WORDS, "words")).alias("payload_md5"))
+    # a task document's texts are made once per item
+    entry = F.concat(F.lit("f"), F.col("item_id").cast("string"))
+    stub = F.concat(F.lit("def "), entry, F.lit("(x):\n    \"\"\""), F.col("item_text"), F.lit("\"\"\"\n"))
+    test = F.lit("def check(candidate):\n    assert candidate(1) == 1\n")
+    items = bench.withColumn("stub", stub).select(
+        "item_id", F.md5(PR.render_prompt(INSTRUCTION, "stub")).alias("prompt_md5"),
+        F.md5(PR.check_target(test, entry)).alias("check_md5"), F.md5(PR.prediction("stub", F.lit("    return x\n"))).alias("prediction_md5"))
+    return d.join(items, "item_id").select("doc_id", "item_id", "prompt_md5", "check_md5", "prediction_md5", "payload_words", "payload_md5")
+
+
+# --- prediction_build: SC15 with the extracted code of every sample ---------------------
+@register("prediction_build", _w(*QT.TEXT_SQL, QT.EXPECTED_SQL) + """
+SELECT doc_id, model,
+  md5('def ' || entry_point || '(x):' || chr(10) || '    ' || repeat(chr(34), 3) || 'Return x.' || repeat(chr(34), 3) || chr(10) || corrected) AS prediction_md5,
+  md5('def check(candidate):' || chr(10) || '    assert candidate(1) == 1' || chr(10) || chr(10) || 'check(' || entry_point || ')') AS check_md5
+FROM x""")
+def q_prediction_build(spark, sf):
+    s = QT.samples(spark, sf)
+    t = TR.triage(s, keep=["model", "doc_id", "entry_point", "stub", "hidden_test"])
+    return t.select("doc_id", "model", F.md5(PR.prediction("stub", "corrected")).alias("prediction_md5"),
+                    F.md5(PR.check_target("hidden_test", "entry_point")).alias("check_md5"))
 
 
 # --- scorer_registry: UD1-UD4, BS4 -----------------------------------------------------
@@ -386,13 +400,8 @@ SELECT doc_id, CAST(CASE WHEN pos IS NULL THEN length(reply) ELSE pos - 1 END AS
 FROM c""")
 def q_stop_cut(spark, sf):
     s = QT.samples(spark, sf)
-    pos = [F.when(F.locate(st, F.col("raw")) > 0, F.locate(st, F.col("raw"))) for st in STOPS]
-    first = F.least(*pos)
-    think = F.array_join(F.regexp_extract_all("raw", F.lit(tx.THINK_SPAN), F.lit(0)), "\n")
-    in_think = F.least(*[F.when(F.locate(st, think) > 0, F.lit(1)) for st in STOPS]).isNotNull()
-    cut = F.when(first.isNull(), F.col("raw")).otherwise(F.substring(F.col("raw"), F.lit(1), first - 1))
-    return s.select("doc_id", F.length(cut).cast("bigint").alias("cut_len"),
-                    F.coalesce(in_think & (think != ""), F.lit(False)).alias("stop_in_reasoning"))
+    return s.select("doc_id", F.length(PR.cut_at_stop("raw", STOPS)).cast("bigint").alias("cut_len"),
+                    PR.stop_in_reasoning("raw", STOPS).alias("stop_in_reasoning"))
 
 
 # --- budget_audit: TX13 ----------------------------------------------------------------
@@ -423,6 +432,82 @@ def q_budget_audit(spark, sf):
         F.count_if(tx.is_blank("content_b") & (F.col("thinking_chars") > 0)).alias("exhausted"))
 
 
+# --- budget_states / budget_transitions: TX13 on token budgets ---------------------------
+BUDGET_SQL = f"""t AS (SELECT source AS model, coalesce(lang, '?') AS task, doc_id AS item, doc_id % 7 = 2 AS blank,
+  CASE WHEN doc_id % 7 = 2 THEN 0 ELSE {WORDS_SQL} END AS words FROM documents),
+u AS (SELECT t.*, b AS budget, blank OR words >= b AS empty FROM t, (SELECT unnest([4096, 16384]) AS b)),
+v AS (SELECT *, CASE WHEN NOT empty THEN 'answered' WHEN words >= budget THEN 'exhausted' ELSE 'silent' END AS state,
+  CASE WHEN blank THEN 0 ELSE least(budget, words + 1 + item % 50) END AS gen FROM u)"""
+
+
+@register("budget_states", _w(BUDGET_SQL) + """
+SELECT model, task, CAST(budget AS INTEGER) AS budget, count(*) AS n, count(*) FILTER (WHERE state = 'answered') AS answered,
+  count(*) FILTER (WHERE state = 'exhausted') AS exhausted, count(*) FILTER (WHERE state = 'silent') AS silent,
+  CAST(sum(gen) AS BIGINT) AS gen_tokens
+FROM v GROUP BY model, task, budget""")
+def q_budget_states(spark, sf):
+    return BU.audit(A.budget_responses(spark, sf))
+
+
+@register("budget_transitions", _w(BUDGET_SQL) + "SELECT a.model, a.task, count(*) AS n_items, 0::BIGINT AS n_unpaired, " + ", ".join(
+    f"count(*) FILTER (WHERE a.state = '{x}' AND b.state = '{y}') AS {x}_to_{y}" for x in BU.STATES for y in BU.STATES) + """
+FROM v a JOIN v b ON a.item = b.item AND a.budget < b.budget AND a.model IS NOT DISTINCT FROM b.model GROUP BY a.model, a.task""")
+def q_budget_transitions(spark, sf):
+    return BU.transitions(A.budget_responses(spark, sf), *A.TOKEN_BUDGETS)
+
+
+# --- dialogue_cells: AG1 with n = 0, PF2 dialogue form, PF5, WN4 -------------------------
+@register("dialogue_cells", """
+WITH u AS (
+  SELECT 'dialogue-' || CAST(conv_id % 5 AS VARCHAR) AS model, conv_id, length(text) AS size,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS idx FROM conversations WHERE role = 'user'),
+ok AS (SELECT * FROM u WHERE idx < coalesce((SELECT min(idx) FROM u f WHERE f.conv_id = u.conv_id AND f.size % 13 = 0), 1000000) AND idx IN (1, 3, 5)),
+r AS (
+  SELECT model, 'P9_T' || CAST(idx AS VARCHAR) AS prompt_id, 'Tokens_Per_Sec' AS metric, CASE WHEN size > 0 THEN size / (size * 1000000 / 1e9) ELSE 0 END AS value FROM ok
+  UNION ALL SELECT model, 'P9_T' || CAST(idx AS VARCHAR), 'Elapsed_Sec', (size - 40) * 7000000 / 1e9 FROM ok),
+plan AS (SELECT m.model, p.prompt_id, k.metric FROM (SELECT DISTINCT model FROM u) m, (VALUES ('P9_T1'), ('P9_T3'), ('P9_T5'), ('P9_T7')) p(prompt_id),
+  (VALUES ('Tokens_Per_Sec'), ('Elapsed_Sec')) k(metric))
+SELECT model, prompt_id, metric, count(value) AS n, round(round(coalesce(avg(value), 0), 9), 4) AS mean,
+  round(round(coalesce(var_samp(value), 0), 9), 4) AS variance, round(round(coalesce(stddev_samp(value), 0), 9), 4) AS stdev
+FROM plan LEFT JOIN r USING (model, prompt_id, metric) GROUP BY model, prompt_id, metric""")
+def q_dialogue_cells(spark, sf):
+    users = A.dialogue_turns(spark, sf)
+    users = R.running_total(users, "conv_id", "turn", F.lit(1).cast("bigint"), "idx", include_current=True)
+    ok = R.until_first_failure(users, ["conv_id"], ["turn"], F.col("failed"))
+    rows = R.metric_rows(R.dialogue_metrics(R.sample_turns(ok, turn_col="idx")), ["model", "prompt_id"])
+    # the plan holds a turn that is never measured (P9_T7): its cells exist with n = 0
+    grid = F.array(*[F.struct(F.lit(f"P9_T{t}").alias("prompt_id"), F.lit(m).alias("metric"))
+                     for t in (*schemas.SAMPLED_TURNS, 7) for m in schemas.METRICS])
+    plan = users.select("model").distinct().select("model", F.explode(grid).alias("g")).select("model", "g.*")
+    return C.planned_stats(rows, plan, ["model", "prompt_id", "metric"])
+
+
+# --- tex_table: SNK3 in full (first-seen order, size, separators) ------------------------
+PUBLISHED = ["P1", "P3", "P9", "P7"]  # P9 has no cells in A4
+_LISTED = ", ".join(f"('{p}', {k})" for k, p in enumerate(PUBLISHED))
+_NO_CELLS = " & ".join([SK.EMPTY_CELL] * len(PUBLISHED))
+
+
+@register("tex_table", _w(A.BIG_SQL, r"""pl AS (SELECT *, {'a': l_orderkey, 'b': l_linenumber, 'c': size} AS o FROM big),
+c AS (SELECT model, prompt_id, '$' || printf('%.1f', round(round(avg(value), 9), 4)) || ' \pm '
+        || printf('%.1f', round(coalesce(stddev_samp(value), 0), 4)) || '$' AS cell FROM big GROUP BY model, prompt_id),
+m AS (SELECT model, CAST(row_number() OVER (ORDER BY min(o), model) AS INTEGER) AS nth, arg_min(size, o) AS size FROM pl GROUP BY model)""", f"""
+g AS (SELECT m.model, v.p, v.k FROM m, (VALUES {_LISTED}) v(p, k)),
+r AS (SELECT g.model, string_agg(coalesce(cell, '{SK.EMPTY_CELL}'), ' & ' ORDER BY k) AS cells
+      FROM g LEFT JOIN c ON c.model = g.model AND c.prompt_id = g.p GROUP BY g.model)""") + rf"""
+SELECT (nth - 1) * 3 AS seq, model, 'separator' AS kind, '{SK.SEPARATOR}' AS row_text FROM m WHERE nth > 1
+UNION ALL
+SELECT (nth - 1) * 3 + 1, model, 'tps', '    {SK.SPAN_OPEN}\textbf{{\texttt{{' || model || '}}}}}} & {SK.SPAN_OPEN}' || size || '}} & {SK.ROW_LABELS["tps"]} & ' || cells || ' \\'
+FROM m JOIN r USING (model)
+UNION ALL
+SELECT (nth - 1) * 3 + 2, model, 'elap', '    & & {SK.ROW_LABELS["elap"]} & {_NO_CELLS} \\' FROM m""")
+def q_tex_table(spark, sf):
+    big = A.big_runs(spark, sf)
+    at = F.struct("l_orderkey", "l_linenumber", "size")
+    cells = C.cell_stats(big, ["model", "prompt_id"], extra=[F.min(at).alias("row_ord"), F.min_by("size", at).alias("size")])
+    return SK.publication_rows(cells.withColumn("metric", F.lit(schemas.TPS)), PUBLISHED)
+
+
 # --- summary_json: SNK6 -----------------------------------------------------------------
 _V = schemas.VERDICTS
 SUMMARY_JSON_SQL = _w(*QT.TEXT_SQL, QT.EXPECTED_SQL, *QT.RESCORE_SQL, f"""

@@ -65,7 +65,7 @@ def q_cell_runs_padded(spark, sf):
     mr = metric_runs(spark, sf)
     padded = C.padded_runs(mr, KEYS, ORDER)
     text = F.array_join(F.transform("runs", lambda x: tx.fmt(x, 4)), ",")
-    return (C.cell_stats(mr, KEYS).join(padded, KEYS)
+    return (R.null_safe_join(C.cell_stats(mr, KEYS), padded, KEYS)
             .select(*KEYS, "n", "mean", text.alias("runs_text")))
 
 
@@ -288,6 +288,22 @@ def q_token_cells(spark, sf):
         F.round("wall_s_mean", 4).alias("wall_s_mean"))
 
 
+# --- token_chunks: AG13 for cells of any size --------------------------------------
+CHUNK = 50
+
+
+@register("token_chunks", _w(A.RUNS_SQL, """r AS (
+  SELECT *, row_number() OVER (PARTITION BY model, prompt_id ORDER BY started_at, event_id) AS rn FROM runs),
+ok AS (SELECT * FROM r WHERE rn < coalesce((SELECT min(rn) FROM r s WHERE s.error AND s.model = r.model AND s.prompt_id = r.prompt_id), 9223372036854775807))""") + f"""
+SELECT model, prompt_id, (rn - 1) // {CHUNK} AS chunk, count(*) AS n,
+  string_agg(CAST(eval_count AS VARCHAR), ',' ORDER BY rn) AS gen_tokens_runs
+FROM ok GROUP BY model, prompt_id, chunk""")
+def q_token_chunks(spark, sf):
+    r = A.runs(spark, sf).withColumnRenamed("eval_count", "gen_tokens")
+    t = C.token_chunks(r, ["model", "prompt_id"], ORDER, F.col("error"), size=CHUNK)
+    return t.withColumn("gen_tokens_runs", F.array_join(F.transform("gen_tokens_runs", lambda x: x.cast("string")), ","))
+
+
 # --- workload_time: AG19, SC8 ----------------------------------------------------
 @register("workload_time", """
 WITH s AS (SELECT event_type AS model, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 AS seconds
@@ -367,11 +383,7 @@ def q_castable(spark, sf):
                  F.when(F.col("prompt_id") == "P3", F.lit("abc"))
                  .when((F.col("prompt_id") == "P4") & (F.col("model") == "view"), F.lit("nan"))
                  .otherwise(F.col("mean").cast("string")).alias("mean_text"))
-    v = F.col("mean_text").try_cast("double")
-    p = t.select("model", "prompt_id", "metric", v.alias("v")).filter(F.col("v").isNotNull())
-    return p.select("model", "prompt_id", "metric",
-                    F.when(F.isnan("v"), F.lit(None).cast("double")).otherwise(F.col("v")).alias("mean"),
-                    F.isnan("v").alias("is_nan"))
+    return C.castable(t, "mean_text", "mean").select("model", "prompt_id", "metric", "mean", "is_nan")
 
 
 # --- big_cell_stats: AG1 over a large run table (A4) -----------------------------

@@ -15,6 +15,7 @@ from runlens.plans import adapters as A
 from runlens.plans.registry import register
 from runlens.session import materialize, scratch_path
 from runlens.sinks import reports as SK
+from runlens.sinks import reviews as RV
 
 SEED = 42
 SAMPLE_N = 12
@@ -303,3 +304,53 @@ def q_review_text(spark, sf):
     back = spark.read.schema("doc_id long, quoted string").json(path).withColumn(
         "file_key", F.regexp_extract(F.col("_metadata.file_path"), r"file_key=([^/]*)/", 1))
     return back.select("file_key", "doc_id", F.md5("quoted").alias("quoted_md5"))
+
+
+# --- review_report: SNK7, SR3 (whole documents: head, then sampled items in order) -------
+def _code_sql(c: str, empty: str) -> str:
+    trimmed = f"regexp_replace(coalesce({c}, ''), '^\\s+|\\s+$', '', 'g')"
+    return f"'```python' || chr(10) || CASE WHEN {trimmed} = '' THEN '{empty}' ELSE {trimmed} END || chr(10) || '```'"
+
+
+_NL2 = " || chr(10) || chr(10) || "
+_ITEM_SQL = _NL2.join([
+    "'### ' || coalesce(task_id, 'doc_' || CAST(doc_id AS VARCHAR)) || ': **' || verdict || '**'",
+    "'Hidden test after correction: **' || CASE WHEN passed IS NULL THEN 'not run' WHEN passed THEN 'PASS' ELSE 'STILL FAILS' END || '**'",
+    "'- function under test: `' || entry_point || '`' || chr(10) || '- fenced blocks in the reply: ' || CAST(len(blocks) AS VARCHAR)",
+    "'Hidden test (never shown to the model):' || chr(10) || chr(10) || " + _code_sql("'def check(candidate):' || chr(10) || '    assert candidate(1) == 1'", RV.NOTHING),
+    f"""'Reply:' || chr(10) || chr(10) || CASE WHEN stripped = '' THEN '{RV.EMPTY_REPLY}'
+      ELSE array_to_string(list_transform(regexp_split_to_array(stripped, '{_SPLITLINES_RE2}'), lambda ln: CASE WHEN ln = '' THEN '>' ELSE '> ' || ln END), chr(10)) END""",
+    "'Executed by the original run:' || chr(10) || chr(10) || " + _code_sql("'def ' || entry_point || '(x):' || chr(10) || '    ' || repeat(chr(34), 3) || 'Return x.' || repeat(chr(34), 3) || chr(10) || original", RV.NOTHING),
+]) + " || CASE WHEN extraction_changed THEN chr(10) || chr(10) || 'Corrected extraction:' || chr(10) || chr(10) || " + _code_sql("corrected", RV.AGAIN) + " ELSE '' END" + _NL2 + "'- [ ] verdict agreed' || chr(10) || '- correction:'" + _NL2 + "'---'"
+_HEAD_SQL = _NL2.join([
+    "'# Failure review: `' || model || '`'",
+    " || chr(10) || ".join(["'| verdict | items | meaning |'", "'|---|---:|---|'", *[
+        f"'| `{v}` | ' || CAST(count(*) FILTER (WHERE verdict = '{v}') AS VARCHAR) || ' | {RV.MEANINGS[v].replace(chr(39), chr(39) * 2)} |'" for v in schemas.VERDICTS]]),
+    "'Failures: **' || CAST(count(*) AS VARCHAR) || '**'",
+]) + """ || CASE WHEN count(passed) > 0 THEN chr(10) || chr(10) || 'Pass after correction: **' || CAST(count(*) FILTER (WHERE passed) AS VARCHAR) || ' of '
+  || CAST(count(passed) AS VARCHAR) || '** re-run' ELSE '' END""" + _NL2 + "'## Sample: ' || CAST(count(*) FILTER (WHERE chosen) AS VARCHAR) || ' of ' || CAST(count(*) AS VARCHAR) || ' failures'"
+
+
+@register("review_report", _w(*TEXT_SQL, EXPECTED_SQL, A.OUTCOMES_SQL, "f AS (SELECT * FROM x WHERE pass_at_1 = 0.0)", f"""
+g AS (SELECT f.*, o.passed, regexp_replace(reply, '^\\s+|\\s+$', '', 'g') AS stripped,
+  row_number() OVER (PARTITION BY model, verdict ORDER BY md5('{SEED}:' || CAST(doc_id AS VARCHAR)), doc_id) <=
+    least(count(*) OVER (PARTITION BY model, verdict), greatest(1, CAST(round_even({SAMPLE_N} * count(*) OVER (PARTITION BY model, verdict)
+      / count(*) OVER (PARTITION BY model), 0) AS BIGINT))) AS chosen
+  FROM f LEFT JOIN outcomes o USING (model, doc_id))""") + f"""
+SELECT replace(model, ':', '_') AS file_key, 1::BIGINT AS part, md5({_HEAD_SQL}) AS block_md5 FROM g GROUP BY model
+UNION ALL
+SELECT replace(model, ':', '_'), 1 + row_number() OVER (PARTITION BY model ORDER BY doc_id), md5({_ITEM_SQL}) FROM g WHERE chosen""")
+def q_review_report(spark, sf):
+    s = samples(spark, sf)
+    t = TR.triage(TR.failures(s), keep=["model", "doc_id", "entry_point"])
+    t = materialize(t.select("model", "doc_id", "verdict", "entry_point", "n_blocks", "original", "corrected", "extraction_changed"))
+    chosen = TR.review_sample(t, SAMPLE_N, SEED)
+    documents = RV.review_documents(t, chosen, s, CMP.latest_outcomes(A.outcomes(spark, sf), ["model", "doc_id"]))
+    path = scratch_path(spark, "review-documents")
+    RV.write_review_documents(documents, path)
+    # read the files again and take them apart at the blocks' ends
+    files = spark.read.text(f"{path}/file_key=*/part-*", wholetext=True)
+    key = F.regexp_extract(F.col("_metadata.file_path"), r"file_key=([^/]*)/", 1)
+    blocks = F.split(F.regexp_replace("value", "\n\n$", ""), "(?<=\n---)\n\n|(?<= failures)\n\n(?=### )")
+    return files.select(key.alias("file_key"), F.posexplode(blocks).alias("pos", "block")) \
+        .select("file_key", (F.col("pos") + 1).cast("bigint").alias("part"), F.md5("block").alias("block_md5"))

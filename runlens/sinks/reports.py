@@ -5,7 +5,9 @@ each output partition, so no result passes through the driver."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens import schemas
@@ -64,17 +66,26 @@ def write_samples(samples: DataFrame, path: str, model_dir: str = "model_dir") -
     out.write.mode("overwrite").partitionBy(model_dir).json(path)
 
 
-def write_keyed_json(cells: DataFrame, path: str, key_cols=("model", "prompt_id"), value_cols=()) -> None:
-    """One JSON object per line, keyed ``"model|prompt"`` (a stream of small maps
-    rather than one object holding every cell)."""
+def write_keyed_json(cells: DataFrame, path: str, key_cols=("model", "prompt_id"), value_cols=(), per_file: str | None = None) -> None:
+    """Cells as JSON objects keyed ``"model|prompt"``.  ``per_file``: one object per value of that
+    key column (a model's cells, bounded by its prompts), each in a file of its own; otherwise
+    one object per line, a stream of small maps for any number of cells."""
     key = F.concat_ws("|", *[F.col(c) for c in key_cols])
-    obj = F.to_json(F.create_map(key, F.struct(*value_cols)))
-    cells.select(obj.alias("value")).write.mode("overwrite").text(path)
+    if per_file is None:
+        cells.select(F.to_json(F.create_map(key, F.struct(*value_cols))).alias("value")).write.mode("overwrite").text(path)
+        return
+    entry = F.struct(key.alias("key"), F.struct(*value_cols).alias("value"))
+    objects = cells.groupBy(F.col(per_file).alias("part_of")).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value"))
+    objects.write.mode("overwrite").partitionBy("part_of").text(path)
 
 
-def write_score_files(scores: DataFrame, path: str) -> None:
-    """Score files, one JSON object per model: results map + config."""
-    scores.write.mode("overwrite").json(path)
+def write_score_files(scores: DataFrame, path: str, per_file: str | None = None) -> None:
+    """Score files: results map + config.  ``per_file``: one file per value of that column
+    (one object each); otherwise one object per line."""
+    if per_file is None:
+        scores.write.mode("overwrite").json(path)
+    else:
+        scores.withColumn("part_of", F.col(per_file)).repartition("part_of").write.mode("overwrite").partitionBy("part_of").json(path)
 
 
 def table_rows(cells: DataFrame, prompts, row_keys=("model", "row_metric"), prompt_col: str = "prompt_id",
@@ -98,6 +109,49 @@ def table_rows(cells: DataFrame, prompts, row_keys=("model", "row_metric"), prom
                                         F.lit(" \\\\")).alias("row_text"))
 
 
+#: How a publication row writes its parts.
+ROW_LABELS = {"tps": r"$\bar{X}_{\text{TPS}} \pm \sigma$", "elap": r"$\bar{T}_{\text{Elap}} \pm \sigma$"}
+SPAN_OPEN, EMPTY_CELL, SEPARATOR = r"\multirow{2}{*}{", r"\multicolumn{1}{c}{---}", r"    \midrule"
+
+
+def tex_mean_sd(mean: F.Column, sd: F.Column) -> F.Column:
+    return F.concat(F.lit("$"), tx.fmt1(mean), F.lit(r" \pm "), tx.fmt1(sd), F.lit("$"))
+
+
+def publication_rows(cells: DataFrame, prompts: Sequence[str], fmt_fn=tex_mean_sd, missing: str = EMPTY_CELL) -> DataFrame:
+    """[SNK3, WN1] The body of a publication table as ordered rows (seq, model, kind, row_text).
+
+    ``cells``: model, size, prompt_id, metric, mean, stdev and ``row_ord``, the place of a cell
+    in its source.  Models stand in first-seen order with two rows each: throughput, with
+    label and size spanning both, then elapsed (any other metric); a separator stands before
+    every model but the first.  A repeated cell is the last one, the size the first one seen.
+    Only the listed prompts are gathered, so a row is bounded by the list; the rank is taken
+    over one row a model."""
+    metric = F.when(F.col("metric") == schemas.TPS, F.lit("tps")).otherwise(F.lit("elap"))
+    models = cells.groupBy("model").agg(F.min("row_ord").alias("first"), F.min_by("size", "row_ord").alias("size"))
+    models = models.withColumn("nth", F.row_number().over(Window.orderBy("first", "model")))
+    shown = cells.filter(F.col("prompt_id").isin(*prompts)).withColumn("kind", metric)
+    text = fmt_fn(F.col("mean"), F.col("stdev"))
+    one = shown.groupBy("model", "kind", "prompt_id").agg(F.max_by(text, "row_ord").alias("cell"))
+    by = one.groupBy("model").agg(*[
+        F.map_from_entries(F.collect_list(F.when(F.col("kind") == k, F.struct("prompt_id", "cell")))).alias(k) for k in ROW_LABELS])
+
+    def line(kind: str, head: F.Column) -> F.Column:
+        row = F.transform(F.array(*map(F.lit, prompts)), lambda p: F.coalesce(F.element_at(kind, p), F.lit(missing)))
+        return F.concat(F.lit("    "), head, F.lit(f" & {ROW_LABELS[kind]} & "), F.array_join(row, " & "), F.lit(r" \\"))
+
+    label = F.concat(F.lit(r"\textbf{\texttt{"), tx.tex_escape("model"), F.lit("}}"))
+    size = tx.tex_escape(F.coalesce("size", F.lit(schemas.MISSING_CELL)))
+    head = F.concat(F.lit(SPAN_OPEN), label, F.lit("} & " + SPAN_OPEN), size, F.lit("}"))
+    rows = F.array(
+        F.when(F.col("nth") > 1, F.struct(F.lit(0).alias("k"), F.lit("separator").alias("kind"), F.lit(SEPARATOR).alias("row_text"))),
+        F.struct(F.lit(1).alias("k"), F.lit("tps").alias("kind"), line("tps", head).alias("row_text")),
+        F.struct(F.lit(2).alias("k"), F.lit("elap").alias("kind"), line("elap", F.lit("&")).alias("row_text")),
+    )
+    each = null_safe_join(models, by, ["model"], "left").select("model", "nth", F.explode(F.array_compact(rows)).alias("r"))
+    return each.select(((F.col("nth") - 1) * 3 + F.col("r.k")).cast("int").alias("seq"), "model", "r.kind", "r.row_text")
+
+
 def verdict_lines(rates: DataFrame, counts: DataFrame, model_col: str = "model") -> DataFrame:
     """[SNK8] One fixed-width line a model: published and corrected percent (``---`` where no
     outcome is known), recovered, regressed, one column per verdict; coverage beside it."""

@@ -54,46 +54,93 @@ def _cut(v: Column) -> Column:
     return tx.strip(F.substring_index(F.substring_index(v, "#", 1), ",", 1))
 
 
+#: Columns a report line may have.
+MAX_COLUMNS = 64
+_POSITIONS = [f"c{i}" for i in range(MAX_COLUMNS)]
+META = ("timestamp", "host", "gpu", "duration")
+
+
+def _fields(line: Column) -> Column:
+    """The fields of one CSV line, as an array."""
+    r = F.from_csv(line, ", ".join(f"{c} STRING" for c in _POSITIONS))
+    return F.array(*[r[c] for c in _POSITIONS])
+
+
+def _meta_values(clean: Column) -> dict[str, Column]:
+    """[SRC2] What a comment line says of each header value (null: nothing)."""
+    host, gpu = F.instr(clean, "Host:") > 0, F.instr(clean, "GPU:") > 0
+    return {
+        "timestamp": _cut(_after(clean, "Timestamp:")),
+        "host": F.when(host, _cut(_after(clean, "Host:"))).otherwise(tx.strip(_after(clean, "Host Node Name:"))),
+        "gpu": F.when(gpu, _cut(_after(clean, "GPU:"))).otherwise(tx.strip(_after(clean, "Accelerator Info:"))),
+        "duration": tx.strip(_after(clean, "Duration:")),
+    }
+
+
+def read_reports(spark: SparkSession, paths: str | Sequence[str], header: str = "first", meta_default: str = "") -> DataFrame:
+    """[SRC1, SRC2] Commented cell CSV files in one pass: every cell row with its file, its place
+    (``row_ord``), its columns by header name, and the file's ``meta`` (timestamp, host, gpu,
+    duration).
+
+    A file is one row: its header line is the first (``header='first'``) or last (``'last'``)
+    line whose stripped text begins ``Model,`` (none: the first line); the lines after it are
+    data, ``#`` lines among them; blank lines are skipped.  Columns are found by the names in
+    the header line, in whatever order; one that is not there is null.  Every string column is
+    stripped.  Of comment lines that say the same thing the last one counts.  Nothing is joined
+    or grouped; reports hold one line a cell, so a file fits a row."""
+    one = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", _LINE_BREAK).alias("lines"))
+    one = one.withColumn("clean", F.transform("lines", _clean))
+    marks = F.transform("clean", lambda c: c.startswith("Model,"))
+    at = F.array_position(marks, True) if header == "first" else F.size("clean") + 1 - F.array_position(F.reverse(marks), True)
+    one = one.withColumn("hdr", F.when(F.array_contains(marks, True), at.cast("int")).otherwise(F.lit(1)))
+    one = one.withColumn("names", F.transform(_fields(F.element_at("lines", F.col("hdr"))), lambda n: _clean(n)))
+    comments = F.filter("clean", lambda c: c.startswith("#"))
+    for key in META:
+        said = F.filter(F.transform(comments, lambda c: _meta_values(c)[key]), lambda v: v.isNotNull())  # noqa: B023 - built at once
+        one = one.withColumn(key, F.coalesce(F.try_element_at(said, F.lit(-1)), F.lit(meta_default)))
+    data = F.transform("lines", lambda line, i: F.struct((i + 1).alias("row_ord"), line.alias("line")))
+    data = F.filter(data, lambda x: (x["row_ord"] > F.col("hdr")) & (tx.strip(x["line"]) != ""))
+    rows = one.select("file", "names", F.struct(*META).alias("meta"), F.explode(data).alias("d"))
+    return _named(rows.select("file", "names", "meta", "d.row_ord", _fields(F.col("d.line")).alias("fields")))
+
+
+def read_report_meta(spark: SparkSession, paths: str | Sequence[str], meta_default: str = "", whole_file: bool = True) -> DataFrame:
+    """[SRC2] One row a file: file, timestamp, host, gpu, duration, also of files without a cell.
+    One aggregate over the comment lines' values, wherever a file's lines are."""
+    lines = _lines(spark, paths, whole_file).withColumn("clean", _clean("line"))
+    values = _meta_values(F.when(F.col("clean").startswith("#"), F.col("clean")))
+    found = lines.select("file", "line_no", *[v.alias(k) for k, v in values.items()])
+    last = [F.max_by(k, F.when(F.col(k).isNotNull(), F.col("line_no"))).alias(k) for k in META]
+    return found.groupBy("file").agg(*last).fillna(meta_default, list(META))
+
+
 def read_cell_csv(spark: SparkSession, paths: str | Sequence[str], header: str = "first",
-                  meta_default: str = "", whole_file: bool = False) -> tuple[DataFrame, DataFrame]:
-    """[SRC1, SRC2] Commented cell CSV -> (cells, meta).
+                  meta_default: str = "", whole_file: bool = True) -> tuple[DataFrame, DataFrame]:
+    """[SRC1, SRC2] :func:`read_reports` as two tables: (cells, meta), one row a file in meta.
 
-    The header row is the first (``header='first'``) or last (``'last'``) line whose
-    stripped text begins ``Model,``; none -> line 0.  Every line after it is a data
-    row, including ``#`` lines; blank lines are skipped.  String columns are
-    stripped; numbers stay text here (``try_cast`` downstream).
+    ``whole_file=False`` is for files too large for one row: they are split across tasks by
+    line, and the header line found per file is joined back (skew is left to AQE)."""
+    cells = read_reports(spark, paths, header, meta_default).drop("meta") if whole_file else _split_reports(spark, paths, header)
+    return cells, read_report_meta(spark, paths, meta_default, whole_file)
 
-    meta: per file the Timestamp / Host / GPU (/ Duration) values of ``#`` lines,
-    the last matching line winning, ``meta_default`` when absent."""
-    lines = _lines(spark, paths, whole_file).withColumn("clean", _clean("line"))
+
+def _split_reports(spark: SparkSession, paths: str | Sequence[str], header: str) -> DataFrame:
+    lines = _lines(spark, paths).withColumn("clean", _clean("line"))
     is_header = F.col("clean").startswith("Model,")
     pick = F.min if header == "first" else F.max
-    # header line per file (a small per-file aggregate); none -> the first line
-    hdr = lines.groupBy("file").agg(F.coalesce(pick(F.when(is_header, F.col("line_no"))),
-                                               F.min("line_no")).alias("hdr"))
-    data = (lines.join(hdr, "file")
-            .filter((F.col("line_no") > F.col("hdr")) & (tx.strip("line") != "")))
-    parsed = data.select("file", "line_no", F.from_csv("line", schemas.CSV_LINE_DDL).alias("r"))
-    names = schemas.CSV_COLUMNS
-    cells = parsed.select(
-        "file", F.col("line_no").alias("row_ord"),
-        *[(tx.strip(F.col(f"r.`{c}`")) if i < 5 else F.col(f"r.`{c}`")).alias(c) for i, c in enumerate(names)])
-
-    c = F.col("clean")
-    comment = lines.filter(c.startswith("#"))
-    ts = _cut(_after(c, "Timestamp:"))
-    host = F.when(F.instr(c, "Host:") > 0, _cut(_after(c, "Host:"))).otherwise(tx.strip(_after(c, "Host Node Name:")))
-    gpu = F.when(F.instr(c, "GPU:") > 0, _cut(_after(c, "GPU:"))).otherwise(tx.strip(_after(c, "Accelerator Info:")))
-    dur = tx.strip(_after(c, "Duration:"))
-    found = comment.select("file", "line_no", ts.alias("timestamp"), host.alias("host"),
-                           gpu.alias("gpu"), dur.alias("duration"))
-    last = [F.max_by(F.col(k), F.when(F.col(k).isNotNull(), F.col("line_no"))).alias(k)
-            for k in ("timestamp", "host", "gpu", "duration")]
-    files = lines.select("file").distinct()
-    meta = files.join(found.groupBy("file").agg(*last), "file", "left") \
-        .select("file", *[F.coalesce(F.col(k), F.lit(meta_default)).alias(k)
-                          for k in ("timestamp", "host", "gpu", "duration")])
-    return cells, meta
+    here = F.struct("line_no", "line")
+    hdr = lines.groupBy("file").agg(F.coalesce(pick(F.when(is_header, here)), F.min(here)).alias("hdr"))
+    hdr = hdr.select("file", F.col("hdr.line_no").alias("hdr"), F.transform(_fields(F.col("hdr.line")), lambda n: _clean(n)).alias("names"))
+    data = lines.join(hdr, "file").filter((F.col("line_no") > F.col("hdr")) & (tx.strip("line") != ""))
+    return _named(data.select("file", "names", F.col("line_no").alias("row_ord"), _fields(F.col("line")).alias("fields")))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """The report's columns by header name, from (file, row_ord, names, fields, ...)."""
+    place = {c: F.array_position("names", F.lit(c)).cast("int") for c in schemas.CSV_COLUMNS}
+    got = {c: F.when(i > 0, F.element_at("fields", F.greatest(i, F.lit(1)))) for c, i in place.items()}
+    more = [c for c in rows.columns if c not in ("file", "row_ord", "names", "fields")]
+    return rows.select("file", "row_ord", *[(tx.strip(v) if k < 5 else v).alias(c) for k, (c, v) in enumerate(got.items())], *more)
 
 
 def typed_cells(cells: DataFrame) -> DataFrame:
@@ -104,7 +151,7 @@ def typed_cells(cells: DataFrame) -> DataFrame:
         F.col("Prompt_ID").alias("prompt_id"), F.col("Prompt_Name").alias("prompt_name"),
         F.col("Metric_Type").alias("metric"), runs.alias("runs"),
         F.col("Mean").try_cast("double").alias("mean"), F.col("Variance").try_cast("double").alias("variance"),
-        F.col("Std_Dev").try_cast("double").alias("stdev"))
+        F.col("Std_Dev").try_cast("double").alias("stdev"), *[c for c in cells.columns if c == "meta"])
 
 
 def read_samples(spark: SparkSession, paths: str | Sequence[str], fail_fast: bool = True,

@@ -51,7 +51,7 @@ def test_corrected_extract_strips_self_test(triaged):
 def test_one_python_evaluation_in_plan(spark):
     df = spark.createDataFrame([(FORMS[0][0], "f7")], "raw string, entry_point string")
     plan = TR.triage(df).filter(F.col("verdict") == "WRONG_BLOCK")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInPandas") == 1 and "ArrowEvalPython" not in plan
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
 
 
 def _native(spark, text):
