@@ -7,7 +7,9 @@ Mahalanobis distance from its group's estimate is beyond the cut-off is rejected
 
 Estimate: two starts per group (coordinate-wise median and MAD; the half nearest the
 median in the largest coordinate), concentration steps on the ``SUBSET`` share of rows
-nearest under the current estimate, and the start with the smaller determinant wins.
+nearest under the current estimate until no group's determinant falls any more (quantiles
+are sketches, so a fall below ``SETTLED`` counts as none; ``MAX_STEPS`` at most), and the
+start with the smaller determinant wins.
 Every step is one aggregate over all rows of all groups (moments and mergeable quantile
 sketches, combined before the shuffle); per group only a few numbers are kept, so a
 group holding a third of all rows is no task's burden.  Distances use a Cholesky factor
@@ -27,11 +29,11 @@ from pyspark.sql import functions as F
 from runlens.llm.common import SPACE, materialise
 
 REPEAT_WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
-SUBSET, STEPS, MIN_ROWS, ACCURACY, SALTS = 0.75, 4, 50, 10_000, 64
-#: Chi-square with five degrees of freedom: its median, and the cut-off (upper 1e-6).
-CHI2_MEDIAN, CHI2_CUT = 4.351460, 35.888186
+SUBSET, MAX_STEPS, SETTLED, MIN_ROWS, ACCURACY, SALTS = 0.75, 20, 1e-3, 50, 10_000, 64
+#: Chi-square with seven degrees of freedom: its median, and the cut-off (upper 1e-6).
+CHI2_MEDIAN, CHI2_CUT = 6.345811, 40.521828
 #: Smallest standard deviation of each statistic: texts are not told apart below it.
-FLOOR = {"x1": 0.70, "x2": 0.06, "x3": 0.15, "x4": 0.40, "x5": 0.10}
+FLOOR = {"x1": 0.70, "x2": 0.06, "x3": 0.15, "x4": 0.40, "x5": 0.10, "x6": 0.20, "x7": 0.20}
 X = tuple(FLOOR)
 P = len(X)
 
@@ -81,6 +83,8 @@ def statistics() -> dict[str, Column]:
         "x3": F.log(F.col("n_distinct") / n),
         "x4": F.log1p(n / F.greatest(F.col("n_lines"), F.lit(1))),
         "x5": F.sqrt(F.col("n_symbols") / n),
+        "x6": F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)) + n * 0),
+        "x7": F.sqrt(F.col("n_repeat_words") / n),
     }
 
 
@@ -166,8 +170,14 @@ def estimates(rows: DataFrame) -> DataFrame:
     keep = ["pool", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)]]
     est = start.select(F.lit(0).alias("start"), *keep).unionByName(_factor(other).select(F.lit(1).alias("start"), *keep))
     est = materialise(est, "mcd-starts")
-    for step in range(STEPS):
-        est = _nearest(rows, est.select("start", *keep), f"step{step}")
+    est = _nearest(rows, est, "step0")
+    for step in range(1, MAX_STEPS):
+        new = _nearest(rows, est.select("start", *keep), f"step{step}")
+        old = est.select(F.col("pool").alias("p"), F.col("start").alias("s"), F.col("logdet").alias("was"))
+        fall = new.join(old, (F.col("p") == F.col("pool")) & (F.col("s") == F.col("start"))).agg(F.max(F.col("was") - F.col("logdet"))).first()[0]
+        est = new
+        if fall is None or fall < SETTLED:
+            break
     best = est.groupBy("pool").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
     est = materialise(est.join(best, ["pool", "start"]).select(*keep), "mcd-best")
     # consistency: the median distance of all rows of the group is that of the chi-square
