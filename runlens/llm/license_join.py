@@ -8,6 +8,9 @@ matches a template if it holds at least ``CONTAINMENT`` of the template's distin
 All matches are found:
 
 1. the template words are counted over all texts, and ordered from rare to common;
+   a text goes on only if its words as a whole hold one of the prefix words of a template
+   and ``need`` words of it, since no block can hold more than its text (blocks are cut of
+   these texts only);
 2. prefix filter: a match must hold one of the rarest ``|T| - need + 1`` words of T, so
    only blocks with such a word go on;
 3. length filter: a block must have ``need`` template words at all;
@@ -78,13 +81,18 @@ def window_words(templates=TEMPLATES, block: int | None = None) -> int:
     return block or max(BLOCK, least)
 
 
+def row_name(*columns: str) -> Column:
+    """Two 64-bit hashes of a row; rows equal in all columns share it, and their matches."""
+    return F.struct(F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit(1), *reversed(columns)).alias("h2"))
+
+
 def blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """key (hash of id and text) and distinct words of every text block."""
+    """key (of id and text) and distinct words of every text block."""
     clean = F.regexp_replace(_lower(F.col("text")), _GAP_IN_LINE, " ")
     lines = F.filter(F.split(clean, "\n"), lambda x: x.rlike("[^ ]"))
     # a text of one line has no other windows than that line's
     whole = F.when(F.size(lines) > 1, F.array(F.array_join(lines, " "))).otherwise(F.array().cast("array<string>"))
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.explode(F.concat(lines, whole)).alias("line"))
+    rows = docs.select(row_name("doc_id", "text").alias("key"), F.explode(F.concat(lines, whole)).alias("line"))
     rows = rows.select("key", F.array_remove(F.split("line", " "), "").alias("words"))
     step = block // 2
     last = F.ceil(F.greatest(F.size("words") - block, F.lit(0)) / step).cast("int")
@@ -93,6 +101,17 @@ def blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.select("key", F.array_distinct("words").alias("words"))
 
 
+def possible(docs: DataFrame, known: list[str], prefix: list[str], sets: list[tuple[list[str], int]]) -> DataFrame:
+    """The rows whose whole text holds enough words of some template (words, need): a hashed
+    intersection with the template words, then the prefix words, then each template."""
+    least = min((n for _, n in sets), default=1)
+    words = F.split(F.regexp_replace(_lower(F.col("text")), _GAP, " "), " ")
+    rows = docs.withColumn("__has", F.array_intersect(words, F.array(*map(F.lit, known))))
+    rows = rows.filter((F.size("__has") >= least) & F.arrays_overlap("__has", F.array(*map(F.lit, prefix))))
+    templates = F.array(*[F.struct(F.array(*map(F.lit, ws)).alias("ws"), F.lit(n).alias("need")) for ws, n in sets])
+    return rows.filter(F.exists(templates, lambda t: F.size(F.array_intersect("__has", t["ws"])) >= t["need"])).drop("__has")
+
+
 def word_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
     """The template words from rare to common, counted over all texts (a word that never
     occurs comes first, equal counts by code point)."""
@@ -121,7 +140,9 @@ def matches(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINME
     least = min((r[4] for r in index), default=1)
     known, prefix = F.array(*map(F.lit, order)), F.array(*map(F.lit, sorted({r[0] for r in index})))
     ranks_of = F.create_map(*[F.lit(x) for w, r in rank.items() for x in (w, r)])
-    rows = blocks(docs, block).withColumn("words", F.array_intersect("words", known)).filter(F.size("words") >= least)
+    first = sorted({order[r[0]] for r in index})
+    some = possible(docs, order, first, [(ws, need(len(ws), containment)) for _, _, ws in sets])
+    rows = blocks(some, block).withColumn("words", F.array_intersect("words", known)).filter(F.size("words") >= least)
     rows = rows.withColumn("ranks_b", F.array_sort(F.transform("words", lambda w: F.element_at(ranks_of, w)))).drop("words")
     rows = rows.withColumn("rank", F.explode(F.array_intersect("ranks_b", prefix)))
     rows = rows.join(index_df, "rank").filter(F.size("ranks_b") >= F.col("need"))
@@ -155,7 +176,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
     own = docs.select("doc_id", "text")
     found = matches(own, templates, containment).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     found = materialise(found.withColumnRenamed("key", "__key"), "license-matches")
-    rows = base_places(own.withColumn("__k", F.xxhash64("doc_id", "text"))).drop("text")
+    rows = base_places(own.withColumn("__k", row_name("doc_id", "text"))).drop("text")
     rows = rows.join(found, F.col("__k") == F.col("__key"), "left")
     more = F.coalesce("more", F.array().cast("array<string>"))
     labels = F.array_sort(F.array_distinct(F.concat("__base", more)))
@@ -166,7 +187,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
 
 
 def oracle() -> str:
-    """The same result in DuckDB: every block against every template, word by word."""
+    """The same result in DuckDB: every block (of lines and of whole texts) against every template, word by word."""
     rows = ", ".join(f"({i}, '{label}', {ws!r}, {need(len(ws), CONTAINMENT)})" for i, label, ws in template_words())
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     at = " UNION ALL ".join(
@@ -177,7 +198,10 @@ def oracle() -> str:
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS t, regexp_extract_all(lower(coalesce(text, '')), '{word}') AS w FROM documents),
 template(id, label, ws, need) AS (VALUES {rows}),
-line AS (SELECT r, regexp_extract_all(unnest(string_split(t, chr(10))), '{word}') AS lw FROM d),
+own AS (SELECT r, regexp_extract_all(unnest(string_split(t, chr(10))), '{word}') AS lw FROM d),
+line AS (
+  SELECT r, lw FROM own WHERE len(lw) > 0
+  UNION ALL SELECT r, w FROM d WHERE r IN (SELECT r FROM own WHERE len(lw) > 0 GROUP BY r HAVING count(*) > 1)),
 block AS (
   SELECT r, lw[k * {BLOCK // 2} + 1 : k * {BLOCK // 2} + {BLOCK}] AS bw
   FROM (SELECT r, lw, unnest(range(CAST(ceil(greatest(len(lw) - {BLOCK}, 0) / {BLOCK // 2}) AS BIGINT) + 1)) AS k FROM line WHERE len(lw) > 0)),
