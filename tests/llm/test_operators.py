@@ -298,6 +298,30 @@ def test_license_notice_wrapped_over_lines(spark):
     assert got == {1: ("mit", 1.0), 2: ("mit", 1.0), 3: ("", 0.0)}
 
 
+def test_license_scan_equals_its_oracle_on_wrapped_notices(spark):
+    import duckdb
+    import pyarrow as pa
+
+    rng, rows = random.Random(8), []
+    vocab = ["lorem", "the", "of", "and", "license", "software", "permission", "to", "12"]
+    for i in range(120):
+        words = [rng.choice(vocab) for _ in range(rng.randint(0, 150))]
+        for _ in range(i % 3):
+            notice = rng.choice(license_join.TEMPLATES)[1].split()
+            if rng.random() < 0.5:
+                notice.pop(rng.randrange(len(notice)))
+            at = rng.randint(0, len(words))
+            words[at:at] = notice
+        gaps = [rng.choice([" ", " ", "\n", "\n\n# ", ", "]) for _ in words]
+        rows.append((i, "".join(w + g for w, g in zip(words, gaps, strict=True))))
+    rows += [(200, None), (201, ""), (201, ""), (202, "\n \n")]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [i for i, _ in rows], "text": pa.array([t for _, t in rows], pa.string())}))
+    want = con.sql(license_join.oracle())
+    got = license_join.scan(spark.createDataFrame(rows, "doc_id long, text string")).select(*want.columns)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
+
+
 def test_license_windows_hold_the_longest_template(spark):
     copy = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(80))
     rows = [(at, "x " * at + copy + " x" * 300, "", "", "", "") for at in (0, 16, 31, 79, 200)]
