@@ -22,26 +22,18 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-_TABLES: dict[tuple, DataFrame] = {}
-
-
-def _session_key(spark: SparkSession) -> tuple:
-    """Identity of a live session (object id within the running application)."""
-    try:
-        return (spark.sparkContext.applicationId, id(spark._jsparkSession))
-    except Exception:  # noqa: BLE001 - sessions without a local context (remote clients)
-        return (spark.conf.get("spark.app.id", ""), id(spark))
+def _plans(spark: SparkSession) -> dict:
+    """Plans built for a session, kept on the session itself, so they end with it."""
+    return spark.__dict__.setdefault("_runlens_plans", {})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The driver table as a DataFrame (file listing and footer schema read once per
     session and path; the DataFrame is an immutable plan, not cached data)."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (*_session_key(spark), path)
-    df = _TABLES.get(key)
-    if df is None:
-        df = _TABLES[key] = spark.read.parquet(path)
-    return df
+    path, plans = f"{sf_dir.rstrip('/')}/{name}.parquet", _plans(spark)
+    if path not in plans:
+        plans[path] = spark.read.parquet(path)
+    return plans[path]
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,13 +44,12 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def memo(fn):
     """Reuse an adapter's DataFrame per (session, sf_dir): it is an immutable plan
     over read-only tables, so building it once saves repeated analysis."""
-    cache: dict[tuple, DataFrame] = {}
 
     def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (*_session_key(spark), sf_dir.rstrip("/"))
-        if key not in cache:
-            cache[key] = fn(spark, sf_dir)
-        return cache[key]
+        key, plans = (fn.__name__, sf_dir.rstrip("/")), _plans(spark)
+        if key not in plans:
+            plans[key] = fn(spark, sf_dir)
+        return plans[key]
 
     wrapper.__name__, wrapper.__doc__ = fn.__name__, fn.__doc__
     return wrapper

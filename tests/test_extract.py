@@ -167,3 +167,25 @@ def test_job_survives_unparsable_replies(spark):
     assert got[2].corr_defines is True and got[2].verdict == "GENUINE_FAILURE"
     assert got[0].parser and got[1].orig_defines is False
     assert got[3].original == "" and got[3].verdict == "EMPTY_GENERATION"
+
+
+def test_built_replies_reach_every_branch(spark):
+    """The parts of ``built_triage`` lead to every verdict, reason and kind of candidate."""
+    from runlens.plans import q_built as Q
+
+    from .conftest import SF_CHECK
+
+    rows = Q.q_built_triage(spark, SF_CHECK).collect()
+    assert len({r.reason for r in rows}) == 5 and len({r.verdict for r in rows}) == 4
+    assert {(r.orig_defines, r.corr_defines) for r in rows} == {(False, False), (False, True), (True, True)}
+    assert {r.n_blocks for r in rows} == {0, 1, 2} and {r.extraction_changed for r in rows} == {True, False}
+    for kind in Q.KINDS.values():  # the stated facts are those of the parser
+        facts = _facts_of(kind.text.replace("{EP}", "f"))
+        assert ("f" in facts.names, facts.any_definition, facts.self_test) == (kind.defines, kind.any_definition, kind.self_test)
+        assert facts.solution == kind.solution.replace("{EP}", "f")
+
+
+def _facts_of(text):
+    from runlens.operators.extract import code_facts
+
+    return code_facts(text)
