@@ -199,19 +199,24 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequen
     return res.select(*keys, F.col("_p").alias("p"), interp.alias("value"))
 
 
-def recomputed_mean(runs_col: str = "runs") -> Column:
+def recomputed(runs_col: str = "runs") -> dict[str, Column]:
+    """Mean, sample variance and sample stdev of the exported runs (one run: 0 for both)."""
     arr = F.col(runs_col)
-    return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x) / F.size(arr)
+    mean = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x) / F.size(arr)
+    spread = F.aggregate(F.transform(arr, lambda x: F.pow(x - mean, 2)), F.lit(0.0), lambda acc, x: acc + x)
+    variance = F.when(F.size(arr) > 1, spread / (F.size(arr) - 1)).otherwise(F.lit(0.0))
+    return {"mean": mean, "variance": variance, "stdev": F.sqrt(variance)}
 
 
 def stat_audit(padded: DataFrame, stats: DataFrame, keys: Sequence[str], tol: float = 5e-5) -> DataFrame:
-    """[AG18] Recompute the mean from the exported runs and flag cells where it disagrees
-    with the stored mean (catches 0.0 padding and cut runs)."""
-    j = null_safe_join(stats, padded, keys)
-    rec = recomputed_mean("runs")
-    return j.select(*keys, "n", F.col("mean").alias("stored_mean"),
-                    F.round(rec, 4).alias("recomputed_mean"),
-                    (F.abs(rec - F.col("mean")) > tol).alias("mismatch"))
+    """[AG18] Recompute mean, variance and stdev from the exported runs and flag cells where one
+    disagrees with the stored value (catches 0.0 padding, cut runs and wrong spreads)."""
+    again = recomputed("runs")
+    j = null_safe_join(stats, padded, keys).withColumns({f"_{k}": v for k, v in again.items()})
+    shown = [c for k in again for c in (F.col(k).alias(f"stored_{k}"), F.round(f"_{k}", 4).alias(f"recomputed_{k}"))]
+    wrong = {k: F.abs(F.col(f"_{k}") - F.col(k)) > tol for k in again}
+    flags = [F.coalesce(c, F.lit(False)).alias(f"{k}_mismatch") for k, c in wrong.items()]
+    return j.select(*keys, "n", *shown, *flags, F.coalesce(wrong["mean"] | wrong["variance"] | wrong["stdev"], F.lit(False)).alias("mismatch"))
 
 
 def coverage_gaps(observed: DataFrame, models: DataFrame, model_col: str, prompts: Sequence[str],

@@ -212,10 +212,12 @@ def q_run_value_limits(spark, sf):
   GROUP BY model, prompt_id, metric),
 padded AS (SELECT model, prompt_id, metric,
   list_concat(vals, [CAST(0 AS DOUBLE), 0, 0, 0, 0])[1:5] AS runs FROM firsts)""") + """
-SELECT c.model, c.prompt_id, c.metric, c.n, c.mean AS stored_mean,
-  round(list_sum(p.runs) / 5, 4) AS recomputed_mean,
-  abs(list_sum(p.runs) / 5 - c.mean) > 5e-5 AS mismatch
-FROM cells c JOIN padded p ON c.model = p.model AND c.prompt_id = p.prompt_id AND c.metric = p.metric""")
+SELECT c.model, c.prompt_id, c.metric, c.n, c.mean AS stored_mean, c.variance AS stored_variance, c.stdev AS stored_stdev,
+  round(m, 4) AS recomputed_mean, round(v, 4) AS recomputed_variance, round(sqrt(v), 4) AS recomputed_stdev,
+  abs(m - c.mean) > 5e-5 AS mean_mismatch, abs(v - c.variance) > 5e-5 AS variance_mismatch, abs(sqrt(v) - c.stdev) > 5e-5 AS stdev_mismatch,
+  abs(m - c.mean) > 5e-5 OR abs(v - c.variance) > 5e-5 OR abs(sqrt(v) - c.stdev) > 5e-5 AS mismatch
+FROM cells c JOIN (SELECT *, list_avg(runs) AS m, list_var_samp(runs) AS v FROM padded) p
+  ON c.model = p.model AND c.prompt_id = p.prompt_id AND c.metric = p.metric""")
 def q_stat_audit(spark, sf):
     mr = metric_runs(spark, sf)
     return C.stat_audit(C.padded_runs(mr, KEYS, ORDER), C.cell_stats(mr, KEYS), KEYS)
@@ -369,6 +371,17 @@ def q_prompt_selection(spark, sf):
             .unionByName(skipped.withColumn("present", F.lit(False))))
 
 
+# --- canonical_prompts: PF15 (canonical list of the full table, as far as it was measured) ---
+_CANON_VALUES = ", ".join(f"({i}, '{p}')" for i, p in enumerate(schemas.CANONICAL_PROMPTS, 1))
+
+
+@register("canonical_prompts", _w(A.BIG_SQL, f"req(req_ord, prompt_id) AS (VALUES {_CANON_VALUES})") + """
+SELECT CAST(req_ord AS INTEGER) AS req_ord, prompt_id, prompt_id IN (SELECT prompt_id FROM big) AS present FROM req""")
+def q_canonical_prompts(spark, sf):
+    chosen, skipped = M.select_prompts(A.big_runs(spark, sf), schemas.CANONICAL_PROMPTS)
+    return chosen.withColumn("present", F.lit(True)).unionByName(skipped.withColumn("present", F.lit(False)))
+
+
 # --- castable_cells: PF8 ---------------------------------------------------------
 @register("castable_cells", _w(A.METRICS_SQL, """t AS (
   SELECT model, prompt_id, metric,
