@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from runlens.llm.common import Words, bounded_rows, fold, text_blocks
 
-#: Window and step in words; every run of up to ``WINDOW - STEP + 1`` words lies whole in a window.
-WINDOW, STEP = 24, 8
+#: Window and step in words; every run of up to ``WINDOW - STEP + 1`` words lies whole in a
+#: window.  Training looks at every fourth of these windows.
+WINDOW, STEP, TRAIN_STEP = 24, 4, 16
 WORD_BITS, GRAM_BITS, WORD_DIM, GRAM_DIM, HIDDEN, ATT = 15, 12, 12, 8, 12, 8
 #: Bound of the training sample: rows of each label, windows used of one row.
 TOXIC_ROWS, OTHER_ROWS, WINDOWS_PER_ROW = 1500, 2000, 32
@@ -51,12 +52,12 @@ def _inputs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, (code >> np.uint64(64 - GRAM_BITS)).astype(np.int64), first
 
 
-def windows(n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(n_words: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, first word (within the batch) and length of every window."""
-    count = np.where(n_words > 0, 1 + np.maximum(0, -(-(n_words - WINDOW) // STEP)), 0)
+    count = np.where(n_words > 0, 1 + np.maximum(0, -(-(n_words - WINDOW) // step)), 0)
     doc = np.repeat(np.arange(len(n_words)), count)
     k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    lo = k * STEP
+    lo = k * step
     base = np.cumsum(n_words) - n_words
     return doc, base[doc] + lo, np.minimum(WINDOW, n_words[doc] - lo)
 
@@ -73,7 +74,7 @@ class Corpus:
     ``first``, ``size`` the inputs of each distinct word; ``doc``, ``lo``, ``n`` the windows.
     Texts are read in blocks, so only these compact arrays grow with them."""
 
-    def __init__(self, texts: list[str], block_chars: int = 1 << 20):
+    def __init__(self, texts: list[str], step: int = STEP, block_chars: int = 1 << 20):
         keys, words, grams, sizes, tokens, counts = [], [], [], [], [], []
         for a, b in text_blocks(texts, block_chars):
             w = Words(texts[a:b])
@@ -94,7 +95,7 @@ class Corpus:
         self.word, self.size = join(words, np.int32)[at], size[at]
         self.gram = join(grams, np.int16)[_gather(first, size, at)[0]]
         self.first = np.cumsum(self.size) - self.size
-        self.doc, self.lo, self.n = windows(join(counts, np.int64))
+        self.doc, self.lo, self.n = windows(join(counts, np.int64), step)
 
 
 class GRU:
@@ -151,21 +152,50 @@ class GRU:
         pooled = np.einsum("tb,tbh->bh", w, hs)
         return u, w, pooled, pooled @ p["v"] + p["o"][0]
 
+    def _columns(self, gates: np.ndarray, idx: np.ndarray, live: np.ndarray, side: str) -> np.ndarray:
+        """:meth:`states` with one column per window, (T, H, B), over gate inputs of distinct
+        words; all steps work in place on contiguous rows."""
+        (n_t, n_b), h = idx.shape, HIDDEN
+        u, out = np.ascontiguousarray(self.p[f"U{side}"].T), np.empty((n_t, h, n_b), np.float32)
+        cur, hu, full = np.zeros((h, n_b), np.float32), np.empty((3 * h, n_b), np.float32), live.all(1)
+        for t in range(n_t) if side == "f" else range(n_t - 1, -1, -1):
+            x = np.ascontiguousarray(gates[idx[t]].T)
+            np.dot(u, cur, out=hu)
+            zr, n, new = x[: 2 * h], hu[2 * h :], out[t]
+            zr += hu[: 2 * h]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            n *= zr[h:]
+            n += x[2 * h :]
+            np.tanh(n, out=n)
+            np.subtract(cur, n, out=new)
+            new *= zr[:h]
+            new += n
+            if not full[t]:
+                np.copyto(new, cur, where=~live[t])
+            cur = new
+        return out
+
     def window_scores(self, c: Corpus) -> np.ndarray:
         """Score of every window of the corpus; gate inputs are computed once for each
         distinct word."""
-        out = np.empty(len(c.doc))
+        out, p = np.empty(len(c.doc)), self.p
         if not len(out):
             return out
         x = self.word_inputs(c.word, c.gram, c.first, c.size)
-        gates = {s: x @ self.p[f"W{s}"] + self.p[f"c{s}"] for s in "fb"}
+        gates = {s: (x @ p[f"W{s}"] + p[f"c{s}"]).astype(np.float32) for s in "fb"}
         for b in range(0, len(out), 2048):
             lo, n = c.lo[b : b + 2048], c.n[b : b + 2048]
             t = np.arange(int(n.max()))[:, None]
             live = t < n
             idx = c.token[np.minimum(lo + t, lo + n - 1)]
-            hs = np.concatenate([self.states(gates[s][idx], live, s) for s in "fb"], 2)
-            out[b : b + 2048] = _sigmoid(self.pool(hs, live)[3])
+            hs = np.concatenate([self._columns(gates[s], idx, live, s) for s in "fb"], 1)
+            at = np.where(live, np.einsum("a,tab->tb", p["a"], np.tanh(p["A"].T @ hs)), -1e9)
+            w = np.exp(at - at.max(0))
+            told = np.einsum("h,thb->tb", p["v"], hs)
+            out[b : b + 2048] = _sigmoid((w * told).sum(0) / w.sum(0) + p["o"][0])
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -262,7 +292,7 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = 7, b
         return None  # one label alone tells nothing about texts
     opt = _Adam(model.p)
     epochs = max(epochs, -(-MIN_UPDATES * batch // (2 * len(texts))))  # a small sample is seen more often
-    c = Corpus(texts)
+    c = Corpus(texts, TRAIN_STEP)
     if not len(c.doc):
         return None
     for epoch in range(epochs):
