@@ -37,7 +37,8 @@ MIN_WORDS, DRAWN_PERCENT = 20, 5
 #: Bytes of words, lower-cased; all other bytes separate.
 _KEPT = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 _CLEAN = bytes(b if b in _KEPT else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-_RUNS = [regex.compile(rb"(?<= )[^ ]++(?: [^ ]++){%d}(?= )" % k) for k in range(ORDERS)]
+# a span starts behind a space (``\K`` forgets it: a look-behind that the scanner can seek) and ends before one
+_RUNS = [regex.compile(rb" \K" + b" ".join([rb"[^ ]++"] * k) + rb"(?= )") for k in range(1, ORDERS + 1)]
 
 
 def normal(text: bytes) -> bytes:
