@@ -148,6 +148,37 @@ def test_toxicity_windows_cover_every_word():
         assert set().union(*(range(a, a + s) for a, s in zip(lo, size, strict=True))) == set(range(n)) and (size <= 24).all()
 
 
+def test_toxicity_score_is_the_largest_of_all_windows():
+    """Every window scored on its own, word by word in plain loops."""
+    rng = random.Random(6)
+    m = toxicity_rnn.GRU.fresh(2)
+    m.p["word"] = np.random.default_rng(2).normal(size=m.p["word"].shape).astype(np.float32)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def window(words):
+        c = toxicity_rnn.Corpus([" ".join(words)])
+        x = m.word_inputs(c.word, c.gram, c.first, c.size)[c.token].astype(float)
+        states, h = [], toxicity_rnn.HIDDEN
+        for side, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+            cur, got = np.zeros(h), [None] * len(x)
+            for t in order:
+                g, u = x[t] @ m.p[f"W{side}"] + m.p[f"c{side}"], cur @ m.p[f"U{side}"]
+                z, r = sig(g[:h] + u[:h]), sig(g[h : 2 * h] + u[h : 2 * h])
+                new = np.tanh(g[2 * h :] + r * u[2 * h :])
+                cur = (1 - z) * new + z * cur
+                got[t] = cur
+            states.append(got)
+        hs = np.array([np.concatenate(p) for p in zip(*states, strict=True)])
+        weight = np.exp(np.tanh(hs @ m.p["A"]) @ m.p["a"])
+        return sig((weight / weight.sum()) @ hs @ m.p["v"] + m.p["o"][0])
+
+    for n in (1, 5, 24, 25, 27, 40, 70):
+        words = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 7))) for _ in range(n)]
+        starts = range(0, max(n - toxicity_rnn.WINDOW, 0) + toxicity_rnn.STEP, toxicity_rnn.STEP)
+        want = max(window(words[a : a + toxicity_rnn.WINDOW]) for a in starts if a == 0 or a - toxicity_rnn.STEP + toxicity_rnn.WINDOW < n)
+        assert m.score([" ".join(words)])[0] == pytest.approx(want, abs=1e-5)
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(0)
     m = toxicity_rnn.GRU.fresh(1)
