@@ -58,8 +58,8 @@ _ANY_DEF_LINE = re.compile(r"(?m)^\s*(?:async\s+def|def|class)\s+\w+")
 # line breaks as counted by the parser
 _LINE_BREAK = re.compile(r"\r\n|\r|\n")
 
-# What a top-level statement is to the extractor: part of the solution, a self-test, or
-# (anything not listed) neither.
+# What a top-level statement is to the extractor, by the parser's names: part of
+# the solution, a self-test, or (anything not listed) neither.
 _ROLE = dict.fromkeys(
     ("Import", "ImportFrom", "FunctionDef", "AsyncFunctionDef", "ClassDef", "Assign", "AnnAssign"), "solution"
 ) | dict.fromkeys(("Assert", "If"), "test")
