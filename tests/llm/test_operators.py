@@ -1,4 +1,4 @@
-"""The ten operators against brute force, and on odd inputs."""
+"""Operators 1 to 10 against brute force, and on odd inputs."""
 
 import random
 import re
