@@ -341,11 +341,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     before null); among rows of one id the first in the order of two 64-bit hashes over all
     columns, so the choice does not depend on partitions and rows that differ anywhere are
     told apart.  Rows equal in all columns are one row.  All columns, whole texts."""
-    row, mark = unused(docs, "__row", "__stay")
+    h1, h2, m1, m2 = unused(docs, "__h1", "__h2", "__m1", "__m2")
     every = [F.col(f"`{c}`") for c in docs.columns]
-    both = F.struct(F.xxhash64(*every).alias("h1"), F.xxhash64(F.lit(1), *reversed(every)).alias("h2"))
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), both.alias("row"))
-    stay = near_duplicates(docs, key, F.col("text")).select(F.col("low.row").alias(mark)).distinct()
+    hashes = [F.xxhash64(*every), F.xxhash64(F.lit(1), *reversed(every))]
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), hashes[0].alias("h1"), hashes[1].alias("h2"))
+    stay = near_duplicates(docs, key, F.col("text")).select(F.col("low.h1").alias(m1), F.col("low.h2").alias(m2)).distinct()
     stay = materialise(stay, "simhash-stay")
-    kept = docs.withColumn(row, both).join(stay, F.col(row) == F.col(mark), "left_semi")
-    return kept.dropDuplicates([row]).drop(row)
+    # plain columns as keys: the rows stay where the join put them when repeated ones are dropped
+    kept = docs.withColumns({h1: hashes[0], h2: hashes[1]}).join(stay, (F.col(h1) == F.col(m1)) & (F.col(h2) == F.col(m2)), "left_semi")
+    return kept.dropDuplicates([h1, h2]).drop(h1, h2)
