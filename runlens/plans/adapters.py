@@ -274,7 +274,7 @@ def dialogue_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = turns(spark, sf_dir).filter(F.col("role") == "user")
     return t.select(
         F.concat(F.lit("dialogue-"), (F.col("conv_id") % 5).cast("string")).alias("model"), "conv_id", "turn",
-        size.alias("eval_count"), (size * F.lit(1000000)).alias("eval_duration"), ((size - 40) * F.lit(7000000)).alias("total_duration"),
+        size.alias("eval_count"), (size * F.lit(1000000)).alias("eval_duration"), ((size - 40) * F.lit(7001237)).alias("total_duration"),
         (size % 13 == 0).alias("failed"))
 
 

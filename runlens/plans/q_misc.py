@@ -464,7 +464,7 @@ WITH u AS (
 ok AS (SELECT * FROM u WHERE idx < coalesce((SELECT min(idx) FROM u f WHERE f.conv_id = u.conv_id AND f.size % 13 = 0), 1000000) AND idx IN (1, 3, 5)),
 r AS (
   SELECT model, 'P9_T' || CAST(idx AS VARCHAR) AS prompt_id, 'Tokens_Per_Sec' AS metric, CASE WHEN size > 0 THEN size / (size * 1000000 / 1e9) ELSE 0 END AS value FROM ok
-  UNION ALL SELECT model, 'P9_T' || CAST(idx AS VARCHAR), 'Elapsed_Sec', (size - 40) * 7000000 / 1e9 FROM ok),
+  UNION ALL SELECT model, 'P9_T' || CAST(idx AS VARCHAR), 'Elapsed_Sec', (size - 40) * 7001237 / 1e9 FROM ok),
 plan AS (SELECT m.model, p.prompt_id, k.metric FROM (SELECT DISTINCT model FROM u) m, (VALUES ('P9_T1'), ('P9_T3'), ('P9_T5'), ('P9_T7')) p(prompt_id),
   (VALUES ('Tokens_Per_Sec'), ('Elapsed_Sec')) k(metric))
 SELECT model, prompt_id, metric, count(value) AS n, round(round(coalesce(avg(value), 0), 9), 4) AS mean,
