@@ -636,3 +636,49 @@ def test_keep_one_leaves_one_whole_row_of_each_group(spark):
     assert got.columns == docs(spark).columns
     assert sum(r[0] == 4 for r in rows) == 1 and sum(not words(r[1]) for r in rows) == 1
     assert all(r in ODD for r in rows)
+
+
+def test_keep_one_does_not_depend_on_partitions(spark):
+    """Of rows alike in id and text the same one stays, whatever the partitions; rows that
+    differ in any column are told apart, and a table's own columns keep their names."""
+    rows = [(1, "a b c d", s, i) for i, s in enumerate(["s1", "s2", "s3", "s1"])] + [(1, "a b c d", "s1", 0), (None, "x y z w", "q", 1), (3, "x y z w", "q", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __h1 int")
+    got = simhash_pigeonhole.keep_one(df)
+    first = sorted(map(str, got.collect()))
+    assert got.columns == df.columns and [r.split(",")[0] for r in first] == ["Row(doc_id=1", "Row(doc_id=3"]
+    for parts in (1, 4):
+        assert sorted(map(str, simhash_pigeonhole.keep_one(df.orderBy(F.rand(parts)).repartition(parts)).collect())) == first
+
+
+def test_mixing_rows_without_ids_are_spread(spark):
+    rows = [(None, f"text number {i} of some words", "s") for i in range(200)] + [(7, f"other {i}", "t") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    places = df.select(water_filling._place(1, "doc_id").alias("p")).select(F.substring("p.key", 1, water_filling.BUCKET_DIGITS)).distinct().count()
+    assert places > 200
+    got = water_filling.mixture(df).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert all(abs(r.taken - r.target) <= 1 for r in got)
+
+
+def test_neighbours_with_extreme_components(spark):
+    rows = [(0, [1e200, 1.0]), (1, [1e200, 0.0]), (2, [0.0, 1e-200]), (3, [1.0, 1.0]), (50, [1e-200, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in pruned_graph.nearest(df, F.col("vec_id") % 50 == 0).collect()}
+    assert got[0, 1] == (1, pytest.approx(1.0)) and got[0, 2] == (50, pytest.approx(1.0))
+    assert got[50, 1][1] == pytest.approx(1.0) and {got[50, 1][0], got[50, 2][0]} == {0, 1}
+    assert all(abs(s) <= 1 + 1e-12 for _, s in got.values())
+
+
+def test_sampled_texts_are_cut_where_they_lie(spark):
+    from runlens.llm.common import SAMPLE_CHARS, bounded_rows, shortened, unused
+
+    long = "x" * 5_000_000
+    assert len(shortened(long)) <= SAMPLE_CHARS and shortened("short") == "short"
+    d = spark.createDataFrame([(1, long), (2, "a b")], "doc_id long, text string")
+    got = {r.doc_id: len(r.text) for r in bounded_rows(d.select("doc_id"), d, 10, ["doc_id", "text"], toxicity_rnn._spread_windows).collect()}
+    assert got[1] <= SAMPLE_CHARS and got[2] == 3
+    assert unused(d, "TEXT", "x", "x") == ["_TEXT", "x", "_x"]
+
+
+def test_toxicity_with_one_label_only(spark):
+    labels = spark.createDataFrame([(4, 1), (6, 1)], "doc_id long, toxic int")
+    assert {r.score for r in toxicity_rnn.toxicity(docs(spark), labels).collect()} == {0.0}
