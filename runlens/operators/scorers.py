@@ -7,8 +7,10 @@ against its reference's grams, so no n-gram of the corpus is shuffled.  A small
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,23 +68,38 @@ def gram_table(refs: DataFrame, key: Sequence[str], text: str, max_n: int) -> Da
     return t.drop("_t", *[f"_a{n}" for n in range(1, max_n + 1)])
 
 
+def _clipped(words: list[str], tables: list[dict[str, int]]) -> list[int]:
+    """Clipped matches per order with a reference's gram counts.  A gram can match only where
+    the one a word shorter did, so each order looks at no more places than the one before."""
+    at, out = enumerate(words), []
+    for n, table in enumerate(tables, start=1):
+        at = [(i, g) for i, g in at if g in table]
+        seen = Counter(g for _, g in at)
+        out.append(sum(min(k, table[g]) for g, k in seen.items()))
+        at = [(i, f"{g} {words[i + n]}") for i, g in at if i + n < len(words)]
+    return out
+
+
 def clipped_matches(pairs: DataFrame, toks: str, max_n: int) -> DataFrame:
-    """Adds ``m1..m<max_n>``: the clipped n-gram matches of the token array ``toks`` with the
-    reference grams of the same row (:func:`gram_table`).
-
-    Counting stays inside the row.  The grams both sides have are found by a hashed
-    intersection; only the text's occurrences of those are kept and counted, so a text that
-    shares nothing costs one pass.  Nothing is shuffled by gram."""
-    rows = pairs
-    for n, grams in enumerate(_gram_arrays(F.col(toks), max_n), start=1):
-        rows = rows.withColumn("_a", grams)
-        rows = rows.withColumn("_both", F.array_intersect(F.col(f"g{n}"), F.col("_a")))
-        rows = rows.withColumn("_hits", F.when(F.size("_both") > 0, F.filter("_a", lambda x: F.array_contains("_both", x))).otherwise(F.col("_both")))
-        counted = F.aggregate(F.arrays_zip(F.col(f"g{n}").alias("g"), F.col(f"c{n}").alias("c")), F.lit(0),
-                              lambda acc, e: acc + F.when(F.array_contains("_both", e["g"]),
-                                                          F.least(e["c"], F.size(F.filter("_hits", lambda x: x == e["g"])))).otherwise(F.lit(0)))
-        rows = rows.withColumn(f"m{n}", F.when(F.size("_both") > 0, counted).otherwise(F.lit(0))).drop("_a", "_both", "_hits")
-    return rows
+    """Adds ``m1..m<max_n>``: the clipped n-gram matches of the token array ``toks`` (words
+    without spaces, as :func:`tokens` makes them) with the reference grams of the same row
+    (:func:`gram_table`); 0 where either side is null.
+
+    Counting stays inside the row, one hash lookup a token; nothing is shuffled by gram.  The
+    tokens reach the workers as one string a row, since a batch of strings takes less memory
+    there than one of token lists."""
+
+    @F.pandas_udf("array<int>")
+    def matches(text: pd.Series, *table: pd.Series) -> pd.Series:
+        out = []
+        for words, *t in zip(text, *table, strict=True):
+            whole = words is not None and all(x is not None for x in t)
+            out.append(_clipped(words.split(" "), [dict(zip(*x, strict=True)) for x in zip(t[:max_n], t[max_n:], strict=True)]) if whole else [0] * max_n)
+        return pd.Series(out)
+
+    orders = range(1, max_n + 1)
+    rows = pairs.withColumn("_m", matches(F.array_join(toks, " "), *[f"g{n}" for n in orders], *[f"c{n}" for n in orders]))
+    return rows.withColumns({f"m{n}": F.col("_m")[n - 1] for n in orders}).drop("_m")
 
 
 def _ratio(a: Column, b: Column) -> Column:
