@@ -51,20 +51,26 @@ def _gram_arrays(t: Column, max_n: int) -> list[Column]:
     return out
 
 
-def _occurrences(array: str):
-    """Function of a value: how often ``array`` holds it."""
-    return lambda g: F.size(F.filter(array, lambda x: x == g))
+def _occurrences(grams: Column, distinct: Column) -> Column:
+    """How often the array ``grams`` holds each of ``distinct``; null where they are."""
+
+    @F.pandas_udf("array<int>")
+    def counts(every: pd.Series, wanted: pd.Series) -> pd.Series:
+        return pd.Series([None if g is None else [*map(Counter(g).__getitem__, d)] for g, d in zip(every, wanted, strict=True)], dtype=object)
+
+    return counts(grams, distinct)
 
 
 def gram_table(refs: DataFrame, key: Sequence[str], text: str, max_n: int) -> DataFrame:
     """One row a reference: its key, ``r_len`` (tokens), and per order n the distinct grams
-    ``g<n>`` beside their counts ``c<n>``.  A reference is counted inside its own row."""
+    ``g<n>`` beside their counts ``c<n>``.  A reference is counted inside its own row, in one pass
+    per order."""
     t = refs.select(*key, tokens(text).alias("_t")).withColumn("r_len", F.size("_t"))
     for n, grams in enumerate(_gram_arrays(F.col("_t"), max_n), start=1):
         t = t.withColumn(f"_a{n}", grams)
     for n in range(1, max_n + 1):
         t = t.withColumn(f"g{n}", F.array_distinct(f"_a{n}"))
-        t = t.withColumn(f"c{n}", F.transform(f"g{n}", _occurrences(f"_a{n}")))
+        t = t.withColumn(f"c{n}", _occurrences(F.col(f"_a{n}"), F.col(f"g{n}")))
     return t.drop("_t", *[f"_a{n}" for n in range(1, max_n + 1)])
 
 

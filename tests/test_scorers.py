@@ -48,6 +48,20 @@ def test_no_pass_over_the_text_per_gram(spark):
     rows = spark.createDataFrame([], "toks array<string>, " + ", ".join(f"g{n} array<string>, c{n} array<int>" for n in range(1, 5)))
     plan = _plan(SC.clipped_matches(rows, "toks", 4))
     assert "lambdafunction" not in plan and plan.count("ArrowEvalPython") == 1
+    # the reference's side builds grams with lambdas, but looks for none of them by a pass each
+    assert "filter(" not in _plan(SC.gram_table(spark.createDataFrame([], "id int, ref string"), ["id"], "ref", 4))
+
+
+def test_gram_table_counts_each_reference(spark):
+    long = [f"w{i % 300}" for i in range(3000)]
+    refs = spark.createDataFrame([(1, "a b a b"), (2, None), (3, ""), (4, " ".join(long))], "id int, ref string")
+    got = {r.id: r for r in SC.gram_table(refs, ["id"], "ref", 4).collect()}
+    assert (dict(zip(got[1].g2, got[1].c2, strict=True)), got[1].r_len) == ({"a b": 2, "b a": 1}, 4)
+    assert [got[2][f] for f in ("r_len", "g1", "c1", "c4")] == [None] * 4
+    assert [got[3][f] for f in ("r_len", "g1", "c1", "c4")] == [0, [], [], []]
+    for n in range(1, 5):
+        want = Counter(" ".join(long[i : i + n]) for i in range(len(long) - n + 1))
+        assert dict(zip(got[4][f"g{n}"], got[4][f"c{n}"], strict=True)) == want
 
 
 class _Looked(dict):
